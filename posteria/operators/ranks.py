@@ -48,7 +48,8 @@ def key_ranks(df: DataFrame, order: Sequence[str | Column], keep: Sequence[str])
 def prefix_sums(
     df: DataFrame, by: Sequence[str], order: Sequence[str | Column], sums: Sequence[str]
 ) -> DataFrame:
-    """Add ``<c>_cum``, the inclusive running sum of each column in ``sums``.
+    """Add ``<c>_cum``, the inclusive running sum of each column in ``sums``,
+    and ``<c>_total``, its sum over the group.
 
     ``df`` must be unique in (by, order) - aggregate ties first - so no group
     is too hot to be cut into ranges.
@@ -75,12 +76,15 @@ def prefix_sums(
         "_part",
         *by,
         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums],
+        *[F.sum(f"_t_{c}").over(Window.partitionBy(*by)).alias(f"{c}_total") for c in sums],
     )
     local = placed.select(
         "_part", *columns, *[F.sum(c).over(inside).alias(f"_loc_{c}") for c in sums]
     )
     return local.join(offsets, ["_part", *by]).select(
-        *columns, *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"{c}_cum") for c in sums]
+        *columns,
+        *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"{c}_cum") for c in sums],
+        *[f"{c}_total" for c in sums],
     )
 
 
@@ -136,7 +140,7 @@ def running_total(
     way, which needs rows unique in (by, order).
     """
     if large:
-        return prefix_sums(df, list(by), list(order), [col])
+        return prefix_sums(df, list(by), list(order), [col]).drop(f"{col}_total")
     frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

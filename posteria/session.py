@@ -42,3 +42,12 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = staged_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Split too few input partitions over all cores before heavy row work.
+
+    A no-op at scale, where the scan already has more splits than cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

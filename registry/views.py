@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from posteria.session import spread
+
 DRAWS = 40
 CLASSES = ["click", "error", "purchase", "signup", "view"]
 
@@ -109,7 +111,7 @@ def v_draws(spark, sf, targets=("o1", "p1", "p2", "p3")) -> DataFrame:
         f"*(case when event_id % 3 + 1 = {j} then 3D else 1D end)"
         for j in (1, 2, 3)
     )
-    base = table(spark, sf, "events").selectExpr(
+    base = spread(table(spark, sf, "events").select("event_id"), "event_id").selectExpr(
         "event_id AS number", f"transform(sequence(0, {DRAWS - 1}), d -> array({w})) AS w"
     )
     value = {
