@@ -21,7 +21,7 @@ from posteria.functions.seeded import seeded_hash
 from posteria.operators.sets import top_k
 from posteria.session import spread, stage
 
-PIVOTS = 64  # per group
+MAX_PIVOTS = 1024  # per group
 BLOCK = 4096  # rows per side in one task
 _CHUNK = 4_000_000  # numbers in one distance block
 
@@ -160,7 +160,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def knn(
     train: DataFrame, query: DataFrame, train_key: str, query_key: str, feats: Sequence[str], k: int = 5,
     p: float = 2.0, by: str | None = None, payload: Sequence[str] = (), skip_self: bool = False,
-    pivots: int = PIVOTS, block: int = BLOCK, exact: bool = True,
+    pivots: int | None = None, block: int = BLOCK, exact: bool = True,
 ) -> DataFrame:
     """Rows (group, query, rank, neighbour, distance[, payload array]).
 
@@ -179,11 +179,14 @@ def knn(
 
     # of identical vectors only the k+1 smallest keys can ever be neighbours, so
     # a heap of copies shrinks before it is searched
-    t = top_k(t, ["_key"], k + 1, ["_group", "_x"])
+    t = stage(top_k(spread(t, "_key"), ["_key"], k + 1, ["_group", "_x"]), "rows")
+    if pivots is None:
+        largest = t.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        pivots = min(max(2 * largest // block, 1), MAX_PIVOTS)
     centres = _pivot_map(t, pivots)
     if not centres:
         raise ValueError("the training table is empty")
-    t = stage(_assign(spread(t, "_key"), centres, p), "cells")
+    t = stage(_assign(t, centres, p), "cells")
     q = spread(q, "_qkey")
     cells = {g: (np.zeros(len(c), int), np.zeros(len(c))) for g, c in centres.items()}
     for r in t.groupBy("_group", "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_r").alias("r")).collect():
@@ -192,7 +195,7 @@ def knn(
     held = k + 1 if skip_self else k
     pay = "_y" if payload else None
     near = _best(_search(t, _route(q, centres, cells, held, p, True), k, p, pay, block), k)
-    if exact:
+    if exact and any((sizes > 0).sum() > 1 for sizes, _ in cells.values()):
         near = stage(near, "near")
         # the k-th distance so far; fewer than k found means nothing is ruled out
         reach = near.groupBy("_group", "_qkey").agg(
