@@ -53,49 +53,47 @@ def mad_std(ordered: Column, centre: Column | None = None) -> Column:
     return let(median(ordered) if centre is None else centre, spread)
 
 
-def clip_round(ordered: Column, sigma: float) -> Column:
-    """Drop values further than ``sigma`` MAD sigmas from the median, once."""
+def clip_state(values: Column, sigma: float = 6.0, max_rounds: int = 10) -> Column:
+    """Struct of the ascending values ``v`` left after dropping, round by round,
+    what is further than ``sigma`` MAD sigmas from the median; ``m`` and ``s``
+    are the median and MAD sigma of the last round and describe ``v`` itself
+    once ``done``."""
+    nothing = F.lit(None).cast("double")
+    start = F.struct(
+        F.sort_array(values).alias("v"), nothing.alias("m"), nothing.alias("s"), F.lit(False).alias("done")
+    )
+
+    def cut(state: Column) -> Column:
+        def keep(m: Column) -> Column:
+            def within(s: Column) -> Column:
+                left = F.filter(state["v"], lambda x: F.abs(x - m) <= s * float(sigma))
+                return let(
+                    left,
+                    lambda v: F.struct(
+                        v.alias("v"), m.alias("m"), s.alias("s"),
+                        (F.size(v) == F.size(state["v"])).alias("done"),
+                    ),
+                )
 
-    def keep(m: Column) -> Column:
-        return let(
-            mad_std(ordered, m) * float(sigma),
-            lambda s: F.filter(ordered, lambda x: F.abs(x - m) <= s),
-        )
+            return let(mad_std(state["v"], m), within)
 
-    return let(median(ordered), keep)
+        return let(median(state["v"]), keep)
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(max_rounds)),
+        start,
+        lambda state, _: F.when(state["done"], state).otherwise(cut(state)),
+    )
 
 
 def sigma_clip(values: Column, sigma: float = 6.0, max_rounds: int = 10) -> Column:
     """Ascending values left after clipping to a fixpoint or ``max_rounds``."""
-    start = F.struct(F.sort_array(values).alias("v"), F.lit(False).alias("done"))
+    return clip_state(values, sigma, max_rounds)["v"]
 
-    def step(state: Column, _: Column) -> Column:
-        cut = let(
-            clip_round(state["v"], sigma),
-            lambda v: F.struct(v.alias("v"), (F.size(v) == F.size(state["v"])).alias("done")),
-        )
-        return F.when(state["done"], state).otherwise(cut)
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(max_rounds)), start, step, lambda state: state["v"]
-    )
+def centred(values: Column) -> Column:
+    return let(mean(values), lambda m: F.transform(values, lambda x: x - m))
 
 
-def correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation of two aligned arrays; null when one is constant."""
-
-    def about(ma: Column, mb: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"), F.lit(0.0).alias("ab"))
-        pairs = F.zip_with(a, b, lambda x, y: F.struct((x - ma).alias("x"), (y - mb).alias("y")))
-        return F.aggregate(
-            pairs,
-            zero,
-            lambda t, p: F.struct(
-                (t["aa"] + p["x"] * p["x"]).alias("aa"),
-                (t["bb"] + p["y"] * p["y"]).alias("bb"),
-                (t["ab"] + p["x"] * p["y"]).alias("ab"),
-            ),
-            lambda t: F.try_divide(t["ab"], F.sqrt(t["aa"]) * F.sqrt(t["bb"])),
-        )
-
-    return let(mean(a), lambda ma: let(mean(b), lambda mb: about(ma, mb)))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)

@@ -145,13 +145,17 @@ def confusion(df: DataFrame, true_col: str, pred_col: str, classes: Sequence[str
     counts = df.groupBy(*by, F.col(true_col).alias("true"), F.col(pred_col).alias("pred")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    # per group at most K x K rows from here on
-    cells = F.array(*[F.struct(F.lit(t).alias("true"), F.lit(p).alias("pred")) for t in classes for p in classes])
-    groups = counts.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    grid = groups.select(*by, F.inline(cells))
-    full = grid.join(counts, [*by, "true", "pred"], "left").na.fill(0, ["n"])
-    row = F.sum("n").over(Window.partitionBy(*by, "true")).cast("double")
-    return full.select(*by, "true", "pred", "n", F.coalesce(F.try_divide(F.col("n").cast("double"), row), F.lit(0.0)).alias("share"))
+    # from here on one row per group, one column per cell of the K x K grid
+    pairs = [(t, p) for t in classes for p in classes]
+    hit = lambda t, p: F.sum(F.when((F.col("true") == t) & (F.col("pred") == p), F.col("n")).otherwise(0))
+    wide = counts.groupBy(*by).agg(*[hit(t, p).alias(f"_{i}") for i, (t, p) in enumerate(pairs)])
+    number = lambda i: F.coalesce(F.col(f"_{i}"), F.lit(0))
+    cells = []
+    for i, (t, p) in enumerate(pairs):
+        row = sum((number(j) for j, (u, _) in enumerate(pairs) if u == t), F.lit(0))
+        share = F.coalesce(F.try_divide(number(i).cast("double"), row.cast("double")), F.lit(0.0))
+        cells.append(F.struct(F.lit(t).alias("true"), F.lit(p).alias("pred"), number(i).alias("n"), share.alias("share")))
+    return wide.select(*by, F.inline(F.array(*cells)))
 
 
 def binned_residuals(df: DataFrame, residual: str, mags: Sequence[str], low: int = 17, high: int = 25, **how) -> DataFrame:
@@ -235,14 +239,15 @@ def _attach(df: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
 
 def mad_std(df: DataFrame, col: str, by: Sequence[str] = (), one_pass_values: int = ONE_PASS_VALUES) -> DataFrame:
     """MAD sigma per group: columns (by..., median, mad_std)."""
-    by = list(by)
     rows = df.filter(F.col(col).isNotNull())
-    how = {"bounded": True} if _fits(rows, by, one_pass_values) else {"one_pass_values": one_pass_values}
+    fits = _fits(rows, list(by), one_pass_values)
+    return _mad(rows, col, list(by), {"bounded": True} if fits else {"one_pass_values": one_pass_values})
+
+
+def _mad(rows: DataFrame, col: str, by: list[str], how: dict) -> DataFrame:
     centre = group_medians(rows, by, {col: "median"}, **how)
-    if not by:
-        centre = stage(centre, "centre")
-    spread = _attach(rows, centre, by).select(*by, "median", F.abs(F.col(col) - F.col("median")).alias("_d"))
-    out = group_medians(spread, [*by, "median"], {"_d": "_m"}, **how)
+    away = _attach(rows, centre, by).select(*by, "median", F.abs(F.col(col) - F.col("median")).alias("_d"))
+    out = group_medians(away, [*by, "median"], {"_d": "_m"}, **how)
     return out.select(*by, "median", (F.col("_m") * MAD_TO_SIGMA).alias("mad_std"))
 
 
@@ -256,15 +261,9 @@ def _clip_round(kept: DataFrame, by: list[str], spread: str, most: int, fits: bo
         out = _attach(kept.groupBy(*by).agg(*basics), medians, by)
     if spread != "mad":
         return out.withColumn("s", F.col("std"))
-    out = stage(out, "clip")
-    away = _attach(kept, out.select(*by, "median"), by).select(
-        *by, F.abs(F.col("_v") - F.col("median")).alias("_d")
-    )
-    if fits:
-        mads = away.groupBy(*by).agg(F.percentile("_d", F.lit(0.5)).alias("_m"))
-    else:
-        mads = group_medians(away, by, {"_d": "_m"}, one_pass_values=most)
-    return _attach(out, mads, by).withColumn("s", F.col("_m") * MAD_TO_SIGMA).drop("_m")
+    how = {"bounded": True} if fits else {"one_pass_values": most}
+    mads = _mad(kept, "_v", by, how).select(*by, F.col("mad_std").alias("s"))
+    return _attach(out, mads, by)
 
 
 def sigma_clip_limits(
@@ -274,30 +273,51 @@ def sigma_clip_limits(
     """Per group the closed range that survives clipping, with the mean, median
     and std of what is inside.
 
-    The loop carries only this small table; each round is one aggregation of
-    the untouched rows.
+    The loop carries only this small table (one row without groups); each round
+    is one aggregation of the untouched rows.
     """
     by = list(by)
-    rows = df.select(*by, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    rows = df.select(*by, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull()).persist()
     fits = _fits(rows, by, one_pass_values)
+    loop = _clip_groups if by else _clip_all
+    state = loop(rows, by, sigma, max_rounds, spread, one_pass_values, fits)
+    rows.unpersist()
+    return state
+
+
+def _clip_all(rows, by, sigma, max_rounds, spread, most, fits) -> DataFrame:
+    low, high, left, rounds = -math.inf, math.inf, None, 0
+    while True:
+        kept = rows.filter(F.col("_v").between(low, high)) if rounds else rows
+        r = _clip_round(kept, by, spread, most, fits).first()
+        settled = r["n"] == left or rounds == max_rounds or not r["n"]
+        if r["n"]:
+            low, high = max(low, r["median"] - sigma * r["s"]), min(high, r["median"] + sigma * r["s"])
+        if settled:
+            row = (r["n"], r["mean"], r["median"], r["std"], low, high)
+            return rows.sparkSession.createDataFrame(
+                [row], "n long, mean double, median double, std double, lo double, hi double"
+            )
+        left, rounds = r["n"], rounds + 1
+
+
+def _clip_groups(rows, by, sigma, max_rounds, spread, most, fits) -> DataFrame:
     state, rounds = None, 0
     while True:
         kept = rows
         if state is not None:
-            kept = _attach(rows, state.select(*by, "lo", "hi"), by).filter(
-                F.col("_v").between(F.col("lo"), F.col("hi"))
-            ).select(*by, "_v")
-        new = _clip_round(kept, by, spread, one_pass_values, fits)
+            inside = F.col("_v").between(F.col("lo"), F.col("hi"))
+            kept = rows.join(state.select(*by, "lo", "hi"), by).filter(inside).select(*by, "_v")
+        new = _clip_round(kept, by, spread, most, fits)
         low, high = F.col("median") - sigma * F.col("s"), F.col("median") + sigma * F.col("s")
         changed = F.lit(True)
         if state is not None:
-            new = _attach(new, state.select(*by, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("n").alias("_n")), by)
+            old = state.select(*by, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("n").alias("_n"))
+            new = new.join(old, by)
             low, high = F.greatest(low, "_lo"), F.least(high, "_hi")
             changed = F.col("n") != F.col("_n")
-        state = stage(
-            new.select(*by, "n", "mean", "median", "std", low.alias("lo"), high.alias("hi"), changed.alias("changed")),
-            "clip",
-        )
+        new = new.select(*by, "n", "mean", "median", "std", low.alias("lo"), high.alias("hi"), changed.alias("changed"))
+        state = stage(new, "state")
         if rounds and not state.filter("changed").head(1) or rounds == max_rounds:
             return state.drop("changed")
         rounds += 1
@@ -318,8 +338,11 @@ def above_below_stats(df: DataFrame, obs: str, pred: str, obs_err: str, pred_err
 def pull_distribution(df: DataFrame, obs: str, pred: str, sigma_col: str, bins: int = 50, limit: float = 6.0) -> DataFrame:
     """Density of (obs - pred)/sigma on [-limit, limit] with the normal curve of
     the clipped median and the unclipped MAD sigma at the bin centres."""
-    pulls = df.select(F.try_divide(F.col(obs) - F.col(pred), F.col(sigma_col)).alias("pull")).filter(
-        F.col("pull").isNotNull()
+    pulls = stage(  # one column, read by every pass below
+        df.select(F.try_divide(F.col(obs) - F.col(pred), F.col(sigma_col)).alias("pull")).filter(
+            F.col("pull").isNotNull()
+        ),
+        "pulls",
     )
     clipped = sigma_clip_stats(pulls, "pull").first()
     spread = mad_std(pulls, "pull").first()["mad_std"]

@@ -57,52 +57,58 @@ def rotate_draws(df: DataFrame, targets: Sequence[str]) -> DataFrame:
 # --- fit -----------------------------------------------------------------------------
 
 
-def _maximise(x: np.ndarray, resp: np.ndarray):
-    """Weights, means, covariances of a block: x (n, T, 2), resp (n, T, K)."""
-    mass = resp.sum(1) + 10 * np.finfo(float).eps
-    means = np.einsum("ntk,ntd->nkd", resp, x) / mass[..., None]
-    gap = x[:, :, None, :] - means[:, None]
-    a = (resp * gap[..., 0] ** 2).sum(1) / mass + REGULARISER
-    b = (resp * gap[..., 0] * gap[..., 1]).sum(1) / mass
-    c = (resp * gap[..., 1] ** 2).sum(1) / mass + REGULARISER
-    return mass / mass.sum(1, keepdims=True), means, a, b, c
-
-
-def _expect(x: np.ndarray, weights, means, a, b, c):
-    """Responsibilities and the mean log-likelihood per object."""
-    gap = x[:, :, None, :] - means[:, None]
-    u, v = gap[..., 0], gap[..., 1]
+def _maximise(phi: np.ndarray, resp: np.ndarray):
+    """Weights, means and covariances of a block from its weighted moments.
+    ``phi`` (n, T, 6) holds 1, x, y, xx, xy, yy of centred draws, ``resp``
+    (n, K, T) the responsibilities."""
+    s = resp @ phi
+    mass = s[..., 0] + 10 * np.finfo(float).eps
+    m1, m2 = s[..., 1] / mass, s[..., 2] / mass
+    a = s[..., 3] / mass - m1 * m1 + REGULARISER
+    b = s[..., 4] / mass - m1 * m2
+    c = s[..., 5] / mass - m2 * m2 + REGULARISER
+    return mass / mass.sum(1, keepdims=True), m1, m2, a, b, c
+
+
+def _expect(phi: np.ndarray, w, m1, m2, a, b, c):
+    """Responsibilities and the mean log-likelihood per object. A log density is
+    a quadratic form, hence one product of ``phi`` with six coefficients."""
     det = a * c - b * b
-    far = (c[:, None] * u * u - 2 * b[:, None] * u * v + a[:, None] * v * v) / det[:, None]
-    logp = np.log(weights)[:, None] - 0.5 * (far + np.log(det)[:, None]) - np.log(2 * np.pi)
-    top = logp.max(2, keepdims=True)
-    norm = top + np.log(np.exp(logp - top).sum(2, keepdims=True))
-    return np.exp(logp - norm), norm[..., 0].mean(1)
-
-
-def _fit_block(x: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
+    p, q, r = c / det, -b / det, a / det
+    base = np.log(w) - 0.5 * (p * m1 * m1 + 2 * q * m1 * m2 + r * m2 * m2 + np.log(det)) - np.log(2 * np.pi)
+    coef = np.stack([base, p * m1 + q * m2, q * m1 + r * m2, -0.5 * p, -q, -0.5 * r], axis=2)
+    logp = coef @ phi.transpose(0, 2, 1)
+    top = logp.max(1, keepdims=True)
+    np.exp(logp - top, out=logp)
+    total = logp.sum(1, keepdims=True)
+    logp /= total
+    return logp, (top + np.log(total)).mean((1, 2))
+
+
+def _fit_block(x: np.ndarray, y: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
     """Mixtures of a block of objects, columns in the order of gmm_columns()."""
-    n, t, _ = x.shape
-    ordered = np.sort(x[:, :, 0], axis=1)
+    n, t = x.shape
+    ordered = np.sort(x, axis=1)
     cuts = ordered[:, [-(-t * k // COMPONENTS) - 1 for k in range(1, COMPONENTS)]]
-    start = (x[:, :, :1] > cuts[:, None]).sum(2)
-    params = list(_maximise(x, np.eye(COMPONENTS)[start]))
+    start = (x[:, None] > cuts[:, :, None]).sum(1)
+    middle = x.mean(1, keepdims=True), y.mean(1, keepdims=True)
+    u, v = x - middle[0], y - middle[1]
+    phi = np.stack([np.ones_like(u), u, v, u * u, u * v, v * v], axis=2)
+    params = np.stack(_maximise(phi, (start[:, None] == np.arange(COMPONENTS)[:, None]).astype(float)))
     live, last = np.arange(n), np.full(n, -np.inf)
     for _ in range(max_iter):
-        resp, score = _expect(x[live], *[p[live] for p in params])
-        for p, new in zip(params, _maximise(x[live], resp)):
-            p[live] = new
-        moving = np.abs(score - last[live]) >= tol
-        last[live] = score
-        live = live[moving]
-        if not len(live):
+        resp, score = _expect(phi, *params[:, live])
+        params[:, live] = np.stack(_maximise(phi, resp))
+        moving = np.abs(score - last) >= tol
+        if not moving.any():
             break
-    weights, means, a, b, c = params
-    order = np.argsort(-weights, axis=1, kind="stable")
+        live, last, phi = live[moving], score[moving], phi if moving.all() else phi[moving]
+    w, m1, m2, a, b, c = params
+    order = np.argsort(-w, axis=1, kind="stable")
     pick = lambda m: np.take_along_axis(m, order, 1)
     covs = np.stack([pick(a), pick(b), pick(c)], 2).reshape(n, -1)
-    centres = np.stack([pick(means[..., 0]), pick(means[..., 1])], 2).reshape(n, -1)
-    return np.hstack([covs, centres, pick(weights)])
+    centres = np.stack([pick(m1) + middle[0], pick(m2) + middle[1]], 2).reshape(n, -1)
+    return np.hstack([covs, centres, pick(w)])
 
 
 def fit_gmm(df: DataFrame, keep: Sequence[str], max_iter: int = 100, tol: float = 1e-3, block: int = 256) -> DataFrame:
@@ -121,8 +127,8 @@ def fit_gmm(df: DataFrame, keep: Sequence[str], max_iter: int = 100, tol: float
         for batch in batches:
             for at in range(0, len(batch), block):
                 part = batch.iloc[at : at + block]
-                x = np.stack([np.stack(part["r1_draws"]), np.stack(part["r2_draws"])], axis=2)
-                fitted = pd.DataFrame(_fit_block(x, max_iter, tol), columns=names, index=part.index)
+                x, y = np.stack(part["r1_draws"]), np.stack(part["r2_draws"])
+                fitted = pd.DataFrame(_fit_block(x, y, max_iter, tol), columns=names, index=part.index)
                 yield pd.concat([part[list(keep)], fitted], axis=1)
 
     rows = df.select(*keep, "r1_draws", "r2_draws")
@@ -255,7 +261,7 @@ def sample_gmm(df: DataFrame, keys: Sequence[str], n: int = 5000, names: Sequenc
     """int(n x weight) points per component, seeded by (key, component, point)."""
     keys = list(keys)
     points = F.floor(F.lit(float(n)) * F.col("weight")).cast("int")
-    rows = _component_rows(df, keys).withColumn("points", points).filter(F.col("points") > 0)
+    rows = _component_rows(spread(df, *keys), keys).withColumn("points", points).filter(F.col("points") > 0)
     rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("points"))).alias("sample"))
     seed = [*keys, "comp", "sample"]
     l11 = F.sqrt("cov_11")
@@ -277,10 +283,11 @@ def reconstruct_posteriors(
     table; with ``path`` also written, one folder per tile."""
     chosen = select_objects(df, ids, *keys) if ids is not None else df
     extra = ["request"] if ids is not None else []
-    repaired = repair_psd(spread(chosen, *keys))
+    repaired = repair_psd(chosen)
     points = sample_gmm(repaired, [*keys, *extra], n, names)
     if path is None:
         return points
     rounded = points.select(*keys, *extra, "comp", "sample", *[F.round(c, 4).alias(c) for c in names])
-    rounded.repartition(*keys).write.mode("overwrite").partitionBy(keys[0]).parquet(path)
+    # one folder per tile without a file per task and tile; hot tiles are split
+    rounded.hint("rebalance", keys[0]).write.mode("overwrite").partitionBy(keys[0]).parquet(path)
     return df.sparkSession.read.schema(rounded.schema).parquet(path)

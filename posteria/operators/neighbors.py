@@ -115,8 +115,8 @@ def _search(train: DataFrame, routed: DataFrame, k: int, p: float, payload: str
     count = lambda df, n: df.groupBy("_group", "_cell").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int").alias(n)
     )
-    # at most PIVOTS rows per group
-    sizes = stage(count(train, "t_blocks").join(count(routed, "q_blocks"), ["_group", "_cell"]), "blocks")
+    # at most one row per pivot and group
+    sizes = count(train, "t_blocks").join(count(routed, "q_blocks"), ["_group", "_cell"])
     t = _blocks(train, sizes, "t", "q", "_key")
     q = _blocks(routed, sizes, "q", "t", "_qkey")
     fields = "_group string, _qkey long, _key long, _d double" + (", _y array<double>" if payload else "")
@@ -157,6 +157,14 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
+def _named(near: DataFrame, by: str | None, payload: Sequence[str]) -> DataFrame:
+    named = near.select(
+        "_group", F.col("_qkey").alias("query"), "rank", F.col("_key").alias("neighbour"),
+        F.col("_d").alias("distance"), *([F.col("_y").alias("payload")] if payload else []),
+    )
+    return named.withColumnRenamed("_group", by) if by else named.drop("_group")
+
+
 def knn(
     train: DataFrame, query: DataFrame, train_key: str, query_key: str, feats: Sequence[str], k: int = 5,
     p: float = 2.0, by: str | None = None, payload: Sequence[str] = (), skip_self: bool = False,
@@ -183,19 +191,22 @@ def knn(
     if pivots is None:
         largest = t.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         pivots = min(max(2 * largest // block, 1), MAX_PIVOTS)
+    pay = "_y" if payload else None
+    q = spread(q, "_qkey")
+    if pivots == 1:
+        # every group fits one block: nothing to prune
+        one = F.lit(0).alias("_cell")
+        near = _best(_search(t.select("*", one), q.select("*", one), k, p, pay, block), k)
+        return _named(near, by, payload)
+
     centres = _pivot_map(t, pivots)
-    if not centres:
-        raise ValueError("the training table is empty")
     t = stage(_assign(t, centres, p), "cells")
-    q = spread(q, "_qkey")
     cells = {g: (np.zeros(len(c), int), np.zeros(len(c))) for g, c in centres.items()}
     for r in t.groupBy("_group", "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_r").alias("r")).collect():
         cells[r["_group"]][0][r["_cell"]], cells[r["_group"]][1][r["_cell"]] = r["n"], r["r"]
-
     held = k + 1 if skip_self else k
-    pay = "_y" if payload else None
     near = _best(_search(t, _route(q, centres, cells, held, p, True), k, p, pay, block), k)
-    if exact and any((sizes > 0).sum() > 1 for sizes, _ in cells.values()):
+    if exact:
         near = stage(near, "near")
         # the k-th distance so far; fewer than k found means nothing is ruled out
         reach = near.groupBy("_group", "_qkey").agg(
@@ -204,11 +215,7 @@ def knn(
         bounded = q.join(reach, ["_group", "_qkey"], "left").na.fill(float("inf"), ["_bound"])
         rest = _search(t, _route(bounded, centres, cells, held, p, False), k, p, pay, block)
         near = _best(near.drop("rank").unionByName(rest), k)
-    named = near.select(
-        "_group", F.col("_qkey").alias("query"), "rank", F.col("_key").alias("neighbour"),
-        F.col("_d").alias("distance"), *([F.col("_y").alias("payload")] if payload else []),
-    )
-    return named.withColumnRenamed("_group", by) if by else named.drop("_group")
+    return _named(near, by, payload)
 
 
 def knn_predict(

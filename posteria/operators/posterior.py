@@ -44,10 +44,14 @@ def draw_mean(clipped: DataFrame, targets: Sequence[str]) -> DataFrame:
 
 def draw_correlation(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Pearson correlation of every target pair over the unclipped draws."""
-    return df.select(
-        "*",
+    have = df.columns
+    c = lambda t: F.col(f"_c_{t}")
+    centred = df.select("*", *[arrays.centred(F.col(_draws(t))).alias(f"_c_{t}") for t in targets])
+    normed = centred.select("*", *[F.sqrt(arrays.dot(c(t), c(t))).alias(f"_l_{t}") for t in targets])
+    return normed.select(
+        *have,
         *[
-            arrays.correlation(F.col(_draws(a)), F.col(_draws(b))).alias(f"{a}_{b}_corr")
+            F.try_divide(arrays.dot(c(a), c(b)), F.col(f"_l_{a}") * F.col(f"_l_{b}")).alias(f"{a}_{b}_corr")
             for a, b in combinations(targets, 2)
         ],
     )
@@ -66,9 +70,22 @@ def posterior_summary(
     df: DataFrame, keep: Sequence[str], targets: Sequence[str], sigma: float = 6.0, max_rounds: int = 10
 ) -> DataFrame:
     """``keep`` columns plus mean, MAD sigma, correlations and percentiles."""
-    out = clip_draws(df, targets, sigma, max_rounds)
-    out = draw_mean(draw_mad_std(out, targets), targets)
-    out = draw_percentiles(draw_correlation(out, targets), targets)
+    states = df.select(
+        *keep,
+        *[_draws(t) for t in targets],
+        *[arrays.clip_state(F.col(_draws(t)), sigma, max_rounds).alias(f"_s_{t}") for t in targets],
+    )
+    # a settled clip already knows the MAD sigma of what it left
+    spread = lambda t: F.when(F.col(f"_s_{t}")["done"], F.col(f"_s_{t}")["s"]).otherwise(
+        arrays.mad_std(F.col(f"_s_{t}")["v"])
+    )
+    clipped = states.select(
+        *keep,
+        *[_draws(t) for t in targets],
+        *[F.col(f"_s_{t}")["v"].alias(f"{t}_clipped") for t in targets],
+        *[spread(t).alias(f"{t}_std") for t in targets],
+    )
+    out = draw_percentiles(draw_mean(draw_correlation(clipped, targets), targets), targets)
     return out.select(*keep, *summary_columns(targets))
 
 
