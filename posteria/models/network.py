@@ -32,7 +32,7 @@ class NetConfig:
     patience: int = 300
     min_delta: float = 1e-6
     valid_fraction: float = 0.3
-    replicas: int = 8
+    replicas: int | None = None  # None: one per core
     local_steps: bool = True
     seed: int = 42
 

@@ -63,20 +63,21 @@ def draws(
 
 def predict_points(df: DataFrame, model: FittedNet, keys: Sequence[str], keep: Sequence[str] = (), prefix: str = "pred_") -> DataFrame:
     """One noise-free prediction per target, ``<prefix><t>``."""
-    keys, keep = list(keys), [c for c in keep if c not in keys]
+    kept = [*keys, *[c for c in keep if c not in keys]]
     names = [f"{prefix}{t}" for t in model.targets]
-    schema = T.StructType([df.schema[c] for c in [*keys, *keep]] + [T.StructField(n, T.DoubleType()) for n in names])
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in names])
     handle = df.sparkSession.sparkContext.broadcast(model.params)
-    cfg, features = model.cfg, model.features
+    cfg = model.cfg
+    packed = F.array(*[F.col(f).cast("double") for f in model.features]).alias("_x")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = network.point_prediction(handle.value, batch[features].to_numpy(float), cfg)
-            yield pd.concat(
-                [batch[[*keys, *keep]], pd.DataFrame(out, columns=names, index=batch.index)], axis=1
-            )
+            if not len(batch):
+                continue
+            out = network.point_prediction(handle.value, np.stack(batch["_x"]), cfg)
+            yield pd.concat([batch[kept], pd.DataFrame(out, columns=names, index=batch.index)], axis=1)
 
-    return spread(df.select(*keys, *keep, *[F.col(f).cast("double").alias(f) for f in features]), *keys).mapInPandas(run, schema)
+    return spread(df.select(*kept, packed), *keys).mapInPandas(run, schema)
 
 
 def cross_validated_predictions(

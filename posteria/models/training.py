@@ -127,7 +127,7 @@ def fit_net(df: DataFrame, keys: Sequence[str], features: Sequence[str], targets
     data = (
         df.select(pack(features).alias("x"), pack(targets).alias("y"), digest.alias("h"))
         .withColumn("held", F.substring("h", 1, 8) < cut)
-        .repartition(cfg.replicas, "h")
+        .repartition(cfg.replicas or spark.sparkContext.defaultParallelism, "h")
         .sortWithinPartitions("h")
         .select("x", "y", "held")
         .persist()

@@ -11,6 +11,7 @@ from posteria.functions.seeded import uniform
 from posteria.operators.neighbors import knn
 from posteria.operators.ranks import hash_cuts
 from posteria.operators.sampling import seeded_order
+from posteria.session import stage
 
 
 def smote(
@@ -42,7 +43,7 @@ def smote(
     )
     hashed = seeded_order(minority, [key], seed, "_hash")
     spare = {c: short[c] % sizes[c] for c in short}
-    cuts = hash_cuts(hashed, [by], "_hash", F.array(per_class(spare)))  # one row per class
+    cuts = stage(hash_cuts(hashed, [by], "_hash", F.array(per_class(spare))), "cuts")  # one row per class
     turns = F.when(F.col("_hash") <= F.get("cuts", F.lit(0)), 1).otherwise(0)
     base = (
         hashed.join(cuts.select(by, "cuts"), [by], "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from posteria.functions.arrays import MAD_TO_SIGMA
 from posteria.functions.scalar import grid_cell, right_closed_bin
-from posteria.operators.quantiles import ONE_PASS_VALUES, group_medians
+from posteria.operators.quantiles import ONE_PASS_VALUES, fits_one_pass, group_medians
 from posteria.operators.ranks import prefix_sums
 from posteria.session import stage
 
@@ -224,11 +224,6 @@ def residual_histogram(df: DataFrame, col: str, low: float, high: float, bins: i
 # --- robust statistics ---------------------------------------------------------------------
 
 
-def _fits(df: DataFrame, by: Sequence[str], most: int) -> bool:
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return (sizes.agg(F.max("n")).first()[0] or 0) <= most
-
-
 def _attach(df: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
     """Add the per-group constants: a join by group, or literals without one."""
     if by:
@@ -240,7 +235,7 @@ def _attach(df: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
 def mad_std(df: DataFrame, col: str, by: Sequence[str] = (), one_pass_values: int = ONE_PASS_VALUES) -> DataFrame:
     """MAD sigma per group: columns (by..., median, mad_std)."""
     rows = df.filter(F.col(col).isNotNull())
-    fits = _fits(rows, list(by), one_pass_values)
+    fits = fits_one_pass(rows, list(by), 1, one_pass_values)
     return _mad(rows, col, list(by), {"bounded": True} if fits else {"one_pass_values": one_pass_values})
 
 
@@ -278,7 +273,7 @@ def sigma_clip_limits(
     """
     by = list(by)
     rows = df.select(*by, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull()).persist()
-    fits = _fits(rows, by, one_pass_values)
+    fits = fits_one_pass(rows, by, 1, one_pass_values)
     loop = _clip_groups if by else _clip_all
     state = loop(rows, by, sigma, max_rounds, spread, one_pass_values, fits)
     rows.unpersist()

@@ -105,7 +105,7 @@ def _route(query: DataFrame, pivots, cells, k: int, p: float, first: bool) -> Da
 def _blocks(df: DataFrame, sizes: DataFrame, own: str, other: str, key: str) -> DataFrame:
     """Give each row its own block of the cell and repeat it for every block of
     the other side. ``sizes`` has one row per (group, cell)."""
-    placed = df.join(F.broadcast(sizes), ["_group", "_cell"])  # pivots x classes rows
+    placed = df.join(sizes, ["_group", "_cell"])
     mine = F.pmod(F.xxhash64(key), F.col(f"{own}_blocks")).cast("int")
     theirs = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
     return placed.withColumn(own, mine).withColumn(other, theirs).drop("t_blocks", "q_blocks")
@@ -115,8 +115,8 @@ def _search(train: DataFrame, routed: DataFrame, k: int, p: float, payload: str
     count = lambda df, n: df.groupBy("_group", "_cell").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int").alias(n)
     )
-    # at most one row per pivot and group
-    sizes = count(train, "t_blocks").join(count(routed, "q_blocks"), ["_group", "_cell"])
+    # one row per pivot and group; staged, so it is broadcast by its known size
+    sizes = stage(count(train, "t_blocks").join(count(routed, "q_blocks"), ["_group", "_cell"]), "blocks")
     t = _blocks(train, sizes, "t", "q", "_key")
     q = _blocks(routed, sizes, "q", "t", "_qkey")
     fields = "_group string, _qkey long, _key long, _d double" + (", _y array<double>" if payload else "")

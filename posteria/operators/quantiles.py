@@ -8,24 +8,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posteria.functions.shape import melt, named
 from posteria.session import stage
 
-# Above this many values in the largest group the one-pass aggregate, which
-# keeps a group's distinct values in one task's memory, is no longer used.
+# Above this many values the one-pass aggregate, which keeps distinct values in
+# a task's memory, is no longer used. A task may hold many groups at once, so
+# grouped data gets a tenth of it per group.
 ONE_PASS_VALUES = 2_000_000
 SKETCH_ACCURACY = 10_000
 GRID = [i / 64 for i in range(65)]
 
 
 def _melt(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols]
-    )
-    return (
-        df.select(*by, F.explode(pairs).alias("_p"))
-        .select(*by, F.col("_p.name").alias("name"), F.col("_p.v").alias("v"))
-        .filter(F.col("v").isNotNull())
-    )
+    return melt(df, by, cols).select(*by, named("place", cols).alias("name"), "v").filter(F.col("v").isNotNull())
 
 
 def _same(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Column:
@@ -33,17 +28,30 @@ def _same(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in on])
 
 
-def _narrow(long: DataFrame, by: list[str], qs: Sequence[float], most: int) -> DataFrame:
+def fits_one_pass(df: DataFrame, by: Sequence[str], width: int = 1, most: int = ONE_PASS_VALUES) -> bool:
+    """Whether the largest group is small enough for the one-pass aggregate."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    return largest * width <= (most // 10 if by else most)
+
+
+def _narrow(
+    df: DataFrame, long: DataFrame, by: list[str], cols: Sequence[str], qs: Sequence[float], most: int
+) -> DataFrame:
     """Per (by, name, q): size, the closed value range that is known to hold
     both order statistics, and how many values lie below it."""
     edge = 2.0 / SKETCH_ACCURACY
     marks = [m for q in qs for m in (max(q - edge, 0.0), min(q + edge, 1.0))]
-    sketch = long.groupBy(*by, "name").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("v").alias("mn"),
-        F.max("v").alias("mx"),
-        F.percentile_approx("v", marks, SKETCH_ACCURACY).alias("b"),
-    )
+    def sketched(c: str) -> Column:
+        v = F.col(c).cast("double")
+        return F.struct(
+            F.lit(c).alias("name"), F.count(v).alias("n"), F.min(v).alias("mn"), F.max(v).alias("mx"),
+            F.percentile_approx(v, marks, SKETCH_ACCURACY).alias("b"),
+        )
+
+    # one sketch per column side by side: keys are the groups only
+    wide = df.groupBy(*by).agg(F.array(*[sketched(c) for c in cols]).alias("s"))
+    sketch = wide.select(*by, F.inline("s")).filter(F.col("n") > 0)
     ranges = F.array(
         *[
             F.struct(F.lit(float(q)).alias("q"), F.col("b")[2 * i].alias("lo"), F.col("b")[2 * i + 1].alias("hi"))
@@ -124,11 +132,7 @@ def group_quantiles(
     bound (draws of one object) and skips the size check.
     """
     by = list(by)
-    if not bounded:
-        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        largest = sizes.agg(F.max("_n")).first()[0] or 0
-        bounded = largest * max(len(cols), 1) <= one_pass_values
-    if bounded:
+    if bounded or fits_one_pass(df, by, len(cols), one_pass_values):
         marks = F.array(*[F.lit(float(q)) for q in qs])
         wide = df.groupBy(*by).agg(
             *[F.percentile(F.col(c).cast("double"), marks).alias(f"_q{i}") for i, c in enumerate(cols)]
@@ -144,7 +148,7 @@ def group_quantiles(
 
     long = _melt(df, by, cols)
     on = [*by, "name"]
-    marks = _narrow(long, by, qs, one_pass_values)
+    marks = _narrow(df, long, by, cols, qs, one_pass_values)
     kept = (
         long.join(marks, _same(long, marks, on))
         .filter(F.col("v").between(F.col("lo"), F.col("hi")))

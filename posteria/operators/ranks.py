@@ -116,12 +116,14 @@ def hash_cuts(
         .drop("_c")
     )
     # a place p <= 0 means "nothing": it yields no cut at all
+    # staged, so that the planner knows how small it is and broadcasts it
+    wanted = stage(wanted, "places")
     held = wanted.select(*by, "_bucket").distinct()
     local = Window.partitionBy(*by, "_bucket").orderBy("_h")
     ranked = rows.join(held, [*by, "_bucket"], "left_semi").select(
         *by, "_bucket", "_h", F.row_number().over(local).alias("_r")
     )
-    hits = wanted.join(ranked, [*by, "_bucket"]).filter(
+    hits = ranked.join(wanted, [*by, "_bucket"]).filter(
         F.col("_p") == F.col("_below") + F.col("_r")
     )
     return hits.groupBy(*by, total).agg(

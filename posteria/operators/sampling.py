@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from posteria.functions.seeded import normal, seeded_hash
 from posteria.operators.ranks import hash_cuts, key_ranks
+from posteria.session import stage
 
 
 def take_first(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
@@ -61,7 +62,8 @@ def _with_cuts(df: DataFrame, by: Sequence[str], keys: Sequence[str], seed: int,
     hashed = seeded_order(df, keys, seed, "_hash")
     cuts = hash_cuts(hashed, by, "_hash", positions)
     if by:
-        return hashed.join(cuts, list(by), "left")  # one row per class
+        # one row per class, staged: broadcast by its known size, else a plain join
+        return hashed.join(stage(cuts, "cuts"), list(by), "left")
     found = cuts.first()  # one row: the cuts become literals of a plain projection
     if found is None:
         return hashed.withColumn("_n", F.lit(0)).withColumn("cuts", F.lit(None).cast("array<string>"))

@@ -7,48 +7,44 @@ from collections.abc import Sequence
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from posteria.functions.scalar import grid_cell
+from posteria.functions.shape import melt, named
 from posteria.operators.evaluation import auc
 from posteria.operators.sampling import kfold
 
 
-def _rows(df: DataFrame, cells) -> DataFrame:
-    """One aggregated row -> one row per feature."""
-    return df.select(F.inline(F.array(*cells)))
-
-
 def variance_filter(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows (feature, variance, kept); constant features are not kept."""
-    stats = df.agg(
-        *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)],
-        *[(F.max(c) > F.min(c)).alias(f"d{i}") for i, c in enumerate(cols)],
-    )
-    return _rows(
-        stats,
-        [
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.col(f"v{i}").alias("variance"),
-                F.coalesce(F.col(f"d{i}") & (F.col(f"v{i}") > 0), F.lit(False)).alias("kept"),
-            )
-            for i, c in enumerate(cols)
-        ],
+    stats = melt(df, [], cols).groupBy("place").agg(
+        F.var_pop("v").alias("variance"), (F.max("v") > F.min("v")).alias("varied")
     )
+    kept = F.coalesce(F.col("varied") & (F.col("variance") > 0), F.lit(False))
+    return stats.select(named("place", cols).alias("feature"), "variance", kept.alias("kept"))
 
 
 def f_score(df: DataFrame, feats: Sequence[str], target: str) -> DataFrame:
     """Rows (feature, score): F statistic of a linear regression on each feature."""
-    stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.corr(c, target).alias(f"r{i}") for i, c in enumerate(feats)])
-    score = lambda r: F.try_divide(r * r, 1.0 - r * r) * (F.col("n") - 2)
-    return _rows(
-        stats,
-        [F.struct(F.lit(c).alias("feature"), score(F.col(f"r{i}")).alias("score")) for i, c in enumerate(feats)],
+    stats = melt(df, [F.col(target).alias("y")], feats).groupBy("place").agg(
+        F.count(F.lit(1)).alias("n"), F.corr("v", "y").alias("r")
+    )
+    r = F.col("r")
+    return stats.select(
+        named("place", feats).alias("feature"), (F.try_divide(r * r, 1.0 - r * r) * (F.col("n") - 2)).alias("score")
     )
 
 
+def _limits(df: DataFrame, cols: Sequence[str]) -> tuple[Column, Column]:
+    """Literal arrays with the minimum and maximum of every column."""
+    ends = {
+        r["place"]: (r["lo"], r["hi"])
+        for r in melt(df, [], cols).groupBy("place").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    }
+    pick = lambda side: F.array(*[F.lit(ends.get(i, (None, None))[side]).cast("double") for i in range(len(cols))])
+    return pick(0), pick(1)
+
+
 def mutual_information(df: DataFrame, feats: Sequence[str], target: str, bins: int = 10) -> DataFrame:
     """Rows (feature, score): mutual information in nats on equal-width bins.
 
@@ -58,26 +54,28 @@ def mutual_information(df: DataFrame, feats: Sequence[str], target: str, bins: i
     """
     text = df.schema[target].dataType.typeName() == "string"
     names = [*feats] + ([] if text else [target])
-    ends = df.agg(*[F.min(c).alias(f"lo_{c}") for c in names], *[F.max(c).alias(f"hi_{c}") for c in names]).first()
-    cell = lambda c: (
-        grid_cell(F.col(c), ends[f"lo_{c}"], ends[f"hi_{c}"], bins)
-        if ends[f"lo_{c}"] is not None and ends[f"hi_{c}"] > ends[f"lo_{c}"]
-        else F.when(F.col(c).isNotNull(), F.lit(0))
-    )
-    label = F.col(target) if text else cell(target)
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), cell(c).alias("x")) for c in feats])
+    lows, highs = _limits(df, names)
+
+    def cell(value: Column, place: Column) -> Column:
+        low, high = F.get(lows, place), F.get(highs, place)
+        inside = F.floor((value - low) / (high - low) * F.lit(float(bins)))
+        return F.when(high > low, F.least(inside, F.lit(bins - 1))).when(value.isNotNull(), F.lit(0))
+
+    label = F.col(target) if text else cell(F.col(target).cast("double"), F.lit(len(feats)))
     joint = (
-        df.select(label.alias("y"), F.inline(pairs))
-        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("feature", "x", "y")
+        melt(df.withColumn("_y", label), ["_y"], feats)
+        .withColumn("x", cell(F.col("v"), F.col("place")))
+        .filter(F.col("x").isNotNull() & F.col("_y").isNotNull())
+        .groupBy("place", "x", F.col("_y").alias("y"))
         .agg(F.count(F.lit(1)).cast("double").alias("c"))
     )
     over = lambda *by: F.sum("c").over(Window.partitionBy(*by))
     parts = joint.select(
-        "feature", "c", over("feature").alias("n"), over("feature", "x").alias("cx"), over("feature", "y").alias("cy")
+        "place", "c", over("place").alias("n"), over("place", "x").alias("cx"), over("place", "y").alias("cy")
     )
     term = F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("cx") * F.col("cy")))
-    return parts.groupBy("feature").agg(F.sum(term).alias("score"))
+    scores = parts.groupBy("place").agg(F.sum(term).alias("score"))
+    return scores.select(named("place", feats).alias("feature"), "score")
 
 
 def select_k(scores: DataFrame, n_features: int, k: int | None = None) -> DataFrame:

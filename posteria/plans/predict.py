@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from posteria.models.scoring import draws, predict_points
 from posteria.operators import cleaning, labels, mixture, posterior, scaling
@@ -29,23 +30,30 @@ def score(
     mixtures: bool = False, input_noise: bool = False, spread: FittedNet | None = None,
     external: DataFrame | None = None,
 ) -> DataFrame:
-    """Posterior summary and most probable class of every row, any table size."""
+    """Posterior summary and most probable class of every row, any table size.
+
+    After the optional join everything is row-local: the draws are made once
+    and no object moves between tasks.
+    """
     if external is not None:
         df = enrich(df, external, keys)
     targets = state.model.targets
-    ready = prepare_features(df, state)
-    carried = [*keep, *([] if spread is None else spread.features)]
-    drawn = draws(ready, state.model, keys, n_iter, list(dict.fromkeys(carried)), input_noise)
     kept = [*keys, *[c for c in keep if c not in keys]]
-    out = posterior.posterior_summary(drawn, kept, targets)
+    inputs = {f: f"_in_{f}" for f in (spread.features if spread else [])}
+    ready = prepare_features(df, state).withColumns({a: F.col(f) for f, a in inputs.items()})
+    drawn = draws(ready, state.model, keys, n_iter, [*kept, *inputs.values()], input_noise)
+    plane = []
+    if mixtures:
+        drawn, plane = mixture.rotate_draws(drawn, targets), ["r1_draws", "r2_draws"]
+    out = posterior.posterior_summary(drawn, [*kept, *inputs.values(), *plane], targets)
     if state.classes:
         out = labels.predicted_class(out, [f"{t}_pc50" for t in targets], state.classes)
     if mixtures:
-        fitted = mixture.fit_gmm(mixture.rotate_draws(drawn, targets), list(keys))
-        out = out.join(fitted, list(keys))
+        out = mixture.fit_gmm(out, [c for c in out.columns if c not in plane])
     if spread is not None:
-        sigma = predict_points(ready, spread, keys, prefix="")
-        out = out.join(cleaning.floor_sigma(sigma, spread.targets), list(keys))
+        shown = [c for c in out.columns if c not in inputs.values()]
+        out = predict_points(out.withColumnsRenamed({a: f for f, a in inputs.items()}), spread, keys, shown, prefix="")
+        out = cleaning.floor_sigma(out, spread.targets)
     return out
 
 

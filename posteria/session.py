@@ -47,14 +47,19 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Split too few input partitions over all cores before heavy row work.
+    """Spread a small input over all cores before heavy work per row.
 
-    A no-op at scale, where the scan already has more splits than cores.
+    Small means less than one full file split per core; a bigger table is
+    left alone, its scan already has a task for every core.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    # Catalyst's own size estimate: nothing runs to get it
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores, *keys) if size < cores * split else df
 
 
 _SHIPPED: set[str] = set()

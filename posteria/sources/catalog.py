@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+LIST_FROM = 32  # listed files of one folder from which it is listed whole
+
+
 def scan_catalog(
     spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None, fmt: str | None = None
 ) -> DataFrame:
@@ -41,15 +44,23 @@ def read_manifest(spark: SparkSession, manifest: str) -> list[str]:
 
 
 def existing_only(spark: SparkSession, files: Sequence[str]) -> list[str]:
-    """The listed files that exist, in their order."""
-    jvm = spark.sparkContext._jvm
+    """The listed files that exist, in their order. Folders with many listed
+    files are listed once instead of asking file by file."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
+    folders: dict[str, list[str]] = {}
     for name in files:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        if path.getFileSystem(conf).exists(path):
-            found.append(name)
-    return found
+        folders.setdefault(hadoop.Path(name).getParent().toString(), []).append(name)
+    found = set()
+    for folder, names in folders.items():
+        path = hadoop.Path(folder)
+        system = path.getFileSystem(conf)
+        if len(names) <= LIST_FROM:
+            found |= {n for n in names if system.exists(hadoop.Path(n))}
+        elif system.exists(path):
+            present = {s.getPath().getName() for s in system.listStatus(path)}
+            found |= {n for n in names if hadoop.Path(n).getName() in present}
+    return [n for n in files if n in found]
 
 
 def scan_manifest(
