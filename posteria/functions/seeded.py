@@ -18,19 +18,33 @@ def _text(keys: Column | str | Sequence[Column | str]) -> list[Column]:
     return [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
 
 
+def digest(keys, stream) -> Column:
+    """32 hex digits per key and stream: four independent uniforms."""
+    stream = stream if isinstance(stream, Column) else F.lit(stream)
+    return F.md5(F.concat_ws("|", *_text(keys), stream.cast("string")))
+
+
+def uniform_of(hexed: Column, part: int = 0) -> Column:
+    """Uniform in [0, 1) from the ``part``-th eight digits of a digest."""
+    return F.conv(F.substring(hexed, 8 * part + 1, 8), 16, 10).cast("bigint") / F.lit(TWO_POW_32)
+
+
+def normal_of(hexed: Column, pair: int = 0) -> Column:
+    """Standard normal by Box-Muller from one half of a digest."""
+    radius = F.sqrt(F.lit(-2.0) * F.log(uniform_of(hexed, 2 * pair) + F.lit(HALF_STEP)))
+    return radius * F.cos(F.lit(2.0) * F.pi() * uniform_of(hexed, 2 * pair + 1))
+
+
 def uniform(keys, stream) -> Column:
     """Uniform in [0, 1) from the key and a stream number."""
-    stream = stream if isinstance(stream, Column) else F.lit(stream)
-    digest = F.md5(F.concat_ws("|", *_text(keys), stream.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(TWO_POW_32)
+    return uniform_of(digest(keys, stream))
 
 
-def normal(keys, stream_a, stream_b) -> Column:
-    """Standard normal by Box-Muller from two uniform streams."""
-    radius = F.sqrt(F.lit(-2.0) * F.log(uniform(keys, stream_a) + F.lit(HALF_STEP)))
-    return radius * F.cos(F.lit(2.0) * F.pi() * uniform(keys, stream_b))
+def normal(keys, stream) -> Column:
+    """Standard normal from the key and a stream number."""
+    return normal_of(digest(keys, stream))
 
 
 def seeded_hash(keys, seed: int) -> Column:
     """32 hex digits that order rows reproducibly for one seed."""
-    return F.md5(F.concat_ws("|", *_text(keys), F.lit(str(seed))))
+    return digest(keys, seed)

@@ -13,6 +13,9 @@ from posteria.functions.scalar import grid_cell
 from posteria.operators.quantiles import group_medians
 
 
+BROADCAST_CELLS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Grid:
     x_low: float
@@ -91,8 +94,9 @@ def smooth_grid(cells: DataFrame, value: str, grid: Grid, sigma: float = 2.0, mi
 def sparse_points(df: DataFrame, x: str, y: str, grid: Grid, thresh: int = 10) -> DataFrame:
     """Rows in cells with fewer than ``thresh`` rows; right and top edge excluded."""
     counts = density_2d(df, x, y, grid).filter(F.col("n") < thresh)
-    # at most x_bins * y_bins cells
-    return _cells(df, x, y, grid, closed=False).join(F.broadcast(counts), ["ix", "iy"])
+    if grid.x_bins * grid.y_bins <= BROADCAST_CELLS:
+        counts = F.broadcast(counts)  # never more rows than the grid has cells
+    return _cells(df, x, y, grid, closed=False).join(counts, ["ix", "iy"])
 
 
 def hexbin(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from posteria.functions import simplex
-from posteria.functions.seeded import normal
+from posteria.functions.seeded import digest, normal_of
 from posteria.operators.sampling import select_objects
 from posteria.session import spread, stage
 
@@ -267,7 +267,9 @@ def sample_gmm(df: DataFrame, keys: Sequence[str], n: int = 5000, names: Sequenc
     l11 = F.sqrt("cov_11")
     l21 = F.try_divide(F.col("cov_12"), l11)
     l22 = F.sqrt(F.greatest(F.col("cov_22") - l21 * l21, F.lit(0.0)))
-    drawn = rows.withColumns({"z1": normal(seed, 1, 2), "z2": normal(seed, 3, 4)}).withColumns(
+    drawn = rows.withColumn("_h", digest(seed, "xy")).withColumns(
+        {"z1": normal_of(F.col("_h"), 0), "z2": normal_of(F.col("_h"), 1)}
+    ).withColumns(
         {"x": F.col("mean_1") + l11 * F.col("z1"), "y": F.col("mean_2") + l21 * F.col("z1") + l22 * F.col("z2")}
     )
     p = simplex.from_plane(F.col("x"), F.col("y"))

@@ -23,6 +23,7 @@ from posteria.session import spread, stage
 
 MAX_PIVOTS = 1024  # per group
 BLOCK = 4096  # rows per side in one task
+BROADCAST_NUMBERS = 4_000_000  # a training table up to this size (32 MB) is broadcast
 _CHUNK = 4_000_000  # numbers in one distance block
 
 
@@ -111,6 +112,53 @@ def _blocks(df: DataFrame, sizes: DataFrame, own: str, other: str, key: str) ->
     return placed.withColumn(own, mine).withColumn(other, theirs).drop("t_blocks", "q_blocks")
 
 
+def _fields(payload: str | None) -> str:
+    return "_group string, _qkey long, rank int, _key long, _d double" + (", _y array<double>" if payload else "")
+
+
+def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int, p: float, payload: str | None) -> pd.DataFrame:
+    """The k nearest rows of ``left`` (one group, by key) for each row of ``right``."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({c: [] for c in ["_group", "_qkey", "rank", "_key", "_d"] + (["_y"] if payload else [])})
+    x, y, keys = np.stack(left["_x"]), np.stack(right["_x"]), left["_key"].to_numpy()
+    take = min(k, len(left))
+    rows, dist = [], []
+    for s in _chunks(len(right), x.size):
+        d = _distances(y[s], x, p)
+        d[right["_skip"].to_numpy()[s][:, None] == keys[None]] = np.inf
+        best = np.argsort(d, axis=1, kind="stable")[:, :take]
+        rows.append(best)
+        dist.append(np.take_along_axis(d, best, 1))
+    rows, dist = np.concatenate(rows), np.concatenate(dist)
+    out = pd.DataFrame(
+        {
+            "_group": left["_group"].iloc[0],
+            "_qkey": np.repeat(right["_qkey"].to_numpy(), take),
+            "rank": np.tile(np.arange(1, take + 1), len(right)),
+            "_key": keys[rows.ravel()],
+            "_d": dist.ravel(),
+        }
+    )
+    if payload:
+        out["_y"] = left["_y"].to_numpy()[rows.ravel()]
+    return out[np.isfinite(out["_d"])]
+
+
+def _scan_small(train: DataFrame, query: DataFrame, k: int, p: float, payload: str | None) -> DataFrame:
+    """Training table of measured size on every executor; queries do not move and
+    each one's neighbours are found, ranked, in its own task."""
+    held = train.toPandas().sort_values("_key", kind="stable")
+    handle = query.sparkSession.sparkContext.broadcast(dict(list(held.groupby("_group"))))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for group, part in batch.groupby("_group"):
+                if group in handle.value:
+                    yield _nearest(handle.value[group], part, k, p, payload)
+
+    return query.mapInPandas(scan, _fields(payload))
+
+
 def _search(train: DataFrame, routed: DataFrame, k: int, p: float, payload: str | None, block: int) -> DataFrame:
     count = lambda df, n: df.groupBy("_group", "_cell").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int").alias(n)
@@ -119,37 +167,12 @@ def _search(train: DataFrame, routed: DataFrame, k: int, p: float, payload: str
     sizes = stage(count(train, "t_blocks").join(count(routed, "q_blocks"), ["_group", "_cell"]), "blocks")
     t = _blocks(train, sizes, "t", "q", "_key")
     q = _blocks(routed, sizes, "q", "t", "_qkey")
-    fields = "_group string, _qkey long, _key long, _d double" + (", _y array<double>" if payload else "")
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in ["_group", "_qkey", "_key", "_d"] + (["_y"] if payload else [])})
-        left = left.sort_values("_key", kind="stable")
-        x, y = np.stack(left["_x"]), np.stack(right["_x"])
-        take = min(k, len(left))
-        rows, dist = [], []
-        for s in _chunks(len(right), x.size):
-            d = _distances(y[s], x, p)
-            same = right["_skip"].to_numpy()[s][:, None] == left["_key"].to_numpy()[None]
-            d[same] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :take]
-            rows.append(best)
-            dist.append(np.take_along_axis(d, best, 1))
-        rows, dist = np.concatenate(rows), np.concatenate(dist)
-        out = pd.DataFrame(
-            {
-                "_group": left["_group"].iloc[0],
-                "_qkey": np.repeat(right["_qkey"].to_numpy(), take),
-                "_key": left["_key"].to_numpy()[rows.ravel()],
-                "_d": dist.ravel(),
-            }
-        )
-        if payload:
-            out["_y"] = left["_y"].to_numpy()[rows.ravel()]
-        return out[np.isfinite(out["_d"])]
+        return _nearest(left.sort_values("_key", kind="stable"), right, k, p, payload)
 
     on = ["_group", "_cell", "t", "q"]
-    return t.groupBy(*on).cogroup(q.groupBy(*on)).applyInPandas(nearest, fields)
+    return t.groupBy(*on).cogroup(q.groupBy(*on)).applyInPandas(nearest, _fields(payload))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -188,11 +211,14 @@ def knn(
     # of identical vectors only the k+1 smallest keys can ever be neighbours, so
     # a heap of copies shrinks before it is searched
     t = stage(top_k(spread(t, "_key"), ["_key"], k + 1, ["_group", "_x"]), "rows")
-    if pivots is None:
-        largest = t.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        pivots = min(max(2 * largest // block, 1), MAX_PIVOTS)
+    sizes = t.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+    total, largest = (v or 0 for v in sizes.first())
     pay = "_y" if payload else None
     q = spread(q, "_qkey")
+    if pivots is None:
+        if total * (len(feats) + len(payload) + 1) <= BROADCAST_NUMBERS:
+            return _named(_scan_small(t, q, k, p, pay), by, payload)
+        pivots = min(max(2 * largest // block, 1), MAX_PIVOTS)
     if pivots == 1:
         # every group fits one block: nothing to prune
         one = F.lit(0).alias("_cell")
@@ -214,7 +240,7 @@ def knn(
         )
         bounded = q.join(reach, ["_group", "_qkey"], "left").na.fill(float("inf"), ["_bound"])
         rest = _search(t, _route(bounded, centres, cells, held, p, False), k, p, pay, block)
-        near = _best(near.drop("rank").unionByName(rest), k)
+        near = _best(near.unionByName(rest), k)
     return _named(near, by, payload)
 
 

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posteria.functions.seeded import normal, seeded_hash
-from posteria.operators.ranks import hash_cuts, key_ranks
+from posteria.functions.seeded import normal, seeded_hash, uniform
+from posteria.operators.ranks import hash_cuts, key_ranks, prefix_sums
 from posteria.session import stage
 
 
@@ -120,9 +120,23 @@ def kfold(
     return out
 
 
-def undersample(df: DataFrame, keys: Sequence[str], by: str, seed: int = 42) -> DataFrame:
-    """Every class down to the size of the smallest, whole rows, no replacement."""
+def undersample(
+    df: DataFrame, keys: Sequence[str], by: str, seed: int = 42, replacement: bool = False
+) -> DataFrame:
+    """Every class down to the size of the smallest, whole rows.
+
+    With ``replacement`` each class is drawn that many times at random places
+    of its seeded order, so rows may repeat; ``pick`` numbers the draws.
+    """
     smallest = df.groupBy(by).agg(F.count(F.lit(1)).alias("c")).agg(F.min("c")).first()[0]
+    if replacement:
+        ordered = seeded_order(df, keys, seed, "_hash").select(by, *keys, "_hash", F.lit(1).alias("_one"))
+        ranked = prefix_sums(ordered, [by], ["_hash"], ["_one"]).withColumnRenamed("_one_cum", "_rank")
+        sizes = ranked.groupBy(by).agg(F.max("_rank").alias("_n"))
+        picks = sizes.select(by, "_n", F.explode(F.sequence(F.lit(1), F.lit(int(smallest or 0)))).alias("pick"))
+        spot = F.floor(uniform([by, "pick"], seed) * F.col("_n")) + 1
+        drawn = picks.select(by, "pick", spot.alias("_rank")).join(ranked.select(by, *keys, "_rank"), [by, "_rank"])
+        return df.join(drawn.select(by, *keys, "pick"), [by, *keys])
     if smallest is None:
         return df
     marked = _with_cuts(df, [by], keys, seed, F.array(F.lit(int(smallest))))
@@ -131,7 +145,6 @@ def undersample(df: DataFrame, keys: Sequence[str], by: str, seed: int = 42) ->
 
 def perturb(df: DataFrame, keys: Sequence[str], features: Sequence[str], draw: int, error_suffix: str = "__err") -> DataFrame:
     """One input-noise draw: each feature gets Normal(0, error) noise, seeded by key and draw."""
-    streams = {f: 2 * (draw * len(features) + i) for i, f in enumerate(features)}
-    noise = lambda f: normal(list(keys), streams[f], streams[f] + 1)
-    new = {f: F.col(f) + F.col(f + error_suffix) * noise(f) for f in features}
+    streams = {f: draw * len(features) + i for i, f in enumerate(features)}
+    new = {f: F.col(f) + F.col(f + error_suffix) * normal(list(keys), streams[f]) for f in features}
     return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])

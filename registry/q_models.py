@@ -124,20 +124,17 @@ SQL["f12_repair_psd"] = (
 POINTS = 12
 
 
-def _unit(stream):
-    text = f"concat_ws('|', tile_id::varchar, number::varchar, comp::varchar, i::varchar, '{stream}')"
-    return f"(('0x'||substr(md5({text}),1,8))::bigint/4294967296.0::double)"
-
-
-def _gauss(a, b):
-    return f"sqrt(-2.0::double*ln({_unit(a)} + {2.0**-33!r}::double))*cos(2.0::double*pi()*{_unit(b)})"
+def _gauss(pair):
+    part = lambda j: V._slice("h", 2 * pair + j, "duckdb")
+    return f"sqrt(-2.0::double*ln({part(1)} + {2.0**-33!r}::double))*cos(2.0::double*pi()*{part(2)})"
 
 
 _b = back("x", "y")
 SAMPLED = f"""SELECT tile_id, number, comp::int AS comp, i::int AS sample, {_b[0]} AS p1, {_b[1]} AS p2, {_b[2]} AS p3 FROM
  (SELECT tile_id, number, comp, i, mean_1 + sqrt(cov_11)*z1 AS x,
    mean_2 + cov_12/sqrt(cov_11)*z1 + sqrt(greatest(cov_22 - cov_12/sqrt(cov_11)*cov_12/sqrt(cov_11), 0))*z2 AS y FROM
-  (SELECT *, {_gauss(1, 2)} AS z1, {_gauss(3, 4)} AS z2 FROM (SELECT *, unnest(range(1, 1 + floor({POINTS}.0::double*weight)::bigint)) AS i FROM ({REPAIRED}))))"""
+  (SELECT *, {_gauss(0)} AS z1, {_gauss(1)} AS z2 FROM (SELECT *, md5(concat_ws('|', tile_id::varchar, number::varchar, comp::varchar, i::varchar, 'xy')) AS h
+   FROM (SELECT *, unnest(range(1, 1 + floor({POINTS}.0::double*weight)::bigint)) AS i FROM ({REPAIRED})))))"""
 Q["f13_sample_gmm"] = lambda s, d: rounded(mixture.sample_gmm(mixture.repair_psd(V.v_gmm(s, d)), KEYS, POINTS))
 SQL["f13_sample_gmm"] = f"SELECT tile_id, number, comp, sample, {R('p1')} AS \"P_Galaxy\", {R('p2')} AS \"P_QSO\", {R('p3')} AS \"P_Star\" FROM ({SAMPLED})"
 
@@ -178,10 +175,14 @@ def near_sql(dist, k, where="a.number <> b.number"):
 
 
 Q["g05_knn"] = lambda s, d: rounded(neighbors.knn(
+    V.v_emb(s, d), V.v_emb(s, d), "number", "number", FEATS, 5, skip_self=True))
+# the way for training tables too large to broadcast, with small blocks
+Q["g05_knn_partitioned"] = lambda s, d: rounded(neighbors.knn(
     V.v_emb(s, d), V.v_emb(s, d), "number", "number", FEATS, 5, skip_self=True, block=128, pivots=6))
 SQL["g05_knn"] = (
     f"WITH e AS MATERIALIZED ({EMB}) SELECT query, row_number() OVER (PARTITION BY query ORDER BY distance, neighbour)::int AS rank, "
     f"neighbour, {R('distance')} AS distance FROM ({near_sql(ED, 5)})")
+SQL["g05_knn_partitioned"] = SQL["g05_knn"]
 Q["g05_knn_predict"] = lambda s, d: rounded(neighbors.knn_predict(
     V.v_emb(s, d), V.v_emb(s, d), "number", "number", FEATS, ["f62", "f63"], 7, skip_self=True))
 SQL["g05_knn_predict"] = (

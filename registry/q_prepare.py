@@ -340,21 +340,31 @@ SQL["d05_undersample"] = (
     "<= (SELECT min(c) FROM (SELECT count(*) AS c FROM o GROUP BY cls))")
 
 
+Q["d05_undersample_replacement"] = lambda s, d: sampling.undersample(
+    V.v_obj(s, d, ["number", "cls"]), ["number"], "cls", replacement=True)
+SQL["d05_undersample_replacement"] = f"""
+WITH o AS (SELECT number, cls, row_number() OVER (PARTITION BY cls ORDER BY h) AS r, count(*) OVER (PARTITION BY cls) AS n FROM ({ORDERED})),
+p AS (SELECT cls, n, unnest(range(1, 1 + (SELECT min(n) FROM o))) AS pick FROM (SELECT DISTINCT cls, n FROM o)),
+q AS (SELECT cls, pick, floor({V._slice("md5(cls || '|' || pick::varchar || '|42')", 1, 'duckdb')} * n) + 1 AS r FROM p)
+SELECT o.number, o.cls, pick::int AS pick FROM q JOIN o USING (cls, r)"""
+
+
 def d08(s, d):
     df = V.v_obj(s, d, ["number", "pmra_g", "pmde_g", "e_pmra_g", "e_pmde_g"]).withColumnsRenamed(
         {"e_pmra_g": "pmra_g__err", "e_pmde_g": "pmde_g__err"})
     return rounded(sampling.perturb(df, ["number"], ["pmra_g", "pmde_g"], draw=2).select("number", "pmra_g", "pmde_g"))
 
 
-def _normal_sql(a, b):
-    return (f"sqrt(-2.0::double*ln({V.u('number', a, 'duckdb')}+{2.0**-33!r}::double))"
-            f"*cos(2.0::double*pi()*{V.u('number', b, 'duckdb')})")
+def _normal_sql(stream):
+    digest = f"md5(number::varchar || '|{stream}')"
+    return (f"sqrt(-2.0::double*ln({V._slice(digest, 1, 'duckdb')}+{2.0**-33!r}::double))"
+            f"*cos(2.0::double*pi()*{V._slice(digest, 2, 'duckdb')})")
 
 
 Q["d08_perturb"] = d08
 SQL["d08_perturb"] = (
-    f"SELECT number, {R(f'pmra_g + e_pmra_g*{_normal_sql(8, 9)}')} AS pmra_g, "
-    f"{R(f'pmde_g + e_pmde_g*{_normal_sql(10, 11)}')} AS pmde_g FROM ({OBJ})")
+    f"SELECT number, {R(f'pmra_g + e_pmra_g*{_normal_sql(4)}')} AS pmra_g, "
+    f"{R(f'pmde_g + e_pmde_g*{_normal_sql(5)}')} AS pmde_g FROM ({OBJ})")
 
 # --- H: running sums, top-k, set operations ------------------------------------------------
 Q["h01_running_total"] = lambda s, d: ranks.running_total(

@@ -98,32 +98,41 @@ def _slice(digest: str, j: int, dialect: str) -> str:
     return f"(('0x'||{part})::bigint/4294967296.0::double)"
 
 
+_PRIME = 2147483647
+
+
+def _mixed(n: str) -> str:
+    """Integer hash by modular squares, the same text in both dialects."""
+    x = f"(({n}) * 48271 + 11) % {_PRIME}"
+    x = f"({x}) * ({x}) % {_PRIME} + {n}"
+    return f"(({x}) % {_PRIME}) * 16807 % {_PRIME}"
+
+
 def draw_sql() -> str:
     """Long table (number, draw, o1, p1, p2, p3) in DuckDB; every object."""
     w = [
-        f"-ln({_slice('h', j, 'duckdb')} + {2.0**-33!r}::double)"
+        f"-ln(u{j} / {_PRIME}.0::double + {2.0**-33!r}::double)"
         f"*(case when number % 3 + 1 = {j} then 3.0::double else 1.0::double end) AS w{j}"
         for j in (1, 2, 3)
     ]
+    us = ", ".join(f"{_mixed(f'(event_id * {3 * DRAWS} + draw * 3 + {j})')} AS u{j}" for j in (1, 2, 3))
     return (
         "SELECT number, draw, case when (number + draw) % 97 = 0 then 25.0::double else w1/(w1+w2+w3) end AS o1, "
         "w1/(w1+w2+w3) AS p1, w2/(w1+w2+w3) AS p2, w3/(w1+w2+w3) AS p3 FROM "
-        f"(SELECT number, draw, {', '.join(w)} FROM (SELECT event_id AS number, draw, "
-        f"md5(event_id::varchar||'|draw|'||draw::varchar) AS h FROM events, range(0,{DRAWS}) t(draw)))"
+        f"(SELECT number, draw, {', '.join(w)} FROM (SELECT event_id AS number, draw, {us} FROM events, range(0,{DRAWS}) t(draw)))"
     )
 
 
 def v_draws(spark, sf, targets=("o1", "p1", "p2", "p3")) -> DataFrame:
     """One row per object, one array of draws per target (``<t>_draws``)."""
     w = ", ".join(
-        f"-ln({_slice('h', j, 'spark')} + {2.0**-33!r}D)"
-        f"*(case when number % 3 + 1 = {j} then 3D else 1D end)"
+        f"-ln({_mixed(f'(event_id * {3 * DRAWS} + d * 3 + {j})')} / {_PRIME}D + {2.0**-33!r}D)"
+        f"*(case when event_id % 3 + 1 = {j} then 3D else 1D end)"
         for j in (1, 2, 3)
     )
     base = spread(table(spark, sf, "events").select("event_id"), "event_id").selectExpr(
-        "event_id AS number",
-        f"transform(sequence(0, {DRAWS - 1}), d -> md5(concat(cast(event_id as string),'|draw|',cast(d as string)))) AS digests",
-    ).selectExpr("number", f"transform(digests, h -> array({w})) AS w")
+        "event_id AS number", "event_id", f"transform(sequence(0, {DRAWS - 1}), d -> array({w})) AS w"
+    )
     value = {
         f"p{j}": f"transform(w, x -> x[{j - 1}]/(x[0]+x[1]+x[2]))" for j in (1, 2, 3)
     }
