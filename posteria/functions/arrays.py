@@ -53,44 +53,31 @@ def mad_std(ordered: Column, centre: Column | None = None) -> Column:
     return let(median(ordered) if centre is None else centre, spread)
 
 
-def clip_state(values: Column, sigma: float = 6.0, max_rounds: int = 10) -> Column:
-    """Struct of the ascending values ``v`` left after dropping, round by round,
-    what is further than ``sigma`` MAD sigmas from the median; ``m`` and ``s``
-    are the median and MAD sigma of the last round and describe ``v`` itself
-    once ``done``."""
-    nothing = F.lit(None).cast("double")
-    start = F.struct(
-        F.sort_array(values).alias("v"), nothing.alias("m"), nothing.alias("s"), F.lit(False).alias("done")
-    )
+def sigma_clip(values: Column, sigma: float = 6.0, max_rounds: int = 10) -> Column:
+    """Ascending values left after dropping, round by round, what is further
+    than ``sigma`` MAD sigmas from the median, to a fixpoint or ``max_rounds``."""
+    start = F.struct(F.sort_array(values).alias("v"), F.lit(False).alias("done"))
 
     def cut(state: Column) -> Column:
         def keep(m: Column) -> Column:
-            def within(s: Column) -> Column:
-                left = F.filter(state["v"], lambda x: F.abs(x - m) <= s * float(sigma))
-                return let(
-                    left,
-                    lambda v: F.struct(
-                        v.alias("v"), m.alias("m"), s.alias("s"),
-                        (F.size(v) == F.size(state["v"])).alias("done"),
-                    ),
-                )
-
-            return let(mad_std(state["v"], m), within)
+            return let(
+                mad_std(state["v"], m) * float(sigma),
+                lambda s: F.filter(state["v"], lambda x: F.abs(x - m) <= s),
+            )
 
-        return let(median(state["v"]), keep)
+        return let(
+            let(median(state["v"]), keep),
+            lambda v: F.struct(v.alias("v"), (F.size(v) == F.size(state["v"])).alias("done")),
+        )
 
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(max_rounds)),
         start,
         lambda state, _: F.when(state["done"], state).otherwise(cut(state)),
+        lambda state: state["v"],
     )
 
 
-def sigma_clip(values: Column, sigma: float = 6.0, max_rounds: int = 10) -> Column:
-    """Ascending values left after clipping to a fixpoint or ``max_rounds``."""
-    return clip_state(values, sigma, max_rounds)["v"]
-
-
 def centred(values: Column) -> Column:
     return let(mean(values), lambda m: F.transform(values, lambda x: x - m))
 

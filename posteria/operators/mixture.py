@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from posteria.functions import simplex
+from posteria.functions import blocks, simplex
 from posteria.functions.seeded import digest, normal_of
 from posteria.operators.sampling import select_objects
 from posteria.session import spread, stage
@@ -113,7 +113,7 @@ def _fit_block(x: np.ndarray, y: np.ndarray, max_iter: int, tol: float) -> np.nd
 
 def fit_gmm(df: DataFrame, keep: Sequence[str], max_iter: int = 100, tol: float = 1e-3, block: int = 256) -> DataFrame:
     """Fit every object's mixture to ``r1_draws``, ``r2_draws`` (equally long
-    arrays). Objects are independent rows: no shuffle, a block at a time.
+    in an object). Objects are independent rows: no shuffle, a block at a time.
 
     The start splits the draws by rank along the first axis; components come
     out by falling weight.
@@ -123,16 +123,17 @@ def fit_gmm(df: DataFrame, keep: Sequence[str], max_iter: int = 100, tol: float
         [df.schema[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n in names]
     )
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), block):
-                part = batch.iloc[at : at + block]
-                x, y = np.stack(part["r1_draws"]), np.stack(part["r2_draws"])
-                fitted = pd.DataFrame(_fit_block(x, y, max_iter, tol), columns=names, index=part.index)
-                yield pd.concat([part[list(keep)], fitted], axis=1)
-
-    rows = df.select(*keep, "r1_draws", "r2_draws")
-    return rows.mapInPandas(fit, schema)
+            for length, part in blocks.equal_length_parts(batch, "r1_draws", block):
+                if length:
+                    x, y = blocks.matrix(part, "r1_draws"), blocks.matrix(part, "r2_draws")
+                    fitted = _fit_block(x, y, max_iter, tol)
+                else:
+                    fitted = np.full((part.num_rows, len(names)), np.nan)
+                yield blocks.with_columns(part, list(keep), dict(zip(names, fitted.T)))
+
+    return df.select(*keep, "r1_draws", "r2_draws").mapInArrow(fit, schema)
 
 
 def _expected(draws: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,13 +3,16 @@ target ``t``; every operator here is a projection, so objects never shuffle."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from posteria.functions import arrays
+from posteria.functions import arrays, blocks
 
 # The percentiles reported for every target.
 PERCENTILES = {"pc02": 0.02275, "pc16": 0.15865, "pc50": 0.50, "pc84": 0.84135, "pc98": 0.97725}
@@ -47,7 +50,11 @@ def draw_correlation(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     have = df.columns
     c = lambda t: F.col(f"_c_{t}")
     centred = df.select("*", *[arrays.centred(F.col(_draws(t))).alias(f"_c_{t}") for t in targets])
-    normed = centred.select("*", *[F.sqrt(arrays.dot(c(t), c(t))).alias(f"_l_{t}") for t in targets])
+    # rounding must not give constant draws a length
+    length = lambda t: F.when(
+        F.array_max(_draws(t)) > F.array_min(_draws(t)), F.sqrt(arrays.dot(c(t), c(t)))
+    )
+    normed = centred.select("*", *[length(t).alias(f"_l_{t}") for t in targets])
     return normed.select(
         *have,
         *[
@@ -67,26 +74,45 @@ def summary_columns(targets: Sequence[str]) -> list[str]:
 
 
 def posterior_summary(
-    df: DataFrame, keep: Sequence[str], targets: Sequence[str], sigma: float = 6.0, max_rounds: int = 10
+    df: DataFrame, keep: Sequence[str], targets: Sequence[str], sigma: float = 6.0, max_rounds: int = 10,
+    block: int = 4096,
 ) -> DataFrame:
-    """``keep`` columns plus mean, MAD sigma, correlations and percentiles."""
-    states = df.select(
-        *keep,
-        *[_draws(t) for t in targets],
-        *[arrays.clip_state(F.col(_draws(t)), sigma, max_rounds).alias(f"_s_{t}") for t in targets],
-    )
-    # a settled clip already knows the MAD sigma of what it left
-    spread = lambda t: F.when(F.col(f"_s_{t}")["done"], F.col(f"_s_{t}")["s"]).otherwise(
-        arrays.mad_std(F.col(f"_s_{t}")["v"])
-    )
-    clipped = states.select(
-        *keep,
-        *[_draws(t) for t in targets],
-        *[F.col(f"_s_{t}")["v"].alias(f"{t}_clipped") for t in targets],
-        *[spread(t).alias(f"{t}_std") for t in targets],
-    )
-    out = draw_percentiles(draw_mean(draw_correlation(clipped, targets), targets), targets)
-    return out.select(*keep, *summary_columns(targets))
+    """``keep`` columns plus mean, MAD sigma, correlations and percentiles.
+
+    The same numbers as the operators above in one pass over Arrow batches: a
+    draw is sorted once and every statistic reads the sorted rows. The targets
+    of an object must have equally many draws.
+    """
+    keep, targets = list(keep), list(targets)
+    names = summary_columns(targets)
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n in names])
+
+    def summarise(part: pa.RecordBatch) -> dict[str, np.ndarray]:
+        raw = {t: blocks.matrix(part, _draws(t)) for t in targets}
+        out, varied = {}, {}
+        for t, x in raw.items():
+            v = np.sort(x, axis=1)
+            varied[t] = v[:, -1] > v[:, 0]
+            first, size, out[f"{t}_std"] = blocks.clipped_range(v, sigma, max_rounds)
+            out[f"{t}_mean"] = blocks.range_mean(v, first, size)
+            for p, q in PERCENTILES.items():
+                out[f"{t}_{p}"] = blocks.range_quantile(v, first, size, q)
+        centred = {t: x - x.mean(1, keepdims=True) for t, x in raw.items()}
+        dot = lambda a, b: np.einsum("nt,nt->n", centred[a], centred[b])
+        for a, b in combinations(targets, 2):
+            scale = np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))
+            out[f"{a}_{b}_corr"] = np.divide(
+                dot(a, b), scale, out=np.full(len(scale), np.nan), where=varied[a] & varied[b] & (scale > 0)
+            )
+        return {n: out[n] for n in names}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for length, part in blocks.equal_length_parts(batch, _draws(targets[0]), block):
+                nothing = {n: np.full(part.num_rows, np.nan) for n in names}
+                yield blocks.with_columns(part, keep, summarise(part) if length else nothing)
+
+    return df.select(*keep, *[_draws(t) for t in targets]).mapInArrow(run, schema)
 
 
 def observed_spread(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:

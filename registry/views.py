@@ -125,21 +125,25 @@ def draw_sql() -> str:
 
 def v_draws(spark, sf, targets=("o1", "p1", "p2", "p3")) -> DataFrame:
     """One row per object, one array of draws per target (``<t>_draws``)."""
-    w = ", ".join(
-        f"-ln({_mixed(f'(event_id * {3 * DRAWS} + d * 3 + {j})')} / {_PRIME}D + {2.0**-33!r}D)"
-        f"*(case when event_id % 3 + 1 = {j} then 3D else 1D end)"
-        for j in (1, 2, 3)
-    )
-    base = spread(table(spark, sf, "events").select("event_id"), "event_id").selectExpr(
-        "event_id AS number", "event_id", f"transform(sequence(0, {DRAWS - 1}), d -> array({w})) AS w"
+    base = spread(table(spark, sf, "events").select("event_id"), "event_id")
+    spots = [(d, j) for d in range(DRAWS) for j in (1, 2, 3)]
+    mixed = base.selectExpr(
+        "event_id AS number", *[f"{_mixed(f'(event_id * {3 * DRAWS} + {3 * d + j})')} AS u{d}_{j}" for d, j in spots]
     )
-    value = {
-        f"p{j}": f"transform(w, x -> x[{j - 1}]/(x[0]+x[1]+x[2]))" for j in (1, 2, 3)
-    }
-    value["o1"] = (
-        "transform(w, (x, d) -> case when (number + d) % 97 = 0 then 25D else x[0]/(x[0]+x[1]+x[2]) end)"
+    weighed = mixed.selectExpr(
+        "number",
+        *[
+            f"-ln(u{d}_{j} / {_PRIME}D + {2.0**-33!r}D)*(case when number % 3 + 1 = {j} then 3D else 1D end) AS w{d}_{j}"
+            for d, j in spots
+        ],
     )
-    return base.selectExpr("number", *[f"{value[t]} AS {t}_draws" for t in targets])
+
+    def value(t: str, d: int) -> str:
+        share = f"w{d}_{1 if t == 'o1' else t[1]}/(w{d}_1+w{d}_2+w{d}_3)"
+        return f"case when (number + {d}) % 97 = 0 then 25D else {share} end" if t == "o1" else share
+
+    arrays = [f"array({', '.join(value(t, d) for d in range(DRAWS))}) AS {t}_draws" for t in targets]
+    return weighed.selectExpr("number", *arrays)
 
 
 def v_draws_long(spark, sf, targets=("o1", "p1", "p2", "p3")) -> DataFrame:

@@ -128,6 +128,20 @@ def test_identical_draws_have_no_spread_and_no_correlation(spark):
     assert r["a_std"] == 0 and r["a_pc50"] == 0.5 and r["a_b_corr"] is None
 
 
+def test_summary_in_blocks_equals_the_single_operators(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, np.r_[rng.normal(size=20 + i % 3), [60.0] * (i % 2)].tolist()) for i in range(40)]
+    rows = [(i, a, a[::-1]) for i, a in rows] + [(40, None, None), (41, [], []), (42, [0.1] * 9, [0.1] * 9)]
+    df = spark.createDataFrame(rows, "id int, a_draws array<double>, b_draws array<double>")
+    fast = posterior.posterior_summary(df, ["id"], ["a", "b"], block=7).orderBy("id").toPandas()
+    slow = posterior.clip_draws(df, ["a", "b"])
+    slow = posterior.draw_percentiles(posterior.draw_mean(posterior.draw_mad_std(slow, ["a", "b"]), ["a", "b"]), ["a", "b"])
+    slow = posterior.draw_correlation(slow, ["a", "b"]).orderBy("id").toPandas()[list(fast.columns)]
+    assert len(fast) == 43
+    pd.testing.assert_frame_equal(fast, slow, check_dtype=False, atol=1e-12)
+    assert np.isnan(fast.a_b_corr[42]) and np.isnan(fast.a_mean[41])
+
+
 def test_gmm_recovers_planted_mixture(spark):
     rng = np.random.default_rng(0)
     centres, weights = np.array([[-0.4, 0.0], [0.0, 0.1], [0.4, -0.1]]), [0.5, 0.3, 0.2]
