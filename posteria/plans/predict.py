@@ -9,20 +9,24 @@ from pyspark.sql import functions as F
 
 from posteria.models.scoring import draws, predict_points
 from posteria.operators import cleaning, labels, mixture, posterior, scaling
+from posteria.operators.features import attach_errors
 from posteria.operators.joins import enrich
+from posteria.plans.prepare import derive
 from posteria.models.training import FittedNet
 from posteria.sources.sinks import CatalogState
 
 
 def prepare_features(df: DataFrame, state: CatalogState, error_suffix: str = "__err") -> DataFrame:
-    """Apply the fitted cleaning and scaling; missing numbers get the fill value."""
-    features = state.model.features
-    errors = [f + error_suffix for f in features if f + error_suffix in df.columns]
-    out = cleaning.missing_mag_to_null(df, [m for m in state.mags if m in df.columns])
-    out = cleaning.sentinel_to_null(out, features)
-    out = scaling.apply_scaler(out, state.scaler, error_suffix)
-    out = cleaning.clip_unit(out, [*features, *errors])
-    return cleaning.impute(out, features, errors)
+    """Derive, clean and scale as fitted; missing numbers get the fill value."""
+    names = state.model.features
+    out = cleaning.sentinel_to_null(derive(df, state), names)
+    bare = [f for f in names if f + error_suffix not in out.columns]
+    if bare:
+        out = attach_errors(out, bare)
+    errors = [f + error_suffix for f in names]
+    out = scaling.apply_scaler(out, {f: c for f, c in state.scaler.items() if f in names}, error_suffix)
+    out = cleaning.clip_unit(out, [*names, *errors])
+    return cleaning.impute(out, names, errors)
 
 
 def score(
@@ -47,7 +51,8 @@ def score(
         drawn, plane = mixture.rotate_draws(drawn, targets), ["r1_draws", "r2_draws"]
     out = posterior.posterior_summary(drawn, [*kept, *inputs.values(), *plane], targets)
     if state.classes:
-        out = labels.predicted_class(out, [f"{t}_pc50" for t in targets], state.classes)
+        named = state.class_targets or targets
+        out = labels.predicted_class(out, [f"{t}_pc50" for t in named], state.classes)
     if mixtures:
         out = mixture.fit_gmm(out, [c for c in out.columns if c not in plane])
     if spread is not None:

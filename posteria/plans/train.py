@@ -11,19 +11,28 @@ from pyspark.sql import functions as F
 from posteria.models.network import NetConfig
 from posteria.models.training import fit_net
 from posteria.operators import balance, cleaning, features, labels, sampling, scaling, selection
+from posteria.plans.prepare import before_photometry, derive, fluxes_of, folded_names
 from posteria.session import stage
 from posteria.sources.sinks import CatalogState
 
 
 @dataclass(frozen=True)
 class TrainPlan:
-    """What to train on. ``select`` is None, 'anova' or 'rfe'; ``balancing`` is
-    None, 'smote' or 'undersample'."""
+    """What to train on: a class ``label``, numeric ``targets``, or both.
+
+    ``select`` is None, 'anova' or 'rfe'; ``balancing`` is None, 'smote' or
+    'undersample'. Rows without a target are dropped. The last of ``keys``
+    must identify an object.
+    """
 
     keys: tuple[str, ...]
-    label: str
+    label: str | None
     features: tuple[str, ...]
+    targets: tuple[str, ...] = ()
+    target_errors: tuple[str, ...] = ()
     photometry: str | None = None
+    fold_motion: bool = False
+    galactic_latitude: bool = False
     mags: tuple[str, ...] = ()
     classes: tuple[str, ...] = ()
     valid_fraction: float = 0.10
@@ -33,35 +42,48 @@ class TrainPlan:
     seed: int = 42
     net: NetConfig = field(default_factory=NetConfig)
 
+    def __post_init__(self):
+        if not self.label and not self.targets:
+            raise ValueError("a plan needs a label or targets")
+
 
 def prepare_training(df: DataFrame, plan: TrainPlan) -> tuple[DataFrame, CatalogState]:
     """Clean, derive, scale, encode and split. The returned state has no model yet."""
     if plan.classes:
         df = cleaning.filter_class(df, plan.label, plan.classes)
-    df = cleaning.drop_null_targets(df, [plan.label])
-    names, zero = list(plan.features), None
-    df = cleaning.missing_mag_to_null(df, plan.mags)
-    if plan.photometry:
-        fluxes, relative = features.photometry_columns(df.columns, plan.photometry)
-        df = cleaning.sentinel_to_null(df, fluxes)
-        zero = features.fit_flux_zeropoint(df, fluxes).first()["zeropoint"]
-        df = features.log_flux(df, list(zip(fluxes, relative)), zero, errors_are_relative=True)
-        df = df.withColumnsRenamed({r: f"{f}_error" for f, r in zip(fluxes, relative)})
-        names = list(dict.fromkeys([*names, *fluxes]))
-    df = features.attach_errors(cleaning.sentinel_to_null(df, names), names)
-    scaler = scaling.scaler_constants(scaling.fit_scaler(df, names))
+    numeric = [*plan.targets, *plan.target_errors]
+    if numeric:
+        df = cleaning.sentinel_to_null(df, numeric, rule="<")
+    df = cleaning.drop_null_targets(df, [*([plan.label] if plan.label else []), *numeric])
+
+    state = CatalogState(
+        None, {}, mags=list(plan.mags), photometry=plan.photometry, fold_motion=plan.fold_motion,
+        galactic_latitude=plan.galactic_latitude,
+    )
+    raw = before_photometry(df, state)
+    fluxes, _ = fluxes_of(raw, state)
+    if fluxes:
+        state.zeropoint = features.fit_flux_zeropoint(raw, fluxes).first()["zeropoint"]
+    names = folded_names(plan.features, df.columns) if plan.fold_motion else list(plan.features)
+    photo = fluxes or (features.photometry_columns(raw.columns, plan.photometry)[0] if plan.photometry else [])
+    names = list(dict.fromkeys([*names, *(["b"] if plan.galactic_latitude else []), *photo]))
+
+    df = features.attach_errors(cleaning.sentinel_to_null(derive(df, state), names), names)
+    state.scaler = scaling.scaler_constants(scaling.fit_scaler(df, names))
     errors = [f"{n}__err" for n in names]
-    df = cleaning.clip_unit(scaling.apply_scaler(df, scaler), [*names, *errors])
+    df = cleaning.clip_unit(scaling.apply_scaler(df, state.scaler), [*names, *errors])
     df = cleaning.impute(df, names, errors)
-    classes = labels.label_dictionary(df, plan.label)
-    df = labels.encode_labels(df, plan.label, classes)
+    coded = []
+    if plan.label:
+        state.classes = labels.label_dictionary(df, plan.label)
+        state.class_targets = [f"{plan.label}_{c}" for c in state.classes]
+        df = labels.encode_labels(df, plan.label, state.classes)
+        coded = [plan.label, f"{plan.label}_num", *state.class_targets]
     varied = {r["feature"] for r in selection.variance_filter(df, names).filter("kept").collect()}
     names = [n for n in names if n in varied]
-    by = [plan.label] if plan.stratify else []
+    by = [plan.label] if plan.stratify and plan.label else []
     df = sampling.stratified_split(df, plan.keys, by, plan.valid_fraction, plan.seed)
-    targets = [f"{plan.label}_{c}" for c in classes]
-    keep = [*plan.keys, plan.label, f"{plan.label}_num", *targets, *names, *[f"{n}__err" for n in names], "split"]
-    state = CatalogState(None, scaler, zero, classes, list(plan.mags))
+    keep = [*plan.keys, *coded, *numeric, *names, *[f"{n}__err" for n in names], "split"]
     return stage(df.select(*keep), "training"), state
 
 
@@ -72,13 +94,15 @@ def best_features(train: DataFrame, plan: TrainPlan, names: Sequence[str], targe
         chosen = {r["feature"] for r in selection.union_selected(train, names, targets).collect()}
     else:
         table = selection.rfe_cv(
-            train, plan.keys[-1], names, targets[0], step=max(len(names) // 50, 1), least=max(len(names) // 20, 1)
+            train, plan.keys[-1], names, targets[-1], step=max(len(names) // 50, 1), least=max(len(names) // 20, 1)
         )
         chosen = set(table.filter("best").first()["features"])
     return [n for n in names if n in chosen]
 
 
 def balanced(train: DataFrame, plan: TrainPlan, names: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    if not plan.label:
+        return train.withColumn("synthetic", F.lit(0))
     if plan.balancing == "undersample":
         return sampling.undersample(train, plan.keys, plan.label, plan.seed).withColumn("synthetic", F.lit(0))
     if plan.balancing == "smote":
@@ -89,11 +113,10 @@ def balanced(train: DataFrame, plan: TrainPlan, names: Sequence[str], targets: S
 
 def train(df: DataFrame, plan: TrainPlan) -> tuple[CatalogState, DataFrame]:
     """(fitted state, prepared rows with their split). Validation rows never
-    take part in selection, balancing or fitting. The last of ``keys`` must
-    identify an object."""
+    take part in selection, balancing or fitting."""
     prepared, state = prepare_training(df, plan)
-    targets = [f"{plan.label}_{c}" for c in state.classes]
-    names = [c for c in state.scaler if c in prepared.columns]
+    targets = [*plan.targets, *state.class_targets]
+    names = [c.removesuffix("__err") for c in prepared.columns if c.endswith("__err")]
     rows = prepared.filter(F.col("split") == "train")
     names = best_features(rows, plan, names, targets)
     fitted = balanced(rows, plan, names, targets)

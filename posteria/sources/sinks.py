@@ -57,13 +57,22 @@ def export_draws(draws: DataFrame, wanted: DataFrame, keys: Sequence[str], path:
 
 @dataclass
 class CatalogState:
-    """Everything that scoring needs besides the catalog."""
+    """Everything that scoring needs besides the catalog. ``class_targets`` are
+    the targets that stand for ``classes``, all of them if empty."""
 
-    model: FittedNet
+    model: FittedNet | None
     scaler: dict[str, tuple[float, float]]
     zeropoint: float | None = None
     classes: list[str] = field(default_factory=list)
     mags: list[str] = field(default_factory=list)
+    photometry: str | None = None
+    fold_motion: bool = False
+    galactic_latitude: bool = False
+    class_targets: list[str] = field(default_factory=list)
+
+
+# fields that go into the settings row as they are
+_PLAIN = ["scaler", "zeropoint", "classes", "mags", "photometry", "fold_motion", "galactic_latitude", "class_targets"]
 
 
 def save_state(spark: SparkSession, state: CatalogState, path: str) -> None:
@@ -71,7 +80,7 @@ def save_state(spark: SparkSession, state: CatalogState, path: str) -> None:
     m = state.model
     settings = {
         "cfg": m.cfg.as_dict(), "features": m.features, "targets": m.targets, "history": m.history,
-        "scaler": state.scaler, "zeropoint": state.zeropoint, "classes": state.classes, "mags": state.mags,
+        **{name: getattr(state, name) for name in _PLAIN},
     }
     one = spark.createDataFrame([(json.dumps(settings),)], "settings string")
     one.coalesce(1).write.mode("overwrite").text(f"{path}/settings")
@@ -88,5 +97,5 @@ def load_state(spark: SparkSession, path: str) -> CatalogState:
     weights = spark.read.parquet(f"{path}/weights").orderBy("place").collect()  # as large as the model
     params = [np.array(r["numbers"], dtype=float).reshape(r["shape"]) for r in weights]
     model = FittedNet(params, cfg, found["features"], found["targets"], [tuple(h) for h in found["history"]])
-    scaler = {k: tuple(v) for k, v in found["scaler"].items()}
-    return CatalogState(model, scaler, found["zeropoint"], found["classes"], found["mags"])
+    found["scaler"] = {k: tuple(v) for k, v in found["scaler"].items()}
+    return CatalogState(model, **{name: found[name] for name in _PLAIN})

@@ -286,6 +286,39 @@ def test_training_plan_smote_and_anova(spark):
     assert out.count() == n and "comp3_weight" in out.columns and out.filter("CLASS is null").count() == 0
 
 
+def test_scoring_prepares_rows_as_training_did(spark, tmp_path):
+    from registry import views
+
+    df = views.v_obj(spark, "/root/testdata/sf0.001").withColumn("z", F.when(F.col("number") % 5 == 0, -1000.0).otherwise(F.col("mag_err_r")))
+    plan = train.TrainPlan(
+        ("tile_id", "number"), "cls", ("mag_g", "pmra_g", "pmde_g", "e_pmra_g", "e_pmde_g", "pmra_cw", "pmde_cw"), targets=("z",),
+        photometry="flux_aper", fold_motion=True, galactic_latitude=True, mags=("mag_g",), balancing="undersample",
+        net=NetConfig(hidden=(6,), dropout=(0.1,), epochs=2, learning_rate=1e-2, replicas=2))
+    state, prepared = train.train(df, plan)
+    assert {"pm_g", "pm_g_error", "pm_cw", "e_pm_cw", "b", "flux_aper_1", "mag_g"} == set(state.model.features) - {"flux_aper_2", "flux_aper_3"}
+    assert state.model.targets[0] == "z" and len(state.class_targets) == 5
+    assert prepared.filter("z < -999").count() == 0 and prepared.count() == 800
+    sinks.save_state(spark, state, str(tmp_path / "state"))
+    state = sinks.load_state(spark, str(tmp_path / "state"))
+    again = predict.prepare_features(df, state)
+    cols = [*state.model.features, *[f"{f}__err" for f in state.model.features]]
+    left = prepared.select("number", *cols).orderBy("number").toPandas()
+    right = again.filter("number % 5 <> 0").select("number", *cols).orderBy("number").toPandas()
+    pd.testing.assert_frame_equal(left, right, atol=1e-12)
+    out = predict.score(df, state, ["tile_id", "number"], n_iter=5)
+    assert out.count() == 1000 and out.filter("CLASS is null or z_mean is null").count() == 0
+
+
+def test_regression_only_plan(spark):
+    df = planted(spark, 200).withColumn("z", F.col("x") * 0.5)
+    plan = train.TrainPlan(("id",), None, ("x",), targets=("z",), net=NetConfig(hidden=(6,), dropout=(0.0,), input_dropout=0.0, epochs=2, learning_rate=1e-2, replicas=2))
+    state, _ = train.train(df, plan)
+    out = predict.score(df, state, ["id"], n_iter=5)
+    assert out.count() == 200 and "CLASS" not in out.columns
+    with pytest.raises(ValueError):
+        train.TrainPlan(("id",), None, ("x",))
+
+
 def test_manifest_and_pending(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"t{i}.csv").write_text("tile_id,number,x\n" + f"{i},1,0.5\n{i},2,1.5\n")
