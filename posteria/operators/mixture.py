@@ -48,10 +48,13 @@ def rotate_simplex(df: DataFrame, targets: Sequence[str]) -> DataFrame:
 def rotate_draws(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Add ``r1_draws``, ``r2_draws`` from three arrays of draws."""
     _require_three(targets)
-    names = [f"{t}_draws" for t in targets]
-    zipped = F.arrays_zip(*[F.col(n) for n in names])
-    axis = lambda i: F.transform(zipped, lambda z: simplex.to_plane(tuple(z[n] for n in names))[i])
-    return df.select("*", axis(0).alias("r1_draws"), axis(1).alias("r2_draws"))
+    p, q, r = (F.col(f"{t}_draws") for t in targets)
+
+    def axis(row):
+        both = F.zip_with(p, q, lambda x, y: row[0] * x + row[1] * y)
+        return F.zip_with(both, r, lambda s, z: s + row[2] * z)
+
+    return df.select("*", *[axis(row).alias(f"r{i}_draws") for i, row in enumerate(simplex.PLANE, 1)])
 
 
 # --- fit -----------------------------------------------------------------------------

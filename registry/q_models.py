@@ -87,7 +87,7 @@ Q["f09_fit_gmm"] = lambda s, d: mixture.fit_gmm(rotated(s, d), ["number"])
 
 
 def f09_long(s, d):
-    draws = posterior.explode_draws(rotated(s, d), ["number"], ["r1", "r2"])
+    draws = mixture.rotate_simplex(V.v_draws_long(s, d, T3), T3)
     return rounded(mixture.fit_gmm_long(draws, ["number"], 2, stage_every=1))
 
 
