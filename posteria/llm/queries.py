@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posteria.llm import bpe, packing, sharding, urls
+from posteria.llm import bpe, html_main, language, packing, sharding, urls
 from posteria.llm.tables import table
 
 SHARDS = 16
@@ -38,6 +38,18 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def learned_languages(spark: SparkSession, docs: DataFrame) -> language.Profiles:
+    """Profiles from the documents that are not held out."""
+    return language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    judged = language.identify(docs, learned_languages(spark, docs), keep=["doc_id"])
+    return judged.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def toxic_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urls of the pages whose document (the number in the url) is labelled toxic."""
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").cast("long").alias("number")).distinct()
@@ -56,6 +68,13 @@ def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"), path, limit=1024)
 
 
+def op9_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by weights from pages whose document is known."""
+    pages = table(spark, sf_dir, "pages")
+    weights = html_main.fit(html_main.labelled_sample(pages, table(spark, sf_dir, "documents")))
+    return html_main.extract(pages, weights)
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select(
@@ -65,8 +84,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q = {
     "op1_shard": op1_shard,
+    "op2_language": op2_language,
     "op4_filter_urls": op4_filter_urls,
     "op7_count_tokens": op7_count_tokens,
+    "op9_extract_html": op9_extract_html,
     "op10_pack": op10_pack,
 }
 SQL: dict[str, str] = {}
