@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posteria.llm import bpe, html_main, language, packing, sharding, urls
+from posteria.llm import bpe, html_main, language, packing, repeats, sharding, urls
 from posteria.llm.tables import table
 
 SHARDS = 16
@@ -68,6 +68,19 @@ def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"), path, limit=1024)
 
 
+def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings found elsewhere."""
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"), width=200, keep=["doc_id"])
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        n_removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, by weights from pages whose document is known."""
     pages = table(spark, sf_dir, "pages")
@@ -87,6 +100,7 @@ Q = {
     "op2_language": op2_language,
     "op4_filter_urls": op4_filter_urls,
     "op7_count_tokens": op7_count_tokens,
+    "op8_remove_repeats": op8_remove_repeats,
     "op9_extract_html": op9_extract_html,
     "op10_pack": op10_pack,
 }
