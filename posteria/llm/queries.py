@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posteria.llm import bpe, html_main, language, packing, repeats, sharding, urls
+from posteria.llm import bpe, html_main, language, minhash, packing, repeats, sharding, urls
 from posteria.llm.tables import table
 
 SHARDS = 16
@@ -63,6 +63,11 @@ def op4_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, toxic_urls(spark, sf_dir))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose two-word shingles overlap by 0.8 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.count_tokens(table(spark, sf_dir, "documents"), path, limit=1024)
@@ -99,6 +104,7 @@ Q = {
     "op1_shard": op1_shard,
     "op2_language": op2_language,
     "op4_filter_urls": op4_filter_urls,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_count_tokens": op7_count_tokens,
     "op8_remove_repeats": op8_remove_repeats,
     "op9_extract_html": op9_extract_html,
