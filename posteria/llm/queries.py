@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posteria.llm import bpe, html_main, language, minhash, packing, repeats, sharding, urls
+from posteria.llm import bpe, decontaminate, html_main, kmeans_tree, language, minhash, packing, repeats, sharding, urls
 from posteria.llm.tables import table
 
 SHARDS = 16
@@ -50,6 +50,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, up to the edit budget, with the item and its place."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def toxic_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urls of the pages whose document (the number in the url) is labelled toxic."""
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").cast("long").alias("number")).distinct()
@@ -68,6 +73,12 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return kmeans_tree.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.count_tokens(table(spark, sf_dir, "documents"), path, limit=1024)
@@ -103,8 +114,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q = {
     "op1_shard": op1_shard,
     "op2_language": op2_language,
+    "op3_decontaminate": op3_decontaminate,
     "op4_filter_urls": op4_filter_urls,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_nearest": op6_nearest,
     "op7_count_tokens": op7_count_tokens,
     "op8_remove_repeats": op8_remove_repeats,
     "op9_extract_html": op9_extract_html,
