@@ -1,5 +1,73 @@
-"""Documents to training sequences, stage by stage."""
+"""Documents to training sequences: five stages, each a written table that the next one reads."""
 
-STAGES = []
-Q = {}
-SQL = {}
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from posteria.llm import decontaminate, language, minhash, packing, repeats
+from posteria.llm.tables import table
+from posteria.session import stage
+
+LEAST_SCORE = 0.25  # below this a text fits no learned language
+LENGTH = 1024
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned from the labelled ones; the rest (no letters, no fit) goes."""
+    judged = language.identify(docs, language.learn(docs))
+    return judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group of near duplicates (five words, 0.8)."""
+    found = minhash.near_duplicates(docs, words=5, percent=80)
+    gone = found.filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 200-byte strings that occur elsewhere; a document with nothing left goes."""
+    cut = repeats.remove_repeats(docs, width=200, as_text=True)
+    touched = F.size("removed") > 0
+    text = F.when(touched, F.col("kept")).otherwise(F.col("text"))
+    n_chars = F.when(touched, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
+    made = {"text": text, "n_chars": n_chars}
+    left = cut.filter(~touched | (F.trim("kept") != ""))
+    return left.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of binary lengths up to 1024."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), most=LENGTH)
+
+
+STAGES = [
+    ("language", known_language),
+    ("near_duplicates", one_of_each),
+    ("repeats", no_repeats),
+    ("benchmark", no_benchmark),
+    ("packing", packed),
+]
+#: Edit distances, fingerprints and tokenizers are beyond SQL; the stages are tested one by one against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stage(docs, name)
+    return docs
+
+
+Q = {"pipeline": run}
+SQL: dict[str, str] = {}

@@ -170,6 +170,38 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, most_words: int)
         yield held
 
 
+def without_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    share: float = SHARE,
+    least_words: int = LEAST_WORDS,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    most_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no benchmark item; judged as in ``contaminated``.
+
+    Rows are filtered where they are, whatever their ids; null texts stay.
+    """
+    names = docs.columns
+    out = docs.select(*[quoted(c).alias(f"_c{i}") for i, c in enumerate(names)])
+    text = names.index(text_col)
+
+    def clean(index):
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = index.value
+            for batch in slices(batches, f"_c{text}"):
+                yield batch.filter(pa.array([not t or not known.hits(t) for t in batch.column(text).to_pylist()], pa.bool_()))
+
+        return kept
+
+    for block in blocks(benchmark, item_col, item_text_col, most_words):
+        index = docs.sparkSession.sparkContext.broadcast(Index(block, share, least_words))
+        out = out.mapInArrow(clean(index), out.schema)
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,

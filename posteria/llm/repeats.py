@@ -331,6 +331,7 @@ def remove_repeats(
     text_col: str = "text",
     keep: Sequence[str] | None = None,
     runs: int = RUNS,
+    as_text: bool = False,
 ) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default), n_bytes, removed and kept.
 
@@ -339,7 +340,8 @@ def remove_repeats(
     count. ``kept``: the other bytes, in order. Texts are UTF-8 bytes; a null
     text is empty; a text shorter than ``width`` keeps all. Two rows with the
     same text are two documents, even if their ids are equal. Input columns of
-    the three names are replaced. Texts are told apart by a 64-bit hash when
+    the three names are replaced. ``as_text``: ``kept`` is a string, without
+    the characters that a cut has split. Texts are told apart by a 64-bit hash when
     ranges go back to them.
     """
     made = ("n_bytes", "removed", "kept")
@@ -365,11 +367,12 @@ def remove_repeats(
                 edges = [0, *[e for span in spans for e in span], len(value)]
                 sizes.append(len(value))
                 removed.append([{"start": a, "end": b} for a, b in spans])
-                kept.append(b"".join(value[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                rest = b"".join(value[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
             span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
             columns = [batch.column(batch.schema.get_field_index(n)) for n, _ in kinds]
-            columns += [pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(span)), pa.array(kept, pa.binary())]
+            columns += [pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(span)), pa.array(kept, pa.string() if as_text else pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*[n for n, _ in kinds], *made])
 
-    schema = [f"`{n}` {k}" for n, k in kinds] + ["n_bytes long", "removed array<struct<start:long,end:long>>", "kept binary"]
+    schema = [f"`{n}` {k}" for n, k in kinds] + ["n_bytes long", "removed array<struct<start:long,end:long>>", "kept string" if as_text else "kept binary"]
     return joined.mapInArrow(apart, ", ".join(schema)).select(*[quoted(v).alias(c) for c, v in held.items()], *made)
