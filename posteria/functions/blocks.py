@@ -22,7 +22,10 @@ def equal_length_parts(batch: pa.RecordBatch, name: str, rows: int) -> Iterator[
 
 
 def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    """(rows, draws); the arrays of a part are equally long."""
+    """(rows, draws); the arrays of a part must be equally long, null counting as empty."""
+    lengths = pc.fill_null(pc.list_value_length(batch.column(name)), 0)
+    if len(set(lengths.unique().to_pylist())) > 1:
+        raise ValueError(f"objects of one draw count elsewhere have different numbers of draws in {name}")
     values = batch.column(name).flatten().to_numpy(zero_copy_only=False)
     return values.reshape(batch.num_rows, -1).astype(float, copy=False)
 

@@ -14,7 +14,6 @@ from posteria.models import network
 from posteria.models.training import FittedNet, fit_net
 from posteria.operators.posterior import posterior_summary
 from posteria.operators.sampling import kfold
-from posteria.session import spread
 
 
 def draws(
@@ -58,7 +57,7 @@ def draws(
                     out[n] = list(cube[:, :, j])
                 yield out
 
-    return spread(df.select(*columns), *keys).mapInPandas(run, schema)
+    return df.select(*columns).mapInPandas(run, schema)
 
 
 def predict_points(df: DataFrame, model: FittedNet, keys: Sequence[str], keep: Sequence[str] = (), prefix: str = "pred_") -> DataFrame:
@@ -77,7 +76,7 @@ def predict_points(df: DataFrame, model: FittedNet, keys: Sequence[str], keep: S
             out = network.point_prediction(handle.value, np.stack(batch["_x"]), cfg)
             yield pd.concat([batch[kept], pd.DataFrame(out, columns=names, index=batch.index)], axis=1)
 
-    return spread(df.select(*kept, packed), *keys).mapInPandas(run, schema)
+    return df.select(*kept, packed).mapInPandas(run, schema)
 
 
 def cross_validated_predictions(

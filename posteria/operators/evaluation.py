@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from posteria.functions.arrays import MAD_TO_SIGMA
 from posteria.functions.scalar import grid_cell, right_closed_bin
+from posteria.operators.joins import join_groups
 from posteria.operators.quantiles import ONE_PASS_VALUES, fits_one_pass, group_medians
 from posteria.operators.ranks import prefix_sums
 from posteria.session import stage
@@ -118,13 +119,14 @@ def _bin_table(df: DataFrame, low: int, high: int) -> DataFrame:
 
 def failure_rates(df: DataFrame, true_col: str, pred_col: str, mag: str, low: int = 17, high: int = 25) -> DataFrame:
     """Per magnitude bin: fails, n, failure percentage, share of the summed
-    percentages and cumulative percentage; empty bins are present."""
+    percentages and cumulative percentage; empty bins are present. A missing
+    prediction is a failure."""
     counts = (
         mag_bin(df, mag, low, high)
         .filter(F.col("mag_bin").isNotNull())
         .groupBy("mag_bin")
         .agg(
-            F.sum((F.col(true_col) != F.col(pred_col)).cast("long")).alias("fails"),
+            F.sum((~F.col(true_col).eqNullSafe(F.col(pred_col))).cast("long")).alias("fails"),
             F.count(F.lit(1)).alias("n"),
         )
     )
@@ -227,7 +229,7 @@ def residual_histogram(df: DataFrame, col: str, low: float, high: float, bins: i
 def _attach(df: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
     """Add the per-group constants: a join by group, or literals without one."""
     if by:
-        return df.join(state, by)
+        return join_groups(df, state, by)
     only = state.first()  # one row
     return df.select("*", *[F.lit(only[c]).cast("double").alias(c) for c in state.columns])
 
@@ -302,13 +304,13 @@ def _clip_groups(rows, by, sigma, max_rounds, spread, most, fits) -> DataFrame:
         kept = rows
         if state is not None:
             inside = F.col("_v").between(F.col("lo"), F.col("hi"))
-            kept = rows.join(state.select(*by, "lo", "hi"), by).filter(inside).select(*by, "_v")
+            kept = join_groups(rows, state.select(*by, "lo", "hi"), by).filter(inside).select(*by, "_v")
         new = _clip_round(kept, by, spread, most, fits)
         low, high = F.col("median") - sigma * F.col("s"), F.col("median") + sigma * F.col("s")
         changed = F.lit(True)
         if state is not None:
             old = state.select(*by, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("n").alias("_n"))
-            new = new.join(old, by)
+            new = join_groups(new, old, by)
             low, high = F.greatest(low, "_lo"), F.least(high, "_hi")
             changed = F.col("n") != F.col("_n")
         new = new.select(*by, "n", "mean", "median", "std", low.alias("lo"), high.alias("hi"), changed.alias("changed"))

@@ -6,7 +6,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def join_groups(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join by group labels, null being a label like any other; ``on`` columns come from ``left``."""
+    if not on:
+        raise ValueError("groups to join by are missing")
+    own = {c: f"_on{i}" for i, c in enumerate(on)}
+    right = right.select(*[F.col(c).alias(n) for c, n in own.items()], *[c for c in right.columns if c not in own])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in own.items()])
+    joined = left.join(right, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*own.values())
 
 
 def enrich(df: DataFrame, external: DataFrame, key_cols: Sequence[str], suffix: str = "_ext") -> DataFrame:

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from posteria.functions.seeded import seeded_hash
+from posteria.operators.joins import join_groups
+from posteria.operators.ranks import key_ranks
 from posteria.operators.sets import top_k
-from posteria.session import spread, stage
+from posteria.session import stage
 
 MAX_PIVOTS = 1024  # per group
 BLOCK = 4096  # rows per side in one task
@@ -180,28 +182,62 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
+def _group_of(by: str | None):
+    """The group as text that is never null, so that a null group stays a group."""
+    return F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")) if by else F.lit("")
+
+
 def _named(near: DataFrame, by: str | None, payload: Sequence[str]) -> DataFrame:
+    label = F.when(F.col("_group") != "", F.substring("_group", 2, 1 << 30)).alias("_group")
     named = near.select(
-        "_group", F.col("_qkey").alias("query"), "rank", F.col("_key").alias("neighbour"),
+        label, F.col("_qkey").alias("query"), "rank", F.col("_key").alias("neighbour"),
         F.col("_d").alias("distance"), *([F.col("_y").alias("payload")] if payload else []),
     )
     return named.withColumnRenamed("_group", by) if by else named.drop("_group")
 
 
+def _key_list(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _knn_composite(
+    train: DataFrame, query: DataFrame, train_key: list[str], query_key: list[str], **how
+) -> DataFrame:
+    """Numbers the keys of both sides in their order, searches by number, puts the keys back as structs."""
+    both = train.select(*train_key).union(query.select(*query_key)).distinct()
+    numbers = stage(key_ranks(both, train_key, train_key).withColumnRenamed("position", "_kn"), "keys")
+    own = numbers.withColumnsRenamed(dict(zip(train_key, query_key)))
+    near = knn(join_groups(train, numbers, train_key), join_groups(query, own, query_key), "_kn", "_kn", **how)
+    columns = near.columns
+    key = F.struct(*train_key)
+    near = near.join(numbers.select(F.col("_kn").alias("query"), key.alias("_q")), "query")
+    near = near.join(numbers.select(F.col("_kn").alias("neighbour"), key.alias("_n")), "neighbour")
+    back = {"query": F.col("_q").alias("query"), "neighbour": F.col("_n").alias("neighbour")}
+    return near.select(*[back.get(c, F.col(c)) for c in columns])
+
+
 def knn(
-    train: DataFrame, query: DataFrame, train_key: str, query_key: str, feats: Sequence[str], k: int = 5,
+    train: DataFrame, query: DataFrame, train_key: str | Sequence[str], query_key: str | Sequence[str], feats: Sequence[str], k: int = 5,
     p: float = 2.0, by: str | None = None, payload: Sequence[str] = (), skip_self: bool = False,
     pivots: int | None = None, block: int = BLOCK, exact: bool = True,
 ) -> DataFrame:
     """Rows (group, query, rank, neighbour, distance[, payload array]).
 
     Minkowski distance with p >= 1; ties go to the smaller training key. With
-    ``exact=False`` only the cells nearest to the query are searched.
+    ``exact=False`` only the cells nearest to the query are searched. Keys are
+    one whole number or a list of columns; with a list ``query`` and
+    ``neighbour`` are structs of the training key's columns. A training row at
+    an undefined distance (a null or NaN feature) is no neighbour.
     """
+    if not (isinstance(train_key, str) and isinstance(query_key, str)):
+        return _knn_composite(
+            train, query, _key_list(train_key), _key_list(query_key), feats=feats, k=k, p=p, by=by, payload=payload,
+            skip_self=skip_self, pivots=pivots, block=block, exact=exact,
+        )
     if p < 1:
         raise ValueError("p must be at least 1, the search relies on the triangle inequality")
     vector = F.array(*[F.col(c).cast("double") for c in feats]).alias("_x")
-    group = (F.col(by).cast("string") if by else F.lit("")).alias("_group")
+    group = _group_of(by).alias("_group")
     extra = [F.array(*[F.col(c).cast("double") for c in payload]).alias("_y")] if payload else []
     t = train.select(group, F.col(train_key).cast("long").alias("_key"), vector, *extra)
     own = F.col(query_key).cast("long")
@@ -210,11 +246,10 @@ def knn(
 
     # of identical vectors only the k+1 smallest keys can ever be neighbours, so
     # a heap of copies shrinks before it is searched
-    t = stage(top_k(spread(t, "_key"), ["_key"], k + 1, ["_group", "_x"]), "rows")
+    t = stage(top_k(t, ["_key"], k + 1, ["_group", "_x"]), "rows")
     sizes = t.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most"))
     total, largest = (v or 0 for v in sizes.first())
     pay = "_y" if payload else None
-    q = spread(q, "_qkey")
     if pivots is None:
         if total * (len(feats) + len(payload) + 1) <= BROADCAST_NUMBERS:
             return _named(_scan_small(t, q, k, p, pay), by, payload)
@@ -245,7 +280,7 @@ def knn(
 
 
 def knn_predict(
-    train: DataFrame, query: DataFrame, train_key: str, query_key: str, feats: Sequence[str],
+    train: DataFrame, query: DataFrame, train_key: str | Sequence[str], query_key: str | Sequence[str], feats: Sequence[str],
     targets: Sequence[str], k: int = 5, p: float = 2.0, weights: str = "uniform", **how,
 ) -> DataFrame:
     """Mean of the neighbours' targets, plain or weighted by 1/distance (a
@@ -262,7 +297,11 @@ def knn_predict(
     else:
         w = F.lit(1.0)
     found = found.withColumn("w", w)
-    return found.groupBy(F.col("query").alias(query_key)).agg(
+    if isinstance(train_key, str) and isinstance(query_key, str):
+        own = [F.col("query").alias(query_key)]
+    else:
+        own = [F.col("query")[t].alias(q) for t, q in zip(_key_list(train_key), _key_list(query_key))]
+    return found.groupBy(*own).agg(
         *[
             F.try_divide(F.sum(F.col("w") * F.col("payload")[i]), F.sum("w")).alias(f"pred_{t}")
             for i, t in enumerate(targets)

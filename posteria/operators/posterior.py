@@ -89,6 +89,8 @@ def posterior_summary(
 
     def summarise(part: pa.RecordBatch) -> dict[str, np.ndarray]:
         raw = {t: blocks.matrix(part, _draws(t)) for t in targets}
+        if len({x.shape for x in raw.values()}) > 1:
+            raise ValueError(f"targets differ in their numbers of draws: { {t: x.shape[1] for t, x in raw.items()} }")
         out, varied = {}, {}
         for t, x in raw.items():
             v = np.sort(x, axis=1)

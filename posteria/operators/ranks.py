@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posteria.operators.joins import join_groups
 from posteria.session import stage
 
-HASH_PREFIX = 3  # hex digits, 4096 evenly filled buckets
+
+def bucket_digits(rows: int) -> int:
+    """Hex digits of a hash that cut ``rows`` into about as many buckets as a bucket has rows."""
+    return max(1, -(-(max(rows, 1) - 1).bit_length() // 8))
 
 
 def key_ranks(df: DataFrame, order: Sequence[str | Column], keep: Sequence[str]) -> DataFrame:
@@ -81,7 +85,7 @@ def prefix_sums(
     local = placed.select(
         "_part", *columns, *[F.sum(c).over(inside).alias(f"_loc_{c}") for c in sums]
     )
-    return local.join(offsets, ["_part", *by]).select(
+    return join_groups(local, offsets, ["_part", *by]).select(
         *columns,
         *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"{c}_cum") for c in sums],
         *[f"{c}_total" for c in sums],
@@ -98,7 +102,8 @@ def hash_cuts(
     order). Hashes fill their buckets evenly, so only the few buckets that
     hold a wanted place are ever sorted; the table itself is not shuffled.
     """
-    bucket = F.substring(hash_col, 1, HASH_PREFIX)
+    # both the table of buckets and a bucket grow with the root of the table
+    bucket = F.substring(hash_col, 1, bucket_digits(df.count()))
     rows = df.select(*by, F.col(hash_col).alias("_h"), bucket.alias("_bucket"))
     counts = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,10 +125,10 @@ def hash_cuts(
     wanted = stage(wanted, "places")
     held = wanted.select(*by, "_bucket").distinct()
     local = Window.partitionBy(*by, "_bucket").orderBy("_h")
-    ranked = rows.join(held, [*by, "_bucket"], "left_semi").select(
+    ranked = join_groups(rows, held, [*by, "_bucket"], "left_semi").select(
         *by, "_bucket", "_h", F.row_number().over(local).alias("_r")
     )
-    hits = ranked.join(wanted, [*by, "_bucket"]).filter(
+    hits = join_groups(ranked, wanted, [*by, "_bucket"]).filter(
         F.col("_p") == F.col("_below") + F.col("_r")
     )
     return hits.groupBy(*by, total).agg(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posteria.functions.seeded import normal, seeded_hash, uniform
+from posteria.operators.joins import join_groups
 from posteria.operators.ranks import hash_cuts, key_ranks, prefix_sums
 from posteria.session import stage
 
@@ -18,25 +19,30 @@ def take_first(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 
 def systematic_sample(df: DataFrame, order: Sequence[str], each: int, skip: int = 0) -> DataFrame:
-    """Rows i of the order with ``(i + skip) % each == 0``."""
-    keys = list(order)
-    kept = key_ranks(df, keys, keys).filter(F.pmod(F.col("position") + skip, F.lit(each)) == 0)
-    return df.join(kept.drop("position"), keys, "left_semi")
+    """Rows i of the order with ``(i + skip) % each == 0``; ties take the places they get, each one row."""
+    ranked = key_ranks(df, list(order), df.columns)
+    return ranked.filter(F.pmod(F.col("position") + skip, F.lit(each)) == 0).select(*df.columns)
 
 
 def select_positions(df: DataFrame, order: Sequence[str], positions: Sequence[int]) -> DataFrame:
-    """Rows at the given 0-based positions of the order."""
-    keys = list(order)
-    wanted = df.sparkSession.createDataFrame([(int(p),) for p in sorted(set(positions))], "position long")
-    hits = key_ranks(df, keys, keys).join(F.broadcast(wanted), "position")
-    return df.join(F.broadcast(hits), keys)  # as many rows as positions asked for
+    """Rows at the given 0-based positions of the order, one for each request.
+
+    Adds ``position`` and ``request``, the place of the position in the list:
+    a repeated position gives its row again, and sorting by ``request`` gives
+    the rows as they were asked for.
+    """
+    asked = [(int(p), i) for i, p in enumerate(positions)]
+    wanted = df.sparkSession.createDataFrame(asked, "position long, request long")
+    ranked = key_ranks(df, list(order), df.columns)
+    return ranked.join(wanted, "position").select(*df.columns, "position", "request")
 
 
 def evenly_spaced(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """n positions from the first to the last row, evenly spaced, truncated."""
     total = df.count()
     if total == 0 or n < 1:
-        return df.withColumn("position", F.lit(None).cast("long")).limit(0)
+        nothing = F.lit(None).cast("long")
+        return df.select("*", nothing.alias("position"), nothing.alias("request")).limit(0)
     step = (total - 1) / (n - 1) if n > 1 else 0.0
     spots = [int(i * step) for i in range(n - 1)] + [total - 1] if n > 1 else [0]
     return select_positions(df, order, spots)
@@ -63,7 +69,7 @@ def _with_cuts(df: DataFrame, by: Sequence[str], keys: Sequence[str], seed: int,
     cuts = hash_cuts(hashed, by, "_hash", positions)
     if by:
         # one row per class, staged: broadcast by its known size, else a plain join
-        return hashed.join(stage(cuts, "cuts"), list(by), "left")
+        return join_groups(hashed, stage(cuts, "cuts"), list(by), "left")
     found = cuts.first()  # one row: the cuts become literals of a plain projection
     if found is None:
         return hashed.withColumn("_n", F.lit(0)).withColumn("cuts", F.lit(None).cast("array<string>"))
@@ -80,7 +86,7 @@ def train_valid_split(df: DataFrame, keys: Sequence[str], fraction: float = 0.10
 def stratified_split(
     df: DataFrame, keys: Sequence[str], by: str | Sequence[str], fraction: float = 0.10, seed: int = 42
 ) -> DataFrame:
-    """Per-class holdout; classes with fewer than two members are dropped."""
+    """Per-class holdout; classes with fewer than two members are dropped. Null is a class."""
     by = [by] if isinstance(by, str) else list(by)
     held = F.array(F.ceil(F.col("_n") * F.lit(fraction)))
     marked = _with_cuts(df, by, keys, seed, held)
@@ -132,11 +138,16 @@ def undersample(
     if replacement:
         ordered = seeded_order(df, keys, seed, "_hash").select(by, *keys, "_hash", F.lit(1).alias("_one"))
         ranked = prefix_sums(ordered, [by], ["_hash"], ["_one"]).withColumnRenamed("_one_cum", "_rank")
-        sizes = ranked.groupBy(by).agg(F.max("_rank").alias("_n"))
-        picks = sizes.select(by, "_n", F.explode(F.sequence(F.lit(1), F.lit(int(smallest or 0)))).alias("pick"))
+        sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+        # draws are numbered by a distributed range; classes, a short list, are added to each number
+        numbers = df.sparkSession.range(1, int(smallest or 0) + 1).withColumnRenamed("id", "pick")
+        classes = [F.struct(F.lit(r[0]).cast(df.schema[by].dataType).alias(by), F.lit(r[1]).alias("_n")) for r in sizes.collect()]
+        if not classes:
+            return df.withColumn("pick", F.lit(None).cast("long")).limit(0)
+        picks = numbers.select("pick", F.inline(F.array(*classes)))
         spot = F.floor(uniform([by, "pick"], seed) * F.col("_n")) + 1
-        drawn = picks.select(by, "pick", spot.alias("_rank")).join(ranked.select(by, *keys, "_rank"), [by, "_rank"])
-        return df.join(drawn.select(by, *keys, "pick"), [by, *keys])
+        drawn = join_groups(picks.select(by, "pick", spot.alias("_rank")), ranked.select(by, *keys, "_rank"), [by, "_rank"])
+        return join_groups(df, drawn.select(by, *keys, "pick"), [by, *keys])
     if smallest is None:
         return df
     marked = _with_cuts(df, [by], keys, seed, F.array(F.lit(int(smallest))))

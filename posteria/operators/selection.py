@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from posteria.functions.shape import melt, named
 from posteria.operators.evaluation import auc
 from posteria.operators.sampling import kfold
+from posteria.operators.sets import concat
 
 
 def variance_filter(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -97,39 +98,49 @@ def union_selected(df: DataFrame, feats: Sequence[str], targets: Sequence[str],
 
 
 def rfe_cv(
-    df: DataFrame, key: str, feats: Sequence[str], label: str, folds: int = 5, step: int = 1, least: int = 1,
-    trees: int = 32, depth: int = 5, seed: int = 42,
+    df: DataFrame, key: str | Sequence[str], feats: Sequence[str], label: str, folds: int = 5, step: int = 1,
+    least: int = 1, trees: int = 32, depth: int = 5, seed: int = 42,
 ) -> DataFrame:
     """Recursive elimination by forest importance, scored by cross-validated AUC.
 
     ``label`` is 0/1. Rows (n_features, mean_auc, std_auc, features, dropped,
-    best): one per set size. Every fit and score is a Spark job.
+    best): one per set size. Features are eliminated anew on the training rows
+    of every fold, so the rows that score a set had no say in it; ``features``
+    is the set that all rows together leave at that size. Every fit and score
+    is a Spark job.
     """
-    folded = kfold(df.select(key, label, *feats), [key], folds, 1, label, seed).drop("repeat").persist()
-    left, out = list(feats), []
-    while True:
-        assembler = VectorAssembler(inputCols=left, outputCol="_x", handleInvalid="keep")
-        data = assembler.transform(folded)
-        forest = RandomForestClassifier(
-            featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=False
-        )
-        scored = None
-        for f in range(folds):
-            model = forest.fit(data.filter(F.col("fold") != f))
-            part = model.transform(data.filter(F.col("fold") == f)).select(
-                "fold", label, vector_to_array("probability")[1].alias("score")
+    keys = [key] if isinstance(key, str) else list(key)
+    folded = kfold(df.select(*keys, label, *feats), keys, folds, 1, label, seed).drop("repeat").persist()
+
+    def eliminate(rows: DataFrame, held: DataFrame | None):
+        """(features, dropped, scored held-out rows) for falling set sizes."""
+        left = list(feats)
+        while True:
+            assembler = VectorAssembler(inputCols=left, outputCol="_x", handleInvalid="keep")
+            forest = RandomForestClassifier(
+                featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=False
             )
-            scored = part if scored is None else scored.unionByName(part)
+            model = forest.fit(assembler.transform(rows))
+            scored = None
+            if held is not None:
+                score = vector_to_array("probability")[1].alias("score")
+                scored = model.transform(assembler.transform(held)).select("fold", label, score)
+            weights = model.featureImportances.toArray()
+            ranked = [c for _, c in sorted(zip(weights, left), key=lambda t: (t[0], t[1]))]
+            drop = ranked[: max(min(step, len(left) - least), 0)]
+            yield list(left), drop, scored
+            if not drop:
+                return
+            left = [c for c in left if c not in drop]
+
+    paths = [list(eliminate(folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f))) for f in range(folds)]
+    out = []
+    for place, (left, drop, _) in enumerate(eliminate(folded, None)):
+        scored = concat([path[place][2] for path in paths])
         areas = [r["auc"] for r in auc(scored, label, "score", ["fold"]).collect() if r["auc"] is not None]
         mean = sum(areas) / len(areas)
         std = (sum((a - mean) ** 2 for a in areas) / len(areas)) ** 0.5
-        weights = forest.fit(data).featureImportances.toArray()
-        ranked = [c for _, c in sorted(zip(weights, left), key=lambda t: (t[0], t[1]))]
-        drop = ranked[: max(min(step, len(left) - least), 0)]
-        out.append((len(left), float(mean), float(std), list(left), drop))
-        if not drop:
-            break
-        left = [c for c in left if c not in drop]
+        out.append((len(left), float(mean), float(std), left, drop))
     folded.unpersist()
     best = max(out, key=lambda r: (r[1], -r[0]))[0]
     return df.sparkSession.createDataFrame(

@@ -32,5 +32,5 @@ def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distinct rows of ``a`` that are not in ``b``."""
-    return a.join(b, a.columns, "left_anti").distinct()
+    """Distinct rows of ``a`` that are not in ``b``; nulls are equal to nulls."""
+    return a.subtract(b.select(*a.columns))

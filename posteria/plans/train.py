@@ -94,7 +94,7 @@ def best_features(train: DataFrame, plan: TrainPlan, names: Sequence[str], targe
         chosen = {r["feature"] for r in selection.union_selected(train, names, targets).collect()}
     else:
         table = selection.rfe_cv(
-            train, plan.keys[-1], names, targets[-1], step=max(len(names) // 50, 1), least=max(len(names) // 20, 1)
+            train, plan.keys, names, targets[-1], step=max(len(names) // 50, 1), least=max(len(names) // 20, 1)
         )
         chosen = set(table.filter("best").first()["features"])
     return [n for n in names if n in chosen]
@@ -107,7 +107,7 @@ def balanced(train: DataFrame, plan: TrainPlan, names: Sequence[str], targets: S
         return sampling.undersample(train, plan.keys, plan.label, plan.seed).withColumn("synthetic", F.lit(0))
     if plan.balancing == "smote":
         carried = [*targets, *[f"{n}__err" for n in names]]
-        return balance.smote(train, plan.keys[-1], plan.label, names, carried, seed=plan.seed)
+        return balance.smote(train, plan.keys, plan.label, names, carried, seed=plan.seed)
     return train.withColumn("synthetic", F.lit(0))
 
 
@@ -120,5 +120,5 @@ def train(df: DataFrame, plan: TrainPlan) -> tuple[CatalogState, DataFrame]:
     rows = prepared.filter(F.col("split") == "train")
     names = best_features(rows, plan, names, targets)
     fitted = balanced(rows, plan, names, targets)
-    state.model = fit_net(fitted, [plan.keys[-1], "synthetic"], names, targets, plan.net)
+    state.model = fit_net(fitted, [*plan.keys, "synthetic"], names, targets, plan.net)
     return state, prepared

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pathlib
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", context.master) is None:  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="posteria-"))
     return context.getCheckpointDir()
@@ -34,6 +37,34 @@ def staged_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_STAGED: dict[str, list[str]] = {}
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the block go when it ends, so write the result inside."""
+    before = len(_STAGED.get(spark.sparkContext.applicationId, ()))
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the tables that this session has staged, all but the first ``keep``; returns how many.
+
+    Results that still read them must have been written.
+    """
+    held = _STAGED.get(spark.sparkContext.applicationId, [])
+    gone, held[keep:] = held[keep:], []
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in gone:
+        place = path(name)
+        place.getFileSystem(conf).delete(place, True)
+    return len(gone)
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 
@@ -42,26 +73,11 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = staged_path(spark, label)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small input over all cores before heavy work per row.
-
-    Small means less than one full file split per core; a bigger table is
-    left alone, its scan already has a task for every core.
-    """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    # Catalyst's own size estimate: nothing runs to get it
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores, *keys) if size < cores * split else df
-
-
 _SHIPPED: set[str] = set()
 
 

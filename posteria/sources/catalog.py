@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-LIST_FROM = 32  # listed files of one folder from which it is listed whole
-
-
 def scan_catalog(
     spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None, fmt: str | None = None
 ) -> DataFrame:
@@ -44,8 +40,7 @@ def read_manifest(spark: SparkSession, manifest: str) -> list[str]:
 
 
 def existing_only(spark: SparkSession, files: Sequence[str]) -> list[str]:
-    """The listed files that exist, in their order. Folders with many listed
-    files are listed once instead of asking file by file."""
+    """The listed files that exist, in their order: each folder is listed once."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     folders: dict[str, list[str]] = {}
@@ -55,9 +50,7 @@ def existing_only(spark: SparkSession, files: Sequence[str]) -> list[str]:
     for folder, names in folders.items():
         path = hadoop.Path(folder)
         system = path.getFileSystem(conf)
-        if len(names) <= LIST_FROM:
-            found |= {n for n in names if system.exists(hadoop.Path(n))}
-        elif system.exists(path):
+        if system.exists(path):
             present = {s.getPath().getName() for s in system.listStatus(path)}
             found |= {n for n in names if hadoop.Path(n).getName() in present}
     return [n for n in files if n in found]
@@ -66,18 +59,14 @@ def existing_only(spark: SparkSession, files: Sequence[str]) -> list[str]:
 def scan_manifest(
     spark: SparkSession, files: str | Sequence[str], schema: T.StructType | str, fmt: str | None = None
 ) -> DataFrame:
-    """All listed files as one table with the file name in ``file``. Files that
-    do not exist are ignored."""
+    """All listed files as one table with the path of its file in ``file``, which
+    tells files of one name in different folders apart. Files that do not exist
+    are ignored."""
     listed = read_manifest(spark, files) if isinstance(files, str) else list(files)
     present = existing_only(spark, listed)
     if not present:
         return spark.createDataFrame([], schema).withColumn("file", F.lit(None).cast("string"))
-    return scan_catalog(spark, present, schema, fmt).withColumn("file", F.col("_metadata.file_name"))
-
-
-def base_name(path: str) -> str:
-    """File name up to its first dot."""
-    return os.path.basename(path).split(".")[0]
+    return scan_catalog(spark, present, schema, fmt).withColumn("file", F.col("_metadata.file_path"))
 
 
 def pending_only(batch: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -43,7 +43,7 @@ def stream_score(
 
 def scoring_throughput(runs: DataFrame) -> DataFrame:
     """Running seconds per source over a log (run, file, n_sources, seconds),
-    one row per file in the order of the log."""
+    one row per file in the order of the file names."""
     files = runs.groupBy("run", "file").agg(
         F.sum("n_sources").alias("n_sources"), F.sum("seconds").alias("seconds")
     )

@@ -287,10 +287,10 @@ RANKED = f"SELECT *, row_number() OVER (ORDER BY tile_id, number) - 1 AS rn FROM
 Q["a04_systematic_sample"] = lambda s, d: sampling.systematic_sample(V.v_obj(s, d, [*KEYS, "cls"]), KEYS, 7, 3)
 SQL["a04_systematic_sample"] = f"SELECT tile_id, number, cls FROM ({RANKED}) WHERE (rn + 3) % 7 = 0"
 Q["a13_select_positions"] = lambda s, d: sampling.select_positions(
-    V.v_obj(s, d, [*KEYS, "cls"]), KEYS, [0, 5, 17, *range(100, 140)])
+    V.v_obj(s, d, [*KEYS, "cls"]), KEYS, [0, 5, 17, *range(100, 140)]).drop("request")
 SQL["a13_select_positions"] = (
     f"SELECT tile_id, number, cls, rn AS position FROM ({RANKED}) WHERE rn IN (0, 5, 17) OR rn BETWEEN 100 AND 139")
-Q["d07_evenly_spaced"] = lambda s, d: sampling.evenly_spaced(V.v_obj(s, d, [*KEYS, "cls"]), KEYS, 15)
+Q["d07_evenly_spaced"] = lambda s, d: sampling.evenly_spaced(V.v_obj(s, d, [*KEYS, "cls"]), KEYS, 15).drop("request")
 SQL["d07_evenly_spaced"] = (
     f"SELECT tile_id, number, cls, rn AS position FROM ({RANKED}) WHERE rn IN "
     f"(SELECT floor(i * ((SELECT count(*) FROM events) - 1) / 14.0::double)::bigint FROM range(0, 15) t(i))")
@@ -341,7 +341,7 @@ SQL["d05_undersample"] = (
 
 
 Q["d05_undersample_replacement"] = lambda s, d: sampling.undersample(
-    V.v_obj(s, d, ["number", "cls"]), ["number"], "cls", replacement=True)
+    V.v_obj(s, d, ["number", "cls"]), ["number"], "cls", replacement=True).withColumn("pick", F.col("pick").cast("int"))
 SQL["d05_undersample_replacement"] = f"""
 WITH o AS (SELECT number, cls, row_number() OVER (PARTITION BY cls ORDER BY h) AS r, count(*) OVER (PARTITION BY cls) AS n FROM ({ORDERED})),
 p AS (SELECT cls, n, unnest(range(1, 1 + (SELECT min(n) FROM o))) AS pick FROM (SELECT DISTINCT cls, n FROM o)),

@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from posteria.session import spread
-
 DRAWS = 40
 CLASSES = ["click", "error", "purchase", "signup", "view"]
 
@@ -125,7 +123,8 @@ def draw_sql() -> str:
 
 def v_draws(spark, sf, targets=("o1", "p1", "p2", "p3")) -> DataFrame:
     """One row per object, one array of draws per target (``<t>_draws``)."""
-    base = spread(table(spark, sf, "events").select("event_id"), "event_id")
+    # the given table is one small file: its ids are dealt out before each becomes an array of draws
+    base = table(spark, sf, "events").select("event_id").repartition("event_id")
     spots = [(d, j) for d in range(DRAWS) for j in (1, 2, 3)]
     mixed = base.selectExpr(
         "event_id AS number", *[f"{_mixed(f'(event_id * {3 * DRAWS} + {3 * d + j})')} AS u{d}_{j}" for d, j in spots]

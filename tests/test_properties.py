@@ -9,7 +9,7 @@ from posteria.functions import arrays
 from posteria.functions.seeded import normal, uniform
 from posteria.models import network, scoring, training
 from posteria.models.network import NetConfig
-from posteria.operators import balance, evaluation, mixture, neighbors, posterior, quantiles, selection
+from posteria.operators import balance, evaluation, mixture, neighbors, posterior, quantiles, sampling, selection
 from posteria.plans import predict, train
 from posteria.sources import catalog, sinks
 from posteria.streaming.scoring import stream_score
@@ -326,10 +326,15 @@ def test_manifest_and_pending(spark, tmp_path):
     (tmp_path / "list.txt").write_text("\n".join(names) + "\n")
     schema = catalog.schema_from_sample(spark, names[0])
     df = catalog.scan_manifest(spark, str(tmp_path / "list.txt"), schema)
-    assert df.count() == 6 and {r["file"] for r in df.select("file").distinct().collect()} == {"t0.csv", "t1.csv", "t2.csv"}
-    done = spark.createDataFrame([("t1.csv",)], "file string")
+    found = sorted(r["file"] for r in df.select("file").distinct().collect())
+    assert df.count() == 6 and [f.removeprefix("file:") for f in found] == names[:3]
+    done = spark.createDataFrame([(found[1],)], "file string")
     assert catalog.pending_only(df, done, ["file"]).count() == 4
-    assert catalog.base_name(names[0]) == "t0"
+    # a file of the same name in another folder is another file
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "t1.csv").write_text("tile_id,number,x\n9,1,0.5\n")
+    df = catalog.scan_manifest(spark, [names[1], str(tmp_path / "more" / "t1.csv")], schema)
+    assert [r["tile_id"] for r in catalog.pending_only(df, done, ["file"]).collect()] == [9]
     with pytest.raises(ValueError):
         catalog.scan_catalog(spark, names[0])
 
@@ -339,3 +344,58 @@ def test_rfe_finds_the_informative_feature(spark):
     out = selection.rfe_cv(df, "id", ["x", "z", "noise"], "label", folds=2, trees=8).collect()
     assert [r["n_features"] for r in out] == [3, 2, 1]
     assert out[0]["dropped"] == ["noise"] and sum(r["best"] for r in out) == 1
+
+
+def test_positions_repeat_and_keep_their_order(spark):
+    df = spark.range(4).withColumnRenamed("id", "k").repartition(3)
+    rows = sampling.select_positions(df, ["k"], [2, 0, 2]).orderBy("request").collect()
+    assert [r["k"] for r in rows] == [2, 0, 2]
+    assert [r["k"] for r in sampling.evenly_spaced(df, ["k"], 10).orderBy("request").collect()] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3]
+    tied = spark.createDataFrame([(1, i) for i in range(6)], "k long, v long")
+    assert sampling.systematic_sample(tied, ["k"], 3).count() == 2
+    assert sampling.select_positions(tied, ["k"], [1]).count() == 1
+
+
+def test_smote_tells_tiles_apart(spark):
+    # the same numbers in two distant tiles: made points stay inside the cloud of their tile
+    rows = [(t, n, "rare", 100.0 * t + 0.01 * n) for t in (0, 1) for n in range(8)]
+    rows += [(5, n, "many", 50.0 + 0.01 * n) for n in range(40)]
+    df = spark.createDataFrame(rows, "tile long, num long, c string, x double")
+    out = balance.smote(df, ["tile", "num"], "c", ["x"], k=3).collect()
+    made = [r for r in out if r["synthetic"]]
+    assert len(made) == 24 and len({(r["tile"], r["num"], r["synthetic"]) for r in made}) == 24
+    assert all(0 <= r["x"] - 100 * r["tile"] <= 0.08 for r in made)
+    assert len([r for r in out if r["c"] == "rare"]) == 40
+
+
+def test_neighbours_of_a_null_group(spark):
+    df = spark.createDataFrame([(1, None, 0.0), (2, None, 1.0), (3, "", 0.1), (4, "", 5.0)], "k long, g string, x double")
+    out = neighbors.knn(df, df, "k", "k", ["x"], 1, by="g", skip_self=True).collect()
+    assert {(r["query"], r["g"], r["neighbour"]) for r in out} == {(1, None, 2), (2, None, 1), (3, "", 4), (4, "", 3)}
+
+
+def test_summary_rejects_unequal_draw_counts(spark):
+    df = spark.createDataFrame([(1, [1.0] * 4, [5.0, 5.0]), (2, [1.0] * 4, [6.0] * 6)], "k long, a_draws array<double>, b_draws array<double>")
+    with pytest.raises(Exception, match="draws"):
+        posterior.posterior_summary(df, ["k"], ["a", "b"]).collect()
+
+
+def test_staged_tables_can_be_released(spark):
+    import os
+
+    from posteria import session
+
+    with session.scratch(spark):
+        held = session.stage(spark.range(3), "gone")
+        assert held.count() == 3
+        name = "/" + held.inputFiles()[0].removeprefix("file:").lstrip("/")
+        assert os.path.exists(name)
+    assert not os.path.exists(name)
+
+
+def test_plan_with_several_tiles(spark):
+    rows = planted(spark, 300).withColumn("tile", F.col("id") % 3).withColumn("num", F.floor(F.col("id") / 3))
+    left = sampling.stratified_split(rows, ["tile", "num"], "a")
+    assert left.count() == 300
+    folds = selection.rfe_cv(rows.withColumn("label", F.col("a")), ["tile", "num"], ["x", "z"], "label", folds=2, trees=4)
+    assert folds.count() == 2
