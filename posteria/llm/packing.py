@@ -25,6 +25,9 @@ from posteria.llm.tables import pick, slices
 from posteria.llm.words import WORDS, ByWord
 from posteria.session import stage
 
+MOST_BROADCAST = 1 << 20  # rows of three numbers
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
@@ -170,6 +173,10 @@ def pack(
     offsets = offsets.join(F.broadcast(starts), "bucket").select(
         "bucket", "task", (F.col("task_from") + F.col("bucket_from")).alias("first")
     )
+    # a row for each task and length: checked before it is broadcast, so that pieces stay where they are
+    offsets = stage(offsets, "offsets")
+    if offsets.count() <= MOST_BROADCAST:
+        offsets = F.broadcast(offsets)
     return pieces.join(offsets, ["bucket", "task"]).select(
         F.col("id").alias(id_col),
         "start",
