@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posteria.llm import decontaminate, language, minhash, packing, repeats
 from posteria.llm.tables import table
-from posteria.session import stage
+from posteria.session import ship_package, stage
 
 LEAST_SCORE = 0.25  # below this a text fits no learned language
 LENGTH = 1024
 
 
+def shipped(step):
+    """The stage with this package sent to the executors first."""
+
+    @functools.wraps(step)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return step(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@shipped
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned from the labelled ones; the rest (no letters, no fit) goes."""
     judged = language.identify(docs, language.learn(docs))
     return judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+@shipped
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near duplicates (five words, 0.8)."""
     found = minhash.near_duplicates(docs, words=5, percent=80)
@@ -27,6 +42,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@shipped
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 200-byte strings that occur elsewhere; a document with nothing left goes."""
     cut = repeats.remove_repeats(docs, width=200, as_text=True)
@@ -38,11 +54,13 @@ def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
+@shipped
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@shipped
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of binary lengths up to 1024."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), most=LENGTH)

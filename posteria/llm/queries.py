@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posteria.llm import bpe, decontaminate, html_main, kmeans_tree, language, minhash, packing, repeats, sharding, urls
+from posteria.llm import bpe, decontaminate, html_main, kmeans_tree, language, minhash, oracles, packing, repeats, sharding, urls
 from posteria.llm.tables import table
 
 SHARDS = 16
@@ -123,4 +123,10 @@ Q = {
     "op9_extract_html": op9_extract_html,
     "op10_pack": op10_pack,
 }
-SQL: dict[str, str] = {}
+# the others rest on tokenizers, learned models or edit distances; tests hold them against brute force
+SQL = {
+    "op1_shard": oracles.shard_sql(SHARDS, seed=1),
+    "op4_filter_urls": oracles.url_sql(URL_RULES),
+    "op5_near_duplicates": oracles.near_duplicate_sql(2, 80),
+    "op8_remove_repeats": oracles.repeats_sql(200),
+}
