@@ -63,6 +63,29 @@ def clipped_range(v: np.ndarray, sigma: float, max_rounds: int):
     return first, size, spread
 
 
+def clipped_lists(column: pa.Array, sigma: float, max_rounds: int) -> pa.ListArray:
+    """Each array's ascending values that clipping leaves; null stays null, empty empty."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    starts = np.cumsum(lengths) - lengths
+    sizes, found = np.zeros(len(lengths), np.int64), {}
+    for length in np.unique(lengths[lengths > 0]):
+        rows = np.flatnonzero(lengths == length)
+        v = np.sort(values[starts[rows][:, None] + np.arange(length)], axis=1)
+        first, size, _ = clipped_range(v, sigma, max_rounds)
+        sizes[rows], found[int(length)] = size, (rows, v, first, size)
+    ends = np.cumsum(sizes)
+    out = np.empty(int(sizes.sum()))
+    for length, (rows, v, first, size) in found.items():
+        place = np.arange(length)
+        inside = (place >= first[:, None]) & (place < (first + size)[:, None])
+        target = (ends - sizes)[rows][:, None] + place - first[:, None]
+        out[target[inside]] = v[inside]
+    offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+    nulls = pc.is_null(column)
+    return pa.ListArray.from_arrays(offsets, pa.array(out), mask=nulls if pc.any(nulls).as_py() else None)
+
+
 def range_quantile(v: np.ndarray, first: np.ndarray, size: np.ndarray, q: float) -> np.ndarray:
     h = (size - 1) * q
     low = np.floor(h).astype(int)

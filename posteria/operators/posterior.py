@@ -24,10 +24,16 @@ def _draws(t: str) -> str:
 
 def clip_draws(df: DataFrame, targets: Sequence[str], sigma: float = 6.0, max_rounds: int = 10) -> DataFrame:
     """Add ``<t>_clipped``: draws within ``sigma`` MAD sigmas of the median,
-    repeated until nothing changes or ``max_rounds``."""
-    return df.select(
-        "*", *[arrays.sigma_clip(F.col(_draws(t)), sigma, max_rounds).alias(f"{t}_clipped") for t in targets]
-    )
+    repeated until nothing changes or ``max_rounds``; ascending."""
+    made = [T.StructField(f"{t}_clipped", T.ArrayType(T.DoubleType())) for t in targets]
+    schema = T.StructType([*df.schema.fields, *made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [blocks.clipped_lists(batch.column(_draws(t)), sigma, max_rounds) for t in targets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def draw_percentiles(clipped: DataFrame, targets: Sequence[str]) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from posteria.operators.joins import join_groups
 from posteria.session import stage
@@ -63,15 +67,9 @@ def prefix_sums(
     keyed = df.select(
         *columns, *[(F.col(o) if isinstance(o, str) else o).alias(n) for n, o in zip(names, order)]
     )
-    placed = stage(
-        keyed.repartitionByRange(*by, *names)
-        .withColumn("_part", F.spark_partition_id())
-        .sortWithinPartitions(*by, *names),
-        "prefix",
-    )
-    inside = Window.partitionBy("_part", *by).orderBy(*names).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    ranged = keyed.repartitionByRange(*by, *names).sortWithinPartitions(*by, *names).select(*columns)
+    # running sums are taken on the way out of the one shuffle
+    placed = stage(_running(ranged, by, sums), "prefix")
     totals = placed.groupBy("_part", *by).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # a group lies in neighbouring ranges, so this has at most
@@ -82,16 +80,51 @@ def prefix_sums(
         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums],
         *[F.sum(f"_t_{c}").over(Window.partitionBy(*by)).alias(f"{c}_total") for c in sums],
     )
-    local = placed.select(
-        "_part", *columns, *[F.sum(c).over(inside).alias(f"_loc_{c}") for c in sums]
-    )
-    return join_groups(local, offsets, ["_part", *by]).select(
+    return join_groups(placed, stage(offsets, "offsets"), ["_part", *by]).select(
         *columns,
         *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"{c}_cum") for c in sums],
         *[f"{c}_total" for c in sums],
     )
 
 
+def _running(ordered: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """``ordered`` with its partition ``_part`` and ``_loc_<c>``, the running sum of
+    each group's rows in that partition. Groups stand together."""
+    schema = T.StructType(ordered.schema.fields + [T.StructField("_part", T.LongType())])
+    for c in sums:
+        whole = isinstance(ordered.schema[c].dataType, T.IntegralType)
+        schema = schema.add(f"_loc_{c}", T.LongType() if whole else T.DoubleType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last, carried = None, dict.fromkeys(sums, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the number of the group a row is in, counted within the batch; nulls are equal
+            new = np.zeros(batch.num_rows, bool)
+            for c in by:
+                codes = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            first = tuple(batch.column(c)[0].as_py() for c in by)
+            starts = np.concatenate(([0], np.flatnonzero(new)))
+            group = np.cumsum(new)
+            columns = list(batch.columns) + [pa.array(np.full(batch.num_rows, part), pa.int64())]
+            for c in sums:
+                values = batch.column(c).fill_null(0).to_numpy(zero_copy_only=False)
+                running = np.cumsum(values)
+                before = np.concatenate((running[:1] * 0, running))[starts]
+                local = running - before[group]
+                if first == last:
+                    local[group == 0] += carried[c]
+                carried[c] = local[-1]
+                columns.append(pa.array(local))
+            last = tuple(batch.column(c)[-1].as_py() for c in by)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return ordered.mapInArrow(run, schema)
+
+
 def hash_cuts(
     df: DataFrame, by: Sequence[str], hash_col: str, positions: Column, total: str = "_n"
 ) -> DataFrame:

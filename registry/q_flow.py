@@ -169,13 +169,13 @@ SQL["g11_score_fixed_weights"] = (
     f"case when y1 >= y2 then 'a' else 'b' end AS CLASS FROM ({NETY})")
 
 # --- trained models --------------------------------------------------------------------------
-FEATS = [f"f{i}" for i in range(16)]
+FEATS = [f"f{i}" for i in range(64)]
 TARGETS = ["cls_C0", "cls_C1", "cls_C2"]
 TINY = NetConfig(hidden=(24, 12), dropout=(0.1, 0.1), input_dropout=0.05, epochs=4, batch_size=64, learning_rate=5e-3, replicas=4, patience=10)
 
 
 def three_class(s, d):
-    df = V.v_emb(s, d, 16).withColumn("cls", F.expr("concat('C', cast(cast(substr(cls, 2) as int) % 3 as string))"))
+    df = V.v_emb(s, d).withColumn("cls", F.expr("concat('C', cast(cast(substr(cls, 2) as int) % 3 as string))"))
     return labels.encode_labels(df, "cls", ["C0", "C1", "C2"])
 
 
@@ -204,8 +204,9 @@ Q["g07_history"] = lambda s, d: training.fit_dropout_net(
 
 def g04(s, d):
     df = three_class(s, d).withColumn("cls_C0", F.col("cls_C0").cast("double"))
-    models = training.fit_forest(df, FEATS, ["cls_C0", "f0"], n_trees=10, depth=5)
-    return training.predict_forest(df, models, FEATS).select("number", "pred_cls_C0", "pred_f0")
+    others = FEATS[1:]  # f0 is a target
+    models = training.fit_forest(df, others, ["cls_C0", "f0"], n_trees=10, depth=5)
+    return training.predict_forest(df, models, others).select("number", "pred_cls_C0", "pred_f0")
 
 
 Q["g04_fit_forest"] = g04
