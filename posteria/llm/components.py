@@ -11,10 +11,11 @@ from posteria.session import stage
 def _stars(both: DataFrame, larger: bool) -> DataFrame:
     """Tie neighbours of each node u to the least node m among u and them: the larger ones, or the smaller ones and u.
 
-    ``both``: links (u, v); minima combine before the shuffle, and the join
-    back is a plain one, so the planner can split a node of many links.
+    ``both``: links (u, v); minima combine before the shuffle. They are staged,
+    so that the join back is a plain one and a node of many links can be split.
     """
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stage(least, "least")
     tied = both.join(least, "u")
     if larger:
         return tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

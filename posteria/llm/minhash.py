@@ -6,11 +6,13 @@
 2. Classes that share a band key share a bucket. A bucket's first star ties all
    members to one centre, the member with the most bucket mates; only these
    pairs are checked, on full sets.
-3. A star can miss a link between two members that its centre does not link. So
-   members of a bucket that are still in different components get further
-   stars, a few centres at first and eight times as many each round, until
-   every such pair of a bucket has been checked. Pairs inside a component, or
-   whose set sizes rule a link out, are never made.
+3. A star can miss a link between two members that its centre does not link.
+   The check against the centre also counts, in 32 parts of the hash range, how
+   much of a member's set lies inside and outside the centre's. For two members
+   these counts bound their overlap from above. Members left outside their
+   centre's component are compared with the others around the centre by that
+   bound alone, in blocks of bounded size; only pairs that it cannot rule out
+   are made, and checked on full sets like the rest.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posteria.llm.components import components
@@ -30,8 +32,8 @@ from posteria.session import stage
 ROWS = 5
 BANDS = 40  # a pair at 0.8 shares no band with a chance of 1.3e-7
 BINS = ROWS * BANDS
-CENTRES = 64  # of a bucket in the first round after the first star
-GROWTH = 8
+PARTS = 32  # of the hash range, for bounds on overlaps
+BLOCK = 2048  # members around a centre that one task holds
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -178,28 +180,83 @@ def _whole_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "held"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets overlap enough."""
-    for batch in slices(slices(batches, "left"), "right"):
-        good = []
-        for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            both = np.sort(np.concatenate((np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64))), kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            good.append(100 * shared >= percent * (len(both) - shared))
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+def _counts(values: np.ndarray) -> np.ndarray:
+    return np.bincount((values & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.uint32)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a: centre, b: member) that are links. Sets travel once for a member's pair and once for its centre."""
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, is it a link, counts of b's set inside and outside a's by part of the hash range)."""
+    for batch in slices(slices(batches, "left"), "right"):
+        linked, counts = [], []
+        for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+            both = np.sort(np.concatenate((a, b)), kind="stable")
+            shared = both[1:][both[1:] == both[:-1]]
+            linked.append(100 * len(shared) >= percent * (len(both) - len(shared)))
+            inside = _counts(shared)
+            counts.append(np.concatenate((inside, _counts(b) - inside)).tobytes())
+        columns = [*batch.columns[:2], pa.array(linked, pa.bool_()), pa.array(counts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "counts"])
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a: centre, b: member) compared on their full sets."""
     members = pairs.join(sets.select(F.col("id").alias("b"), F.col("held").alias("right")), "b")
     whole = members.join(sets.select(F.col("id").alias("a"), F.col("held").alias("left")), "a")
     id_type = dict(pairs.dtypes)["a"]
-    return whole.select("a", "b", "left", "right").mapInArrow(lambda x: _linked(x, percent), f"a {id_type}, b {id_type}").distinct()
-
-
-def _fits(n: Column, m: Column, percent: int) -> Column:
-    """Can sets of these sizes overlap enough?"""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    kind = f"a {id_type}, b {id_type}, linked boolean, counts binary"
+    return whole.select("a", "b", "left", "right").mapInArrow(lambda x: _compared(x, percent), kind)
+
+
+def _possible(outside: pa.Table, around: pa.Table, percent: int) -> pa.Table:
+    """Pairs of different components around one centre that the counts do not rule out."""
+    column = lambda t, name: t.column(name).to_pylist()
+    counts = lambda t: np.frombuffer(b"".join(column(t, "counts")), np.uint32).reshape(-1, 2 * PARTS)
+    ids: tuple[list, list] = ([], [])
+    if outside.num_rows and around.num_rows:
+        mine, theirs = counts(outside), counts(around)
+        size = theirs.sum(1, dtype=np.int64)
+        # components as numbers, for quick comparison
+        number = {c: i for i, c in enumerate({*column(outside, "component"), *column(around, "component")})}
+        group = np.array([number[c] for c in column(around, "component")])
+        other = column(around, "id")
+        for row, own, component in zip(mine, column(outside, "id"), column(outside, "component")):
+            most = np.minimum(theirs, row).sum(1, dtype=np.int64)
+            fits = 100 * most >= percent * (size + int(row.sum(dtype=np.int64)) - most)
+            for i in np.flatnonzero(fits & (group != number[component])).tolist():
+                ids[0].append(min(own, other[i]))
+                ids[1].append(max(own, other[i]))
+    kind = outside.schema.field("id").type
+    return pa.table({"a": pa.array(ids[0], kind), "b": pa.array(ids[1], kind)})
+
+
+def _missed(checked: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs around the centres that may be links between components."""
+    label = found.select(F.col("node").alias("id"), "component")
+    around = checked.select(F.col("a").alias("centre"), F.col("b").alias("id"), "counts").join(label, "id", "left")
+    around = around.withColumn("component", F.coalesce("component", "id"))
+    middle = label.select(F.col("id").alias("centre"), F.col("component").alias("home"))
+    around = around.join(middle, "centre", "left")
+    around = stage(around.withColumn("outside", F.col("component") != F.coalesce("home", "centre")), "around")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    sizes = around.groupBy("centre").agg(
+        blocks(F.count(F.lit(1))).alias("blocks"), blocks(F.sum(F.col("outside").cast("long"))).alias("chunks")
+    )
+    # centres with someone outside; staged, so that a hot centre can be split in the joins below
+    sizes = stage(sizes.filter("chunks > 0"), "sizes")
+    placed = around.join(sizes, "centre")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    some = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    rows = ["centre", "id", "counts", "component"]
+    left = placed.filter("outside").select(*rows, some("chunks").alias("chunk"), upto("blocks").alias("block"))
+    right = placed.select(*rows, some("blocks").alias("block"), upto("chunks").alias("chunk"))
+    right = right.select(*[F.col(c).alias(f"_{c}") for c in right.columns])  # both sides come from one table
+    cell = ["centre", "chunk", "block"]
+    id_type = dict(checked.dtypes)["a"]
+    pairs = left.groupBy(*cell).cogroup(right.groupBy(*[f"_{c}" for c in cell])).applyInArrow(
+        lambda x, y: _possible(x, y.rename_columns([c.removeprefix("_") for c in y.column_names]), percent), f"a {id_type}, b {id_type}"
+    )
+    return pairs.distinct()
 
 
 def near_duplicates(
@@ -231,45 +288,26 @@ def near_duplicates(
     stands = named.join(classes, same).filter("id = rep")
     keyed = stands.select("id", "n", F.explode("keys").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count_distinct("id").alias("size")).filter("size > 1")
-    members = stage(keyed.join(sizes, "bucket").distinct(), "buckets")
+    # staged, so that a hot bucket can be split in the join
+    members = keyed.join(stage(sizes, "sizes"), "bucket").select("id", "bucket", "size").distinct()
+    members = stage(members, "buckets")
     mates = members.groupBy("id").agg(F.sum("size").alias("mates"))
     wanted = mates.select("id")
     sets = texts.join(wanted.hint("shuffle_hash"), "id").select("id", "text").mapInArrow(
         lambda x: _whole_sets(x, words), f"id {id_type}, held binary"
     )
     sets = stage(sets, "sets")
-    # first star: the centre is the member with the most mates, the least id among equals
-    centre = members.join(mates, "id").groupBy("bucket").agg(F.min(F.struct(-F.col("mates"), "id", "n")).alias("c"))
-    first = members.join(centre.select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("an")), "bucket")
-    first = first.filter((F.col("id") != F.col("a")) & _fits(F.col("n"), F.col("an"), percent))
-    pairs = stage(first.select("a", F.col("id").alias("b")).distinct(), "pairs")
-    tested = pairs
-    links = stage(_confirmed(pairs, sets, percent), "confirmed")
-    most = members.agg(F.max("size")).collect()[0][0] or 0
-    centres = CENTRES
-    while True:
-        found = stage(components(links, "a", "b"), "components")
-        if most < 3:
-            break  # buckets of two have been checked by the first star
-        part = members.filter("size > 2").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
-        part = part.withColumn("component", F.coalesce("component", "id"))
-        # buckets whose members are still in different components
-        apart = part.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-        part = stage(part.join(apart.select("bucket"), "bucket"), "apart")
-        # a share of the members, the same in every bucket, becomes centres
-        share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("size") < F.lit(centres << 20)
-        mid = part.filter(share).select("bucket", F.col("id").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-        met = part.join(mid, "bucket").filter((F.col("ac") != F.col("component")) & _fits(F.col("n"), F.col("an"), percent))
-        fresh = met.select(F.least("a", "id").alias("l"), F.greatest("a", "id").alias("g")).distinct()
-        seen = tested.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("g"))
-        fresh = fresh.join(seen, ["l", "g"], "left_anti").select(F.col("l").alias("a"), F.col("g").alias("b"))
-        pairs = stage(fresh, "pairs")
-        more = stage(_confirmed(pairs, sets, percent), "confirmed")
-        links, tested = links.unionByName(more), tested.unionByName(pairs)
-        if centres >= most:
-            found = stage(components(links, "a", "b"), "components")
-            break
-        centres *= GROWTH
+    # the centre of a bucket is the member with the most mates, the least id among equals
+    centre = members.join(mates, "id").groupBy("bucket").agg(F.min(F.struct(-F.col("mates"), "id")).alias("c"))
+    centre = stage(centre.select("bucket", F.col("c.id").alias("a")), "centres")
+    star = members.join(centre, "bucket").filter(F.col("id") != F.col("a"))
+    star = stage(star.select("a", F.col("id").alias("b")).distinct(), "pairs")
+    checked = stage(_checked(star, sets, percent), "checked")
+    links = checked.filter("linked").select("a", "b")
+    found = stage(components(links, "a", "b"), "components")
+    missed = stage(_missed(checked, found, percent), "pairs")
+    more = stage(_checked(missed, sets, percent).filter("linked").select("a", "b"), "checked")
+    found = stage(components(links.unionByName(more), "a", "b"), "components")
     # from classes back to rows
     label = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     label = label.select(*same, F.coalesce("component", "rep").alias("component"))

@@ -73,10 +73,9 @@ def family(rnd, base, edits):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("centres", [64, 1])  # all at once, and round by round
-def test_components_equal_brute_force(spark, monkeypatch, centres):
-    monkeypatch.setattr(minhash, "CENTRES", centres)
-    monkeypatch.setattr(minhash, "GROWTH", 3)
+@pytest.mark.parametrize("block", [minhash.BLOCK, 3])  # a centre in one cell, and in many
+def test_components_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rnd = random.Random(7)
     texts = []
     for _ in range(6):
@@ -101,6 +100,30 @@ def test_components_equal_brute_force(spark, monkeypatch, centres):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (sizes[i], want[i], want[i] == i)
 
 
+def test_counts_never_rule_out_a_link():
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(4)
+    hub = np.unique(rnd.integers(0, 2**64, 150, dtype=np.uint64))
+    fresh = lambda n: rnd.integers(0, 2**64, n, dtype=np.uint64)
+    pool = [np.unique(np.concatenate((rnd.choice(hub, rnd.integers(90, 151), replace=False), fresh(rnd.integers(0, 40))))) for _ in range(60)]
+    pool += [np.unique(np.concatenate((x[rnd.random(len(x)) < 0.95], fresh(3)))) for x in pool[:30]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0] * 90), pa.array(range(1, 91)), pa.array([hub.tobytes()] * 90, pa.binary()), pa.array([x.tobytes() for x in pool], pa.binary())],
+        names=["a", "b", "left", "right"],
+    )
+    counts = [c for out in minhash._compared([batch], 80) for c in out.column("counts").to_pylist()]
+    rows = pa.table({"id": pa.array(range(90)), "counts": pa.array(counts, pa.binary()), "component": pa.array(range(90))})
+    got = minhash._possible(rows, rows, 80).to_pylist()
+    made = {(r["a"], r["b"]) for r in got}
+    want = set()
+    for i, j in itertools.combinations(range(90), 2):
+        shared = len(np.intersect1d(pool[i], pool[j]))
+        if 100 * shared >= 80 * (len(pool[i]) + len(pool[j]) - shared):
+            want.add((i, j))
+    assert want <= made and len(want) >= 25 and len(made) < 800  # of 4005 pairs
+
+
 def test_null_and_repeated_ids_and_no_rows(spark):
     rows = [(None, "a b c d e f"), (None, None), (4, "a b c d e f"), (4, "q r s t u v"), (9, "q r s t u v"), (11, "zz")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
