@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posteria.llm.tables import pick, quoted, slices
+from posteria.session import stage
 
 UNKNOWN = "und"
 TOP = 300  # n-grams of a profile and of a document
@@ -129,7 +130,6 @@ def learn(
     Texts of the sample are read whole. What comes to the driver is ``TOP``
     n-grams for each language.
     """
-    spark = labelled.sparkSession
     rows = pick(labelled, id=id_col, text=text_col, lang=lang_col).filter("id is not null and lang is not null")
     hashed = F.xxhash64("id")
     picked = (
@@ -138,8 +138,9 @@ def learn(
         .agg(F.min("h").alias("h"))
         .select("lang", "h")
     )
-    # bounded: ``sample`` rows for each language
-    chosen = rows.withColumn("h", hashed).join(F.broadcast(picked), ["lang", "h"], "left_semi").select("lang", "text")
+    # ``sample`` rows for each language; staged, so that the planner knows their size and texts need not move
+    picked = stage(picked, "sample")
+    chosen = rows.withColumn("h", hashed).join(picked, ["lang", "h"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
