@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posteria.llm.tables import quoted
+from posteria.session import stage
 
 LANES = 4  # one bit in each of four 64-bit words: a block is 256 bits
 BITS_PER_KEY = 16
@@ -93,6 +94,7 @@ def listed_rows(df: DataFrame, column: str, listed: DataFrame, listed_column: st
     called ``listed`` is replaced.
     """
     keys = listed.select(quoted(listed_column).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
+    keys = stage(keys, "listed")  # so that a url of many rows can be split in the join
     blocks = blocks_for(keys.count())
     small = F.broadcast(bloom_filter(keys, "_k", blocks))
     names = [c for c in df.columns if c != "listed"]
