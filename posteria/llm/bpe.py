@@ -3,7 +3,7 @@
 A word starts as its bytes. The adjacent pair of lowest rank is merged again
 and again; pairs wait in a heap, symbols hang in a doubly linked list. The
 count is the number of bytes minus the number of merges: no token is ever
-written out. Words repeat, so a worker remembers the counts it has worked out.
+written out. Words repeat, so a task remembers the counts it has worked out.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ _COUNTERS: dict[str, Counter] = {}
 
 
 def _counter(digest: str, shared: Broadcast) -> Counter:
-    """One counter for each worker process, kept from task to task."""
+    """One vocabulary for each worker process, kept from task to task."""
     if digest not in _COUNTERS:
         _COUNTERS.clear()
         _COUNTERS[digest] = Counter(shared.value)
@@ -143,6 +143,7 @@ def count_tokens(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
                 names=["id", "n_bytes", "n_tokens", "over_limit"],
             )
+        counter.plain.forget()
 
     out = rows.mapInArrow(counted, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)

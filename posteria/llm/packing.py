@@ -160,6 +160,7 @@ def pack(
                 ],
                 names=["id", "start", "length", "ids", "doc_tokens", "bucket", "task", "local"],
             )
+        encoder.plain.forget()
 
     kind = f"id {id_type}, start long, length long, ids binary, doc_tokens long, bucket int, task long, local long"
     pieces = stage(rows.mapInArrow(cut, kind), "pieces")

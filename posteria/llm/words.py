@@ -1,4 +1,4 @@
-"""Texts as sums over words, with a bounded memory of the words of each worker.
+"""Texts as sums over words, with a bounded memory of the words of a task.
 
 Vocabularies of byte pairs first cut a text into words and never look across
 their borders. What is true of a text (its token count, its ids) is therefore
@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 
 import regex
 
-MEMO = 400_000  # entries of each of two generations
+MEMO = 300_000  # entries of each of two generations
 LONGEST = 64  # characters of what is remembered
 #: Fixed: how byte-level vocabularies of this kind cut text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -42,6 +42,12 @@ class ByWord:
         self.words = Memo(word)
         self.chunks = Memo(self._chunk)
 
+    def forget(self) -> None:
+        """Give the memory back: a worker lives on after the task, beside other work."""
+        for memo in (self.words, self.chunks):
+            memo.clear()
+            memo.old = {}
+
     def _all(self, text: str):
         return self.join(map(self.words.__getitem__, WORDS.findall(text)))
 
