@@ -36,10 +36,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @shipped
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near duplicates (five words, 0.8)."""
-    found = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = found.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates (five words, 0.8): the least id, nulls last, one row among equals.
+
+    Rows are judged one by one, whatever their ids: a repeated row and a row
+    without an id belong to the group of their text.
+    """
+    row = max(docs.columns, key=len) + "_row"  # longer than any name, so it is none of them
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(rows, words=5, percent=80, id_col=row)
+    named = found.join(rows.select(row, "doc_id"), row)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", row)).alias("best")
+    kept = named.groupBy("component_id").agg(best).select(F.col("best").getField(row).alias(row))
+    # staged: where it is small it is broadcast, and the texts are not shuffled
+    return rows.join(stage(kept, "kept"), row, "left_semi").select(*docs.columns)
 
 
 @shipped

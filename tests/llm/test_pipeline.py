@@ -75,3 +75,17 @@ def test_run_is_all_stages(spark):
     assert corpus_pipeline.run(spark, SF_DIR).count() > 0
     assert set(corpus_pipeline.Q) == {"pipeline"} and len(corpus_pipeline.STAGES) == 5
     assert sorted(int(n[2:].split("_")[0]) for n in queries.Q) == list(range(1, 11))
+
+
+def test_copies_stay_once(spark):
+    long = [" ".join(f"{name}{i}" for i in range(60)) for name in ("ant", "bee", "cat", "dog")]
+    near = long[3].replace("dog30", "other")
+    rows = [(5, long[0]), (5, long[0]), (6, long[1]), (None, long[1]), (None, long[2]), (None, long[2])]
+    rows += [(7, long[3]), (8, near), (8, "a text of its own that shares only its id"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], ", ".join(f"{c} {k}" for c, k in zip(COLUMNS, ["long", "string", "string", "string", "long"])))
+    want = [rows[i] for i in (0, 2, 4, 6, 8, 9)]
+    once = corpus_pipeline.one_of_each(spark, docs, SF_DIR)
+    assert once.columns == COLUMNS
+    assert sorted(((r["doc_id"], r["text"]) for r in once.collect()), key=str) == sorted(want, key=str)
+    after = corpus_pipeline.no_repeats(spark, once, SF_DIR).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in after), key=str) == sorted(want, key=str)
