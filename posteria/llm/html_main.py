@@ -21,10 +21,14 @@ from pyspark.sql import functions as F
 
 from posteria.llm.tables import pick, quoted, slices
 
-#: Comments, elements whose content is not text, tags (with quoted attributes), declarations.
+MUTE = "script|style|noscript|template|title|textarea|iframe|svg|object|canvas"
+#: Comments, elements whose content is not text, tags (with quoted attributes), declarations. A tag of such an element
+#: that ends in "/>" is empty; where one other than svg has an end tag before the next of its name, it is not, as in browsers.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|iframe|svg|object|canvas)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<svg(?:\s++(?:[^\s=>\"'/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+)?+)*+/>"
+    rf"|<({MUTE})(?=[\s>/])(?:[^>]*+(?<!/)>|[^>]*+(?<=/)>(?=(?>.*?<(?=/?\1[\s>/]))/)).*?(?:</\1\s*>|\Z)"
+    rf"|<(?:{MUTE})(?=[\s>/])[^>]*+(?<=/)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>"
     r"|<[!?][^>]*+>",

@@ -76,3 +76,14 @@ def test_no_labelled_page(spark):
     documents = spark.createDataFrame([(1, "other")], "doc_id long, text string")
     assert h.fit(h.labelled_sample(pages, documents)) == h.Weights()
     assert h.fit(h.labelled_sample(pages.limit(0), documents.limit(0))) == h.Weights()
+
+
+@pytest.mark.parametrize("tag", ["<svg/>", "<svg viewBox='0 0 1 1'/>", "<SVG a=b />", '<svg a=0/>', '<svg aria-label="x > y"/>', "<title-bar>Bar</title-bar>",
+                                 '<script src="x.js"/>', "<script src=x/>no words</script>", "<svg/><svg a='b'><text>no</text></svg>", "<svg><text>no</text></svg>",
+                                 "<object data=a/><object>no</object>", "<svg-icon></svg-icon>", '<script src="x"/><script>no</script>'])
+def test_empty_and_longer_named_tags_swallow_nothing(tag):
+    page = f"<html><body>{tag}<article><h1>Big Title</h1><p>rest of the page</p></article></body></html>"
+    words = " ".join(t.text for t in h.tokens(page) if not t.kind).split()
+    assert words == (["Bar"] if "Bar" in tag else []) + "Big Title rest of the page".split()
+    inline = "".join(t.text for t in h.tokens(f"<p>one {tag}two</p>") if not t.kind).split()
+    assert inline[0] == "one" and inline[-1].endswith("two")
