@@ -274,7 +274,8 @@ def near_duplicates(
     of ``words`` words; ``component_id`` is the least id reachable over links
     and ``kept`` tells whether it is the row's own. A text without words, or
     null, has no set and no link. Rows of a null id take no part: their
-    component is null and they are kept. Rows that repeat an id are one node.
+    component is null and they are kept. Rows that repeat an id are one node:
+    they tie the components of all their texts.
     Extra columns are left out.
     """
     texts = pick(docs, id=id_col, text=text_col)
@@ -303,7 +304,14 @@ def near_duplicates(
     star = members.join(centre, "bucket").filter(F.col("id") != F.col("a"))
     star = stage(star.select("a", F.col("id").alias("b")).distinct(), "pairs")
     checked = stage(_checked(star, sets, percent), "checked")
-    links = checked.filter("linked").select("a", "b")
+    # an id with several texts ties their classes: a star around the least of them
+    repeated = sketch.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    repeated = stage(repeated.select("id"), "repeated")
+    homes = named.join(repeated, "id").join(classes, same).select("id", "rep").distinct()
+    homes = stage(homes, "homes")
+    least = stage(homes.groupBy("id").agg(F.min("rep").alias("a")), "least")
+    ties = homes.join(least, "id").filter("rep <> a").select("a", F.col("rep").alias("b"))
+    links = checked.filter("linked").select("a", "b").unionByName(ties)
     found = stage(components(links, "a", "b"), "components")
     missed = stage(_missed(checked, found, percent), "pairs")
     more = stage(_checked(missed, sets, percent).filter("linked").select("a", "b"), "checked")
@@ -311,8 +319,10 @@ def near_duplicates(
     # from classes back to rows
     label = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     label = label.select(*same, F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("id", *same).join(label, same, "left")
-    by_id = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
+    # rows without words go with the other rows of their id
+    home = least.join(found.withColumnRenamed("node", "a"), "a", "left").select("id", F.coalesce("component", "a").alias("home"))
+    out = sketch.select("id", *same).join(label, same, "left").join(stage(home, "home"), "id", "left")
+    by_id = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "home", "id"))
     out = out.select("id", "n", by_id.cast(id_type).alias("component"))
     return out.select(
         F.col("id").alias(id_col),

@@ -133,6 +133,13 @@ def test_null_and_repeated_ids_and_no_rows(spark):
     assert minhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_an_id_ties_all_its_texts(spark):
+    rows = [(2, "q r s"), (4, "a b c"), (4, "q r s"), (4, ""), (7, "a b c"), (8, "x y z"), (8, "k l m"), (9, "x y z"), (10, "k l m"), (11, None), (11, " ")]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    want = {2: 2, 4: 2, 7: 2, 8: 8, 9: 8, 10: 8, 11: 11}
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in out) == sorted((i, want[i], i == want[i]) for i, _ in rows)
+
+
 def test_components_of_chains_stars_and_rings(spark):
     rnd = random.Random(1)
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(300, 301), (301, 302), (302, 300), (5, 5), (None, 3)]
