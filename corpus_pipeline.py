@@ -66,7 +66,7 @@ def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @shipped
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"), short=True)
 
 
 @shipped

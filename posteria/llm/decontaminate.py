@@ -20,14 +20,24 @@ from posteria.llm.repeats import mixed
 from posteria.llm.tables import pick, quoted, slices
 
 WORD = re.compile(r"\w+")
+#: Letters and marks of scripts without blanks between words (Chinese, Japanese, Thai, Lao, Burmese, Khmer, Tai, Javanese).
+UNSPACED_RANGES = (
+    "\u0e01-\u0e2e\u0e30-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u0edc-\u0edf\u1000-\u103f\u1050-\u108f\u1780-\u17d3\u1950-\u1974\u1980-\u19c9"
+    "\u1a20-\u1a7c\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9c0"
+    "\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af"
+)
+UNSPACED = re.compile(f"[{UNSPACED_RANGES}]")
+MIXED = re.compile(rf"[{UNSPACED_RANGES}]|[^\W{UNSPACED_RANGES}]+")
 SHARE = 0.15  # of an item's words that may be edited
-LEAST_WORDS = 8  # shorter items are too common to tell anything
+LEAST_WORDS = 8  # shorter items are common: they are looked for only on demand, and without edits
 BLOCK_WORDS = 500_000  # of the benchmark that one pass over the documents looks for
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Lower-case words; a character is a word in scripts without blanks."""
+    text = text.lower()
+    return (MIXED if not text.isascii() and UNSPACED.search(text) else WORD).findall(text)
 
 
 def budget_of(words: int, share: float) -> int:
@@ -75,16 +85,16 @@ def nearest_end(pattern: list[int], text: list[int]) -> tuple[int, int]:
 class Index:
     """Pieces of a block of benchmark items by length and fingerprint."""
 
-    def __init__(self, items: list[tuple[object, str]], share: float, least: int):
+    def __init__(self, items: list[tuple[object, str]], share: float, least: int, short: bool = False):
         self.ids: dict[str, int] = {}
         self.items: list[tuple[object, list[int], int]] = []
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for item, text in items:
             words = words_of(text)
-            if len(words) < least:
+            if not words or len(words) < least and not short:
                 continue
             coded = [self.ids.setdefault(w, len(self.ids) + 1) for w in words]
-            budget = budget_of(len(coded), share)
+            budget = budget_of(len(coded), share) if len(words) >= least else 0
             for start, end in pieces_of(len(coded), budget):
                 print_ = int(self._prints(np.array(coded[start:end], np.uint64), end - start)[0])
                 pieces.setdefault(end - start, []).append((print_, len(self.items), start))
@@ -179,6 +189,7 @@ def without_contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     most_words: int = BLOCK_WORDS,
+    short: bool = False,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item; judged as in ``contaminated``.
 
@@ -197,7 +208,7 @@ def without_contaminated(
         return kept
 
     for block in blocks(benchmark, item_col, item_text_col, most_words):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, share, least_words))
+        index = docs.sparkSession.sparkContext.broadcast(Index(block, share, least_words, short))
         out = out.mapInArrow(clean(index), out.schema)
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
 
@@ -212,11 +223,13 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     most_words: int = BLOCK_WORDS,
+    short: bool = False,
 ) -> DataFrame:
     """(id, item, first_word, end_word, distance): an item's best place in each document that holds it.
 
     An item of ``w`` words may be off by ``share * w`` edited words. Items of
-    fewer than ``least_words`` words and null texts are never found. The whole
+    fewer than ``least_words`` words are found only with ``short``, and only
+    unchanged; items without a word and null texts never. The whole
     benchmark is looked for, block by block of bounded size, each broadcast for
     one pass over the whole documents, which do not move. Rows that repeat an
     id give rows each; extra columns are left out; empty tables give no rows.
@@ -248,7 +261,7 @@ def contaminated(
     arrow_type = to_arrow_type(item_type)
     out = None
     for block in blocks(benchmark, item_col, item_text_col, most_words):
-        index = spark.sparkContext.broadcast(Index(block, share, least_words))
+        index = spark.sparkContext.broadcast(Index(block, share, least_words, short))
         part = rows.mapInArrow(look(index), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:

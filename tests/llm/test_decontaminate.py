@@ -94,3 +94,18 @@ def test_odd_rows(spark):
     assert left.columns == df.columns and sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 1]
     assert d.contaminated(df, bench.limit(0)).collect() == [] and d.contaminated(df.limit(0), bench).collect() == []
     assert d.without_contaminated(df, bench.limit(0)).count() == 6
+
+
+def test_short_items_and_scripts_without_blanks(spark, tmp_path):
+    from posteria.llm import queries
+
+    chinese, thai = "中华人民共和国的首都是北京市，对吗", "ประเทศไทยมีกรุงเทพเป็นเมืองหลวง"
+    items = [("s", "Who wrote Hamlet?"), ("c", chinese), ("t", thai), ("n", "?!"), ("o", "東京")]
+    docs = [(1, "so who wrote hamlet then"), (2, "who really wrote hamlet"), (3, "前文" + chinese + "后文"), (4, "ก" + thai + "ข"), (5, "?!")]
+    docs += [(6, chinese.replace("首", "省")), (7, "go to 東京tower now"), (8, "東 京")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    hits = {(r["doc_id"], r["item_id"]) for r in queries.op3_decontaminate(spark, str(tmp_path)).collect()}
+    assert hits == {(1, "s"), (3, "c"), (4, "t"), (6, "c"), (7, "o"), (8, "o")}
+    df, bench = (spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "benchmark"))
+    assert {r["doc_id"] for r in d.without_contaminated(df, bench, short=True).collect()} == {2, 5}
