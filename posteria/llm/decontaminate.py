@@ -9,7 +9,8 @@ the window is verified with the bit-parallel edit distance.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from posteria.llm.repeats import mixed
 from posteria.llm.tables import pick, quoted, slices
+from posteria.session import stage
 
 WORD = re.compile(r"\w+")
 #: Letters and marks of scripts without blanks between words (Chinese, Japanese, Thai, Lao, Burmese, Khmer, Tai, Javanese).
@@ -31,6 +33,7 @@ MIXED = re.compile(rf"[{UNSPACED_RANGES}]|[^\W{UNSPACED_RANGES}]+")
 SHARE = 0.15  # of an item's words that may be edited
 LEAST_WORDS = 8  # shorter items are common: they are looked for only on demand, and without edits
 BLOCK_WORDS = 500_000  # of the benchmark that one pass over the documents looks for
+WORD_BYTES = 16  # a word counts once for so many bytes, so that long ones fill a block too
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -170,7 +173,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, most_words: int)
     rows = pick(benchmark, item=item_col, text=text_col).filter("text is not null").distinct()
     held, size = [], 0
     for row in rows.toLocalIterator():
-        words = row["text"].count(" ") + 1
+        words = max(len(words_of(row["text"])), len(row["text"].encode()) // WORD_BYTES)
         if held and size + words > most_words:
             yield held
             held, size = [], 0
@@ -180,6 +183,16 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, most_words: int)
         yield held
 
 
+def passes(rows: DataFrame, held: Iterator[Index], look: Callable, schema: str) -> Iterator[DataFrame]:
+    """``look`` over ``rows`` for one index after another; each result is written and its broadcast destroyed before the next."""
+    for index in held:
+        shared = rows.sparkSession.sparkContext.broadcast(index)
+        part = stage(rows.mapInArrow(look(shared), schema), "hits")
+        shared.destroy()
+        del index, shared  # before the next is made
+        yield part
+
+
 def without_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -193,11 +206,13 @@ def without_contaminated(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item; judged as in ``contaminated``.
 
-    Rows are filtered where they are, whatever their ids; null texts stay.
+    Rows are filtered where they are, whatever their ids; null texts stay. A
+    benchmark of several blocks has a staged copy of the rows, with a row key,
+    read once for each block.
     """
     names = docs.columns
     out = docs.select(*[quoted(c).alias(f"_c{i}") for i, c in enumerate(names)])
-    text = names.index(text_col)
+    text, gone = names.index(text_col), None
 
     def clean(index):
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +222,24 @@ def without_contaminated(
 
         return kept
 
-    for block in blocks(benchmark, item_col, item_text_col, most_words):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, share, least_words, short))
-        out = out.mapInArrow(clean(index), out.schema)
+    def found(index):
+        def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = index.value
+            for batch in slices(batches, "text"):
+                yield batch.select([0]).filter(pa.array([bool(t and known.hits(t)) for t in batch.column(1).to_pylist()], pa.bool_()))
+
+        return rows_of
+
+    index_of = lambda block: Index(block, share, least_words, short)
+    held = blocks(benchmark, item_col, item_text_col, most_words)
+    first = list(islice(held, 2))
+    if len(first) == 1:  # one pass, where the rows are
+        out = out.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(index_of(first[0]))), out.schema)
+    elif first:
+        out = stage(out.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        for part in passes(pick(out, row="_row", text=f"_c{text}"), map(index_of, chain(first, held)), found, "row long"):
+            gone = part if gone is None else gone.unionByName(part)
+        out = out.join(stage(gone.distinct(), "gone").withColumnRenamed("row", "_row"), "_row", "left_anti")
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
 
 
@@ -231,7 +261,8 @@ def contaminated(
     fewer than ``least_words`` words are found only with ``short``, and only
     unchanged; items without a word and null texts never. The whole
     benchmark is looked for, block by block of bounded size, each broadcast for
-    one pass over the whole documents, which do not move. Rows that repeat an
+    one pass over the whole documents, which do not move; of several blocks the
+    hits are written and the broadcast destroyed before the next. Rows that repeat an
     id give rows each; extra columns are left out; empty tables give no rows.
     """
     rows = pick(docs, id=id_col, text=text_col)
@@ -260,10 +291,14 @@ def contaminated(
 
     arrow_type = to_arrow_type(item_type)
     out = None
-    for block in blocks(benchmark, item_col, item_text_col, most_words):
-        index = spark.sparkContext.broadcast(Index(block, share, least_words, short))
-        part = rows.mapInArrow(look(index), schema)
-        out = part if out is None else out.unionByName(part)
+    index_of = lambda block: Index(block, share, least_words, short)
+    held = blocks(benchmark, item_col, item_text_col, most_words)
+    first = list(islice(held, 2))
+    if len(first) == 1:
+        out = rows.mapInArrow(look(spark.sparkContext.broadcast(index_of(first[0]))), schema)
+    elif first:
+        for part in passes(rows, map(index_of, chain(first, held)), look, schema):
+            out = part if out is None else out.unionByName(part)
     if out is None:
         out = rows.select("id", F.lit(None).cast(item_type).alias("item"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("end_word"), F.lit(0).alias("distance")).limit(0)
     return out.select(quoted("id").alias(id_col), quoted("item").alias(item_col), "first_word", "end_word", "distance")

@@ -109,3 +109,30 @@ def test_short_items_and_scripts_without_blanks(spark, tmp_path):
     assert hits == {(1, "s"), (3, "c"), (4, "t"), (6, "c"), (7, "o"), (8, "o")}
     df, bench = (spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "benchmark"))
     assert {r["doc_id"] for r in d.without_contaminated(df, bench, short=True).collect()} == {2, 5}
+
+
+def test_one_block_is_alive_at_a_time(spark, monkeypatch):
+    from pyspark import Broadcast, SparkContext
+
+    alive, most, made = [0], [0], SparkContext.broadcast
+    gone = Broadcast.destroy
+
+    def broadcast(self, value):
+        alive[0] += 1
+        most[0] = max(most[0], alive[0])
+        return made(self, value)
+
+    def destroy(self, *args):
+        alive[0] -= 1
+        gone(self, *args)
+
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", destroy)
+    items = [(i, "\n".join(f"w{i}x{j}" for j in range(10))) for i in range(4)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert [len(b) for b in d.blocks(bench, "item_id", "text", 20)] == [2, 2]
+    assert len(list(d.blocks(spark.createDataFrame([(i, f"{i}" * 4000) for i in range(4)], "item_id long, text string"), "item_id", "text", 300))) == 4
+    df = spark.createDataFrame([(i, items[i % 5][1] if i % 5 < 4 else None) for i in range(10)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in d.contaminated(df, bench, most_words=10).collect()) == [(i, i % 5) for i in range(10) if i % 5 < 4]
+    assert sorted(r["doc_id"] for r in d.without_contaminated(df, bench, most_words=10).collect()) == [4, 9]
+    assert most == [1]
