@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from posteria.llm.tables import pick, slices
 from posteria.llm.words import ByWord
 
+
 def printable_bytes() -> dict[str, int]:
     """The printable character that stands for each byte in a vocabulary file."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -28,14 +29,26 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def byte_level(file: dict) -> dict:
+    """The vocabulary file, if it is one whose rules are known here; another would be read wrongly."""
+    before, model = file["pre_tokenizer"] or {}, file["model"]
+    if model["type"] != "BPE" or file["normalizer"] is not None:
+        raise ValueError("only byte-level BPE without normalizer is understood")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError("words must be cut by the byte-level pattern, without a prefix space")
+    if any(model.get(flag) for flag in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
+        raise ValueError("dropout, byte fallback, whole words before merges and word marks are not understood")
+    if any(token[flag] for token in file["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take blanks along or stand alone are not understood")
+    return file
+
+
 class Counter:
     """Counts the tokens of a text for one vocabulary file (JSON of a byte-level BPE)."""
 
     def __init__(self, content: bytes):
-        file = json.loads(content)
+        file = byte_level(json.loads(content))
         model = file["model"]
-        if model["type"] != "BPE" or file["normalizer"] is not None:
-            raise ValueError("only byte-level BPE without normalizer is understood")
         as_byte = printable_bytes()
         name = lambda piece: bytes(as_byte[c] for c in piece)
         ids = {name(piece): i for piece, i in model["vocab"].items()}

@@ -8,21 +8,22 @@ because every length is a power of two.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import struct
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from posteria.llm.bpe import printable_bytes, read_file
-from posteria.llm.tables import pick, slices
-from posteria.llm.words import WORDS, ByWord
+from posteria.llm.bpe import byte_level, printable_bytes, read_file
+from posteria.llm.tables import give_back, pick, slices
+from posteria.llm.words import WORDS
 from posteria.session import stage
 
 MOST_BROADCAST = 1 << 20  # rows of three numbers
@@ -32,33 +33,43 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
     The ids are those of the tokenizers library for a byte-level BPE file.
-    Where the ids follow the order of the merges (checked), single words go
-    through tiktoken with the same ranks, which gives the same ids sooner.
+    Where the ids follow the order of the merges (checked), whole texts go
+    through tiktoken with the same ranks, which gives the same ids sooner; a
+    text that its pattern engine gives up on (very long runs of white space)
+    goes through the library itself.
     """
 
     def __init__(self, content: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(content.decode())
-        self.special = {t.content: self._packed([i]) for i, t in self.library.get_added_tokens_decoder().items()}
+        self.content, self.library = content, None
+        file = byte_level(json.loads(content))
+        self.special = {t["content"]: self._packed([t["id"]]) for t in file["added_tokens"]}
         found = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, found)) + ")") if found else None
-        ranks = ranks_of(json.loads(content)["model"])
+        ranks, self.fast = ranks_of(file["model"]), None
         if ranks:
             import tiktoken
 
-            fast = tiktoken.Encoding("ranks", pat_str=WORDS.pattern, mergeable_ranks=ranks, special_tokens={})
-            self.plain = ByWord(lambda word: self._packed(fast.encode_ordinary(word)), b"".join)
-        else:
-            self.plain = ByWord(self._slow, b"".join)
+            self.fast = tiktoken.Encoding("ranks", pat_str=WORDS.pattern, mergeable_ranks=ranks, special_tokens={})
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return np.asarray(ids, "<u4").tobytes()
+
+    def _slow(self, text: str) -> bytes:
+        if self.library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
 
-    def _slow(self, word: str) -> bytes:
-        return self._packed(self.library.encode(word, add_special_tokens=False).ids)
+            self.library = Tokenizer.from_str(self.content.decode())
+        return self._packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def plain(self, text: str) -> bytes:
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+            except ValueError:
+                pass
+        return self._slow(text)
 
     def encode(self, text: str) -> bytes:
         """The vocabulary's special strings become their own ids, as the library does by default."""
@@ -81,16 +92,6 @@ def ranks_of(model: dict) -> dict[bytes, int] | None:
     return ids
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(digest: str, shared: Broadcast) -> Encoder:
-    if digest not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[digest] = Encoder(shared.value)
-    return _ENCODERS[digest]
-
-
 def binary_lengths(tokens: int, most: int) -> list[int]:
     """``tokens`` as full lengths and then falling powers of two."""
     rest = tokens % most
@@ -104,11 +105,14 @@ def pack(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
+    with_ids: bool = True,
 ) -> DataFrame:
-    """Pieces of all documents: id, start, length, ids, doc_tokens, sequence_id, offset.
+    """Pieces of all documents: id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``ids``: the tokens as little-endian unsigned 32-bit integers; the closing
-    ``end_id`` belongs to the document. Null and empty texts hold only that id.
+    ``ids``: the tokens as little-endian unsigned 32-bit integers (left out,
+    and never written, without ``with_ids``); ``ids_crc32`` is their checksum.
+    The closing ``end_id`` belongs to the document. Whole texts are encoded,
+    however long. Null and empty texts hold only that id.
     ``sequence_id`` is gapless, and sequences of equal length follow each
     other; ``offset`` is 0, as a sequence is one piece. Repeated ids are packed
     once for each row; extra columns are left out; no rows give no pieces.
@@ -122,16 +126,15 @@ def pack(
     spark = docs.sparkSession
     content = read_file(tokenizer_path)
     shared = spark.sparkContext.broadcast(content)
-    digest = hashlib.sha256(content).hexdigest()
     end = struct.pack("<I", end_id)
     rows = pick(docs, id=id_col, text=text_col)
     id_type = rows.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, used = _encoder(digest, shared), TaskContext.get().partitionId(), [0] * most.bit_length()
+        encoder, task, used = Encoder(shared.value), TaskContext.get().partitionId(), [0] * most.bit_length()
         for batch in slices(batches, "text", 4 << 20):
             encoded = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
-            of, start, length, ids, total, bucket, local = [], [], [], [], [], [], []
+            of, start, length, ids, crc, total, bucket, local = [], [], [], [], [], [], [], []
             for row, found in enumerate(encoded):
                 found += end
                 n = len(found) // 4
@@ -141,7 +144,9 @@ def pack(
                     of.append(row)
                     start.append(at)
                     length.append(size)
-                    ids.append(found[4 * at : 4 * (at + size)])
+                    piece = found[4 * at : 4 * (at + size)]
+                    ids.append(piece if with_ids else None)
+                    crc.append(zlib.crc32(piece))
                     total.append(n)
                     bucket.append(b)
                     local.append(used[b])
@@ -153,17 +158,21 @@ def pack(
                     pa.array(start, pa.int64()),
                     pa.array(length, pa.int64()),
                     pa.array(ids, pa.binary()),
+                    pa.array(crc, pa.int64()),
                     pa.array(total, pa.int64()),
                     pa.array(bucket, pa.int32()),
                     pa.array([task] * len(of), pa.int64()),
                     pa.array(local, pa.int64()),
                 ],
-                names=["id", "start", "length", "ids", "doc_tokens", "bucket", "task", "local"],
+                names=["id", "start", "length", "ids", "ids_crc32", "doc_tokens", "bucket", "task", "local"],
             )
-        encoder.plain.forget()
+        del encoder
+        give_back()
 
-    kind = f"id {id_type}, start long, length long, ids binary, doc_tokens long, bucket int, task long, local long"
-    pieces = stage(rows.mapInArrow(cut, kind), "pieces")
+    kind = f"id {id_type}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, bucket int, task long, local long"
+    made = rows.mapInArrow(cut, kind)
+    pieces = stage(made if with_ids else made.drop("ids"), "pieces")
+    shared.destroy()  # the pieces are written
     counts = pieces.groupBy("bucket", "task").agg((F.max("local") + 1).alias("n"))
     inside = Window.partitionBy("bucket").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     # one row per length: at most 11 for sequences of 1024
@@ -182,7 +191,8 @@ def pack(
         F.col("id").alias(id_col),
         "start",
         "length",
-        "ids",
+        *(["ids"] if with_ids else []),
+        "ids_crc32",
         "doc_tokens",
         (F.col("first") + F.col("local")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),

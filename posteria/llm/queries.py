@@ -80,6 +80,7 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether the tokens exceed 1024."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.count_tokens(table(spark, sf_dir, "documents"), path, limit=1024)
 
@@ -105,10 +106,8 @@ def op9_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return pieces.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+    """Pieces of binary length of every document, with checksums made while the pieces are cut."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
 Q = {

@@ -6,7 +6,10 @@ extra columns of its input, whatever they are called, never clash.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (loads pa.compute)
@@ -46,3 +49,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
                 start, held = row, 0
             held += int(size)
         yield batch.slice(start)
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: a Python worker outlives its task, beside the work of later ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)

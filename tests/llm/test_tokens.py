@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -19,7 +20,7 @@ PARTS = ["a", "b", " ", "  ", "\n", "\t", "é", "1", "²", "½", "'s", "'ll", ".
 def texts():
     rnd = random.Random(1)
     made = ["".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 12))) for _ in range(4000)]
-    return made + ["", "a" * 5000, "ab" * 3000, " " * 3000, "x " * 2000, "\n" * 50]
+    return made + ["", "a" * 5000, "ab" * 3000, " " * 3000, "x " * 2000, "\n" * 50, " " * 400_000 + "x", "\n" * 300_000]
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +101,21 @@ def test_plain_join_of_offsets_gives_the_same(spark, monkeypatch):
     want = sorted(map(tuple, packing.pack(docs, PATH).collect()))
     monkeypatch.setattr(packing, "MOST_BROADCAST", 0)
     assert sorted(map(tuple, packing.pack(docs, PATH).collect())) == want
+
+
+def test_ids_are_not_written_where_only_checksums_are_wanted(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    full = packing.pack(docs, PATH)
+    lean = packing.pack(docs, PATH, with_ids=False)
+    assert "ids" not in lean.columns
+    assert sorted(map(tuple, full.drop("ids").collect())) == sorted(map(tuple, lean.collect()))
+    assert full.filter(F.crc32("ids") != F.col("ids_crc32")).count() == 0
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}},
+                                    {"added_tokens": [{"id": 1, "content": "x", "lstrip": True, "rstrip": False, "single_word": False}]}])
+def test_other_vocabulary_files_are_refused(change):
+    content = json.dumps(json.loads(bpe.read_file(PATH)) | change).encode()
+    for kind in (bpe.Counter, packing.Encoder):
+        with pytest.raises(ValueError):
+            kind(content)
