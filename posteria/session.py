@@ -65,6 +65,13 @@ def release(spark: SparkSession, keep: int = 0) -> int:
     return len(gone)
 
 
+def claimed_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder that ``release`` deletes like a staged table."""
+    path = staged_path(spark, label)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 
@@ -72,8 +79,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     recomputes a different answer and iterated plans stay short.
     """
     spark = df.sparkSession
-    path = staged_path(spark, label)
-    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = claimed_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
