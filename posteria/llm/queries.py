@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posteria.llm import bpe, decontaminate, html_main, kmeans_tree, language, minhash, oracles, packing, repeats, sharding, urls
+from posteria.llm import bpe, decontaminate, html_main, idfiles, kmeans_tree, language, minhash, oracles, packing, repeats, sharding, urls
 from posteria.llm.tables import table
 
 SHARDS = 16
@@ -110,6 +110,12 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to binary files and read back from them."""
+    folder = idfiles.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return idfiles.read_ids(spark, folder, with_ids=False)
+
+
 Q = {
     "op1_shard": op1_shard,
     "op2_language": op2_language,
@@ -121,6 +127,7 @@ Q = {
     "op8_remove_repeats": op8_remove_repeats,
     "op9_extract_html": op9_extract_html,
     "op10_pack": op10_pack,
+    "op12_token_files": op12_token_files,
 }
 # the others rest on tokenizers, learned models or edit distances; tests hold them against brute force
 SQL = {
