@@ -84,3 +84,20 @@ gaps AS (SELECT doc_id, count(*) AS spans, sum(hi - lo) AS removed, list_sort(li
 edges AS (SELECT r.doc_id, n, h, coalesce(spans, 0) AS spans, coalesce(removed, 0) AS removed, list_append(coalesce(e, [0]), n) AS e FROM raw r LEFT JOIN gaps USING (doc_id))
 SELECT doc_id, n::BIGINT AS n_bytes, removed::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(array_to_string(list_transform(range(spans + 1),
  lambda i: substr(h, 2 * e[2 * i + 1] + 1, 2 * (e[2 * i + 2] - e[2 * i + 1]))), ''))) AS kept_sha256 FROM edges"""
+
+
+def search_sql(k: int) -> str:
+    """Terms of items and documents counted and joined, contributions in whole numbers, the best of each item."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS l FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, {terms} AS l FROM benchmark),
+q AS (SELECT item, item_id, t, count(*) AS times FROM (SELECT item, item_id, unnest(l) AS t FROM i) GROUP BY ALL),
+whole AS (SELECT count(*)::BIGINT AS nn, sum(len(l))::BIGINT AS ll FROM d WHERE len(l) > 0),
+tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(l) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t), whole),
+m AS (SELECT r, doc_id, (100 - 75 + (75 * len(l)::BIGINT * nn) // ll)::BIGINT AS m FROM d, whole),
+s AS (SELECT item, item_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+ FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY item, item_id, r HAVING score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s JOIN m USING (r)) WHERE rank <= {k}"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posteria.llm import bpe, decontaminate, html_main, idfiles, kmeans_tree, language, minhash, oracles, packing, repeats, sharding, urls
+from posteria.llm import bpe, decontaminate, html_main, idfiles, kmeans_tree, language, lexical, minhash, oracles, packing, repeats, sharding, urls
 from posteria.llm.tables import table
 
 SHARDS = 16
@@ -116,6 +116,11 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(spark, folder, with_ids=False)
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 Q = {
     "op1_shard": op1_shard,
     "op2_language": op2_language,
@@ -128,6 +133,7 @@ Q = {
     "op9_extract_html": op9_extract_html,
     "op10_pack": op10_pack,
     "op12_token_files": op12_token_files,
+    "op13_search": op13_search,
 }
 # the others rest on tokenizers, learned models or edit distances; tests hold them against brute force
 SQL = {
@@ -135,4 +141,5 @@ SQL = {
     "op4_filter_urls": oracles.url_sql(URL_RULES),
     "op5_near_duplicates": oracles.near_duplicate_sql(2, 80),
     "op8_remove_repeats": oracles.repeats_sql(200),
+    "op13_search": oracles.search_sql(10),
 }
