@@ -101,3 +101,53 @@ m AS (SELECT r, doc_id, (100 - 75 + (75 * len(l)::BIGINT * nn) // ll)::BIGINT AS
 s AS (SELECT item, item_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
  FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY item, item_id, r HAVING score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s JOIN m USING (r)) WHERE rank <= {k}"""
+
+
+def conversation_sql() -> str:
+    """Damage, faults, and for each row the least "cost, audit" string of the four states of the roles."""
+    blank = "'[^\\x20\\x09-\\x0D]'"
+    add = lambda v, cost, edit: f"(lpad((substr({v}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({v}, 10) || '{edit}')"
+    none, insert = "'800000000'", lambda v: add(v, 3, "I")
+    close = lambda inner: f"""SELECT *, least(x3, {insert('w2')}) AS w3 FROM (SELECT *, x0 AS w0, x1 AS w1,
+ least(x2, {insert('x0')}, {insert('x1')}, {insert('x3')}) AS w2 FROM ({inner}))"""
+    delete = lambda q: add(f"w{q}", 4, "D")
+    keep = lambda q, initial: f"CASE WHEN initial = '{initial}' THEN {add(f'w{q}', 'more', 'K')} ELSE {none} END"
+    rerole = lambda q: add(f"w{q}", "(more + 3)", "R")
+    only = lambda q, *ways: f"CASE WHEN must THEN {delete(q)} ELSE least({', '.join([delete(q), *ways])}) END AS x{q}"
+    steps = ", ".join([
+        f"{delete(0)} AS x0",
+        only(1, keep(0, "s")),
+        only(2, *[way for q in (0, 1, 3) for way in (keep(q, "u"), rerole(q))]),
+        only(3, keep(2, "a"), rerole(2)),
+    ])
+    columns = "conv_id, n, w0, w1, w2, w3"
+    return f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+ hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h FROM conversations),
+hurt AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+ lambda a, x: xor(a // 256, tab[(xor(a, x) & 255) + 1]))) % 20 AS c FROM raw, crc),
+after AS (SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role,
+ CASE WHEN c = 1 THEN '' WHEN c = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+ FROM (SELECT *, unnest(range(CASE c WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM hurt)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, left(role, 1) AS initial FROM after),
+judged AS (SELECT *, NOT regexp_matches(text, {blank}) AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+ NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM placed),
+faults AS (SELECT *, blank OR again AS must, CASE WHEN cut AND NOT blank AND NOT again THEN 3 ELSE 0 END AS more FROM judged),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+ count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (more > 0) AS truncated,
+ count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n FROM faults GROUP BY conv_id),
+dp({columns}) AS (SELECT conv_id, 0::BIGINT, w0, w1, w2, w3 FROM ({close(f"SELECT conv_id, '000000000' AS x0, {none} AS x1, {none} AS x2, {none} AS x3 FROM facts")})
+ UNION ALL SELECT conv_id, n, w0, w1, w2, w3 FROM ({close(f"SELECT f.conv_id, f.n, {steps} FROM dp JOIN faults f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.n = dp.n + 1")})),
+best AS (SELECT d.conv_id, substr(least(w0, w3), 1, 9)::BIGINT AS cost, substr(least(w0, w3), 10) AS audit
+ FROM dp d JOIN facts f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.n = d.n),
+edits AS (SELECT conv_id, p, substr(audit, p, 1) AS e FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS p FROM best)),
+counted AS (SELECT *, count(*) FILTER (e <> 'I') OVER w AS n, count(*) FILTER (e <> 'D') OVER w AS f FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+turns AS (SELECT c.conv_id, p, e, f, role, text, initial, max((f = 1 AND e = 'K' AND initial = 's')::INT) OVER (PARTITION BY c.conv_id) AS shift
+ FROM counted c LEFT JOIN faults t ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND t.n = c.n AND e <> 'I' WHERE e <> 'D'),
+lines AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (f - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS said FROM turns GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+ coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+ sha256(coalesce(said, '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) a
+ LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id
+ LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM a.conv_id"""

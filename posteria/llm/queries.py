@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posteria.llm import bpe, decontaminate, html_main, idfiles, kmeans_tree, language, lexical, minhash, oracles, packing, repeats, sharding, urls
+from posteria.llm import bpe, conversations, decontaminate, html_main, idfiles, kmeans_tree, language, lexical, minhash, oracles, packing, repeats, sharding, urls
 from posteria.llm.tables import table
 
 SHARDS = 16
@@ -110,6 +110,12 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and repaired text of every conversation, after the contract's damage."""
+    hurt = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.summary(conversations.repair(hurt, copies_col="copies"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to binary files and read back from them."""
     folder = idfiles.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -132,6 +138,7 @@ Q = {
     "op8_remove_repeats": op8_remove_repeats,
     "op9_extract_html": op9_extract_html,
     "op10_pack": op10_pack,
+    "op11_repair_conversations": op11_repair_conversations,
     "op12_token_files": op12_token_files,
     "op13_search": op13_search,
 }
@@ -141,5 +148,6 @@ SQL = {
     "op4_filter_urls": oracles.url_sql(URL_RULES),
     "op5_near_duplicates": oracles.near_duplicate_sql(2, 80),
     "op8_remove_repeats": oracles.repeats_sql(200),
+    "op11_repair_conversations": oracles.conversation_sql(),
     "op13_search": oracles.search_sql(10),
 }
