@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posteria.llm.repeats import mixed
-from posteria.llm.tables import pick, quoted, slices
+from posteria.llm.tables import lean, pick, quoted, slices
 from posteria.session import stage
 
 WORD = re.compile(r"\w+")
@@ -187,7 +187,7 @@ def passes(rows: DataFrame, held: Iterator[Index], look: Callable, schema: str)
     """``look`` over ``rows`` for one index after another; each result is written and its broadcast destroyed before the next."""
     for index in held:
         shared = rows.sparkSession.sparkContext.broadcast(index)
-        part = stage(rows.mapInArrow(look(shared), schema), "hits")
+        part = stage(rows.mapInArrow(lean(look(shared)), schema), "hits")
         shared.destroy()
         del index, shared  # before the next is made
         yield part
@@ -206,9 +206,11 @@ def without_contaminated(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item; judged as in ``contaminated``.
 
-    Rows are filtered where they are, whatever their ids; null texts stay. A
-    benchmark of several blocks has a staged copy of the rows, with a row key,
-    read once for each block.
+    Rows are filtered where they are, whatever their ids; null texts stay, repeated rows
+    are judged alike, whole texts are read however long, and no rows, or no
+    benchmark, leave what there is. A benchmark of one block is looked for on
+    the way; one of several blocks has a staged copy of the rows, with a row
+    key, read once for each block. Both ways keep the same rows.
     """
     names = docs.columns
     out = docs.select(*[quoted(c).alias(f"_c{i}") for i, c in enumerate(names)])
@@ -234,7 +236,7 @@ def without_contaminated(
     held = blocks(benchmark, item_col, item_text_col, most_words)
     first = list(islice(held, 2))
     if len(first) == 1:  # one pass, where the rows are
-        out = out.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(index_of(first[0]))), out.schema)
+        out = out.mapInArrow(lean(clean(docs.sparkSession.sparkContext.broadcast(index_of(first[0])))), out.schema)
     elif first:
         out = stage(out.withColumn("_row", F.monotonically_increasing_id()), "rows")
         for part in passes(pick(out, row="_row", text=f"_c{text}"), map(index_of, chain(first, held)), found, "row long"):
@@ -295,7 +297,7 @@ def contaminated(
     held = blocks(benchmark, item_col, item_text_col, most_words)
     first = list(islice(held, 2))
     if len(first) == 1:
-        out = rows.mapInArrow(look(spark.sparkContext.broadcast(index_of(first[0]))), schema)
+        out = rows.mapInArrow(lean(look(spark.sparkContext.broadcast(index_of(first[0])))), schema)
     elif first:
         for part in passes(rows, map(index_of, chain(first, held)), look, schema):
             out = part if out is None else out.unionByName(part)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from posteria.llm.tables import pick, quoted, slices
+from posteria.llm.tables import lean, pick, quoted, slices
 from posteria.session import stage
 
 UNKNOWN = "und"
@@ -124,23 +124,26 @@ def learn(
 ) -> Profiles:
     """Profiles from at most ``sample`` labelled documents of each language.
 
-    The sample is picked by a hash of the id, one document for each of
+    The sample is picked by hashes of id and text, one text for each of
     ``sample`` hash buckets of a language, so that picking is a small combining
-    aggregate over two columns. Rows with null id or language take no part.
+    aggregate and rows that repeat an id, or all of a row, add nothing. Rows
+    with null id or language take no part; without rows nothing is learned.
     Texts of the sample are read whole. What comes to the driver is ``TOP``
     n-grams for each language.
     """
     rows = pick(labelled, id=id_col, text=text_col, lang=lang_col).filter("id is not null and lang is not null")
     hashed = F.xxhash64("id")
+    both = F.struct(hashed.alias("h"), F.xxhash64("text").alias("t"))
     picked = (
-        rows.select("lang", F.pmod(hashed, F.lit(sample)).alias("bucket"), hashed.alias("h"))
+        rows.select("lang", F.pmod(hashed, F.lit(sample)).alias("bucket"), both.alias("both"))
         .groupBy("lang", "bucket")
-        .agg(F.min("h").alias("h"))
-        .select("lang", "h")
+        .agg(F.min("both").alias("both"))
+        .select("lang", "both.h", "both.t")
     )
     # ``sample`` rows for each language; staged, so that the planner knows their size and texts need not move
     picked = stage(picked, "sample")
-    chosen = rows.withColumn("h", hashed).join(picked, ["lang", "h"], "left_semi").select("lang", "text")
+    found = rows.select("lang", "text", hashed.alias("h"), F.xxhash64("text").alias("t")).join(picked, ["lang", "h", "t"], "left_semi")
+    chosen = found.groupBy("lang", "h", "t").agg(F.min("text").alias("text")).select("lang", "text")  # copies of a row once
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -151,11 +154,11 @@ def learn(
             for lang, found in by_lang.items():
                 distinct, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(distinct)), pa.array(distinct, pa.int64()), pa.array(counts, pa.int64())],
+                    [pa.array([lang] * len(distinct), pa.string()), pa.array(distinct, pa.int64()), pa.array(counts, pa.int64())],
                     names=["lang", "gram", "n"],
                 )
 
-    counted = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = chosen.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")  # distinct n-grams of the sample only
     top = counted.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < TOP)
     return Profiles([(r["lang"], r["rank"], r["gram"]) for r in top.select("lang", "rank", "gram").collect()])
@@ -174,7 +177,8 @@ def identify(
     and ``score`` 0 for a text that is null or has no letter, and for all
     texts if nothing was learned. Score: 1 less the mean out-of-place distance
     as a share of the largest possible. Input columns of the three names are
-    replaced.
+    replaced. Equal distances go to the first language by name; repeated rows
+    are judged alike; no rows give no rows.
     """
     made = ("lang_pred", "score", "margin")
     names = [c for c in (docs.columns if keep is None else keep) if c not in made]
@@ -195,7 +199,7 @@ def identify(
             yield pa.RecordBatch.from_arrays(columns, names=out_names)
 
     schema = ", ".join([f"`{n}` {k}" for n, k in kinds] + ["lang_pred string", "score double", "margin double"])
-    return rows.mapInArrow(judged, schema).select(*[quoted(v).alias(c) for c, v in held.items()], *made)
+    return rows.mapInArrow(lean(judged), schema).select(*[quoted(v).alias(c) for c, v in held.items()], *made)
 
 
 def held_out(id_col: Column) -> Column:

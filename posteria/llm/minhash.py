@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from posteria.llm.components import components
 from posteria.llm.repeats import PIECE, Piece, mixed
-from posteria.llm.tables import pick, slices
+from posteria.llm.tables import lean, pick, slices
 from posteria.session import stage
 
 ROWS = 5
@@ -205,7 +205,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     whole = members.join(sets.select(F.col("id").alias("a"), F.col("held").alias("left")), "a")
     id_type = dict(pairs.dtypes)["a"]
     kind = f"a {id_type}, b {id_type}, linked boolean, counts binary"
-    return whole.select("a", "b", "left", "right").mapInArrow(lambda x: _compared(x, percent), kind)
+    return whole.select("a", "b", "left", "right").mapInArrow(lean(lambda x: _compared(x, percent)), kind)
 
 
 def _possible(outside: pa.Table, around: pa.Table, percent: int) -> pa.Table:
@@ -276,13 +276,14 @@ def near_duplicates(
     null, has no set and no link. Rows of a null id take no part: their
     component is null and they are kept. Rows that repeat an id are one node:
     they tie the components of all their texts.
-    Extra columns are left out.
+    Whole texts are read, however long; no rows give no rows. Extra columns
+    are left out.
     """
     texts = pick(docs, id=id_col, text=text_col)
     texts = texts.select("id", F.col("text").cast("string").alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
     kind = f"id {id_type}, n long, s1 long, s2 long, keys array<long>"
-    sketch = stage(texts.mapInArrow(lambda x: _sketched(x, words, bands, rows), kind), "sketch")
+    sketch = stage(texts.mapInArrow(lean(lambda x: _sketched(x, words, bands, rows)), kind), "sketch")
     named = sketch.filter("id is not null and n > 0")
     same = ["n", "s1", "s2"]
     classes = stage(named.groupBy(*same).agg(F.min("id").alias("rep")), "classes")
@@ -295,7 +296,7 @@ def near_duplicates(
     mates = members.groupBy("id").agg(F.sum("size").alias("mates"))
     wanted = mates.select("id")
     sets = texts.join(wanted.hint("shuffle_hash"), "id").select("id", "text").mapInArrow(
-        lambda x: _whole_sets(x, words), f"id {id_type}, held binary"
+        lean(lambda x: _whole_sets(x, words)), f"id {id_type}, held binary"
     )
     sets = stage(sets, "sets")
     # the centre of a bucket is the member with the most mates, the least id among equals

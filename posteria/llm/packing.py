@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posteria.llm.bpe import byte_level, printable_bytes, read_file
-from posteria.llm.tables import give_back, pick, slices
+from posteria.llm.tables import lean, pick, slices
 from posteria.llm.words import WORDS
 from posteria.session import stage
 
@@ -166,11 +166,9 @@ def pack(
                 ],
                 names=["id", "start", "length", "ids", "ids_crc32", "doc_tokens", "bucket", "task", "local"],
             )
-        del encoder
-        give_back()
 
     kind = f"id {id_type}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, bucket int, task long, local long"
-    made = rows.mapInArrow(cut, kind)
+    made = rows.mapInArrow(lean(cut), kind)
     pieces = stage(made if with_ids else made.drop("ids"), "pieces")
     shared.destroy()  # the pieces are written
     counts = pieces.groupBy("bucket", "task").agg((F.max("local") + 1).alias("n"))

@@ -28,11 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posteria.llm.tables import quoted, slices
+from posteria.llm.tables import lean, quoted, slices
 from posteria.session import stage
 
 GRAM = 64  # bytes of the first digit
 PIECE = 1 << 20  # bytes worked on at once
+OPENED = 4 << 20  # bytes of texts that a batch of frames opens to, or one text
 RUNS = 2048  # different runs of a gram that one task sorts
 WINDOWS = 400_000  # windows sorted together
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -122,15 +123,25 @@ def squeezed(df: DataFrame, column: str) -> DataFrame:
             columns = [*batch.columns[:at], pa.array(frames, pa.binary()), *batch.columns[at + 1 :]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.mapInArrow(squeeze, kinds)
+    return df.mapInArrow(lean(squeeze), kinds)
 
 
 def unsqueezed(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches of bounded size with the texts of their squeezed column."""
     loosen = zstandard.ZstdDecompressor()
     for batch in slices(batches, column, 2 << 20):
-        at = batch.schema.get_field_index(column)
-        yield batch, [loosen.decompress(frame) for frame in batch.column(at).to_pylist()]
+        frames = batch.column(batch.schema.get_field_index(column)).to_pylist()
+        # repetitive texts are small as frames: what they open to is bounded, not the frames
+        start, texts, held = 0, [], 0
+        for row, frame in enumerate(frames):
+            size = zstandard.frame_content_size(frame)
+            if texts and held + size > OPENED:
+                yield batch.slice(start, row - start), texts
+                start, texts, held = row, [], 0
+            texts.append(loosen.decompress(frame))
+            held += size
+        if texts:
+            yield batch.slice(start), texts
 
 
 def _pieces(texts: list[bytes], keys: np.ndarray, width: int):
@@ -285,7 +296,7 @@ def repeated_ranges(texts: DataFrame, width: int, gram: int = GRAM, runs: int =
     if width < 16:
         raise ValueError("windows of less than 16 bytes are not supported")
     gram = min(gram, width // 2)
-    found = texts.select("k", "text").mapInArrow(lambda batches: _runs_of(batches, width, gram), RUN)
+    found = texts.select("k", "text").mapInArrow(lean(lambda batches: _runs_of(batches, width, gram)), RUN)
     found = stage(found, "runs")
     shared = (
         found.groupBy("digit")
@@ -301,7 +312,9 @@ def repeated_ranges(texts: DataFrame, width: int, gram: int = GRAM, runs: int =
     one = F.min(F.struct("k", "start", "windows", "anchor")).alias("one")
     differ = hot.filter("not equal").groupBy("digit", "run").agg(F.count(F.lit(1)).alias("n"), one)
     differ = stage(differ.select("digit", "run", "n", "one.*"), "different")
-    twice = hot.filter("not equal").join(differ.filter("n > 1").select("digit", "run"), ["digit", "run"])
+    # staged, so that a run of many rows can be split in the join, or the list sent to the rows
+    often = stage(differ.filter("n > 1").select("digit", "run"), "twice")
+    twice = hot.filter("not equal").join(often, ["digit", "run"])
     settled = settled.unionByName(twice.select("k", "start", whole))
     crowded = differ.groupBy("digit").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > runs)
     differ = differ.join(crowded.select("digit", F.lit(True).alias("crowd")), "digit", "left")
@@ -309,17 +322,17 @@ def repeated_ranges(texts: DataFrame, width: int, gram: int = GRAM, runs: int =
     wanted = F.struct("digit", "run", "n", "start", "windows", "anchor", F.coalesce("crowd", F.lit(False)).alias("crowd"))
     asked = differ.groupBy("k").agg(F.collect_list(wanted).alias("asked"))
     kind = "digit long, run long, n long, k long, start long, windows int, anchor int, crowd boolean, bytes binary"
-    pieces = squeezed(texts.select("k", "text"), "text").join(asked, "k").mapInArrow(lambda batches: _bytes_of(batches, width), kind)
+    pieces = squeezed(texts.select("k", "text"), "text").join(asked, "k").mapInArrow(lean(lambda batches: _bytes_of(batches, width)), kind)
     pieces = stage(pieces.dropDuplicates(["digit", "run"]), "bytes")  # copies of a text gave the same
     sorted_here = (
         pieces.filter("not crowd")
         .repartition("digit")
         .sortWithinPartitions("digit")
         .select("digit", "n", "k", "start", "windows", "anchor", "bytes")
-        .mapInArrow(lambda batches: _sort_groups(batches, width), MARK)
+        .mapInArrow(lean(lambda batches: _sort_groups(batches, width)), MARK)
     )
     dealt = pieces.filter("crowd").select("digit", "n", "k", "start", "windows", "anchor", "bytes")
-    dealt = dealt.mapInArrow(lambda batches: _windows_of(batches, width), "digit long, seen long, k long, start long, n long")
+    dealt = dealt.mapInArrow(lean(lambda batches: _windows_of(batches, width)), "digit long, seen long, k long, start long, n long")
     equal = dealt.groupBy("digit", "seen").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("digit", "seen")
     dealt = dealt.filter("n = 1").join(equal, ["digit", "seen"], "left_semi")
     dealt = dealt.select("k", "start", (F.col("start") + F.lit(width)).alias("end"))
@@ -370,7 +383,8 @@ def remove_repeats(
     text is empty; a text shorter than ``width`` keeps all. Two rows with the
     same text are two documents, even if their ids are equal. Input columns of
     the three names are replaced. ``as_text``: ``kept`` is a string, without
-    the characters that a cut has split. Texts are told apart by a 64-bit hash when
+    the characters that a cut has split. No rows give no rows; whole texts are
+    read, however long. Texts are told apart by a 64-bit hash when
     ranges go back to them.
     """
     made = ("n_bytes", "removed", "kept")
@@ -409,4 +423,4 @@ def remove_repeats(
 
     schema = [f"`{n}` {k}" for n, k in kinds] + ([f"{own} string"] if own else []) + ["n_bytes long", "removed array<struct<start:long,end:long>>", "kept string" if as_text else "kept binary"]
     named = {c: held.get(c, own) for c in names}
-    return joined.mapInArrow(apart, ", ".join(schema)).select(*[quoted(v).alias(c) for c, v in named.items()], *made)
+    return joined.mapInArrow(lean(apart), ", ".join(schema)).select(*[quoted(v).alias(c) for c, v in named.items()], *made)

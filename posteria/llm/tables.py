@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import pyarrow as pa
@@ -57,3 +57,25 @@ def give_back() -> None:
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # only some C libraries have it
         ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``step`` over the batches of a task, its memory given back when the task is over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def sealed(df: DataFrame, prefix: str = "_c") -> DataFrame:
+    """``df`` with private column names, so that nothing an operator adds clashes with them."""
+    return df.select(*[quoted(c).alias(f"{prefix}{i}") for i, c in enumerate(df.columns)])
+
+
+def unsealed(df: DataFrame, names: list[str], prefix: str = "_c", **made: Column) -> DataFrame:
+    """The columns of a sealed table under their own names again, those in ``made`` (by private name) replaced."""
+    return df.select(*[made.get(f"{prefix}{i}", F.col(f"{prefix}{i}")).alias(c) for i, c in enumerate(names)])

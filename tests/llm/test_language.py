@@ -71,3 +71,12 @@ def test_nothing_learned(spark):
     known = language.learn(spark.createDataFrame([(1, "abc", "xx"), (2, "12", "yy"), (3, None, "zz"), (4, "d", None)], empty.schema))
     assert known.langs == ["xx"]
     assert language.identify(df, known).collect()[0]["lang_pred"] == "xx"
+
+
+def test_an_id_of_many_rows_is_one_of_the_sample(spark):
+    rows = [(1, f"unu du tri kvar {i} zzz", "eo") for i in range(300)] + [(i, "the of and that this", "en") for i in range(2, 40)] + [(1, "unu du", "eo")] * 50
+    learned = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=4)
+    once = language.learn(spark.createDataFrame([r for r in rows if r[2] == "en"] + [rows[0]], "doc_id long, text string, lang string"), sample=4)
+    assert learned.langs == once.langs == ["en", "eo"]
+    # one text of three or four words has few n-grams, three hundred numbered ones have many
+    assert (learned.ranks[:, learned.langs.index("eo")] >= 0).sum() < 60

@@ -3,9 +3,11 @@ import struct
 import corpus_pipeline
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from posteria.llm import decontaminate, queries
+from posteria.session import stage
 from tests.conftest import SF_DIR
 from tests.llm.test_minhash import brute_components, brute_sets
 from tests.llm.test_repeats import brute
@@ -89,3 +91,40 @@ def test_copies_stay_once(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in once.collect()), key=str) == sorted(want, key=str)
     after = corpus_pipeline.no_repeats(spark, once, SF_DIR).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in after), key=str) == sorted(want, key=str)
+
+
+STAGES_THAT_KEEP = corpus_pipeline.STAGES[:-1]
+
+
+def test_columns_of_others_are_left_alone(spark):
+    names = [*COLUMNS, "score", "kept", "removed", "margin", "lang_pred", "n_bytes", "component_id", "row", "a.b", "best"]
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    extra = [F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in names[len(COLUMNS) :]]
+    docs = docs.select(*COLUMNS, *extra).union(docs.limit(1).select(F.lit(777), F.lit(None), "lang", "source", "n_chars", *[F.lit(f"{c} 777") for c in names[len(COLUMNS) :]]))
+    for _, step in STAGES_THAT_KEEP:
+        docs = stage(step(spark, docs, SF_DIR), "kept")
+        assert docs.columns == names
+        for r in docs.collect():
+            assert all(r[c] == f"{c} {r['doc_id']}" for c in names[len(COLUMNS) :])
+    assert docs.count() > 100
+    assert corpus_pipeline.packed(spark, docs, SF_DIR).count() > 100
+
+
+def test_stages_on_no_rows(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, docs, SF_DIR)
+        assert out.collect() == [], name
+        assert name == "packing" or out.columns == COLUMNS
+
+
+def test_a_very_long_text_passes(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    words = docs.filter("lang = 'en'").agg(F.concat_ws(" ", F.collect_list("text"))).first()[0].split()
+    text = " ".join(f"{w} {i}" for i, w in enumerate(words * 3))  # no run of 200 bytes twice
+    long = spark.createDataFrame([(5000, text, "en", "s", len(text))], docs.schema)
+    assert len(text) > 300_000
+    rows = docs.unionByName(long)
+    for _, step in STAGES_THAT_KEEP:
+        rows = stage(step(spark, rows, SF_DIR), "long")
+    assert rows.filter("doc_id = 5000").first()["text"] == text
