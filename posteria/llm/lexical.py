@@ -27,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from posteria.llm.tables import give_back, pick, slices
+from posteria.llm.tables import lean, pick, slices
 from posteria.operators.ranks import key_ranks
 from posteria.session import stage
 
 #: Fixed: what a term is, once A-Z are in lower case.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: The same for UTF-8: bytes of terms in lower case, all others blank. No byte of another character is below 0x80.
+SOLID = bytes((c | 32 if chr(c).isalpha() else c) if c > 127 or chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
 BLOCK_DOCS = 4096  # documents of a block, fewer if their texts are long
 BLOCK_BYTES = 8 << 20
 BUNDLE_ITEMS = 64
@@ -46,6 +48,20 @@ def terms_of(text: str | None) -> list[str]:
     return regex.findall(TERM, (text or "").translate(LOWER))
 
 
+class _Codes(dict):
+    """Numbers of terms, in the order in which they are first met."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = code = len(self)
+        return code
+
+
+def _sliced(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of the values between neighbouring cuts, as one binary value each."""
+    offsets = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
 def _index(docs: DataFrame) -> DataFrame:
     """block, term, local, tf, n, total: lists of the documents of a block that hold a term, and how often.
 
@@ -55,59 +71,53 @@ def _index(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["id"].dataType.simpleString()
 
     def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, find = TaskContext.get().partitionId() << 33, regex.compile(TERM).findall
-        lists: dict[str, tuple[list[int], list[int]]] = {}
-        ids, lengths, held = [], [], 0
+        number = TaskContext.get().partitionId() << 33
+        codes, found, lengths, ids, held = _Codes(), [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            n = len(lists) + 1
-            places = [np.arange(len(ids), dtype="<u2"), *(np.array(a, "<u2") for a, _ in lists.values())]
-            counts = [np.array(lengths, "<u4"), *(np.array(b, "<u4") for _, b in lists.values())]
+            n, sizes = len(codes) + 1, np.array(lengths, np.int64)
+            places = np.repeat(np.arange(sizes.size), sizes)
+            # one number for each term of each document, in the order of terms and then documents
+            pairs, tf = np.unique(np.concatenate(found) * BLOCK_DOCS + places, return_counts=True)
+            term, local = np.divmod(pairs, BLOCK_DOCS)
+            ends = np.cumsum(np.bincount(term, minlength=n - 1))
+            local = np.concatenate((np.arange(sizes.size), local)).astype("<u2")
+            tf = np.concatenate((sizes, tf)).astype("<u4")
+            cuts = np.concatenate(([0, sizes.size], sizes.size + ends))
             named = pa.concat_arrays(ids)
             offsets = pa.array(np.concatenate(([0], np.full(n, len(named)))), pa.int32())
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(n, number), pa.int64()),
-                    pa.array(["", *lists], pa.string()),
-                    pa.array([x.tobytes() for x in places], pa.binary()),
-                    pa.array([x.tobytes() for x in counts], pa.binary()),
-                    pa.array([x.size for x in places], pa.int64()),
-                    pa.array([int(x.sum(dtype=np.int64)) for x in counts], pa.int64()),
+                    pa.array([b"", *codes], pa.binary()).cast(pa.string()),
+                    _sliced(local, cuts),
+                    _sliced(tf, cuts),
+                    pa.array(np.diff(cuts), pa.int64()),
+                    pa.array(np.add.reduceat(tf, cuts[:-1], dtype=np.int64), pa.int64()),
                     pa.ListArray.from_arrays(offsets, named),
                 ],
                 names=["block", "term", "local", "tf", "n", "total", "ids"],
             )
 
         for batch in slices(batches, "text", 1 << 20):
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                found = find(text.translate(LOWER)) if text else []
-                if not found:
+            for row, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                terms = text.translate(SOLID).split() if text else ()
+                if not terms:
                     continue
-                counted: dict[str, int] = {}
-                for term in found:
-                    counted[term] = counted.get(term, 0) + 1
-                place = len(ids)
-                for term, n in counted.items():
-                    at = lists.get(term)
-                    if at is None:
-                        lists[term] = ([place], [n])
-                    else:
-                        at[0].append(place)
-                        at[1].append(n)
+                found.append(np.fromiter(map(codes.__getitem__, terms), np.int64, len(terms)))
+                lengths.append(len(terms))
                 ids.append(batch.column(0).slice(row, 1))
-                lengths.append(len(found))
                 held += len(text)
                 if len(ids) >= BLOCK_DOCS or held >= BLOCK_BYTES:
                     yield block()
-                    lists, ids, lengths, held = {}, [], [], 0
+                    codes, found, lengths, ids, held = _Codes(), [], [], [], 0
                     number += 1
         if ids:
             yield block()
-        del lists
-        give_back()
+        del codes, found
 
     kind = f"block long, term string, local binary, tf binary, n long, total long, ids array<{id_type}>"
-    return docs.mapInArrow(inverted, kind)
+    return docs.mapInArrow(lean(inverted), kind)
 
 
 def _bundles(items: DataFrame) -> DataFrame:
