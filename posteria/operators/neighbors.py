@@ -1,10 +1,16 @@
-"""Exact k nearest neighbours as a pivot-partitioned join.
-
-Every training row belongs to the cell of its nearest pivot. The distance of a
-query to the pivots and the radii of the cells give, by the triangle
-inequality, the cells that can hold a neighbour; only those are searched. Big
-cells are cut into blocks on both sides, so no task holds more than two blocks,
-and a task returns k candidates per query, never all pairs.
+"""k nearest neighbours through a tree of cells.
+
+Training rows are split again and again into cells around pivots, rows of the
+cell itself, until a cell fits one task; a cell of any size is split in blocks
+and no level holds more than a fixed number of pivots for a cell. A query goes
+down to at most ``probes`` cells, so its copies are bounded whatever the number
+of dimensions, and tasks return k candidates per query, never pairs.
+
+The distances to pivots and the radii of the cells give, by the triangle
+inequality, a lower bound for everything a query has not seen. Where its k-th
+neighbour is nearer than that, the answer is certain; with ``exact`` the other
+queries, and only these, also search every cell that the bound does not rule
+out.
 """
 
 from __future__ import annotations
@@ -12,30 +18,48 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (loads pa.compute)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from posteria.functions.seeded import seeded_hash
 from posteria.operators.joins import join_groups
 from posteria.operators.ranks import key_ranks
-from posteria.operators.sets import top_k
 from posteria.session import stage
 
-MAX_PIVOTS = 1024  # per group
-BLOCK = 4096  # rows per side in one task
-BROADCAST_NUMBERS = 4_000_000  # a training table up to this size (32 MB) is broadcast
+FAN = 64  # cells that one cell is split into
+PROBES = 16  # cells that a query is sent to at first
+BLOCK = 4096  # rows of a side in one task
+BROADCAST_NUMBERS = 4_000_000  # a training table of up to so many numbers (32 MB) is sent to the queries instead
+SPARE = 8  # candidates beyond k whose distances are taken exactly
 _CHUNK = 4_000_000  # numbers in one distance block
 
 
 def _distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
-    gap = np.abs(a[:, None, :] - b[None, :, :])
+    """Exact to the last digits, by differences; ``a`` and ``b`` broadcast over all but the last axis."""
+    gap = np.abs(a - b)
     if p == 2:
-        return np.sqrt(np.einsum("qtd,qtd->qt", gap, gap))
+        return np.sqrt(np.einsum("...d,...d->...", gap, gap))
     if p == 1:
-        return gap.sum(2)
-    return (gap**p).sum(2) ** (1 / p)
+        return gap.sum(-1)
+    return (gap**p).sum(-1) ** (1 / p)
+
+
+def _table(a: np.ndarray, b: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray | float]:
+    """Distances of all rows of ``a`` to all of ``b`` and how far off they can be.
+
+    Euclidean ones come from one matrix product, after moving the origin to the
+    middle of ``b``; others from differences.
+    """
+    if p != 2:
+        return _distances(a[:, None, :], b[None], p), 0.0
+    middle = b.mean(0)
+    a, b = a - middle, b - middle
+    squares = np.einsum("qd,qd->q", a, a)[:, None] + np.einsum("td,td->t", b, b)[None]
+    # rounding of the sum of products, relative to the squares, turned into a distance
+    off = np.sqrt(squares * (1e-15 * (a.shape[1] + 8)))
+    return np.sqrt(np.maximum(squares - 2 * (a @ b.T), 0.0)), off
 
 
 def _chunks(n: int, width: int) -> Iterator[slice]:
@@ -43,138 +67,218 @@ def _chunks(n: int, width: int) -> Iterator[slice]:
     return (slice(i, i + step) for i in range(0, n, step))
 
 
-def _pivot_map(train: DataFrame, pivots: int) -> dict[str, np.ndarray]:
-    """Group -> pivot coordinates: the first rows of a seeded shuffle."""
-    order = [seeded_hash(["_group", "_key"], 7), F.col("_key")]
-    rows = top_k(train.select("_group", "_key", "_x"), order, pivots, ["_group"]).collect()
-    found: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["_group"], r["_key"])):
-        found.setdefault(r["_group"], []).append(r["_x"])
-    return {g: np.array(v, dtype=float) for g, v in found.items()}
-
-
-def _assign(train: DataFrame, pivots: dict[str, np.ndarray], p: float) -> DataFrame:
-    schema = T.StructType(
-        [*train.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_r", T.DoubleType())]
-    )
+def _matrix(column) -> np.ndarray:
+    """A column of equally long lists as rows of numbers."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for group, part in batch.groupby("_group"):
-                centres = pivots[group]
-                x = np.stack(part["_x"])
-                cells, radius = np.empty(len(part), int), np.empty(len(part))
-                for s in _chunks(len(part), centres.size):
-                    d = _distances(x[s], centres, p)
-                    cells[s], radius[s] = d.argmin(1), d.min(1)
-                yield part.assign(_cell=cells, _r=radius)
 
-    return train.mapInPandas(nearest, schema)
+def nearest_rows(
+    x: np.ndarray, keys: np.ndarray, y: np.ndarray, skip: np.ndarray, has: np.ndarray, k: int, p: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of y, row of x, distance) of the k nearest rows of ``x`` for each of ``y``; ties to the smaller key.
 
+    ``skip``: for each row of ``y`` the key that is not its neighbour, where it ``has`` one.
+    """
+    rows, found, dist = [], [], []
+    take = min(k, len(x))
+    if not take or not len(y):
+        return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    some = min(len(x), take + SPARE + 1)
+    for s in _chunks(len(y), len(x) if p == 2 else x.size):
+        d, off = _table(y[s], x, p)
+        low, high = d - off, d + off
+        own = (skip[s][:, None] == keys[None]) & has[s][:, None]
+        low[own] = high[own] = np.inf
+        near = np.argpartition(low, some - 1, axis=1)[:, :some]
+        # the rest is further off than the k-th of these, or the row is looked through whole
+        kth = np.partition(np.take_along_axis(high, near, 1), take - 1, axis=1)[:, take - 1]
+        last = np.take_along_axis(low, near, 1).max(1) if some < len(x) else np.full(len(near), np.inf)
+        sure = (last > kth) | (some == len(x))
+        exact = _distances(y[s][:, None, :], x[near], p)
+        exact[np.take_along_axis(own, near, 1)] = np.inf
+        order = np.lexsort((keys[near], exact), axis=1)[:, :take]
+        rows.append(np.repeat(np.arange(s.start, s.start + len(near)), take))
+        best, far = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+        for i in np.flatnonzero(~sure):  # many ties around the k-th
+            line = _distances(y[s][i][None], x, p)
+            line[own[i]] = np.inf
+            best[i] = np.lexsort((keys, line))[:take]
+            far[i] = line[best[i]]
+        found.append(best.ravel())
+        dist.append(far.ravel())
+    rows, found, dist = np.concatenate(rows), np.concatenate(found), np.concatenate(dist)
+    seen = np.isfinite(dist)
+    return rows[seen], found[seen], dist[seen]
+
+
+def _found(left: pa.Table, right: pa.Table, k: int, p: float, payload: bool) -> pa.Table:
+    """The k nearest rows of ``left`` (one group) for each row of ``right``."""
+    keys = left["_key"].to_numpy()
+    skip = right["_skip"]
+    own, has = skip.fill_null(0).to_numpy(), skip.is_valid().to_numpy()
+    q, t, d = nearest_rows(_matrix(left["_x"]), keys, _matrix(right["_x"]), own, has, k, p)
+    columns = [right["_group"].take(q), right["_qkey"].take(q), pa.array(keys[t]), pa.array(d)]
+    names = ["_group", "_qkey", "_key", "_d"]
+    if payload:
+        columns.append(left["_y"].take(t))
+        names.append("_y")
+    return pa.table(columns, names=names)
 
-def _route(query: DataFrame, pivots, cells, k: int, p: float, first: bool) -> DataFrame:
-    """Query rows repeated per cell to search. The first round takes the cells
-    nearest to the query until they hold enough rows; the second takes every
-    other cell that may still hold something within ``_bound``."""
-    schema = T.StructType([*query.schema.fields, T.StructField("_cell", T.IntegerType())])
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for group, part in batch.groupby("_group"):
-                if group not in pivots:
-                    continue
-                sizes, radii = cells[group]
-                x = np.stack(part["_x"])
-                for s in _chunks(len(part), pivots[group].size):
-                    d = _distances(x[s], pivots[group], p)
-                    order = np.argsort(d, axis=1, kind="stable")
-                    held = np.cumsum(sizes[order], axis=1)
-                    needed = np.roll(held, 1, axis=1)
-                    needed[:, 0] = 0
-                    home = np.zeros_like(d, bool)
-                    np.put_along_axis(home, order, needed < k, 1)
-                    if first:
-                        wanted = home
-                    else:
-                        # bounds from floating distances get a little slack
-                        reach = part["_bound"].to_numpy()[s][:, None] * (1 + 1e-9) + 1e-12
-                        wanted = ~home & (d - radii[None] <= reach)
-                    q, c = np.nonzero(wanted & (sizes[None] > 0))
-                    yield part.iloc[s].iloc[q].assign(_cell=c)
-
-    return query.mapInPandas(send, schema)
-
-
-def _blocks(df: DataFrame, sizes: DataFrame, own: str, other: str, key: str) -> DataFrame:
-    """Give each row its own block of the cell and repeat it for every block of
-    the other side. ``sizes`` has one row per (group, cell)."""
-    placed = df.join(sizes, ["_group", "_cell"])
-    mine = F.pmod(F.xxhash64(key), F.col(f"{own}_blocks")).cast("int")
-    theirs = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
-    return placed.withColumn(own, mine).withColumn(other, theirs).drop("t_blocks", "q_blocks")
-
-
-def _fields(payload: str | None) -> str:
-    return "_group string, _qkey long, rank int, _key long, _d double" + (", _y array<double>" if payload else "")
-
-
-def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int, p: float, payload: str | None) -> pd.DataFrame:
-    """The k nearest rows of ``left`` (one group, by key) for each row of ``right``."""
-    if not len(left) or not len(right):
-        return pd.DataFrame({c: [] for c in ["_group", "_qkey", "rank", "_key", "_d"] + (["_y"] if payload else [])})
-    x, y, keys = np.stack(left["_x"]), np.stack(right["_x"]), left["_key"].to_numpy()
-    take = min(k, len(left))
-    rows, dist = [], []
-    for s in _chunks(len(right), x.size):
-        d = _distances(y[s], x, p)
-        d[right["_skip"].to_numpy()[s][:, None] == keys[None]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :take]
-        rows.append(best)
-        dist.append(np.take_along_axis(d, best, 1))
-    rows, dist = np.concatenate(rows), np.concatenate(dist)
-    out = pd.DataFrame(
-        {
-            "_group": left["_group"].iloc[0],
-            "_qkey": np.repeat(right["_qkey"].to_numpy(), take),
-            "rank": np.tile(np.arange(1, take + 1), len(right)),
-            "_key": keys[rows.ravel()],
-            "_d": dist.ravel(),
-        }
-    )
-    if payload:
-        out["_y"] = left["_y"].to_numpy()[rows.ravel()]
-    return out[np.isfinite(out["_d"])]
+def _fields(payload: bool) -> str:
+    return "_group string, _qkey long, _key long, _d double" + (", _y array<double>" if payload else "")
 
 
-def _scan_small(train: DataFrame, query: DataFrame, k: int, p: float, payload: str | None) -> DataFrame:
+def _scan_small(train: DataFrame, query: DataFrame, k: int, p: float, payload: bool) -> DataFrame:
     """Training table of measured size on every executor; queries do not move and
-    each one's neighbours are found, ranked, in its own task."""
-    held = train.toPandas().sort_values("_key", kind="stable")
-    handle = query.sparkSession.sparkContext.broadcast(dict(list(held.groupby("_group"))))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    each one's neighbours are found in its own task."""
+    held = train.toArrow().combine_chunks().sort_by([("_group", "ascending"), ("_key", "ascending")])
+    groups = held["_group"].to_numpy()
+    first = {g: (np.searchsorted(groups, g), np.searchsorted(groups, g, "right")) for g in dict.fromkeys(groups.tolist())}
+    handle = query.sparkSession.sparkContext.broadcast((held, first))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = handle.value
         for batch in batches:
-            for group, part in batch.groupby("_group"):
-                if group in handle.value:
-                    yield _nearest(handle.value[group], part, k, p, payload)
-
-    return query.mapInPandas(scan, _fields(payload))
-
-
-def _search(train: DataFrame, routed: DataFrame, k: int, p: float, payload: str | None, block: int) -> DataFrame:
-    count = lambda df, n: df.groupBy("_group", "_cell").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int").alias(n)
-    )
-    # one row per pivot and group; staged, so it is broadcast by its known size
-    sizes = stage(count(train, "t_blocks").join(count(routed, "q_blocks"), ["_group", "_cell"]), "blocks")
-    t = _blocks(train, sizes, "t", "q", "_key")
-    q = _blocks(routed, sizes, "q", "t", "_qkey")
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(left.sort_values("_key", kind="stable"), right, k, p, payload)
-
-    on = ["_group", "_cell", "t", "q"]
-    return t.groupBy(*on).cogroup(q.groupBy(*on)).applyInPandas(nearest, _fields(payload))
+            table = pa.Table.from_batches([batch])
+            for group in table["_group"].unique().to_pylist():
+                if group in first:
+                    start, end = first[group]
+                    part = table.filter(pa.compute.equal(table["_group"], group))
+                    yield from _found(held.slice(start, end - start), part, k, p, payload).combine_chunks().to_batches()
+
+    return query.mapInArrow(scan, _fields(payload))
+
+
+# --- the tree ---------------------------------------------------------------------------
+
+
+def _salted(rows: DataFrame, sizes: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows of the cells in ``sizes`` (group, cell, n), each with its ``_salt`` of n / block."""
+    salts = F.ceil(F.col("n") / block)
+    return rows.join(sizes, ["_group", "_cell"]).withColumn("_salt", F.pmod(F.xxhash64(key), salts)).drop("n")
+
+
+def _for_salts(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """Rows of the cells in ``sizes``, one for each salt, under names of their own."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("n") / block) - 1).cast("long")))
+    out = rows.join(sizes, ["_group", "_cell"]).withColumn("_salt", salts).drop("n")
+    return out.withColumnsRenamed({c: f"_p{c}" for c in out.columns})
+
+
+def _meet(rows: DataFrame, others: DataFrame, step, fields: str) -> DataFrame:
+    """``step`` over the rows of a cell's salt and the others of it."""
+    on = ["_group", "_cell", "_salt"]
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        return step(left, right.rename_columns([c[2:] for c in right.column_names]))
+
+    return rows.groupBy(*on).cogroup(others.groupBy(*[f"_p{c}" for c in on])).applyInArrow(met, fields)
+
+
+def _split(train: DataFrame, block: int, fan: int, p: float, payload: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows with the cell of at most ``block`` rows that they end in, and for each level the pivots:
+    (_group, _cell, _child, _x, _radius)."""
+    rows, levels = stage(train.withColumn("_cell", F.lit("")), "cells"), []
+    fields = "_group string, _key long, _x array<double>, _one boolean" + (", _y array<double>" if payload else "") + ", _cell string, _r double"
+
+    def assign(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], left[c].type) for c in own] + [pa.array([], pa.string()), pa.array([], pa.float64())], names=[*own, "_cell", "_r"])
+        x, pivots, children = _matrix(left["_x"]), _matrix(right["_x"]), right["_child"].to_numpy()
+        cells, radius = np.empty(len(x), np.int64), np.empty(len(x))
+        for s in _chunks(len(x), pivots.size):
+            d = _distances(x[s][:, None, :], pivots[None], p)
+            cells[s], radius[s] = d.argmin(1), d.min(1)
+        parent = left["_cell"][0].as_py()
+        names = np.array([f"{parent}/{c}" for c in children.tolist()], object)[cells]
+        return pa.table([*[left[c] for c in own], pa.array(names, pa.string()), pa.array(radius)], names=[*own, "_cell", "_r"])
+
+    own = [c for c in rows.columns if c != "_cell"]
+    while True:
+        big = stage(rows.groupBy("_group", "_cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "big")
+        if not big.head(1):
+            return rows, levels
+        order = Window.partitionBy("_group", "_cell").orderBy(seeded_hash(["_group", "_key"], 7 + len(levels)), "_key")
+        different = rows.filter("_one").join(big.drop("n"), ["_group", "_cell"])  # copies of a row are no pivots of their own
+        pivots = different.withColumn("_child", F.row_number().over(order) - 1).filter(F.col("_child") < fan)
+        pivots = stage(pivots.select("_group", "_cell", "_child", "_x"), "pivots")
+        dealt = stage(_meet(_salted(rows, big, "_key", block), _for_salts(pivots, big, block), assign, fields), "split")
+        size = dealt.groupBy("_group", F.col("_cell").alias("_below")).agg(F.max("_r").alias("_radius"))
+        named = pivots.withColumn("_below", F.concat("_cell", F.lit("/"), F.col("_child").cast("string")))
+        levels.append(stage(named.join(size, ["_group", "_below"]).select("_group", "_cell", "_below", "_x", "_radius"), "level"))
+        rows = stage(rows.join(big, ["_group", "_cell"], "left_anti").unionByName(dealt.drop("_r")), "cells")
+
+
+def _down(query: DataFrame, levels: list[DataFrame], block: int, p: float, probes: int | None) -> DataFrame:
+    """Queries with the cells at the bottom that they go to.
+
+    At most ``probes`` of the nearest cells for each, ``_cut`` then is the least
+    distance that anything in the others can have; or, without ``probes``, all
+    cells that may hold something within ``_bound``.
+    """
+    kept = [c for c in query.columns]
+    at = query.withColumns({"_cell": F.lit(""), "_far": F.lit(0.0), "_least": F.lit(0.0), "_cut": F.lit(float("inf"))})
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in at.schema.fields)
+    names = at.columns
+
+    def expand(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return left.slice(0, 0).select(names)
+        y, pivots, radius = _matrix(left["_x"]), _matrix(right["_x"]), right["_radius"].to_numpy()
+        cut = left["_cut"].to_numpy().copy()
+        rows, cells, far, bound = [], [], [], []
+        for s in _chunks(len(y), pivots.shape[0]):
+            d, off = _table(y[s], pivots, p)
+            # what floating distances may be off by is taken from the bound
+            low = np.maximum((d - off) * (1 - 1e-9) - radius[None] * (1 + 1e-9), 0.0)
+            if probes is None:
+                wanted = low <= left["_bound"].to_numpy()[s][:, None]
+            else:
+                wanted = np.ones_like(low, bool)
+                if probes < d.shape[1]:
+                    wanted[:] = False
+                    np.put_along_axis(wanted, np.argpartition(d, probes - 1, axis=1)[:, :probes], True, 1)
+                    cut[s] = np.minimum(cut[s], np.where(wanted, np.inf, low).min(1))
+            q, c = np.nonzero(wanted)
+            rows.append(q + s.start)
+            cells.append(c)
+            far.append(d[q, c])
+            bound.append(low[q, c])
+        rows, cells = np.concatenate(rows), np.concatenate(cells)
+        made = {"_cell": right["_below"].take(pa.array(cells)), "_far": pa.array(np.concatenate(far)), "_least": pa.array(np.concatenate(bound)), "_cut": pa.array(cut[rows])}
+        return pa.table([made[c] if c in made else left[c].take(pa.array(rows)) for c in names], names=names)
+
+    for level in levels:
+        inner = level.select("_group", "_cell").distinct()
+        sizes = at.join(inner, ["_group", "_cell"]).groupBy("_group", "_cell").agg(F.count(F.lit(1)).alias("n"))
+        sizes = stage(sizes, "sizes")
+        more = _meet(_salted(at, sizes, "_qkey", block), _for_salts(level, sizes, block), expand, fields)
+        ended = at.join(sizes, ["_group", "_cell"], "left_anti")
+        at = ended.unionByName(more)
+        if probes is not None:
+            mine = Window.partitionBy("_group", "_qkey")  # at most probes * probes rows
+            place = F.row_number().over(mine.orderBy("_far", "_cell"))
+            at = at.withColumn("_r", place)
+            left_out = F.min(F.when(F.col("_r") > probes, F.col("_least"))).over(mine)
+            at = at.withColumn("_cut", F.least(F.min("_cut").over(mine), left_out)).filter(F.col("_r") <= probes).drop("_r")
+        at = stage(at, "routed")
+    return at.select(*kept, "_cell", "_cut")
+
+
+def _search(train: DataFrame, routed: DataFrame, k: int, p: float, payload: bool, block: int) -> DataFrame:
+    """The k nearest of each query in each cell that it was sent to."""
+    sizes = stage(routed.groupBy("_group", "_cell").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    names = ["_group", "_qkey", "_key", "_d"] + (["_y"] if payload else [])
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64()] + ([pa.list_(pa.float64())] if payload else [])
+            return pa.table([pa.array([], t) for t in kinds], names=names)
+        return _found(right, left, k, p, payload)
+
+    return _meet(_salted(routed, sizes, "_qkey", block), _for_salts(train, sizes, block), near, _fields(payload))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -182,16 +286,41 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
+def _through_tree(
+    train: DataFrame, query: DataFrame, k: int, p: float, payload: bool, block: int, fan: int, probes: int, exact: bool
+) -> DataFrame:
+    """Neighbours with ``certain``: whether the bounds prove that the query has no nearer ones."""
+    rows, levels = _split(train, block, fan, p, payload)
+    routed = stage(_down(query, levels, block, p, probes), "routed")
+    near = stage(_best(_search(rows, routed, k, p, payload, block), k), "near")
+    reach = near.groupBy("_group", "_qkey").agg(
+        # fewer than k found means nothing is ruled out
+        F.when(F.count(F.lit(1)) >= k, F.max("_d")).otherwise(F.lit(float("inf"))).alias("_reach")
+    )
+    cut = routed.groupBy("_group", "_qkey").agg(F.min("_cut").alias("_cut"))
+    known = cut.join(reach, ["_group", "_qkey"], "left").na.fill(float("inf"), ["_reach"])
+    # equal distances go to the smaller key, which may be in a cell not seen: certain needs less
+    known = stage(known.withColumn("certain", (F.col("_reach") < F.col("_cut")) | (F.col("_cut") == float("inf"))), "known")
+    if exact:
+        open_ones = known.filter(~F.col("certain")).select("_group", "_qkey", (F.col("_reach") * (1 + 1e-9) + 1e-12).alias("_bound"))
+        again = _down(query.join(open_ones, ["_group", "_qkey"]), levels, block, p, None)
+        again = again.join(routed.select("_group", "_qkey", "_cell"), ["_group", "_qkey", "_cell"], "left_anti").drop("_bound", "_cut")
+        rest = _search(rows, stage(again, "again"), k, p, payload, block)
+        near = _best(near.drop("rank").unionByName(rest), k)
+        return near.withColumn("certain", F.lit(True))
+    return near.join(known.select("_group", "_qkey", "certain"), ["_group", "_qkey"])
+
+
 def _group_of(by: str | None):
     """The group as text that is never null, so that a null group stays a group."""
     return F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")) if by else F.lit("")
 
 
-def _named(near: DataFrame, by: str | None, payload: Sequence[str]) -> DataFrame:
+def _named(near: DataFrame, by: str | None, payload: Sequence[str], certify: bool) -> DataFrame:
     label = F.when(F.col("_group") != "", F.substring("_group", 2, 1 << 30)).alias("_group")
     named = near.select(
         label, F.col("_qkey").alias("query"), "rank", F.col("_key").alias("neighbour"),
-        F.col("_d").alias("distance"), *([F.col("_y").alias("payload")] if payload else []),
+        F.col("_d").alias("distance"), *([F.col("_y").alias("payload")] if payload else []), *(["certain"] if certify else []),
     )
     return named.withColumnRenamed("_group", by) if by else named.drop("_group")
 
@@ -219,26 +348,33 @@ def _knn_composite(
 def knn(
     train: DataFrame, query: DataFrame, train_key: str | Sequence[str], query_key: str | Sequence[str], feats: Sequence[str], k: int = 5,
     p: float = 2.0, by: str | None = None, payload: Sequence[str] = (), skip_self: bool = False,
-    pivots: int | None = None, block: int = BLOCK, exact: bool = True,
+    fan: int | None = None, block: int = BLOCK, probes: int = PROBES, exact: bool = True, certify: bool = False,
 ) -> DataFrame:
-    """Rows (group, query, rank, neighbour, distance[, payload array]).
-
-    Minkowski distance with p >= 1; ties go to the smaller training key. With
-    ``exact=False`` only the cells nearest to the query are searched. Keys are
-    one whole number or a list of columns; with a list ``query`` and
-    ``neighbour`` are structs of the training key's columns. A training row at
-    an undefined distance (a null or NaN feature) is no neighbour.
+    """Rows (group, query, rank, neighbour, distance[, payload array][, certain]).
+
+    Minkowski distance with p >= 1; ties go to the smaller training key. Keys
+    are one whole number or a list of columns; with a list ``query`` and
+    ``neighbour`` are structs of the training key's columns. A row with a null,
+    NaN or infinite feature is no neighbour and has none.
+
+    With ``exact`` the answer is that of comparing all rows. Without it a query
+    is compared with the rows of at most ``probes`` cells of at most ``block``
+    rows; ``certify`` then adds whether the triangle inequality proves its
+    answer. A training table of measured small size is sent to the queries,
+    where all answers are exact; giving ``fan``, the cells that a cell is split
+    into, asks for the tree at any size.
     """
+    how = dict(feats=feats, k=k, p=p, by=by, payload=payload, skip_self=skip_self, fan=fan, block=block, probes=probes, exact=exact, certify=certify)
     if not (isinstance(train_key, str) and isinstance(query_key, str)):
-        return _knn_composite(
-            train, query, _key_list(train_key), _key_list(query_key), feats=feats, k=k, p=p, by=by, payload=payload,
-            skip_self=skip_self, pivots=pivots, block=block, exact=exact,
-        )
+        return _knn_composite(train, query, _key_list(train_key), _key_list(query_key), **how)
     if p < 1:
         raise ValueError("p must be at least 1, the search relies on the triangle inequality")
+    if probes < 1 or (fan is not None and fan < 2):
+        raise ValueError("a query needs a cell to go to, and a cell two or more to be split into")
     vector = F.array(*[F.col(c).cast("double") for c in feats]).alias("_x")
     group = _group_of(by).alias("_group")
     extra = [F.array(*[F.col(c).cast("double") for c in payload]).alias("_y")] if payload else []
+    finite = F.forall("_x", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
     t = train.select(group, F.col(train_key).cast("long").alias("_key"), vector, *extra)
     own = F.col(query_key).cast("long")
     skip = own if skip_self else F.lit(None).cast("long")
@@ -246,37 +382,17 @@ def knn(
 
     # of identical vectors only the k+1 smallest keys can ever be neighbours, so
     # a heap of copies shrinks before it is searched
-    t = stage(top_k(t, ["_key"], k + 1, ["_group", "_x"]), "rows")
-    sizes = t.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most"))
-    total, largest = (v or 0 for v in sizes.first())
-    pay = "_y" if payload else None
-    if pivots is None:
-        if total * (len(feats) + len(payload) + 1) <= BROADCAST_NUMBERS:
-            return _named(_scan_small(t, q, k, p, pay), by, payload)
-        pivots = min(max(2 * largest // block, 1), MAX_PIVOTS)
-    if pivots == 1:
-        # every group fits one block: nothing to prune
-        one = F.lit(0).alias("_cell")
-        near = _best(_search(t.select("*", one), q.select("*", one), k, p, pay, block), k)
-        return _named(near, by, payload)
-
-    centres = _pivot_map(t, pivots)
-    t = stage(_assign(t, centres, p), "cells")
-    cells = {g: (np.zeros(len(c), int), np.zeros(len(c))) for g, c in centres.items()}
-    for r in t.groupBy("_group", "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_r").alias("r")).collect():
-        cells[r["_group"]][0][r["_cell"]], cells[r["_group"]][1][r["_cell"]] = r["n"], r["r"]
-    held = k + 1 if skip_self else k
-    near = _best(_search(t, _route(q, centres, cells, held, p, True), k, p, pay, block), k)
-    if exact:
-        near = stage(near, "near")
-        # the k-th distance so far; fewer than k found means nothing is ruled out
-        reach = near.groupBy("_group", "_qkey").agg(
-            F.when(F.count(F.lit(1)) >= k, F.max("_d")).otherwise(F.lit(float("inf"))).alias("_bound")
-        )
-        bounded = q.join(reach, ["_group", "_qkey"], "left").na.fill(float("inf"), ["_bound"])
-        rest = _search(t, _route(bounded, centres, cells, held, p, False), k, p, pay, block)
-        near = _best(near.unionByName(rest), k)
-    return _named(near, by, payload)
+    copy = F.row_number().over(Window.partitionBy("_group", "_x").orderBy("_key"))
+    t = t.withColumn("_copy", copy).filter(F.col("_copy") <= k + 1).withColumn("_one", F.col("_copy") == 1).drop("_copy")
+    # looked at once written: before, the planner would carry the test of every feature through the caller's plan
+    t = stage(t, "rows").filter(finite)
+    pay = bool(payload)
+    if fan is None and t.count() * (len(feats) + len(payload) + 1) <= BROADCAST_NUMBERS:
+        near = _scan_small(t.drop("_one"), q, k, p, pay)
+        near = _best(near, k).withColumn("certain", F.lit(True))
+    else:
+        near = _through_tree(t, stage(q, "queries").filter(finite), k, p, pay, max(block, 2 * (k + 1)), fan or FAN, probes, exact)
+    return _named(near, by, payload, certify)
 
 
 def knn_predict(

@@ -178,7 +178,7 @@ Q["g05_knn"] = lambda s, d: rounded(neighbors.knn(
     V.v_emb(s, d), V.v_emb(s, d), "number", "number", FEATS, 5, skip_self=True))
 # the way for training tables too large to broadcast, with small blocks
 Q["g05_knn_partitioned"] = lambda s, d: rounded(neighbors.knn(
-    V.v_emb(s, d), V.v_emb(s, d), "number", "number", FEATS, 5, skip_self=True, block=128, pivots=6))
+    V.v_emb(s, d), V.v_emb(s, d), "number", "number", FEATS, 5, skip_self=True, block=64, fan=16, probes=4))
 SQL["g05_knn"] = (
     f"WITH e AS MATERIALIZED ({EMB}) SELECT query, row_number() OVER (PARTITION BY query ORDER BY distance, neighbour)::int AS rank, "
     f"neighbour, {R('distance')} AS distance FROM ({near_sql(ED, 5)})")

@@ -28,15 +28,15 @@ def test_narrowed_quantiles_with_ties_and_a_hot_group(spark):
         assert r["value"] == pytest.approx(np.quantile(part.v, r["q"]), abs=1e-12)
 
 
-@pytest.mark.parametrize("p,pivots,block", [(2, 9, 64), (1, 5, 50), (3, None, 4096), (2, 30, 4096), (2, 1, 64)])
-def test_knn_equals_brute_force(spark, p, pivots, block):
+@pytest.mark.parametrize("p,fan,block", [(2, 9, 64), (1, 5, 50), (3, None, 4096), (2, 30, 4096), (2, 2, 64)])
+def test_knn_equals_brute_force(spark, p, fan, block):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 3))
     x[:150] = [0.25, 0.25, 0.25]  # a third of all rows are copies
     q = np.vstack([rng.normal(size=(60, 3)), x[:5]])
     t = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "k long, a double, b double, c double")
     u = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(q)], "k long, a double, b double, c double")
-    got = neighbors.knn(t, u, "k", "k", ["a", "b", "c"], 4, p=p, pivots=pivots, block=block).collect()
+    got = neighbors.knn(t, u, "k", "k", ["a", "b", "c"], 4, p=p, fan=fan, block=block, probes=2).collect()
     d = (np.abs(q[:, None] - x[None]) ** p).sum(2) ** (1 / p)
     want = {(i, r + 1): int(j) for i in range(len(q)) for r, j in enumerate(np.lexsort((np.arange(400), np.round(d[i], 12)))[:4])}
     assert {(r["query"], r["rank"]): r["neighbour"] for r in got} == want
@@ -44,7 +44,7 @@ def test_knn_equals_brute_force(spark, p, pivots, block):
 
 def test_knn_within_groups_skips_the_row_itself(spark):
     df = spark.range(60).select(F.col("id").alias("k"), (F.col("id") % 2).cast("string").alias("g"), F.col("id").cast("double").alias("x"))
-    out = neighbors.knn(df, df, "k", "k", ["x"], 2, by="g", skip_self=True, pivots=4).collect()
+    out = neighbors.knn(df, df, "k", "k", ["x"], 2, by="g", skip_self=True, fan=4, block=8).collect()
     assert len(out) == 120
     assert all(r["query"] != r["neighbour"] and (r["query"] - r["neighbour"]) % 2 == 0 for r in out)
     assert {r["neighbour"] for r in out if r["query"] == 10} == {8, 12}
@@ -399,3 +399,44 @@ def test_plan_with_several_tiles(spark):
     assert left.count() == 300
     folds = selection.rfe_cv(rows.withColumn("label", F.col("a")), ["tile", "num"], ["x", "z"], "label", folds=2, trees=4)
     assert folds.count() == 2
+
+
+def test_queries_go_to_a_bounded_number_of_cells(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 64)) * 2
+    x = centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 64)) * 0.6
+    feats = [f"f{i}" for i in range(64)]
+    t = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["k", *feats])
+    q = t.filter("k % 10 = 0")
+    d = np.sqrt(((x[::10][:, None] - x[None]) ** 2).sum(2))
+    d[np.arange(300), np.arange(300) * 10] = np.inf
+    want = {(i * 10, int(j)) for i in range(300) for j in np.argsort(d[i], kind="stable")[:5]}
+
+    train = t.select(F.lit("").alias("_group"), F.col("k").alias("_key"), F.array(*feats).alias("_x"), F.lit(True).alias("_one"))
+    rows, levels = neighbors._split(train, 128, 8, 2.0, False)
+    sizes = [r["count"] for r in rows.groupBy("_cell").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 128 and len(levels) > 1
+    routed = neighbors._down(q.select(F.lit("").alias("_group"), F.col("k").alias("_qkey"), F.array(*feats).alias("_x")), levels, 4096, 2.0, 10)
+    copies = [r["count"] for r in routed.groupBy("_qkey").count().collect()]
+    assert len(copies) == 300 and max(copies) <= 10
+
+    near = neighbors.knn(t, q, "k", "k", feats, 5, skip_self=True, fan=8, block=128, probes=10, exact=False, certify=True).collect()
+    found = {(r["query"], r["neighbour"]) for r in near}
+    assert len(near) == 1500 and len(found & want) >= 0.9 * len(want)
+    proven = {r["query"] for r in near if r["certain"]}
+    assert {p for p in found if p[0] in proven} == {p for p in want if p[0] in proven}
+    exact = neighbors.knn(t, q, "k", "k", feats, 5, skip_self=True, fan=8, block=128, probes=10).collect()
+    assert {(r["query"], r["neighbour"]) for r in exact} == want
+
+
+def test_nearest_rows_with_many_ties():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, size=(300, 2)).astype(float)
+    x[100:] += 1e6  # far from the origin: products round
+    y = x[rng.integers(0, 300, 80)]
+    keys = rng.permutation(300)
+    q, t, d = neighbors.nearest_rows(x, keys, y, np.zeros(80, np.int64), np.zeros(80, bool), 7, 2.0)
+    full = np.sqrt(((y[:, None] - x[None]) ** 2).sum(2))
+    for i in range(80):
+        want = np.lexsort((keys, full[i]))[:7]
+        assert list(t[q == i]) == list(want) and np.allclose(d[q == i], full[i][want], atol=0)
