@@ -8,10 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from posteria.functions.arrays import MAD_TO_SIGMA
 from posteria.functions.scalar import grid_cell, right_closed_bin
-from posteria.operators.joins import join_groups
-from posteria.operators.quantiles import ONE_PASS_VALUES, fits_one_pass, group_medians
+from posteria.operators import ordered
+from posteria.operators.quantiles import group_medians
 from posteria.operators.ranks import prefix_sums
 from posteria.session import stage
 
@@ -226,98 +225,24 @@ def residual_histogram(df: DataFrame, col: str, low: float, high: float, bins: i
 # --- robust statistics ---------------------------------------------------------------------
 
 
-def _attach(df: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
-    """Add the per-group constants: a join by group, or literals without one."""
-    if by:
-        return join_groups(df, state, by)
-    only = state.first()  # one row
-    return df.select("*", *[F.lit(only[c]).cast("double").alias(c) for c in state.columns])
-
-
-def mad_std(df: DataFrame, col: str, by: Sequence[str] = (), one_pass_values: int = ONE_PASS_VALUES) -> DataFrame:
+def mad_std(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """MAD sigma per group: columns (by..., median, mad_std)."""
-    rows = df.filter(F.col(col).isNotNull())
-    fits = fits_one_pass(rows, list(by), 1, one_pass_values)
-    return _mad(rows, col, list(by), {"bounded": True} if fits else {"one_pass_values": one_pass_values})
-
+    return ordered.search(df, by, col, ordered.median_and_mad, "median double, mad_std double")
 
-def _mad(rows: DataFrame, col: str, by: list[str], how: dict) -> DataFrame:
-    centre = group_medians(rows, by, {col: "median"}, **how)
-    away = _attach(rows, centre, by).select(*by, "median", F.abs(F.col(col) - F.col("median")).alias("_d"))
-    out = group_medians(away, [*by, "median"], {"_d": "_m"}, **how)
-    return out.select(*by, "median", (F.col("_m") * MAD_TO_SIGMA).alias("mad_std"))
 
-
-def _clip_round(kept: DataFrame, by: list[str], spread: str, most: int, fits: bool) -> DataFrame:
-    """Per group n, mean, median, std of ``_v`` and the scale ``s`` of the clip."""
-    basics = [F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std")]
-    if fits:
-        out = kept.groupBy(*by).agg(*basics, F.percentile("_v", F.lit(0.5)).alias("median"))
-    else:
-        medians = group_medians(kept, by, {"_v": "median"}, one_pass_values=most)
-        out = _attach(kept.groupBy(*by).agg(*basics), medians, by)
-    if spread != "mad":
-        return out.withColumn("s", F.col("std"))
-    how = {"bounded": True} if fits else {"one_pass_values": most}
-    mads = _mad(kept, "_v", by, how).select(*by, F.col("mad_std").alias("s"))
-    return _attach(out, mads, by)
+CLIPPED = "n long, mean double, median double, std double, lo double, hi double"
 
 
 def sigma_clip_limits(
-    df: DataFrame, col: str, by: Sequence[str] = (), sigma: float = 6.0, max_rounds: int | None = None,
-    spread: str = "std", one_pass_values: int = ONE_PASS_VALUES,
+    df: DataFrame, col: str, by: Sequence[str] = (), sigma: float = 6.0, max_rounds: int | None = None, spread: str = "std"
 ) -> DataFrame:
     """Per group the closed range that survives clipping, with the mean, median
     and std of what is inside.
 
-    The loop carries only this small table (one row without groups); each round
-    is one aggregation of the untouched rows.
+    The values are sorted once; all rounds are searches in the blocks of a
+    group, whatever its size.
     """
-    by = list(by)
-    rows = df.select(*by, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull()).persist()
-    fits = fits_one_pass(rows, by, 1, one_pass_values)
-    loop = _clip_groups if by else _clip_all
-    state = loop(rows, by, sigma, max_rounds, spread, one_pass_values, fits)
-    rows.unpersist()
-    return state
-
-
-def _clip_all(rows, by, sigma, max_rounds, spread, most, fits) -> DataFrame:
-    low, high, left, rounds = -math.inf, math.inf, None, 0
-    while True:
-        kept = rows.filter(F.col("_v").between(low, high)) if rounds else rows
-        r = _clip_round(kept, by, spread, most, fits).first()
-        settled = r["n"] == left or rounds == max_rounds or not r["n"]
-        if r["n"]:
-            low, high = max(low, r["median"] - sigma * r["s"]), min(high, r["median"] + sigma * r["s"])
-        if settled:
-            row = (r["n"], r["mean"], r["median"], r["std"], low, high)
-            return rows.sparkSession.createDataFrame(
-                [row], "n long, mean double, median double, std double, lo double, hi double"
-            )
-        left, rounds = r["n"], rounds + 1
-
-
-def _clip_groups(rows, by, sigma, max_rounds, spread, most, fits) -> DataFrame:
-    state, rounds = None, 0
-    while True:
-        kept = rows
-        if state is not None:
-            inside = F.col("_v").between(F.col("lo"), F.col("hi"))
-            kept = join_groups(rows, state.select(*by, "lo", "hi"), by).filter(inside).select(*by, "_v")
-        new = _clip_round(kept, by, spread, most, fits)
-        low, high = F.col("median") - sigma * F.col("s"), F.col("median") + sigma * F.col("s")
-        changed = F.lit(True)
-        if state is not None:
-            old = state.select(*by, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("n").alias("_n"))
-            new = join_groups(new, old, by)
-            low, high = F.greatest(low, "_lo"), F.least(high, "_hi")
-            changed = F.col("n") != F.col("_n")
-        new = new.select(*by, "n", "mean", "median", "std", low.alias("lo"), high.alias("hi"), changed.alias("changed"))
-        state = stage(new, "state")
-        if rounds and not state.filter("changed").head(1) or rounds == max_rounds:
-            return state.drop("changed")
-        rounds += 1
+    return ordered.search(df, by, col, lambda values: ordered.clip(values, sigma, max_rounds, spread), CLIPPED)
 
 
 def sigma_clip_stats(df: DataFrame, col: str, by: Sequence[str] = (), sigma: float = 6.0, max_rounds: int | None = None, **how) -> DataFrame:
@@ -341,8 +266,13 @@ def pull_distribution(df: DataFrame, obs: str, pred: str, sigma_col: str, bins:
         ),
         "pulls",
     )
-    clipped = sigma_clip_stats(pulls, "pull").first()
-    spread = mad_std(pulls, "pull").first()["mad_std"]
+    def robust(values: ordered.Ordered) -> dict:
+        return ordered.clip(values, 6.0, None, "std") | {"spread": values.mad_std(values.median())}
+
+    clipped = ordered.search(pulls, [], "pull", robust, CLIPPED + ", spread double").first()
+    if clipped is None:  # no pulls
+        clipped = dict.fromkeys(("mean", "median", "std", "spread"), math.nan)
+    spread = clipped["spread"]
     width = 2 * limit / bins
     counts = residual_histogram(pulls, "pull", -limit, limit, bins)
     total = F.sum("n").over(Window.partitionBy(F.lit(0))).cast("double")  # at most `bins` rows

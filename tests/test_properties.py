@@ -9,7 +9,7 @@ from posteria.functions import arrays
 from posteria.functions.seeded import normal, uniform
 from posteria.models import network, scoring, training
 from posteria.models.network import NetConfig
-from posteria.operators import balance, evaluation, mixture, neighbors, posterior, quantiles, sampling, selection
+from posteria.operators import balance, evaluation, mixture, neighbors, ordered, posterior, quantiles, sampling, selection
 from posteria.plans import predict, train
 from posteria.sources import catalog, sinks
 from posteria.streaming.scoring import stream_score
@@ -90,11 +90,12 @@ def test_single_class_auc_is_null(spark):
     assert evaluation.auc(df, "y", "s").first()["auc"] is None
 
 
-def test_grouped_clip_equals_overall_clip_and_large_path(spark):
+def test_grouped_clip_equals_overall_clip_and_many_blocks(spark, monkeypatch):
     df = spark.range(4000).select(F.lit("g").alias("g"), F.when(F.col("id") % 50 == 0, 100.0 + F.col("id")).otherwise(normal("id", 1)).alias("v"))
     plain = evaluation.sigma_clip_stats(df, "v").first()
     grouped = evaluation.sigma_clip_stats(df, "v", ["g"]).first()
-    large = evaluation.sigma_clip_stats(df, "v", ["g"], one_pass_values=100).first()
+    monkeypatch.setattr(ordered, "LEAST_BLOCK", 20)
+    large = evaluation.sigma_clip_stats(df, "v", ["g"]).first()
     for c in ("n_left", "mean", "median", "std"):
         assert plain[c] == pytest.approx(grouped[c]) == pytest.approx(large[c])
     assert plain["n_left"] == 4000 - 80
@@ -440,3 +441,53 @@ def test_nearest_rows_with_many_ties():
     for i in range(80):
         want = np.lexsort((keys, full[i]))[:7]
         assert list(t[q == i]) == list(want) and np.allclose(d[q == i], full[i][want], atol=0)
+
+
+def plain_clip(v, sigma, max_rounds, spread):
+    low, high, left, rounds = -np.inf, np.inf, None, 0
+    while True:
+        kept = v[(v >= low) & (v <= high)]
+        m = np.median(kept)
+        s = kept.std() if spread == "std" else np.median(np.abs(kept - m)) * 1.482602218505602
+        settled = len(kept) == left or rounds == max_rounds
+        low, high = max(low, m - sigma * s), min(high, m + sigma * s)
+        if settled:
+            return len(kept), kept.mean(), m, kept.std(), low, high
+        left, rounds = len(kept), rounds + 1
+
+
+@pytest.mark.parametrize("least", [3, 64, 4096])
+def test_order_statistics_of_any_group(spark, monkeypatch, least):
+    rng = np.random.default_rng(least)
+    parts = {"wide": rng.standard_cauchy(3000), "ties": np.round(rng.normal(size=2500), 1), None: rng.normal(1e5, 1e-2, 500), "one": np.array([2.5]),
+             "two": np.array([1.0, 4.0]), "same": np.full(900, 7.0), "out": np.r_[rng.normal(size=800), [50.0] * 40, -1e6]}
+    rows = [(g, float(x)) for g, v in parts.items() for x in v] + [("wide", None), ("one", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    monkeypatch.setattr(ordered, "LEAST_BLOCK", least)
+    for spread, rounds, sigma in (("std", None, 3.0), ("mad", None, 4.0), ("mad", 1, 2.0)):
+        found = {r["g"]: r for r in evaluation.sigma_clip_limits(df, "v", ["g"], sigma, rounds, spread).collect()}
+        assert set(found) == set(parts)
+        for g, v in parts.items():
+            want = plain_clip(v, sigma, rounds, spread)
+            r = found[g]
+            assert (r["n"], r["median"]) == (want[0], want[2])
+            assert [r["mean"], r["std"], r["lo"], r["hi"]] == pytest.approx([want[1], want[3], want[4], want[5]], rel=1e-9, abs=1e-9)
+    for r in evaluation.mad_std(df, "v", ["g"]).collect():
+        v = parts[r["g"]]
+        assert r["median"] == np.median(v) and r["mad_std"] == pytest.approx(np.median(np.abs(v - np.median(v))) * 1.482602218505602, rel=1e-12)
+
+
+def test_rounds_of_a_clip_cost_no_jobs(spark, monkeypatch):
+    """Each round sheds a little of a long tail; staged tables do not grow with the rounds."""
+    v = np.exp(np.random.default_rng(1).normal(size=6000) * 2)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    monkeypatch.setattr(ordered, "LEAST_BLOCK", 50)
+    real, written = ordered.stage, []
+    monkeypatch.setattr(ordered, "stage", lambda d, label="stage": written.append(label) or real(d, label))
+    counts = []
+    for rounds in (1, 40):
+        written.clear()
+        n = evaluation.sigma_clip_limits(df, "v", [], 2.5, rounds).first()["n"]
+        assert n == plain_clip(v, 2.5, rounds, "std")[0]
+        counts.append(len(written))
+    assert counts[1] <= counts[0] + 6
