@@ -9,12 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posteria.functions.shape import melt, named
+from posteria.operators.ordered import search
 from posteria.session import stage
 
-# Above this many values the one-pass aggregate, which keeps distinct values in
-# a task's memory, is no longer used. A task may hold many groups at once, so
-# grouped data gets a tenth of it per group.
-ONE_PASS_VALUES = 2_000_000
+LEFT_VALUES = 2_000_000  # around a wanted place; of more, the range is sketched and cut again
 SKETCH_ACCURACY = 10_000
 GRID = [i / 64 for i in range(65)]
 
@@ -28,13 +26,6 @@ def _same(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in on])
 
 
-def fits_one_pass(df: DataFrame, by: Sequence[str], width: int = 1, most: int = ONE_PASS_VALUES) -> bool:
-    """Whether the largest group is small enough for the one-pass aggregate."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    return largest * width <= (most // 10 if by else most)
-
-
 def _narrow(
     df: DataFrame, long: DataFrame, by: list[str], cols: Sequence[str], qs: Sequence[float], most: int
 ) -> DataFrame:
@@ -121,18 +112,18 @@ def group_quantiles(
     by: Sequence[str],
     cols: Sequence[str],
     qs: Sequence[float],
-    one_pass_values: int = ONE_PASS_VALUES,
+    left_values: int = LEFT_VALUES,
     bounded: bool = False,
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) as rows (by..., name, q, value).
 
-    Small groups use one built-in aggregate. Larger ones are narrowed with a
-    mergeable sketch to the few values around each wanted place, and only
-    those are sorted. ``bounded=True`` states that group sizes have a known
-    bound (draws of one object) and skips the size check.
+    A mergeable sketch narrows each wanted place to the few values around it,
+    counts prove the range right, and only those values are sorted.
+    ``bounded=True`` states that group sizes have a known bound (draws of one
+    object), which one built-in aggregate serves.
     """
     by = list(by)
-    if bounded or fits_one_pass(df, by, len(cols), one_pass_values):
+    if bounded:
         marks = F.array(*[F.lit(float(q)) for q in qs])
         wide = df.groupBy(*by).agg(
             *[F.percentile(F.col(c).cast("double"), marks).alias(f"_q{i}") for i, c in enumerate(cols)]
@@ -148,7 +139,7 @@ def group_quantiles(
 
     long = _melt(df, by, cols)
     on = [*by, "name"]
-    marks = _narrow(df, long, by, cols, qs, one_pass_values)
+    marks = _narrow(df, long, by, cols, qs, left_values)
     kept = (
         long.join(marks, _same(long, marks, on))
         .filter(F.col("v").between(F.col("lo"), F.col("hi")))
@@ -174,12 +165,29 @@ def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], **how) ->
     return group_quantiles(df, [], cols, qs, **how)
 
 
-def group_medians(
-    df: DataFrame, by: Sequence[str], cols: dict[str, str], **how
-) -> DataFrame:
+def group_medians(df: DataFrame, by: Sequence[str], cols: dict[str, str], bounded: bool = False) -> DataFrame:
     """One row per group with the median of each column, ``cols`` maps
-    column -> output name."""
-    long = group_quantiles(df, by, list(cols), [0.5], **how)
-    return long.groupBy(*by).agg(
-        *[F.max(F.when(F.col("name") == c, F.col("value"))).alias(a) for c, a in cols.items()]
-    )
+    column -> output name. Null where a column has no value in the group."""
+    if bounded:
+        long = group_quantiles(df, by, list(cols), [0.5], bounded=True)
+        return long.groupBy(*by).agg(
+            *[F.max(F.when(F.col("name") == c, F.col("value"))).alias(a) for c, a in cols.items()]
+        )
+    out = None
+    for c, a in cols.items():
+        one = search(df, by, c, lambda values: {"median": values.median()}, "median double").withColumnRenamed("median", a)
+        out = one if out is None else _both(out, one, list(by))
+    return out
+
+
+def _both(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Full join of one row per group; a null label is a group of its own."""
+    if not by:
+        return left.join(right, F.lit(True), "full")  # one row each
+    names = {c: f"_r{i}" for i, c in enumerate(by)}
+    right = right.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    there = F.lit(True)
+    joined = left.withColumn("_left", there).join(right, same, "full")
+    labels = [F.when(F.col("_left"), F.col(c)).otherwise(F.col(n)).alias(c) for c, n in names.items()]
+    return joined.select(*labels, *[c for c in joined.columns if c not in {*by, *names.values(), "_left"}])

@@ -42,7 +42,7 @@ Q["e07_quantiles"] = e07
 SQL["e07_quantiles"] = " UNION ALL ".join(
     f"SELECT '{c}' AS name, {q}::double AS q, {R(f'quantile_cont({c}, {q})')} AS value FROM ({PRED})"
     for c in ("z_obs", "z_sigma", "mag_g") for q in (0.001, 0.01, 0.1, 0.99, 0.999))
-Q["e07_quantiles_narrowed"] = lambda s, d: e07(s, d, one_pass_values=5000)
+Q["e07_quantiles_narrowed"] = lambda s, d: e07(s, d, left_values=5000)
 SQL["e07_quantiles_narrowed"] = SQL["e07_quantiles"]
 
 Q["e08_class_pairs"] = lambda s, d: labels.class_pairs(V.v_obj(s, d, ["cls"]), "cls")
@@ -136,7 +136,8 @@ SQL["e15_binned_residuals"] = f"""
 SELECT mag, mag_bin, {R('md')} AS median, {R('mean')} AS mean, {R('std')} AS std,
  {R('sum(md) OVER (PARTITION BY mag ORDER BY mag_bin) / sum(md) OVER (PARTITION BY mag)')} AS cumulative_share FROM
  (SELECT mag, mag_bin, median(r) AS md, avg(r) AS mean, stddev_samp(r) AS std FROM ({_m}) WHERE mag_bin IS NOT NULL GROUP BY mag, mag_bin)"""
-Q["e15_binned_residuals_narrowed"] = lambda s, d: e15(s, d, one_pass_values=500)
+# the way for groups of stated bound
+Q["e15_binned_residuals_narrowed"] = lambda s, d: e15(s, d, bounded=True)
 SQL["e15_binned_residuals_narrowed"] = SQL["e15_binned_residuals"]
 
 

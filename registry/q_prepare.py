@@ -183,7 +183,7 @@ SQL["b13_fit_scaler"] = " UNION ALL ".join(
 
 
 def b13_large(s, d):
-    return rounded(scaling.fit_scaler(_scalable(s, d), SCALED, one_pass_values=5000))
+    return rounded(scaling.fit_scaler(_scalable(s, d), SCALED, left_values=5000))
 
 
 Q["b13_fit_scaler_narrowed"] = b13_large

@@ -21,7 +21,7 @@ def test_narrowed_quantiles_with_ties_and_a_hot_group(spark):
     frame.loc[:2000, "v"] = 0.3
     df = spark.createDataFrame(frame)
     qs = [0.0, 0.005, 0.31, 0.5, 0.995, 1.0]
-    got = quantiles.group_quantiles(df, ["g"], ["v"], qs, one_pass_values=100).collect()
+    got = quantiles.group_quantiles(df, ["g"], ["v"], qs, left_values=100).collect()
     assert len(got) == 3 * len(qs)
     for r in got:
         part = frame[frame.g.isna()] if r["g"] is None else frame[frame.g == r["g"]]
