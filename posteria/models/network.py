@@ -221,8 +221,65 @@ def decayed(rate: float, epoch: int, cfg: NetConfig) -> float:
 # --- posterior draws -------------------------------------------------------------------
 
 
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """Every bit of the result depends on every bit of ``z``."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def bits(seeds: np.ndarray, n_iter: int, layer: int, width: int) -> np.ndarray:
+    """64 random bits for every (object, draw, layer, unit): they are a function of that address alone,
+    so no batch or partition changes them."""
+    place = np.arange(n_iter, dtype=np.uint64)[:, None] << np.uint64(32) | np.uint64(layer << 24) | np.arange(width, dtype=np.uint64)
+    return _mixed(_mixed(seeds.astype(np.int64).view(np.uint64))[:, None, None] + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def masks(seeds: np.ndarray, n_iter: int, layer: int, width: int, rate: float) -> np.ndarray:
+    """Dropout factors, 0 or 1 / (1 - rate); four units share the bits of an address."""
+    found = bits(seeds, n_iter, layer, -(-width // 4)).view(np.uint16)[:, :, :width]
+    cut = round(rate * 65536)
+    return (found >= cut) * (65536 / (65536 - cut))
+
+
+def normals(seeds: np.ndarray, n_iter: int, layer: int, width: int) -> np.ndarray:
+    found = bits(seeds, n_iter, layer, width)
+    u = ((found >> np.uint64(32)).astype(float) + 0.5) / 2**32
+    angle = (found & np.uint64(0xFFFFFFFF)).astype(float) * (2 * np.pi / 2**32)
+    return np.sqrt(-2 * np.log(u)) * np.cos(angle)
+
+
+NOISE, HEAD = 254, 255  # layers of the addresses of input noise and of the output's sample
+CUBE_NUMBERS = 4_000_000  # of the widest layer of a block
+
+
+def block_draws(params, x: np.ndarray, cfg: NetConfig, n_iter: int, seeds: np.ndarray, errors: np.ndarray | None = None) -> np.ndarray:
+    """Draws (objects, n_iter, targets) of a block of objects, one product for each layer."""
+    if cfg.kind == "variational":
+        noise = errors if errors is not None else [None] * len(x)
+        return np.stack([object_draws(params, v, cfg, n_iter, int(s), e) for v, s, e in zip(x, seeds, noise)])
+    h = np.repeat(x[:, None, :], n_iter, axis=1)
+    if errors is not None:
+        h += normals(seeds, n_iter, NOISE, x.shape[1]) * errors[:, None, :]
+    stack = layers(params, cfg)
+    for i, (layer, rate) in enumerate(zip(stack, cfg.rates)):
+        if rate > 0:
+            h = h * masks(seeds, n_iter, i, h.shape[2], rate)
+        h = (h.reshape(-1, h.shape[2]) @ layer[0]).reshape(len(x), n_iter, -1)
+        h += layer[1]
+        if i < len(stack) - 1:
+            np.maximum(h, 0, out=h)
+    loc, sigma, _ = split_head(h, cfg)
+    return loc if sigma is None else loc + sigma * normals(seeds, n_iter, HEAD, loc.shape[2])
+
+
+def block_rows(params, n_iter: int) -> int:
+    """Objects whose widest layer fits ``CUBE_NUMBERS``."""
+    return max(1, CUBE_NUMBERS // (max(1, n_iter) * max(w.shape[-1] for w in params)))
+
+
 def object_draws(params, x: np.ndarray, cfg: NetConfig, n_iter: int, seed: int, errors=None) -> np.ndarray:
-    """Draws (n_iter, targets) of one object, reproducible from its seed alone."""
+    """Draws (n_iter, targets) of one object of a variational net, reproducible from its seed alone."""
     rng = np.random.Generator(np.random.Philox(key=seed & 0xFFFFFFFFFFFFFFFF))
     h = np.repeat(x[None], n_iter, axis=0)
     if errors is not None:

@@ -20,7 +20,7 @@ REGULARISER = 1e-6  # added to every variance
 PARTS = ["cov_11", "cov_12", "cov_22", "mean_1", "mean_2", "weight"]
 
 
-def _require_three(targets: Sequence[str]) -> None:
+def require_three(targets: Sequence[str]) -> None:
     if len(targets) != COMPONENTS:
         raise ValueError("mixtures of class probabilities need exactly three targets")
 
@@ -40,14 +40,14 @@ def gmm_columns() -> list[str]:
 
 def rotate_simplex(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Add ``r1``, ``r2`` from three probability columns."""
-    _require_three(targets)
+    require_three(targets)
     x, y = simplex.to_plane(tuple(F.col(t) for t in targets))
     return df.select("*", x.alias("r1"), y.alias("r2"))
 
 
 def rotate_draws(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Add ``r1_draws``, ``r2_draws`` from three arrays of draws."""
-    _require_three(targets)
+    require_three(targets)
     p, q, r = (F.col(f"{t}_draws") for t in targets)
 
     def axis(row):
@@ -114,6 +114,13 @@ def _fit_block(x: np.ndarray, y: np.ndarray, max_iter: int, tol: float) -> np.nd
     return np.hstack([covs, centres, pick(w)])
 
 
+def fit_block(raw: dict[str, np.ndarray], targets: Sequence[str], max_iter: int = 100, tol: float = 1e-3) -> dict[str, np.ndarray]:
+    """The columns of ``gmm_columns`` for (objects, draws) of the three targets."""
+    p, q, r = (raw[t] for t in targets)
+    x, y = (row[0] * p + row[1] * q + row[2] * r for row in simplex.PLANE)
+    return dict(zip(gmm_columns(), _fit_block(x, y, max_iter, tol).T))
+
+
 def fit_gmm(df: DataFrame, keep: Sequence[str], max_iter: int = 100, tol: float = 1e-3, block: int = 256) -> DataFrame:
     """Fit every object's mixture to ``r1_draws``, ``r2_draws`` (equally long
     in an object). Objects are independent rows: no shuffle, a block at a time.

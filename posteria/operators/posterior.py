@@ -79,6 +79,26 @@ def summary_columns(targets: Sequence[str]) -> list[str]:
     ]
 
 
+def summary_of(raw: dict[str, np.ndarray], sigma: float = 6.0, max_rounds: int = 10) -> dict[str, np.ndarray]:
+    """The columns of ``summary_columns`` for a block, from (objects, draws) of every target."""
+    out, varied = {}, {}
+    for t, x in raw.items():
+        v = np.sort(x, axis=1)
+        varied[t] = v[:, -1] > v[:, 0]
+        first, size, out[f"{t}_std"] = blocks.clipped_range(v, sigma, max_rounds)
+        out[f"{t}_mean"] = blocks.range_mean(v, first, size)
+        for p, q in PERCENTILES.items():
+            out[f"{t}_{p}"] = blocks.range_quantile(v, first, size, q)
+    centred = {t: x - x.mean(1, keepdims=True) for t, x in raw.items()}
+    dot = lambda a, b: np.einsum("nt,nt->n", centred[a], centred[b])
+    for a, b in combinations(raw, 2):
+        scale = np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))
+        out[f"{a}_{b}_corr"] = np.divide(
+            dot(a, b), scale, out=np.full(len(scale), np.nan), where=varied[a] & varied[b] & (scale > 0)
+        )
+    return {n: out[n] for n in summary_columns(list(raw))}
+
+
 def posterior_summary(
     df: DataFrame, keep: Sequence[str], targets: Sequence[str], sigma: float = 6.0, max_rounds: int = 10,
     block: int = 4096,
@@ -97,22 +117,7 @@ def posterior_summary(
         raw = {t: blocks.matrix(part, _draws(t)) for t in targets}
         if len({x.shape for x in raw.values()}) > 1:
             raise ValueError(f"targets differ in their numbers of draws: { {t: x.shape[1] for t, x in raw.items()} }")
-        out, varied = {}, {}
-        for t, x in raw.items():
-            v = np.sort(x, axis=1)
-            varied[t] = v[:, -1] > v[:, 0]
-            first, size, out[f"{t}_std"] = blocks.clipped_range(v, sigma, max_rounds)
-            out[f"{t}_mean"] = blocks.range_mean(v, first, size)
-            for p, q in PERCENTILES.items():
-                out[f"{t}_{p}"] = blocks.range_quantile(v, first, size, q)
-        centred = {t: x - x.mean(1, keepdims=True) for t, x in raw.items()}
-        dot = lambda a, b: np.einsum("nt,nt->n", centred[a], centred[b])
-        for a, b in combinations(targets, 2):
-            scale = np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))
-            out[f"{a}_{b}_corr"] = np.divide(
-                dot(a, b), scale, out=np.full(len(scale), np.nan), where=varied[a] & varied[b] & (scale > 0)
-            )
-        return {n: out[n] for n in names}
+        return summary_of(raw, sigma, max_rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

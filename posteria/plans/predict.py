@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posteria.models.scoring import draws, predict_points
-from posteria.operators import cleaning, labels, mixture, posterior, scaling
+from posteria.models.scoring import summarised_draws
+from posteria.operators import cleaning, labels, scaling
 from posteria.operators.features import attach_errors
 from posteria.operators.joins import enrich
 from posteria.plans.prepare import derive
@@ -36,30 +36,21 @@ def score(
 ) -> DataFrame:
     """Posterior summary and most probable class of every row, any table size.
 
-    After the optional join everything is row-local: the draws are made once
-    and no object moves between tasks.
+    After the optional join everything is row-local: one pass makes the draws,
+    summarises them and fits the mixtures, and no object moves between tasks.
     """
     if external is not None:
         df = enrich(df, external, keys)
-    targets = state.model.targets
     kept = [*keys, *[c for c in keep if c not in keys]]
-    inputs = {f: f"_in_{f}" for f in (spread.features if spread else [])}
-    ready = prepare_features(df, state).withColumns({a: F.col(f) for f, a in inputs.items()})
-    drawn = draws(ready, state.model, keys, n_iter, [*kept, *inputs.values()], input_noise)
-    plane = []
-    if mixtures:
-        drawn, plane = mixture.rotate_draws(drawn, targets), ["r1_draws", "r2_draws"]
-    out = posterior.posterior_summary(drawn, [*kept, *inputs.values(), *plane], targets)
+    # pass-through columns keep their values, whatever the scaled features are called
+    held = {c: f"_keep_{i}" for i, c in enumerate(kept) if c in df.columns}
+    ready = prepare_features(df.withColumns({n: F.col(c) for c, n in held.items()}), state)
+    out = summarised_draws(ready, state.model, [held[k] for k in keys], n_iter, [held.get(c, c) for c in kept], input_noise, mixtures=mixtures, spread=spread)
+    out = out.withColumnsRenamed({n: c for c, n in held.items()})
     if state.classes:
-        named = state.class_targets or targets
+        named = state.class_targets or state.model.targets
         out = labels.predicted_class(out, [f"{t}_pc50" for t in named], state.classes)
-    if mixtures:
-        out = mixture.fit_gmm(out, [c for c in out.columns if c not in plane])
-    if spread is not None:
-        shown = [c for c in out.columns if c not in inputs.values()]
-        out = predict_points(out.withColumnsRenamed({a: f for f, a in inputs.items()}), spread, keys, shown, prefix="")
-        out = cleaning.floor_sigma(out, spread.targets)
-    return out
+    return cleaning.floor_sigma(out, spread.targets) if spread is not None else out
 
 
 def predict_external(test_catalog: DataFrame, state: CatalogState, keys: Sequence[str], **how) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from posteria.models import scoring, training
+from posteria.models import network, scoring, training
 from posteria.models.network import NetConfig
 from posteria.models.training import FittedNet
 from posteria.operators import cleaning, labels, posterior, scaling
@@ -162,7 +162,7 @@ def net_points(s, d):
 Q["a11_save_load_state"] = net_points
 SQL["a11_save_load_state"] = f"SELECT number, {R('y1')} AS pred_y1, {R('y2')} AS pred_y2 FROM ({NETY})"
 Q["g11_score_fixed_weights"] = lambda s, d: rounded(predict.score(
-    V.v_obj(s, d, ["number", *NET_F]), plain_state(s, d), ["number"], n_iter=5).select(
+    V.dealt(s, V.v_obj(s, d, ["number", *NET_F]), "number"), plain_state(s, d), ["number"], n_iter=5).select(
     "number", "y1_mean", "y1_pc50", "y2_pc98", "y2_std", "CLASS"))
 SQL["g11_score_fixed_weights"] = (
     f"SELECT number, {R('y1')} AS y1_mean, {R('y1')} AS y1_pc50, {R('y2')} AS y2_pc98, 0.0::double AS y2_std, "
@@ -219,6 +219,17 @@ SQL["g08_loss_metrics"] = f"""SELECT {R(f'avg({_dd}*{_dd})')} AS mse, {R(f'avg(a
  {R(f'avg(abs{_dd} + ln(1 + exp(-2*abs{_dd})) - ln(2))')} AS log_cosh FROM ({PRED})"""
 
 
+def g11_default(s, d):
+    """300 draws of the default network, with mixtures, for every object; the weights are those it starts from."""
+    cfg = NetConfig()
+    model = training.FittedNet(network.init_params(64, 3, cfg), cfg, FEATS, TARGETS, [])
+    objects = V.dealt(s, V.v_emb(s, d), "number")
+    return scoring.summarised_draws(objects, model, ["number"], 300, mixtures=True)
+
+
+Q["g11_score_default_net"] = g11_default
+
+
 def oof(s, d):
     from dataclasses import replace
 

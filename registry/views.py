@@ -66,6 +66,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """The given table is one small file: its rows are dealt out to all cores, by number, as the planner would join small parts again."""
+    return df.repartition(spark.sparkContext.defaultParallelism, key)
+
+
 def v_obj(spark: SparkSession, sf: str, cols=None) -> DataFrame:
     every = obj_columns("spark")
     names = cols or list(every)
@@ -123,8 +128,7 @@ def draw_sql() -> str:
 
 def v_draws(spark, sf, targets=("o1", "p1", "p2", "p3")) -> DataFrame:
     """One row per object, one array of draws per target (``<t>_draws``)."""
-    # the given table is one small file: its ids are dealt out before each becomes an array of draws
-    base = table(spark, sf, "events").select("event_id").repartition("event_id")
+    base = dealt(spark, table(spark, sf, "events").select("event_id"), "event_id")
     spots = [(d, j) for d in range(DRAWS) for j in (1, 2, 3)]
     mixed = base.selectExpr(
         "event_id AS number", *[f"{_mixed(f'(event_id * {3 * DRAWS} + {3 * d + j})')} AS u{d}_{j}" for d, j in spots]
@@ -207,7 +211,7 @@ def gmm_sql(dialect="duckdb") -> str:
 
 
 def v_gmm(spark, sf) -> DataFrame:
-    table(spark, sf, "events").createOrReplaceTempView("events")
+    dealt(spark, table(spark, sf, "events").select("user_id", "event_id"), "event_id").createOrReplaceTempView("events")
     return spark.sql(gmm_sql("spark"))
 
 

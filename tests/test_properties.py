@@ -216,7 +216,7 @@ def test_draws_do_not_depend_on_partitions(spark):
     df = planted(spark, 60)
     model = training.FittedNet(network.init_params(2, 2, PLANTED), PLANTED, ["x", "z"], ["a", "b"], [])
     one = scoring.draws(df.repartition(1), model, ["id"], 7).orderBy("id").collect()
-    many = scoring.draws(df.repartition(9), model, ["id"], 7, block=4).orderBy("id").collect()
+    many = scoring.draws(df.repartition(9), model, ["id"], 7).orderBy("id").collect()
     assert [r["id"] for r in one] == [r["id"] for r in many]
     # a different batch shape may change the last bit of a matrix product
     assert np.allclose([r["a_draws"] for r in one], [r["a_draws"] for r in many], atol=1e-12)
@@ -491,3 +491,49 @@ def test_rounds_of_a_clip_cost_no_jobs(spark, monkeypatch):
         assert n == plain_clip(v, 2.5, rounds, "std")[0]
         counts.append(len(written))
     assert counts[1] <= counts[0] + 6
+
+
+def scored_parts(spark, n=60):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, *map(float, rng.normal(size=4))) for i in range(n)], ["id", "a", "b", "c", "d"])
+    df = df.withColumns({f"{c}__err": F.lit(0.1) for c in "abcd"})
+    cfg = network.NetConfig(hidden=(20, 10), dropout=(0.2, 0.1))
+    model = training.FittedNet(network.init_params(4, 3, cfg), cfg, list("abcd"), ["p", "q", "r"], [])
+    point = network.NetConfig(kind="deterministic", hidden=(6,))
+    spread = training.FittedNet(network.init_params(2, 2, point), point, ["a", "c"], ["s1", "s2"], [])
+    return df, model, spread
+
+
+def test_one_pass_equals_the_operators_one_after_another(spark):
+    df, model, spread = scored_parts(spark)
+    t = model.targets
+    drawn = mixture.rotate_draws(scoring.draws(df, model, ["id"], 50, ["a", "c"], input_noise=True), t)
+    slow = mixture.fit_gmm(posterior.posterior_summary(drawn, ["id", "a", "c", "r1_draws", "r2_draws"], t),
+                           ["id", "a", "c", *posterior.summary_columns(t)])
+    slow = scoring.predict_points(slow, spread, ["id"], slow.columns, prefix="").orderBy("id").toPandas()
+    fused = scoring.summarised_draws(df.repartition(7), model, ["id"], 50, ["a", "c"], True, mixtures=True, spread=spread)
+    fast = fused.orderBy("id").toPandas()
+    assert set(slow.columns) == set(fast.columns)
+    for c in slow.columns:
+        assert np.allclose(slow[c], fast[c], rtol=1e-8, atol=1e-10, equal_nan=True), c
+    plan = fused._jdf.queryExecution().executedPlan().toString()
+    whole = scoring.summarised_draws(df, model, ["id"], 50, mixtures=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and whole.count("MapInArrow") == 1 and "Exchange" not in whole
+
+
+def test_random_numbers_belong_to_their_address():
+    seeds = np.array([5, -7, 2**62, 5], np.int64)
+    whole = network.bits(seeds, 40, 3, 9)
+    assert (network.bits(seeds[1:3], 40, 3, 9) == whole[1:3]).all() and (network.bits(seeds, 12, 3, 4) == whole[:, :12, :4]).all()
+    assert (whole[0] == whole[3]).all() and len(np.unique(whole[:3])) == whole[:3].size
+    assert not (network.bits(seeds, 40, 2, 9) == whole).any()
+    seeds = np.arange(200)
+    z = network.normals(seeds, 100, 1, 5)
+    assert abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02 and abs(np.corrcoef(z[:-1].ravel(), z[1:].ravel())[0, 1]) < 0.02
+    m = network.masks(seeds, 100, 1, 7, 0.2)
+    assert abs((m == 0).mean() - 0.2) < 0.01 and abs(m.mean() - 1) < 0.01
+    params = network.init_params(3, 2, network.NetConfig(hidden=(8,), dropout=(0.3,)))
+    x, cfg = np.random.default_rng(0).normal(size=(200, 3)), network.NetConfig(hidden=(8,), dropout=(0.3,))
+    block = network.block_draws(params, x, cfg, 20, seeds)
+    ones = np.concatenate([network.block_draws(params, x[i : i + 1], cfg, 20, seeds[i : i + 1]) for i in range(200)])
+    assert np.allclose(block, ones, rtol=1e-12, atol=1e-12)
