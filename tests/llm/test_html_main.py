@@ -26,7 +26,7 @@ def learned(spark):
 
 def test_weights_have_the_signs_of_the_method(learned):
     assert learned.word > 0 and learned.tags and all(v < 0 for v in learned.tags.values())
-    assert learned.tags["</p>"] > learned.tags["<article>"]
+    assert learned.parts["article"] > h.FOR and learned.parts[".ad"] < -3 and learned.parts["nav"] < -3 and learned.parts["footer"] < -3
 
 
 @pytest.mark.parametrize("source", ["learned", "default"])
@@ -87,3 +87,42 @@ def test_empty_and_longer_named_tags_swallow_nothing(tag):
     assert words == (["Bar"] if "Bar" in tag else []) + "Big Title rest of the page".split()
     inline = "".join(t.text for t in h.tokens(f"<p>one {tag}two</p>") if not t.kind).split()
     assert inline[0] == "one" and inline[-1].endswith("two")
+
+
+def test_without_the_lists_of_names(spark, monkeypatch):
+    """What the table's own pages have is learned; the lists are for what they do not have."""
+    monkeypatch.setattr(h, "ASIDE_TAGS", frozenset())
+    monkeypatch.setattr(h, "ASIDE_NAMES", frozenset())
+    folder = SF_DIR.replace("0.001", "0.01")
+    pages, documents = spark.read.parquet(folder + "/pages.parquet"), spark.read.parquet(folder + "/documents.parquet")
+    weights = h.fit(h.labelled_sample(pages, documents))
+    rows = pages.collect()
+    right = sum(h.main_text(r["html"], weights) == articles(r["html"]) for r in rows)
+    assert right >= 0.95 * len(rows)
+    blind = sum(h.main_text(r["html"], h.Weights(weights.word)) == articles(r["html"]) for r in rows)
+    assert blind < 0.9 * len(rows)  # the learned weights decide
+
+
+BODY = "<p>" + "</p><p>".join(" ".join(f"word{i}{j}" for j in range(40)) for i in range(5)) + "</p>"
+
+
+@pytest.mark.parametrize("page,want", [
+    (f'<body><nav>menu of things</nav><div class="post related-posts-none"><h1>The Title</h1>{BODY}</div><footer>end</footer></body>', "The Title"),
+    (f'<body><main><div class="alert-page">{BODY}</div></main><footer>copy right</footer></body>', ""),
+    (f"<body><header>site</header><article><header><h1>The Title</h1></header>{BODY}</article></body>", "The Title"),
+    (f'<body><article><h1>The Title</h1>{BODY}<div class="ad">buy this now</div>{BODY}</article></body>', "The Title"),
+    (f'<body><article><h1>The Title</h1>{BODY}</article><section class="comments">{"<p>I like it so much</p>" * 60}</section></body>', "The Title"),
+    (f'<body><div id="page"><div class="text"><h1>The Title</h1>{BODY}</div><div class="sidebar"><p>{"other things " * 30}</p></div></div></body>', "The Title"),
+])
+def test_parts_that_names_speak_against(learned, page, want):
+    blocks = [" ".join(b.split()) for b in re.split("</?p>", BODY) if b.strip()]
+    blocks = blocks * page.count(BODY)
+    for weights in (learned, h.Weights(0.3)):
+        assert h.main_text(page, weights).split("\n") == ([want] if want else []) + blocks
+
+
+def test_the_sample_is_one_page_for_a_number(spark):
+    pages = spark.createDataFrame([(i, f"http://a/{i % 3}", f"<p>page {i}</p>") for i in range(30)], "page_id long, url string, html string")
+    documents = spark.createDataFrame([(0, "x"), (1, "y"), (1, "z"), (2, "w")], "doc_id long, text string")
+    some = sorted((r["html"], r["text"]) for r in h.labelled_sample(pages.repartition(4), documents, 2).collect())
+    assert some == [("<p>page 0</p>", "x"), ("<p>page 10</p>", "y")]
