@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -98,3 +98,40 @@ def range_mean(v: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
     place = np.arange(v.shape[1])
     inside = (place >= first[:, None]) & (place < (first + size)[:, None])
     return np.where(inside, v, 0.0).sum(1) / size
+
+
+def per_length(columns: Sequence[pa.Array], width: int, step: Callable[..., np.ndarray]) -> np.ndarray:
+    """(rows, width): ``step`` over the arrays of the columns as matrices, rows of one length at a time.
+
+    The arrays of a row must be equally long; an empty or null one gives NaN.
+    """
+    lengths = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
+    if any((n != lengths[0]).any() for n in lengths):
+        raise ValueError("arrays of one row differ in length")
+    values = [c.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False) for c in columns]
+    starts = np.cumsum(lengths[0]) - lengths[0]
+    out = np.full((len(lengths[0]), width), np.nan)
+    for length in np.unique(lengths[0][lengths[0] > 0]):
+        rows = np.flatnonzero(lengths[0] == length)
+        out[rows] = step(*[v[starts[rows][:, None] + np.arange(length)] for v in values])
+    return out
+
+
+def quantiles(v: np.ndarray, qs: Sequence[float]) -> np.ndarray:
+    """Interpolated quantiles of each row."""
+    v = np.sort(v, axis=1)
+    none, all_of = np.zeros(len(v), int), np.full(len(v), v.shape[1])
+    return np.stack([range_quantile(v, none, all_of, q) for q in qs], axis=1)
+
+
+def mad_std(v: np.ndarray) -> np.ndarray:
+    return quantiles(np.abs(v - quantiles(v, [0.5])), [0.5]) * MAD_TO_SIGMA
+
+
+def correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pearson's, of each row; rounding must not give constant draws a length."""
+    varied = (a.max(1) > a.min(1)) & (b.max(1) > b.min(1))
+    a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+    dot = lambda x, y: np.einsum("nt,nt->n", x, y)
+    scale = np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))
+    return np.divide(dot(a, b), scale, out=np.full(len(scale), np.nan), where=varied & (scale > 0))[:, None]

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from posteria.functions import blocks, simplex
+from posteria.functions import addressed, blocks, simplex
 from posteria.functions.seeded import digest, normal_of
 from posteria.operators.sampling import select_objects
-from posteria.session import stage
 
 COMPONENTS = 3
 REGULARISER = 1e-6  # added to every variance
+MIXTURE, SAMPLE = 240, 241  # layers of the addresses of random numbers
 PARTS = ["cov_11", "cov_12", "cov_22", "mean_1", "mean_2", "weight"]
 
 
@@ -88,12 +88,33 @@ def _expect(phi: np.ndarray, w, m1, m2, a, b, c):
     return logp, (top + np.log(total)).mean((1, 2))
 
 
-def _fit_block(x: np.ndarray, y: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
-    """Mixtures of a block of objects, columns in the order of gmm_columns()."""
+def _ranked_start(x: np.ndarray) -> np.ndarray:
+    """The component of each draw by its rank along the first axis."""
+    t = x.shape[1]
+    cuts = np.sort(x, axis=1)[:, [-(-t * k // COMPONENTS) - 1 for k in range(1, COMPONENTS)]]
+    return (x[:, None] > cuts[:, :, None]).sum(1)
+
+
+def _seeded_start(x: np.ndarray, y: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The component of each draw by the nearest of centres that are draws themselves: the first any of them, the
+    next ones with chances by the squared distance to the centres so far. Draws without distance share one centre."""
+    rows, u = np.arange(len(x)), addressed.uniforms(seeds, 1, MIXTURE, COMPONENTS)[:, 0]
+    pick = np.minimum((u[:, 0] * x.shape[1]).astype(int), x.shape[1] - 1)
+    far, start = np.full(x.shape, np.inf), np.zeros(x.shape, int)
+    for k in range(COMPONENTS):
+        if k:
+            mass = np.cumsum(far, axis=1)
+            pick = (mass <= (u[:, k] * mass[:, -1])[:, None]).sum(1).clip(max=x.shape[1] - 1)
+        away = (x - x[rows, pick][:, None]) ** 2 + (y - y[rows, pick][:, None]) ** 2
+        start[away < far] = k
+        far = np.minimum(far, away)
+    return start
+
+
+def _fit_block(x: np.ndarray, y: np.ndarray, max_iter: int, tol: float, seeds: np.ndarray | None = None) -> np.ndarray:
+    """Mixtures of a block of objects, columns in the order of gmm_columns(); seeds ask for the seeded start."""
     n, t = x.shape
-    ordered = np.sort(x, axis=1)
-    cuts = ordered[:, [-(-t * k // COMPONENTS) - 1 for k in range(1, COMPONENTS)]]
-    start = (x[:, None] > cuts[:, :, None]).sum(1)
+    start = _ranked_start(x) if seeds is None else _seeded_start(x, y, seeds)
     middle = x.mean(1, keepdims=True), y.mean(1, keepdims=True)
     u, v = x - middle[0], y - middle[1]
     phi = np.stack([np.ones_like(u), u, v, u * u, u * v, v * v], axis=2)
@@ -121,66 +142,34 @@ def fit_block(raw: dict[str, np.ndarray], targets: Sequence[str], max_iter: int
     return dict(zip(gmm_columns(), _fit_block(x, y, max_iter, tol).T))
 
 
-def fit_gmm(df: DataFrame, keep: Sequence[str], max_iter: int = 100, tol: float = 1e-3, block: int = 256) -> DataFrame:
+def fit_gmm(
+    df: DataFrame, keep: Sequence[str], max_iter: int = 100, tol: float = 1e-3, block: int = 256, seed_by: Sequence[str] | None = None
+) -> DataFrame:
     """Fit every object's mixture to ``r1_draws``, ``r2_draws`` (equally long
     in an object). Objects are independent rows: no shuffle, a block at a time.
 
-    The start splits the draws by rank along the first axis; components come
-    out by falling weight.
+    The start splits the draws by rank along the first axis or, with the key
+    columns ``seed_by``, by centres sampled by squared distance, the same for a
+    key wherever it is. Components come out by falling weight.
     """
     names = gmm_columns()
     schema = T.StructType(
         [df.schema[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n in names]
     )
+    seed, seeded = [F.xxhash64(*seed_by).alias("_seed")] if seed_by else [], bool(seed_by)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for length, part in blocks.equal_length_parts(batch, "r1_draws", block):
                 if length:
                     x, y = blocks.matrix(part, "r1_draws"), blocks.matrix(part, "r2_draws")
-                    fitted = _fit_block(x, y, max_iter, tol)
+                    seeds = part.column(part.schema.get_field_index("_seed")).to_numpy() if seeded else None
+                    fitted = _fit_block(x, y, max_iter, tol, seeds)
                 else:
                     fitted = np.full((part.num_rows, len(names)), np.nan)
                 yield blocks.with_columns(part, list(keep), dict(zip(names, fitted.T)))
 
-    return df.select(*keep, "r1_draws", "r2_draws").mapInArrow(fit, schema)
-
-
-def _expected(draws: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
-    """E-step: every draw with its responsibilities ``e1..e3``."""
-    ks = range(1, COMPONENTS + 1)
-
-    def log_density(k: int):
-        c11, c12, c22, m1, m2, w = (F.col(f"comp{k}_{p}") for p in PARTS)
-        u, v, det = F.col("r1") - m1, F.col("r2") - m2, c11 * c22 - c12 * c12
-        far = (c22 * u * u - 2.0 * c12 * u * v + c11 * v * v) / det
-        return F.log(w) - 0.5 * (far + F.log(det))
-
-    scored = draws.join(params, keys).select(*keys, "r1", "r2", *[log_density(k).alias(f"l{k}") for k in ks])
-    top = F.greatest(*[F.col(f"l{k}") for k in ks])
-    parts = scored.select(*keys, "r1", "r2", *[F.exp(F.col(f"l{k}") - top).alias(f"x{k}") for k in ks])
-    total = sum((F.col(f"x{k}") for k in ks), F.lit(0.0))
-    return parts.select(*keys, "r1", "r2", *[(F.col(f"x{k}") / total).alias(f"e{k}") for k in ks])
-
-
-def _maximised(resp: DataFrame, keys: list[str]) -> DataFrame:
-    """M-step: weighted moments per object in one aggregation, combined map-side."""
-    ks = range(1, COMPONENTS + 1)
-    x, y = F.col("r1"), F.col("r2")
-    terms = {"s": F.lit(1.0), "x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y}
-    sums = resp.groupBy(*keys).agg(
-        *[F.sum(F.col(f"e{k}") * t).alias(f"{n}{k}") for k in ks for n, t in terms.items()]
-    )
-    mass = {k: F.col(f"s{k}") + 10 * float(np.finfo(float).eps) for k in ks}
-    everything = sum(mass.values(), F.lit(0.0))
-    out = []
-    for k in ks:
-        mean = lambda n: F.col(f"{n}{k}") / mass[k]
-        m1, m2 = mean("x"), mean("y")
-        values = [mean("xx") - m1 * m1 + REGULARISER, mean("xy") - m1 * m2, mean("yy") - m2 * m2 + REGULARISER]
-        values += [m1, m2, mass[k] / everything]
-        out += [v.alias(f"comp{k}_{p}") for p, v in zip(PARTS, values)]
-    return sums.select(*keys, *out)
+    return df.select(*keep, "r1_draws", "r2_draws", *seed).mapInArrow(fit, schema)
 
 
 def _flat(df: DataFrame, keys: Sequence[str], comps) -> DataFrame:
@@ -190,32 +179,17 @@ def _flat(df: DataFrame, keys: Sequence[str], comps) -> DataFrame:
     return ordered.select(*keys, *[part(n).alias(n) for n in gmm_columns()])
 
 
-def fit_gmm_long(draws: DataFrame, keys: Sequence[str], iterations: int = 20, stage_every: int = 4) -> DataFrame:
-    """The same fit for long draws (keys..., r1, r2) of any number per object.
+def fit_gmm_long(draws: DataFrame, keys: Sequence[str], max_iter: int = 100, tol: float = 1e-3, **how) -> DataFrame:
+    """The same fit, to convergence, for long draws (keys..., r1, r2).
 
-    The draws are written once; between rounds only the parameter table moves,
-    written every few rounds so that neither lineage nor recomputation grows.
+    The draws of an object, as many as the run parameter says, are gathered
+    once; rounds then cost no shuffle and objects that have converged take no
+    part in later ones.
     """
     keys = list(keys)
-    draws = stage(draws.select(*keys, "r1", "r2"), "draws")
-    marks = [k / COMPONENTS for k in range(1, COMPONENTS)]
-    cuts = draws.groupBy(*keys).agg(F.percentile_approx("r1", marks, 10_000).alias("cuts"))
-    part = F.size(F.filter("cuts", lambda c: c < F.col("r1")))
-    first = draws.join(cuts, keys).select(
-        *keys, "r1", "r2", *[(part == k).cast("double").alias(f"e{k + 1}") for k in range(COMPONENTS)]
-    )
-    params = _maximised(first, keys)
-    for i in range(iterations):
-        params = _maximised(_expected(draws, params, keys), keys)
-        if (i + 1) % stage_every == 0:
-            params = stage(params, "mixture")
-    comps = F.array(
-        *[
-            F.struct(F.col(f"comp{k}_weight").alias("weight"), *[F.col(f"comp{k}_{p}").alias(p) for p in PARTS[:5]])
-            for k in range(1, COMPONENTS + 1)
-        ]
-    )
-    return _flat(params, keys, comps)
+    both = F.sort_array(F.collect_list(F.struct("r1", "r2")))  # in an order of their own, whatever way they came
+    packed = draws.groupBy(*keys).agg(both.alias("d")).select(*keys, F.col("d.r1").alias("r1_draws"), F.col("d.r2").alias("r2_draws"))
+    return fit_gmm(packed, keys, max_iter, tol, **how)
 
 
 def pack_gmm(params: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -287,6 +261,67 @@ def sample_gmm(df: DataFrame, keys: Sequence[str], n: int = 5000, names: Sequenc
     return drawn.select(*keys, "comp", "sample", *[c.alias(m) for c, m in zip(p, names)])
 
 
+def sample_gmm_arrays(
+    df: DataFrame, keys: Sequence[str], n: int = 5000, names: Sequence[str] = ("P_Galaxy", "P_QSO", "P_Star"), block: int = 64
+) -> DataFrame:
+    """keys and, for each name, the array of an object's points: int(n x weight) of each component, one after another.
+
+    The points of a key are the same in any batch. No row is made for a point:
+    a block of objects is drawn by one array operation for each component.
+    """
+    keys = list(keys)
+    columns = [f"comp{k}_{c}" for k in range(1, COMPONENTS + 1) for c in PARTS]
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(m, T.ArrayType(T.DoubleType(), False)) for m in names])
+    back = np.array(simplex.PLANE, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                seeds = part.column(len(keys)).to_numpy()
+                p = {c: part.column(len(keys) + 1 + i).to_numpy(zero_copy_only=False) for i, c in enumerate(columns)}
+                xs, ys, kept = [], [], []
+                for k in range(1, COMPONENTS + 1):
+                    c11, c12, c22, m1, m2, w = (p[f"comp{k}_{c}"][:, None] for c in PARTS)
+                    points = np.floor(n * np.nan_to_num(w)).astype(int)
+                    z = addressed.normals(seeds, int(points.max(initial=0)), SAMPLE + k, 2)
+                    l11 = np.sqrt(c11)
+                    l21 = np.divide(c12, l11, out=np.zeros_like(c12), where=l11 > 0)
+                    l22 = np.sqrt(np.maximum(c22 - l21 * l21, 0.0))
+                    xs.append(m1 + l11 * z[:, :, 0])
+                    ys.append(m2 + l21 * z[:, :, 0] + l22 * z[:, :, 1])
+                    kept.append(np.arange(z.shape[1]) < points)
+                x, y, kept = (np.concatenate(a, axis=1) for a in (xs, ys, kept))
+                offsets = pa.array(np.concatenate(([0], np.cumsum(kept.sum(1)))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array((back[0, i] * x + back[1, i] * y + 1 / 3)[kept])) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *lists], names=schema.names)
+
+    return df.select(*keys, F.xxhash64(*keys).alias("_seed"), *[F.col(c).cast("double") for c in columns]).mapInArrow(run, schema)
+
+
+def array_moments(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """keys, n and, for each array, its mean and the population covariances of each pair, ``<a>_<b>_cov``."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    made = ["n", *[f"{a}_mean" for a in names], *[f"{a}_{b}_cov" for a, b in pairs]]
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(m, T.DoubleType()) for m in made])
+
+    def moments(*arrays: np.ndarray) -> np.ndarray:
+        by = dict(zip(names, arrays))
+        centred = {a: v - v.mean(1, keepdims=True) for a, v in by.items()}
+        size = arrays[0].shape[1]
+        columns = [np.full(len(arrays[0]), float(size)), *[v.mean(1) for v in arrays]]
+        return np.stack([*columns, *[np.einsum("nt,nt->n", centred[a], centred[b]) / size for a, b in pairs]], axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                table = blocks.per_length([part.column(part.schema.get_field_index(a)) for a in names], len(made), moments)
+                yield blocks.with_columns(part, list(keys), dict(zip(made, table.T)))
+
+    return df.select(*keys, *names).mapInArrow(run, schema)
+
+
 def reconstruct_posteriors(
     df: DataFrame, ids: Sequence[str] | None = None, n: int = 5000,
     keys: Sequence[str] = ("tile_id", "number"), names: Sequence[str] = ("P_Galaxy", "P_QSO", "P_Star"),

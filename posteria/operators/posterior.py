@@ -3,7 +3,7 @@ target ``t``; every operator here is a projection, so objects never shuffle."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from posteria.functions import arrays, blocks
+from posteria.functions import blocks
 
 # The percentiles reported for every target.
 PERCENTILES = {"pc02": 0.02275, "pc16": 0.15865, "pc50": 0.50, "pc84": 0.84135, "pc98": 0.97725}
@@ -36,38 +36,41 @@ def clip_draws(df: DataFrame, targets: Sequence[str], sigma: float = 6.0, max_ro
     return df.mapInArrow(run, schema)
 
 
+def _with_statistics(df: DataFrame, made: dict[tuple[str, ...], tuple[Sequence[str], Callable[..., np.ndarray]]]) -> DataFrame:
+    """Add, for each tuple of array columns, the named numbers that a step finds in their rows."""
+    names = [n for found, _ in made.values() for n in found]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = []
+            for columns, (found, step) in made.items():
+                table = blocks.per_length([batch.column(c) for c in columns], len(found), step)
+                new += [pa.array(v, pa.float64(), from_pandas=True) for v in table.T]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def draw_percentiles(clipped: DataFrame, targets: Sequence[str]) -> DataFrame:
-    return clipped.select(
-        "*",
-        *[arrays.quantile(F.col(f"{t}_clipped"), q).alias(f"{t}_{p}") for p, q in PERCENTILES.items() for t in targets],
+    qs = list(PERCENTILES.values())
+    return _with_statistics(
+        clipped, {(f"{t}_clipped",): ([f"{t}_{p}" for p in PERCENTILES], lambda v: blocks.quantiles(v, qs)) for t in targets}
     )
 
 
 def draw_mad_std(clipped: DataFrame, targets: Sequence[str]) -> DataFrame:
-    return clipped.select("*", *[arrays.mad_std(F.col(f"{t}_clipped")).alias(f"{t}_std") for t in targets])
+    return _with_statistics(clipped, {(f"{t}_clipped",): ([f"{t}_std"], blocks.mad_std) for t in targets})
 
 
 def draw_mean(clipped: DataFrame, targets: Sequence[str]) -> DataFrame:
-    return clipped.select("*", *[arrays.mean(F.col(f"{t}_clipped")).alias(f"{t}_mean") for t in targets])
+    return _with_statistics(clipped, {(f"{t}_clipped",): ([f"{t}_mean"], lambda v: v.mean(1, keepdims=True)) for t in targets})
 
 
 def draw_correlation(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Pearson correlation of every target pair over the unclipped draws."""
-    have = df.columns
-    c = lambda t: F.col(f"_c_{t}")
-    centred = df.select("*", *[arrays.centred(F.col(_draws(t))).alias(f"_c_{t}") for t in targets])
-    # rounding must not give constant draws a length
-    length = lambda t: F.when(
-        F.array_max(_draws(t)) > F.array_min(_draws(t)), F.sqrt(arrays.dot(c(t), c(t)))
-    )
-    normed = centred.select("*", *[length(t).alias(f"_l_{t}") for t in targets])
-    return normed.select(
-        *have,
-        *[
-            F.try_divide(arrays.dot(c(a), c(b)), F.col(f"_l_{a}") * F.col(f"_l_{b}")).alias(f"{a}_{b}_corr")
-            for a, b in combinations(targets, 2)
-        ],
-    )
+    pairs = {(_draws(a), _draws(b)): ([f"{a}_{b}_corr"], blocks.correlation) for a, b in combinations(targets, 2)}
+    return _with_statistics(df, pairs)
 
 
 def summary_columns(targets: Sequence[str]) -> list[str]:
@@ -81,21 +84,15 @@ def summary_columns(targets: Sequence[str]) -> list[str]:
 
 def summary_of(raw: dict[str, np.ndarray], sigma: float = 6.0, max_rounds: int = 10) -> dict[str, np.ndarray]:
     """The columns of ``summary_columns`` for a block, from (objects, draws) of every target."""
-    out, varied = {}, {}
+    out = {}
     for t, x in raw.items():
         v = np.sort(x, axis=1)
-        varied[t] = v[:, -1] > v[:, 0]
         first, size, out[f"{t}_std"] = blocks.clipped_range(v, sigma, max_rounds)
         out[f"{t}_mean"] = blocks.range_mean(v, first, size)
         for p, q in PERCENTILES.items():
             out[f"{t}_{p}"] = blocks.range_quantile(v, first, size, q)
-    centred = {t: x - x.mean(1, keepdims=True) for t, x in raw.items()}
-    dot = lambda a, b: np.einsum("nt,nt->n", centred[a], centred[b])
     for a, b in combinations(raw, 2):
-        scale = np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))
-        out[f"{a}_{b}_corr"] = np.divide(
-            dot(a, b), scale, out=np.full(len(scale), np.nan), where=varied[a] & varied[b] & (scale > 0)
-        )
+        out[f"{a}_{b}_corr"] = blocks.correlation(raw[a], raw[b])[:, 0]
     return {n: out[n] for n in summary_columns(list(raw))}
 
 

@@ -88,10 +88,11 @@ Q["f09_fit_gmm"] = lambda s, d: mixture.fit_gmm(rotated(s, d), ["number"])
 
 def f09_long(s, d):
     draws = mixture.rotate_simplex(V.v_draws_long(s, d, T3), T3)
-    return rounded(mixture.fit_gmm_long(draws, ["number"], 2, stage_every=1))
+    return rounded(mixture.fit_gmm_long(draws, ["number"], 2, 0.0))
 
 
 Q["f09_fit_gmm_long"] = f09_long
+Q["f09_fit_gmm_seeded"] = lambda s, d: mixture.fit_gmm(rotated(s, d), ["number"], seed_by=["number"])
 SQL["f09_fit_gmm_long"] = gmm_sql(2)
 
 GMM = V.gmm_sql()
@@ -139,6 +140,29 @@ Q["f13_sample_gmm"] = lambda s, d: rounded(mixture.sample_gmm(mixture.repair_psd
 SQL["f13_sample_gmm"] = f"SELECT tile_id, number, comp, sample, {R('p1')} AS \"P_Galaxy\", {R('p2')} AS \"P_QSO\", {R('p3')} AS \"P_Star\" FROM ({SAMPLED})"
 
 
+NAMES = ["P_Galaxy", "P_QSO", "P_Star"]
+
+
+def f13_full(s, d):
+    """5,000 points of every object: their number, and whether mean and variance are those of the mixture, within six standard errors."""
+    repaired = mixture.repair_psd(V.v_gmm(s, d))
+    found = mixture.array_moments(mixture.sample_gmm_arrays(repaired, KEYS, 5000), KEYS, NAMES)
+    parts = mixture.unpack_gmm(repaired, KEYS).withColumn("k", F.floor(5000 * F.col("weight")))
+    share = lambda e: F.sum(F.col("k") * e) / F.sum("k")
+    means = parts.groupBy(*KEYS).agg(F.sum("k").alias("points"), *[share(F.col(f"m{i}")).alias(f"e{i}") for i in (1, 2, 3)],
+                                     *[share(F.col(f"c{i}{i}") + F.col(f"m{i}") * F.col(f"m{i}")).alias(f"s{i}") for i in (1, 2, 3)])
+    var = lambda i: F.col(f"s{i}") - F.col(f"e{i}") * F.col(f"e{i}")
+    near = [F.abs(F.col(f"{n}_mean") - F.col(f"e{i}")) <= 6 * F.sqrt(var(i) / F.col("points")) for i, n in enumerate(NAMES, 1)]
+    near += [F.abs(F.col(f"{n}_{n}_cov") / var(i) - 1) <= 0.2 for i, n in enumerate(NAMES, 1)]
+    agree = near[0] & near[1] & near[2] & near[3] & near[4] & near[5]
+    return found.join(means, KEYS).select(*KEYS, F.col("n").cast("long").alias("n"), agree.alias("agree"))
+
+
+Q["f13_sample_gmm_full"] = f13_full
+SQL["f13_sample_gmm_full"] = (
+    "SELECT tile_id, number, (" + " + ".join(f"floor(5000 * comp{k}_weight)" for k in (1, 2, 3)) + f")::BIGINT AS n, true AS agree FROM ({GMM})")
+
+
 def f14(s, d):
     table = mixture.reconstruct_posteriors(V.v_gmm(s, d), n=POINTS, path=staged_path(s, "pdf"))
     return table.groupBy(*KEYS, "comp").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from posteria.functions import arrays
+from posteria.functions import addressed, arrays
 from posteria.functions.seeded import normal, uniform
 from posteria.models import network, scoring, training
 from posteria.models.network import NetConfig
@@ -523,17 +523,57 @@ def test_one_pass_equals_the_operators_one_after_another(spark):
 
 def test_random_numbers_belong_to_their_address():
     seeds = np.array([5, -7, 2**62, 5], np.int64)
-    whole = network.bits(seeds, 40, 3, 9)
-    assert (network.bits(seeds[1:3], 40, 3, 9) == whole[1:3]).all() and (network.bits(seeds, 12, 3, 4) == whole[:, :12, :4]).all()
+    whole = addressed.bits(seeds, 40, 3, 9)
+    assert (addressed.bits(seeds[1:3], 40, 3, 9) == whole[1:3]).all() and (addressed.bits(seeds, 12, 3, 4) == whole[:, :12, :4]).all()
     assert (whole[0] == whole[3]).all() and len(np.unique(whole[:3])) == whole[:3].size
-    assert not (network.bits(seeds, 40, 2, 9) == whole).any()
+    assert not (addressed.bits(seeds, 40, 2, 9) == whole).any()
     seeds = np.arange(200)
-    z = network.normals(seeds, 100, 1, 5)
+    z = addressed.normals(seeds, 100, 1, 5)
     assert abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02 and abs(np.corrcoef(z[:-1].ravel(), z[1:].ravel())[0, 1]) < 0.02
-    m = network.masks(seeds, 100, 1, 7, 0.2)
+    m = addressed.masks(seeds, 100, 1, 7, 0.2)
     assert abs((m == 0).mean() - 0.2) < 0.01 and abs(m.mean() - 1) < 0.01
     params = network.init_params(3, 2, network.NetConfig(hidden=(8,), dropout=(0.3,)))
     x, cfg = np.random.default_rng(0).normal(size=(200, 3)), network.NetConfig(hidden=(8,), dropout=(0.3,))
     block = network.block_draws(params, x, cfg, 20, seeds)
     ones = np.concatenate([network.block_draws(params, x[i : i + 1], cfg, 20, seeds[i : i + 1]) for i in range(200)])
     assert np.allclose(block, ones, rtol=1e-12, atol=1e-12)
+
+
+def test_long_draws_converge_to_the_fit_of_arrays(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(12):
+        c = rng.normal(size=(3, 2)) * 0.5
+        v = np.concatenate([c[j] + rng.normal(size=(20 + 10 * j, 2)) * 0.05 for j in range(3)])
+        rows.append((i, v[:, 0].tolist(), v[:, 1].tolist()))
+    df = spark.createDataFrame(rows, "k long, r1_draws array<double>, r2_draws array<double>")
+    long = df.select("k", F.explode(F.arrays_zip("r1_draws", "r2_draws")).alias("z")).select("k", F.col("z.r1_draws").alias("r1"), F.col("z.r2_draws").alias("r2"))
+    a = mixture.fit_gmm(df, ["k"]).orderBy("k").toPandas()
+    b = mixture.fit_gmm_long(long.repartition(7), ["k"]).orderBy("k").toPandas()
+    assert np.allclose(a, b, rtol=1e-6, atol=1e-9)
+    # the seeded start is the same in any partitioning and finds planted centres
+    one, many = (mixture.fit_gmm(x, ["k"], seed_by=["k"]).orderBy("k").toPandas() for x in (df.repartition(1), df.repartition(6)))
+    assert np.allclose(one, many)
+
+
+def test_seeded_start_finds_far_groups():
+    rng = np.random.default_rng(3)
+    centres = np.array([[0, 0], [5, 0], [0, 5]])
+    v = np.stack([np.concatenate([c + rng.normal(size=(30, 2)) * 0.1 for c in centres]) for _ in range(50)])
+    start = mixture._seeded_start(v[:, :, 0], v[:, :, 1], np.arange(50))
+    pure = [len({tuple(np.unique(s[i : i + 30])) for i in (0, 30, 60)}) == 3 and all(len(np.unique(s[i : i + 30])) == 1 for i in (0, 30, 60)) for s in start]
+    assert np.mean(pure) > 0.95
+    same = mixture._seeded_start(np.ones((2, 9)), np.ones((2, 9)), np.arange(2))
+    assert (same == same[:, :1]).all()
+
+
+def test_sampled_arrays_belong_to_their_key(spark):
+    from registry import views
+
+    df = mixture.repair_psd(views.v_gmm(spark, "/root/testdata/sf0.001")).limit(200)
+    one = mixture.sample_gmm_arrays(df.repartition(1), ["tile_id", "number"], 101).orderBy("number").collect()
+    many = mixture.sample_gmm_arrays(df.repartition(9), ["tile_id", "number"], 101, block=7).orderBy("number").collect()
+    assert one == many
+    for r in one:
+        assert 98 <= len(r["P_QSO"]) <= 101
+        assert np.allclose(np.add(np.add(r["P_Galaxy"], r["P_QSO"]), r["P_Star"]), 1)
