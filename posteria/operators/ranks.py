@@ -131,8 +131,9 @@ def hash_cuts(
     """Hashes standing at given 1-based places of each group's hash order.
 
     ``positions`` is an array expression over ``by`` and the group size
-    ``total``. Returns ``by``, ``total`` and ``cuts`` (array of hashes, in
-    order). Hashes fill their buckets evenly, so only the few buckets that
+    ``total``. Returns ``by``, ``total`` and arrays in the order of the places:
+    ``cuts`` (hashes), ``among`` (which of the rows of that hash stands there)
+    and ``same`` (how many have it). Hashes fill their buckets evenly, so only the few buckets that
     hold a wanted place are ever sorted; the table itself is not shuffled.
     """
     # both the table of buckets and a bucket grow with the root of the table
@@ -159,16 +160,15 @@ def hash_cuts(
     held = wanted.select(*by, "_bucket").distinct()
     local = Window.partitionBy(*by, "_bucket").orderBy("_h")
     ranked = join_groups(rows, held, [*by, "_bucket"], "left_semi").select(
-        *by, "_bucket", "_h", F.row_number().over(local).alias("_r")
+        *by, "_bucket", "_h", F.row_number().over(local).alias("_r"), F.rank().over(local).alias("_first"),
+        F.count(F.lit(1)).over(Window.partitionBy(*by, "_bucket", "_h")).alias("_same"),
     )
     hits = join_groups(ranked, wanted, [*by, "_bucket"]).filter(
         F.col("_p") == F.col("_below") + F.col("_r")
     )
-    return hits.groupBy(*by, total).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_i", "_h"))), lambda s: s["_h"]
-        ).alias("cuts")
-    )
+    cut = F.struct("_i", "_h", (F.col("_r") - F.col("_first") + 1).cast("long").alias("_a"), "_same")
+    found = hits.groupBy(*by, total).agg(F.array_sort(F.collect_list(cut)).alias("_cuts"))
+    return found.select(*by, total, F.col("_cuts._h").alias("cuts"), F.col("_cuts._a").alias("among"), F.col("_cuts._same").alias("same"))
 
 
 def running_total(

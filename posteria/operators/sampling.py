@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +18,25 @@ def take_first(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def _at_places(df: DataFrame, order: Sequence[str], wanted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows at the places that ``wanted`` leaves of a table with ``position``, with what it adds.
+
+    Only the order and a hash of each row are sorted and written, however wide
+    the table; the rows themselves are fetched by these. Ties go by the hash,
+    and rows that are equal in all columns stand for each other.
+    """
+    names = {f"_at{i}": c for i, c in enumerate(order)}
+    keyed = df.select("*", *[F.col(c).alias(n) for n, c in names.items()], F.xxhash64(*df.columns).alias("_row"))
+    key = [*names, "_row"]
+    places = stage(wanted(key_ranks(keyed.select(*key), key, key)), "places")
+    rows = join_groups(keyed, places.select(*key).distinct(), key, "left_semi").dropDuplicates(key)
+    return join_groups(places, rows, key).drop(*key)
+
+
 def systematic_sample(df: DataFrame, order: Sequence[str], each: int, skip: int = 0) -> DataFrame:
     """Rows i of the order with ``(i + skip) % each == 0``; ties take the places they get, each one row."""
-    ranked = key_ranks(df, list(order), df.columns)
-    return ranked.filter(F.pmod(F.col("position") + skip, F.lit(each)) == 0).select(*df.columns)
+    every = lambda ranked: ranked.filter(F.pmod(F.col("position") + skip, F.lit(each)) == 0)
+    return _at_places(df, order, every).select(*df.columns)
 
 
 def select_positions(df: DataFrame, order: Sequence[str], positions: Sequence[int]) -> DataFrame:
@@ -33,8 +48,8 @@ def select_positions(df: DataFrame, order: Sequence[str], positions: Sequence[in
     """
     asked = [(int(p), i) for i, p in enumerate(positions)]
     wanted = df.sparkSession.createDataFrame(asked, "position long, request long")
-    ranked = key_ranks(df, list(order), df.columns)
-    return ranked.join(wanted, "position").select(*df.columns, "position", "request")
+    found = _at_places(df, order, lambda ranked: ranked.join(wanted, "position"))
+    return found.select(*df.columns, "position", "request")
 
 
 def evenly_spaced(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
@@ -78,22 +93,48 @@ def _with_cuts(df: DataFrame, by: Sequence[str], keys: Sequence[str], seed: int,
     )
 
 
+def _first_places(df: DataFrame, by: list[str], keys: Sequence[str], seed: int, place) -> DataFrame:
+    """Add ``_n`` and ``_first``: whether the row is among the first ``place`` of its group in seeded order.
+
+    Rows that repeat a key share its hash. Where a cut falls among them, they go
+    by a hash of the row, and equal rows are counted before they are placed, so
+    that the number is exact and no key is too hot.
+    """
+    hashed = seeded_order(df, keys, seed, "_hash")
+    cuts = stage(hash_cuts(hashed, by, "_hash", F.array(place)), "cuts")  # one row per group
+    cuts = cuts.select(*by, "_n", F.col("cuts")[0].alias("_cut"), F.col("among")[0].alias("_among"), F.col("same")[0].alias("_same"))
+    torn = F.col("_among") < F.col("_same")
+    marked = join_groups(hashed, cuts, by, "left") if by else hashed.join(cuts, F.lit(True), "left")  # one row
+    marked = marked.withColumn("_n", F.coalesce("_n", F.lit(0).cast("long")))
+    below = F.col("_hash") < F.col("_cut")
+    at = F.coalesce(F.col("_hash") == F.col("_cut"), F.lit(False))
+    if not cuts.filter(torn).head(1):
+        return marked.select(*df.columns, "_n", F.coalesce(below | at, F.lit(False)).alias("_first"))
+    edge = at & torn
+    rest = marked.filter(~F.coalesce(edge, F.lit(False))).select(*df.columns, "_n", F.coalesce(below | at, F.lit(False)).alias("_first"))
+    groups = [f"_b{i}" for i in range(len(by))]
+    copies = marked.filter(edge).groupBy(*df.columns, "_n", "_among").agg(F.count(F.lit(1)).alias("_c"))
+    copies = copies.select("*", *[F.col(c).alias(g) for g, c in zip(groups, by)], F.xxhash64(*df.columns).alias("_row"))
+    placed = prefix_sums(copies, groups, ["_row"], ["_c"])
+    mine = F.col("_among") - (F.col("_c_cum") - F.col("_c"))  # how many of these copies are still first
+    split = placed.select(*df.columns, "_n", mine.alias("_mine"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))).alias("_i"))
+    return rest.unionByName(split.select(*df.columns, "_n", (F.col("_i") <= F.col("_mine")).alias("_first")))
+
+
 def train_valid_split(df: DataFrame, keys: Sequence[str], fraction: float = 0.10, seed: int = 42) -> DataFrame:
-    """Add ``split``; exactly ceil(fraction * n) rows are 'valid'."""
+    """Add ``split``; exactly ceil(fraction * n) rows are 'valid', also where keys repeat."""
     return stratified_split(df, keys, [], fraction, seed)
 
 
 def stratified_split(
     df: DataFrame, keys: Sequence[str], by: str | Sequence[str], fraction: float = 0.10, seed: int = 42
 ) -> DataFrame:
-    """Per-class holdout; classes with fewer than two members are dropped. Null is a class."""
+    """Per-class holdout of exactly ceil(fraction * n) rows; classes with fewer than two members are dropped. Null is a class."""
     by = [by] if isinstance(by, str) else list(by)
-    held = F.array(F.ceil(F.col("_n") * F.lit(fraction)))
-    marked = _with_cuts(df, by, keys, seed, held)
+    marked = _first_places(df, by, keys, seed, F.ceil(F.col("_n") * F.lit(fraction)))
     if by:
         marked = marked.filter(F.col("_n") >= 2)
-    valid = F.col("_hash") <= F.get("cuts", F.lit(0))
-    return marked.select(*df.columns, F.when(valid, "valid").otherwise("train").alias("split"))
+    return marked.select(*df.columns, F.when(F.col("_first"), "valid").otherwise("train").alias("split"))
 
 
 def threshold_split(df: DataFrame, keys: Sequence[str], fraction: float = 0.10, seed: int = 42) -> DataFrame:
@@ -107,7 +148,7 @@ def kfold(
     df: DataFrame, keys: Sequence[str], k: int = 8, repeats: int = 1,
     stratify: str | None = None, seed: int = 42,
 ) -> DataFrame:
-    """Add ``repeat`` and ``fold`` (0-based); rows are repeated once per repeat."""
+    """Add ``repeat`` and ``fold`` (0-based); rows are repeated once per repeat. Rows that repeat a key share its fold."""
     by = [stratify] if stratify else []
     size = F.floor(F.col("_n") / k)
     spare = F.col("_n") % k
@@ -134,7 +175,7 @@ def undersample(
     With ``replacement`` each class is drawn that many times at random places
     of its seeded order, so rows may repeat; ``pick`` numbers the draws.
     """
-    smallest = df.groupBy(by).agg(F.count(F.lit(1)).alias("c")).agg(F.min("c")).first()[0]
+    smallest = df.groupBy(by).agg(F.count(F.lit(1)).alias("_size")).agg(F.min("_size")).first()[0]
     if replacement:
         ordered = seeded_order(df, keys, seed, "_hash").select(by, *keys, "_hash", F.lit(1).alias("_one"))
         ranked = prefix_sums(ordered, [by], ["_hash"], ["_one"]).withColumnRenamed("_one_cum", "_rank")
@@ -150,8 +191,7 @@ def undersample(
         return join_groups(df, drawn.select(by, *keys, "pick"), [by, *keys])
     if smallest is None:
         return df
-    marked = _with_cuts(df, [by], keys, seed, F.array(F.lit(int(smallest))))
-    return marked.filter(F.col("_hash") <= F.get("cuts", F.lit(0))).select(*df.columns)
+    return _first_places(df, [by], keys, seed, F.lit(int(smallest))).filter("_first").select(*df.columns)
 
 
 def perturb(df: DataFrame, keys: Sequence[str], features: Sequence[str], draw: int, error_suffix: str = "__err") -> DataFrame:

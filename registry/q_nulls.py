@@ -119,3 +119,17 @@ syn AS (SELECT m.tile, m.num, m.cls, i AS synthetic, {', '.join(f'm.{c} + u*(t.{
   FROM made m JOIN near ON near.number = m.number AND near.rk = m.pick JOIN e t ON t.number = near.nb)
 SELECT tile, num, cls, synthetic::int AS synthetic, {', '.join(f'{R(c)} AS {c}' for c in SHOWN)}
 FROM (SELECT tile, num, cls, 0 AS synthetic, {', '.join(SHOWN)} FROM e UNION ALL SELECT * FROM syn)"""
+
+# --- keys that repeat: two of three objects share their key with another -----------------------
+PAIRED = "SELECT event_id // 3 AS pair, event_id AS number, event_type AS cls FROM events"
+
+
+def paired(s, d):
+    return V.v_obj(s, d, ["number", "cls"]).selectExpr("number div 3 AS pair", "number", "cls")
+
+
+Q["d02_repeated_key"] = lambda s, d: sampling.train_valid_split(paired(s, d), ["pair"]).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+SQL["d02_repeated_key"] = (
+    "SELECT unnest(['valid', 'train']) AS split, unnest([ceil(count(*) * 0.1::double)::bigint, count(*) - ceil(count(*) * 0.1::double)::bigint]) AS n FROM events")
+Q["d05_repeated_key"] = lambda s, d: sampling.undersample(paired(s, d), ["pair"], "cls").groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+SQL["d05_repeated_key"] = f"SELECT cls, min(count(*)) OVER () AS n FROM ({PAIRED}) GROUP BY cls"

@@ -577,3 +577,34 @@ def test_sampled_arrays_belong_to_their_key(spark):
     for r in one:
         assert 98 <= len(r["P_QSO"]) <= 101
         assert np.allclose(np.add(np.add(r["P_Galaxy"], r["P_QSO"]), r["P_Star"]), 1)
+
+
+@pytest.mark.parametrize("fraction", [0.1, 0.34, 0.9])
+def test_splits_are_exact_where_keys_repeat(spark, fraction):
+    rows = [(i % 5, i) for i in range(40)] + [(7, 99)] * 30 + [(8, None)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(3)
+    out = sampling.train_valid_split(df, ["k"], fraction).collect()
+    assert sorted((r["k"], r["v"] or -1) for r in out) == sorted((k, v or -1) for k, v in rows)
+    assert sum(r["split"] == "valid" for r in out) == int(np.ceil(len(rows) * fraction))
+    classed = spark.createDataFrame([("a", 1, i) for i in range(17)] + [("b", 2, 0)] * 9 + [(None, 3, i % 2) for i in range(4)], "c string, k long, v long")
+    kept = sampling.undersample(classed, ["k"], "c").collect()
+    assert sorted(str(r["c"]) for r in kept) == ["None"] * 4 + ["a"] * 4 + ["b"] * 4
+    held = sampling.stratified_split(classed, ["k"], "c", 0.5).filter("split = 'valid'").collect()
+    assert sorted(str(r["c"]) for r in held) == ["None"] * 2 + ["a"] * 9 + ["b"] * 5
+
+
+def test_places_are_found_by_the_order_alone(spark, monkeypatch):
+    from posteria.operators import ranks
+
+    rows = [(i // 4, f"text {i}" * 20, i % 3) for i in range(400)] + [(7, "twin", 0)] * 5
+    df = spark.createDataFrame(rows, "o long, wide string, x int").repartition(6)
+    real, written = ranks.stage, []
+    monkeypatch.setattr(ranks, "stage", lambda d, label="stage": written.append(d.columns) or real(d, label))
+    found = sampling.systematic_sample(df, ["o"], 9, 2).collect()
+    ordered = sorted(r[0] for r in rows)
+    assert sorted(r["o"] for r in found) == [o for i, o in enumerate(ordered) if (i + 2) % 9 == 0]
+    assert all("wide" not in columns for columns in written)
+    some = sampling.select_positions(df, ["o"], [0, 404, 30, 30]).orderBy("request").collect()
+    assert [r["o"] for r in some] == [ordered[i] for i in (0, 404, 30, 30)] and some[2][:3] == some[3][:3]
+    twins = sampling.systematic_sample(df, ["o"], 1).collect()
+    assert sorted((r["o"], r["wide"]) for r in twins) == sorted((a, b) for a, b, _ in rows)
