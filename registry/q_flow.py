@@ -9,10 +9,10 @@ from posteria.models import network, scoring, training
 from posteria.models.network import NetConfig
 from posteria.models.training import FittedNet
 from posteria.operators import cleaning, labels, posterior, scaling
-from posteria.plans import predict, train
+from posteria.plans import bulk, predict, train
 from posteria.session import staged_path
 from posteria.sources import catalog, sinks
-from posteria.streaming.scoring import scoring_throughput, stream_score
+from posteria.streaming.scoring import scoring_throughput, stream_score, stream_score_logged
 from registry import views as V
 from registry.util import rounded
 
@@ -300,6 +300,37 @@ def s01(s, d):
 Q["s01_stream_score"] = s01
 SQL["s01_stream_score"] = (
     f"SELECT number, {R('y1')} AS y1_mean, {R('y2')} AS y2_pc50, case when y1 >= y2 then 'a' else 'b' end AS CLASS FROM ({NETY})")
+
+
+def s01_logged(s, d):
+    state = plain_state(s, d)
+    out, log = staged_path(s, "scored"), staged_path(s, "log")
+    every = V.obj_columns("spark")
+    rows = lambda df: predict.score(
+        df.selectExpr(*[f"{every[c]} AS {c}" for c in ("number", *NET_F)]), state, ["number"], n_iter=5).select(
+        "number", "y1_mean", "y2_pc50", "CLASS")
+    return rounded(stream_score_logged(s, d, out, V.table(s, d, "events").schema, rows, log, name_glob="events.parquet"))
+
+
+Q["s01_stream_score_logged"] = s01_logged
+SQL["s01_stream_score_logged"] = SQL["s01_stream_score"]
+
+
+def a08_bulk(s, d):
+    """Two files of one catalog and one that is missing, scored in one call and called again."""
+    state = plain_state(s, d)
+    place = staged_path(s, "catalog")
+    V.v_obj(s, d, ["number", *NET_F]).write.parquet(place)
+    files = [r[0] for r in s.read.parquet(place).select("_metadata.file_path").distinct().collect()]
+    schema, out = s.read.parquet(place).schema, staged_path(s, "bulk")
+    call = lambda: bulk.predict_files(s, [*files, f"{place}/missing.parquet"], schema, state, ["number"], out, n_iter=5, files_per_batch=8, fmt="parquet")
+    call()
+    return call().select("number", "y1_mean", "y2_pc50", "CLASS")
+
+
+Q["a08_predict_files"] = a08_bulk
+SQL["a08_predict_files"] = (
+    f"SELECT number, round(y1, 4) + 0.0::double AS y1_mean, round(y2, 4) + 0.0::double AS y2_pc50, case when y1 >= y2 then 'a' else 'b' end AS CLASS FROM ({NETY})")
 Q["s02_scoring_throughput"] = lambda s, d: rounded(scoring_throughput(
     V.v_obj(s, d, ["tile_id", "cls", "mag_err_r"]).selectExpr("cls AS run", "tile_id AS file", "1 AS n_sources", "mag_err_r AS seconds")), 9)
 SQL["s02_scoring_throughput"] = f"""

@@ -608,3 +608,60 @@ def test_places_are_found_by_the_order_alone(spark, monkeypatch):
     assert [r["o"] for r in some] == [ordered[i] for i in (0, 404, 30, 30)] and some[2][:3] == some[3][:3]
     twins = sampling.systematic_sample(df, ["o"], 1).collect()
     assert sorted((r["o"], r["wide"]) for r in twins) == sorted((a, b) for a, b, _ in rows)
+
+
+def small_state():
+    model = training.FittedNet(network.init_params(2, 2, PLANTED), PLANTED, ["x", "z"], ["a", "b"], [])
+    return sinks.CatalogState(model, {}, None, ["a", "b"], [])
+
+
+def test_a_batch_cut_short_is_neither_doubled_nor_missing(spark, tmp_path, monkeypatch):
+    from posteria.sources import runlog
+    from posteria.streaming import scoring as stream
+
+    source, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    df = planted(spark, 90).repartition(3)
+    df.write.parquet(source)
+    rows = lambda d: predict.score(d, small_state(), ["id"], n_iter=3)
+    run = lambda: stream.stream_score_logged(spark, source, out, df.schema, rows, log, files_per_batch=1)
+    real, calls = runlog.commit_batch, []
+
+    def cut(batch, number, *how):
+        calls.append(number)
+        if len(calls) == 2:  # the rows are there, the log is not
+            how[1](batch).write.mode("overwrite").parquet(f"{how[0]}/predictions/batch={number}")
+            raise RuntimeError("lost")
+        real(batch, number, *how)
+
+    monkeypatch.setattr(stream, "commit_batch", cut)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert runlog.read_committed(spark, out).count() < 90
+    found = run()
+    assert sorted(r["id"] for r in found.select("id").collect()) == list(range(90))
+    history = runlog.read_log(spark, out).withColumn("run", F.lit("one"))
+    assert history.count() == 3 and history.agg(F.sum("n_sources")).first()[0] == 90
+    through = stream.scoring_throughput(history, ("batch", "place")).orderBy("batch", "place").collect()
+    assert [r["batch"] for r in through] == [0, 1, 2] and all(r["secs_per_source"] > 0 for r in through)
+
+
+def test_bulk_prediction_goes_on_where_it_stopped(spark, tmp_path):
+    from posteria.plans import bulk
+    from posteria.sources import runlog
+
+    df = planted(spark, 60)
+    for i in range(3):
+        df.filter(F.col("id") % 3 == i).coalesce(1).write.csv(str(tmp_path / f"c{i}"), header=True)
+    files = sorted(str(p) for i in range(3) for p in (tmp_path / f"c{i}").glob("part-*.csv"))
+    listed = tmp_path / "manifest.txt"
+    listed.write_text("\n".join([*files[:2], str(tmp_path / "none.csv")]) + "\n")
+    call = lambda **how: bulk.predict_files(spark, str(listed), df.schema, small_state(), ["id"], str(tmp_path / "out"), n_iter=3, files_per_batch=1, **how)
+    first = call()
+    assert first.count() == 40 and "x" not in first.columns
+    listed.write_text("\n".join(files) + "\n")
+    (tmp_path / "out" / "predictions" / "batch=2").mkdir(parents=True)  # a lost attempt
+    again = call().collect()
+    assert sorted(r["id"] for r in again) == list(range(60))
+    assert call().count() == 60 and runlog.read_log(spark, str(tmp_path / "out")).count() == 3
+    full = bulk.predict_files(spark, files, df.schema, small_state(), ["id"], str(tmp_path / "full"), mode="full", n_iter=3)
+    assert {"x", "z", "a_mean"} <= set(full.columns) and full.count() == 60
