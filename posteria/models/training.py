@@ -203,13 +203,13 @@ def fit_spread_model(oof: DataFrame, keys, features, spreads: Sequence[str], cfg
 
 
 def fit_forest(
-    df: DataFrame, features: Sequence[str], targets: Sequence[str], n_trees: int = 100, depth: int = 10, seed: int = 42
+    df: DataFrame, features: Sequence[str], targets: Sequence[str], n_trees: int = 100, depth: int = 10, seed: int = 42, bootstrap: bool = True
 ) -> dict[str, RandomForestRegressionModel]:
-    """One random forest regressor per target."""
+    """One random forest regressor per target; without ``bootstrap`` a tree sees every row once."""
     data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
     return {
         t: RandomForestRegressor(
-            featuresCol="_x", labelCol=t, predictionCol=f"pred_{t}", numTrees=n_trees, maxDepth=depth, seed=seed
+            featuresCol="_x", labelCol=t, predictionCol=f"pred_{t}", numTrees=n_trees, maxDepth=depth, seed=seed, bootstrap=bootstrap
         ).fit(data)
         for t in targets
     }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from posteria.models import network, scoring, training
 from posteria.models.network import NetConfig
-from posteria.operators import labels, posterior
+from posteria.operators import cleaning, labels, posterior
 from posteria.plans import predict
 from registry import views as V
 from registry.q_flow import NET_F, NETX, NETY, R, plain_state
@@ -42,7 +42,10 @@ def points(cfg):
 FOLD = "ntile(3) OVER (ORDER BY md5(number::varchar || '|42')) - 1"
 
 
-def chain(cfg, tag="", fold=None):
+TRUTHS = ("(event_type = 'click')::int::double", "(event_type = 'error')::int::double")
+
+
+def chain(cfg, tag="", fold=None, truths=TRUTHS):
     """CTEs p0..pE (one row of parameters and Adam moments each); with ``fold``
     trained on the other folds only."""
     others = "" if fold is None else f"AND fold <> {fold}"
@@ -51,7 +54,7 @@ def chain(cfg, tag="", fold=None):
     names += [f"u{j}{k}" for j in (0, 1) for k in (0, 1)] + ["c0", "c1"]
     start = np.concatenate([p.ravel() for p in network.init_params(2, len(TARGETS[cfg.loss]), cfg)])
     ctes = [
-        f"d{tag} AS MATERIALIZED (SELECT x.*, {FOLD} AS fold, (event_type = 'click')::int::double AS t0, (event_type = 'error')::int::double AS t1, "
+        f"d{tag} AS MATERIALIZED (SELECT x.*, {FOLD} AS fold, {truths[0]} AS t0, {truths[1]} AS t1, "
         f"substr(md5(number::varchar || '|42'), 1, 8) < '4ccccccc' AS held FROM ({NETX}) x JOIN events ON event_id = number)",
         f"p{tag}0 AS (SELECT " + ", ".join(f"{float(v)!r}::double AS {n}, 0.0::double AS m_{n}, 0.0::double AS v_{n}" for n, v in zip(names, start)) + ")",
     ]
@@ -105,6 +108,47 @@ Q["g07_history_likelihood"] = lambda s, d: rounded(fitted(s, d, LIKELIHOOD)[1].h
 SQL["g07_history_likelihood"] = history_sql(LIKELIHOOD)
 
 
+# dropout with rates of zero leaves every draw of a mask at one
+UNDROPPED = NetConfig(kind="dropout", loss="nll", **PLAIN | dict(dropout=(0.0,)))
+
+
+def g01(s, d):
+    df = rows(s, d)
+    model = training.fit_dropout_net(df, ["number"], NET_F, TARGETS["nll"], UNDROPPED)
+    return rounded(scoring.predict_points(df, model, ["number"]), 5)
+
+
+Q["g01_full_batch_rounds"] = g01
+SQL["g01_full_batch_rounds"] = points_sql(LIKELIHOOD)
+
+
+def g10(s, d):
+    """A spread model trained on the distance of two columns from the truth."""
+    df = posterior.observed_spread(rows(s, d), {"var_a": (NET_F[0], "cls_click"), "var_b": (NET_F[1], "cls_error")})
+    model = training.fit_spread_model(df, ["number"], NET_F, ["var_a", "var_b"], SQUARED)
+    return rounded(cleaning.floor_sigma(scoring.predict_points(df, model, ["number"]), ["pred_var_a", "pred_var_b"]), 5)
+
+
+def g10_sql():
+    ctes, forward = chain(SQUARED, truths=tuple(f"abs(x{i} - {t})" for i, t in enumerate(TRUTHS)))
+    shown = ", ".join(f"greatest({R(f'o{i}', 5)}, 0.0001::double) AS pred_var_{c}" for i, c in enumerate("ab"))
+    return f"WITH {ctes} SELECT number, {shown} FROM ({forward(EPOCHS)})"
+
+
+Q["g10_spread_full_batch"] = g10
+SQL["g10_spread_full_batch"] = g10_sql()
+
+
+def g04(s, d):
+    """One tree over a feature of five values: its leaves are the means of the groups."""
+    df = V.v_tab(s, d).withColumn("code", F.substring("cls", 1, 1).cast("double"))
+    models = training.fit_forest(df, ["code"], ["x1"], n_trees=1, depth=5, bootstrap=False)
+    return rounded(training.predict_forest(df, models, ["code"]).select("number", "pred_x1"), 4)
+
+
+Q["g04_single_tree"] = g04
+SQL["g04_single_tree"] = f"SELECT number, {R('avg(x1) OVER (PARTITION BY cls)', 4)} AS pred_x1 FROM ({V.tab_sql()})"
+
 
 def oof(s, d):
     out, _ = scoring.cross_validated_predictions(rows(s, d), ["number"], NET_F, TARGETS["mse"], SQUARED, k=3, n_iter=2)
