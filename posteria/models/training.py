@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Summarizer
@@ -25,6 +25,7 @@ from posteria.functions.seeded import seeded_hash
 from posteria.models import network
 from posteria.models.network import NetConfig
 
+MEET = 64  # replicas whose slices meet in one row
 SLICE = 65_536  # numbers per slice of the flattened model
 
 
@@ -100,6 +101,7 @@ def _epoch_job(handle, cfg: NetConfig, epoch: int, rate: float, n_instances: int
         yield pd.DataFrame(
             {
                 "slice": range(len(pieces)),
+                "part": part,
                 "numbers": pieces,
                 "weight": float(n_train),
                 "step": step,
@@ -113,13 +115,32 @@ def _epoch_job(handle, cfg: NetConfig, epoch: int, rate: float, n_instances: int
     return run
 
 
-_OUT = "slice int, numbers array<double>, weight double, step long, loss double, n long, val double, n_val long"
+_OUT = "slice int, part int, numbers array<double>, weight double, step long, loss double, n long, val double, n_val long"
+
+
+def _merged(rows: DataFrame, *by) -> DataFrame:
+    """One row for each group: the weighted mean of the numbers, and the sums."""
+    return rows.groupBy(*by).agg(
+        Summarizer.mean(array_to_vector("numbers"), F.col("weight")).alias("mean"), F.sum("weight").alias("weight"),
+        F.max("step").alias("step"), F.sum("loss").alias("loss"), F.sum("n").alias("n"),
+        F.sum("val").alias("val"), F.sum("n_val").alias("n_val"),
+    )
+
+
+def average(rows: DataFrame, replicas: int, most: int = MEET) -> DataFrame:
+    """Every slice of the model averaged over all replicas; no more than ``most`` rows of a slice ever meet."""
+    while replicas > most:
+        replicas = -(-replicas // most)
+        some = F.pmod("part", F.lit(replicas)).cast("int").alias("part")
+        rows = _merged(rows, "slice", some).withColumn("numbers", vector_to_array("mean"))
+    return _merged(rows, "slice")
 
 
 def fit_net(df: DataFrame, keys: Sequence[str], features: Sequence[str], targets: Sequence[str], cfg: NetConfig) -> FittedNet:
     """Train on whole rows without nulls; 30% by hash watch for overfitting."""
     keys, features, targets = list(keys), list(features), list(targets)
     spark = df.sparkSession
+    replicas = cfg.replicas or spark.sparkContext.defaultParallelism
     digest = seeded_hash(keys, cfg.seed)
     cut = format(int(cfg.valid_fraction * 16**8), "08x")
     pack = lambda cols: F.array(*[F.col(c).cast("double") for c in cols])
@@ -127,7 +148,7 @@ def fit_net(df: DataFrame, keys: Sequence[str], features: Sequence[str], targets
     data = (
         df.select(pack(features).alias("x"), pack(targets).alias("y"), digest.alias("h"))
         .withColumn("held", F.substring("h", 1, 8) < cut)
-        .repartition(cfg.replicas or spark.sparkContext.defaultParallelism, "h")
+        .repartition(replicas, "h")
         .sortWithinPartitions("h")
         .select("x", "y", "held")
         .persist()
@@ -144,11 +165,7 @@ def fit_net(df: DataFrame, keys: Sequence[str], features: Sequence[str], targets
         handle = spark.sparkContext.broadcast((params, m, v, step))
         rate = network.decayed(rate, epoch, cfg)
         rows = data.mapInPandas(_epoch_job(handle, cfg, epoch, rate, n_instances), _OUT)
-        merged = rows.groupBy("slice").agg(
-            Summarizer.mean(array_to_vector("numbers"), F.col("weight")).alias("mean"),
-            F.max("step").alias("step"), F.sum("loss").alias("loss"), F.sum("n").alias("n"),
-            F.sum("val").alias("val"), F.sum("n_val").alias("n_val"),
-        )
+        merged = average(rows, replicas)
         slices = sorted(merged.collect(), key=lambda r: r["slice"])  # as large as the model
         handle.unpersist()
         loss, n, val, n_val = (sum(r[c] for r in slices) for c in ("loss", "n", "val", "n_val"))

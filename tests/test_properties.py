@@ -665,3 +665,16 @@ def test_bulk_prediction_goes_on_where_it_stopped(spark, tmp_path):
     assert call().count() == 60 and runlog.read_log(spark, str(tmp_path / "out")).count() == 3
     full = bulk.predict_files(spark, files, df.schema, small_state(), ["id"], str(tmp_path / "full"), mode="full", n_iter=3)
     assert {"x", "z", "a_mean"} <= set(full.columns) and full.count() == 60
+
+
+def test_slices_of_many_replicas_meet_in_small_groups(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    numbers, weights = rng.normal(size=(300, 4)), rng.integers(1, 50, 300)
+    rows = [(s, p, numbers[p].tolist(), float(weights[p]), 1, 1.0, int(weights[p]), 0.0, 0) for s in (0, 1) for p in range(300)]
+    df = spark.createDataFrame(rows, training._OUT).repartition(40)
+    real, met = training._merged, []
+    monkeypatch.setattr(training, "_merged", lambda d, *by: met.append(max(r["count"] for r in d.groupBy(*by).count().collect())) or real(d, *by))
+    out = training.average(df, 300, most=7).orderBy("slice").collect()
+    assert len(met) == 3 and max(met) <= 7
+    for r in out:
+        assert np.allclose(r["mean"].toArray(), np.average(numbers, axis=0, weights=weights)) and r["n"] == weights.sum() and r["loss"] == 300
