@@ -32,7 +32,7 @@ from posteria.llm.tables import lean, quoted, slices
 from posteria.session import stage
 
 GRAM = 64  # bytes of the first digit
-PIECE = 1 << 20  # bytes worked on at once
+PIECE = 1 << 18  # bytes worked on at once
 OPENED = 4 << 20  # bytes of texts that a batch of frames opens to, or one text
 RUNS = 2048  # different runs of a gram that one task sorts
 WINDOWS = 400_000  # windows sorted together
@@ -171,7 +171,7 @@ def _pieces(texts: list[bytes], keys: np.ndarray, width: int):
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 2 << 20):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         for data, lengths, offsets, of in _pieces([t or b"" for t in texts], keys, width):
