@@ -38,7 +38,9 @@ def score(
 
     After the optional join everything is row-local: one pass makes the draws,
     summarises them and fits the mixtures, and no object moves between tasks.
+    Sigmas come from ``spread``, or the spread model of the state.
     """
+    spread = spread or state.spread
     if external is not None:
         df = enrich(df, external, keys)
     kept = [*keys, *[c for c in keep if c not in keys]]

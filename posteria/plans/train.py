@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posteria.models.network import NetConfig
-from posteria.models.training import fit_net
+from posteria.models.scoring import cross_validated_predictions
+from posteria.models.training import SPREAD_CONFIG, fit_net, fit_spread_model
 from posteria.operators import balance, cleaning, features, labels, sampling, scaling, selection
+from posteria.operators.posterior import observed_spread
 from posteria.plans.prepare import before_photometry, derive, fluxes_of, folded_names
 from posteria.session import stage
 from posteria.sources.sinks import CatalogState
@@ -22,7 +24,8 @@ class TrainPlan:
 
     ``select`` is None, 'anova' or 'rfe'; ``balancing`` is None, 'smote' or
     'undersample'. Rows without a target are dropped. The last of ``keys``
-    must identify an object.
+    must identify an object. With ``spread_folds`` out-of-fold predictions of
+    that many folds train a second model, of how far the medians are off.
     """
 
     keys: tuple[str, ...]
@@ -41,6 +44,9 @@ class TrainPlan:
     balancing: str | None = "smote"
     seed: int = 42
     net: NetConfig = field(default_factory=NetConfig)
+    spread_folds: int = 0
+    spread_net: NetConfig = SPREAD_CONFIG
+    spread_draws: int = 300
 
     def __post_init__(self):
         if not self.label and not self.targets:
@@ -121,4 +127,8 @@ def train(df: DataFrame, plan: TrainPlan) -> tuple[CatalogState, DataFrame]:
     names = best_features(rows, plan, names, targets)
     fitted = balanced(rows, plan, names, targets)
     state.model = fit_net(fitted, [*plan.keys, "synthetic"], names, targets, plan.net)
+    if plan.spread_folds:
+        unseen, _ = cross_validated_predictions(rows, plan.keys, names, targets, plan.net, plan.spread_folds, n_iter=plan.spread_draws)
+        off = observed_spread(unseen, {f"sigma_{t}": (f"{t}_pc50", t) for t in targets})
+        state.spread = fit_spread_model(stage(off, "spread"), plan.keys, names, [f"sigma_{t}" for t in targets], plan.spread_net)
     return state, prepared

@@ -58,7 +58,8 @@ def export_draws(draws: DataFrame, wanted: DataFrame, keys: Sequence[str], path:
 @dataclass
 class CatalogState:
     """Everything that scoring needs besides the catalog. ``class_targets`` are
-    the targets that stand for ``classes``, all of them if empty."""
+    the targets that stand for ``classes``, all of them if empty; ``spread`` is
+    the second model, which predicts how far the medians are off."""
 
     model: FittedNet | None
     scaler: dict[str, tuple[float, float]]
@@ -69,33 +70,43 @@ class CatalogState:
     fold_motion: bool = False
     galactic_latitude: bool = False
     class_targets: list[str] = field(default_factory=list)
+    spread: FittedNet | None = None
 
 
 # fields that go into the settings row as they are
 _PLAIN = ["scaler", "zeropoint", "classes", "mags", "photometry", "fold_motion", "galactic_latitude", "class_targets"]
 
 
+def _described(model: FittedNet) -> dict:
+    return {"cfg": model.cfg.as_dict(), "features": model.features, "targets": model.targets, "history": model.history}
+
+
+def _write_weights(spark: SparkSession, model: FittedNet, path: str) -> None:
+    rows = [(i, list(p.shape), p.ravel().tolist()) for i, p in enumerate(model.params)]
+    spark.createDataFrame(rows, "place int, shape array<int>, numbers array<double>").write.mode("overwrite").parquet(path)
+
+
+def _read_model(spark: SparkSession, found: dict, path: str) -> FittedNet:
+    cfg = NetConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in found["cfg"].items()})
+    weights = spark.read.parquet(path).orderBy("place").collect()  # as large as the model
+    params = [np.array(r["numbers"], dtype=float).reshape(r["shape"]) for r in weights]
+    return FittedNet(params, cfg, found["features"], found["targets"], [tuple(h) for h in found["history"]])
+
+
 def save_state(spark: SparkSession, state: CatalogState, path: str) -> None:
-    """Two small tables: one row of settings, one row per weight array."""
-    m = state.model
-    settings = {
-        "cfg": m.cfg.as_dict(), "features": m.features, "targets": m.targets, "history": m.history,
-        **{name: getattr(state, name) for name in _PLAIN},
-    }
+    """Small tables: one row of settings, one row per weight array of each model."""
+    settings = {**_described(state.model), **{name: getattr(state, name) for name in _PLAIN}}
+    _write_weights(spark, state.model, f"{path}/weights")
+    if state.spread is not None:
+        settings["spread"] = _described(state.spread)
+        _write_weights(spark, state.spread, f"{path}/spread_weights")
     one = spark.createDataFrame([(json.dumps(settings),)], "settings string")
     one.coalesce(1).write.mode("overwrite").text(f"{path}/settings")
-    rows = [(i, list(p.shape), p.ravel().tolist()) for i, p in enumerate(m.params)]
-    spark.createDataFrame(rows, "place int, shape array<int>, numbers array<double>").write.mode("overwrite").parquet(
-        f"{path}/weights"
-    )
 
 
 def load_state(spark: SparkSession, path: str) -> CatalogState:
     found = json.loads(spark.read.text(f"{path}/settings").first()[0])
-    cfg = found["cfg"]
-    cfg = NetConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in cfg.items()})
-    weights = spark.read.parquet(f"{path}/weights").orderBy("place").collect()  # as large as the model
-    params = [np.array(r["numbers"], dtype=float).reshape(r["shape"]) for r in weights]
-    model = FittedNet(params, cfg, found["features"], found["targets"], [tuple(h) for h in found["history"]])
+    model = _read_model(spark, found, f"{path}/weights")
+    spread = _read_model(spark, found["spread"], f"{path}/spread_weights") if found.get("spread") else None
     found["scaler"] = {k: tuple(v) for k, v in found["scaler"].items()}
-    return CatalogState(model, **{name: found[name] for name in _PLAIN})
+    return CatalogState(model, **{name: found[name] for name in _PLAIN}, spread=spread)

@@ -678,3 +678,19 @@ def test_slices_of_many_replicas_meet_in_small_groups(spark, monkeypatch):
     assert len(met) == 3 and max(met) <= 7
     for r in out:
         assert np.allclose(r["mean"].toArray(), np.average(numbers, axis=0, weights=weights)) and r["n"] == weights.sum() and r["loss"] == 300
+
+
+def test_spread_model_is_trained_saved_and_used(spark, tmp_path):
+    df = spark.range(90).select(
+        F.lit(1).alias("tile_id"), F.col("id").alias("number"), F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("CLASS"),
+        *[(uniform("id", i) + (F.col("id") % 2 == i).cast("double")).alias(f"f{i}") for i in range(2)])
+    tiny = NetConfig(hidden=(6,), dropout=(0.1,), epochs=2, batch_size=32, learning_rate=1e-2, replicas=2)
+    plan = train.TrainPlan(("tile_id", "number"), "CLASS", ("f0", "f1"), balancing=None, net=tiny, spread_folds=2, spread_draws=4,
+                           spread_net=NetConfig(kind="deterministic", hidden=(4,), dropout=(), input_dropout=0.0, epochs=2, replicas=2))
+    state, _ = train.train(df, plan)
+    sinks.save_state(spark, state, str(tmp_path / "s"))
+    back = sinks.load_state(spark, str(tmp_path / "s"))
+    assert back.spread.targets == ["sigma_CLASS_A", "sigma_CLASS_B"] and back.spread.features == state.spread.features
+    a, b = (predict.score(df, x, ["tile_id", "number"], n_iter=3).orderBy("number").toPandas() for x in (state, back))
+    pd.testing.assert_frame_equal(a, b)
+    assert {"sigma_CLASS_A", "sigma_CLASS_B"} <= set(a.columns) and (a.sigma_CLASS_A >= 1e-4).all()
