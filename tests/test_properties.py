@@ -694,3 +694,22 @@ def test_spread_model_is_trained_saved_and_used(spark, tmp_path):
     a, b = (predict.score(df, x, ["tile_id", "number"], n_iter=3).orderBy("number").toPandas() for x in (state, back))
     pd.testing.assert_frame_equal(a, b)
     assert {"sigma_CLASS_A", "sigma_CLASS_B"} <= set(a.columns) and (a.sigma_CLASS_A >= 1e-4).all()
+
+
+def test_evaluation_plan_equals_its_operators(spark, tmp_path):
+    from posteria.plans import evaluate
+    from registry import views
+
+    df = views.v_pred(spark, "/root/testdata/sf0.001")
+    scores = {"p1": "pred_p1", "p2": "pred_p2", "p3": "pred_p3"}
+    tables = evaluate.evaluate_classes(df, "true_class", scores, "mag_g", limit=24.0)
+    evaluate.write_evaluation(tables, str(tmp_path))
+    assert set(tables) == {"class_counts", "roc", "auc", "auc_by_mag", "score_histogram", "failure_rates", "confusion", "confusion_by_mag"}
+    back = evaluate.read_evaluation(spark, str(tmp_path), "auc").collect()
+    pairs = evaluation.one_vs_one(df.filter("mag_g < 24"), "true_class", scores)
+    want = {(r["one_class"], r["other_class"]): r["auc"] for r in evaluation.auc(pairs, "label", "score", ["one_class", "other_class"]).collect()}
+    assert {(r["one_class"], r["other_class"]): r["auc"] for r in back} == pytest.approx(want) and len(want) == 6
+    assert sum(r["n"] for r in tables["confusion"].collect()) == df.count()
+    found = evaluate.evaluate_target(df, "z_obs", "z_pred", "z_err", "z_sigma", ["mag_g", "mag_r"])
+    assert found["mad"].first()["mad_std"] > 0 and {r["side"] for r in found["above_below"].collect()} == {"above", "below"}
+    assert found["binned_residuals"].count() > 8 and found["pulls"].count() > 10
