@@ -713,3 +713,36 @@ def test_evaluation_plan_equals_its_operators(spark, tmp_path):
     found = evaluate.evaluate_target(df, "z_obs", "z_pred", "z_err", "z_sigma", ["mag_g", "mag_r"])
     assert found["mad"].first()["mad_std"] > 0 and {r["side"] for r in found["above_below"].collect()} == {"above", "below"}
     assert found["binned_residuals"].count() > 8 and found["pulls"].count() > 10
+
+
+@pytest.mark.parametrize("p", [1, 2, 3])
+def test_quick_distances_rule_out_no_neighbour(p):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(2500, 7)), np.round(rng.normal(size=(300, 7))), np.full((40, 7), 1e6), np.full((3, 7), 0.5)])
+    y = np.vstack([x[:50], rng.normal(size=(90, 7)), x[-4:], np.full((2, 7), -1e6)])
+    keys = rng.permutation(len(x))
+    own, has = np.r_[keys[:50], np.zeros(len(y) - 50, int)], np.arange(len(y)) < 50
+    gap = np.abs(y[:, None] - x[None])
+    d = gap.sum(2) if p == 1 else np.sqrt(np.einsum("qtd,qtd->qt", gap, gap)) if p == 2 else (gap**p).sum(2) ** (1 / p)
+    d[(own[:, None] == keys[None]) & has[:, None]] = np.inf
+    want = np.lexsort((np.broadcast_to(keys, d.shape), d), axis=1)[:, :6]
+    far = np.take_along_axis(d, want, 1)
+    for bound in (None, far[:, -1].copy()):  # a bound that the last neighbour just meets
+        rows, found, dist = neighbors.nearest_rows(x, keys, y, own, has, 6, p, bound)
+        assert (rows.reshape(-1, 6) == np.arange(len(y))[:, None]).all()
+        assert (found.reshape(-1, 6) == want).all() and np.array_equal(dist.reshape(-1, 6), far)
+
+
+def test_queries_that_no_bound_settles_do_not_go_to_every_cell(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 40))
+    feats = [f"f{i}" for i in range(40)]
+    t = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["k", *feats])
+    moved, meet = [], neighbors._meet
+    monkeypatch.setattr(neighbors, "_meet", lambda a, b, *rest: (moved.append(a.count() + b.count()), meet(a, b, *rest))[1])
+    got = neighbors.knn(t, t, "k", "k", feats, 3, skip_self=True, fan=32, block=32, probes=2).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert {(r["query"], r["rank"]): r["neighbour"] for r in got} == {
+        (i, r + 1): int(j) for i in range(len(x)) for r, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
+    assert max(moved) < 8 * len(x)
