@@ -746,3 +746,20 @@ def test_queries_that_no_bound_settles_do_not_go_to_every_cell(spark, monkeypatc
     assert {(r["query"], r["rank"]): r["neighbour"] for r in got} == {
         (i, r + 1): int(j) for i in range(len(x)) for r, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
     assert max(moved) < 8 * len(x)
+
+
+def test_moments_are_taken_where_the_points_are_drawn(spark):
+    from posteria.functions import addressed
+    from registry import views
+
+    df = mixture.repair_psd(views.v_gmm(spark, "/root/testdata/sf0.001")).limit(90)
+    keys, names = ["tile_id", "number"], ["P_Galaxy", "P_QSO", "P_Star"]
+    arrays = mixture.sample_gmm_arrays(df, keys, 301)
+    fused = mixture.array_moments(arrays, keys, names)
+    assert fused._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = mixture.array_moments(arrays.select("*"), keys, names)
+    assert sorted(fused.collect()) == sorted(apart.collect())
+    seeds, counts, layers = np.array([7, -3, 7]), np.array([5, 0, 9]), np.array([241, 242, 243])
+    ragged = addressed.ragged_normals(seeds, counts, layers, 2)
+    want = np.concatenate([addressed.normals(seeds[i : i + 1], int(c), int(layers[i]), 2)[0] for i, c in enumerate(counts)])
+    assert np.array_equal(np.stack(ragged, axis=1), want)
