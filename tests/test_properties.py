@@ -763,3 +763,18 @@ def test_moments_are_taken_where_the_points_are_drawn(spark):
     ragged = addressed.ragged_normals(seeds, counts, layers, 2)
     want = np.concatenate([addressed.normals(seeds[i : i + 1], int(c), int(layers[i]), 2)[0] for i, c in enumerate(counts)])
     assert np.array_equal(np.stack(ragged, axis=1), want)
+
+
+def test_long_draws_move_as_one_row_an_object(spark):
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"k": np.repeat(["a", None, "b", "c"], 30), "n": np.repeat([1, 1, 2, 2], 30), "r1": rng.normal(size=120), "r2": rng.normal(size=120)})
+    long = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "k string, n long, r1 double, r2 double").coalesce(1)
+    fit = lambda df: mixture.fit_gmm_long(df, ["k", "n"], 3, 0.0).orderBy("k", "n")
+    one, many = fit(long), fit(long.orderBy("r2").repartition(6))
+    a, b = one.toPandas(), many.toPandas()
+    assert len(a) == 4 and a.k.isna().sum() == 1
+    pd.testing.assert_frame_equal(a, b)
+    both = F.sort_array(F.collect_list(F.struct("r1", "r2")))
+    packed = long.groupBy("k", "n").agg(both.alias("d")).select("k", "n", F.col("d.r1").alias("r1_draws"), F.col("d.r2").alias("r2_draws"))
+    pd.testing.assert_frame_equal(a, mixture.fit_gmm(packed, ["k", "n"], 3, 0.0).orderBy("k", "n").toPandas())
+    assert "Aggregate" not in one._jdf.queryExecution().executedPlan().toString()
