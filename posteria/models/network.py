@@ -11,7 +11,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 
-from posteria.functions.addressed import masks, normals
+from posteria.functions.addressed import MaskMaker, normals
 
 SIGMA_FLOOR = 1e-4  # fixed value: smallest predicted sigma
 RAW_SLOPE = 0.05  # fixed value: sigma = floor + softplus(slope * raw)
@@ -225,6 +225,7 @@ def decayed(rate: float, epoch: int, cfg: NetConfig) -> float:
 
 NOISE, HEAD = 254, 255  # layers of the addresses of input noise and of the output's sample
 CUBE_NUMBERS = 4_000_000  # of the widest layer of a block
+CACHE_NUMBERS = 300_000  # of the widest layer of objects that go through the layers together
 
 
 def block_draws(params, x: np.ndarray, cfg: NetConfig, n_iter: int, seeds: np.ndarray, errors: np.ndarray | None = None) -> np.ndarray:
@@ -232,19 +233,31 @@ def block_draws(params, x: np.ndarray, cfg: NetConfig, n_iter: int, seeds: np.nd
     if cfg.kind == "variational":
         noise = errors if errors is not None else [None] * len(x)
         return np.stack([object_draws(params, v, cfg, n_iter, int(s), e) for v, s, e in zip(x, seeds, noise)])
-    h = np.repeat(x[:, None, :], n_iter, axis=1)
-    if errors is not None:
-        h += normals(seeds, n_iter, NOISE, x.shape[1]) * errors[:, None, :]
     stack = layers(params, cfg)
-    for i, (layer, rate) in enumerate(zip(stack, cfg.rates)):
-        if rate > 0:
-            h = h * masks(seeds, n_iter, i, h.shape[2], rate)
-        h = (h.reshape(-1, h.shape[2]) @ layer[0]).reshape(len(x), n_iter, -1)
-        h += layer[1]
-        if i < len(stack) - 1:
-            np.maximum(h, 0, out=h)
-    loc, sigma, _ = split_head(h, cfg)
-    return loc if sigma is None else loc + sigma * normals(seeds, n_iter, HEAD, loc.shape[2])
+    widths = [x.shape[1], *[layer[0].shape[1] for layer in stack]]
+    few = max(1, CACHE_NUMBERS // (max(1, n_iter) * max(widths)))  # objects that go through the layers together
+    factors = [MaskMaker(n_iter, i, w, rate) if rate > 0 else None for i, (w, rate) in enumerate(zip(widths, cfg.rates))]
+    room = [np.empty(min(few, len(x)) * n_iter * w) for w in widths]  # used again by all of them
+    out = np.empty((len(x), n_iter, widths[-1] // (2 if cfg.has_sigma else 1)))
+    for at in range(0, len(x), few):
+        some = slice(at, min(at + few, len(x)))
+        n = some.stop - at
+        values = [v[: n * n_iter * w].reshape(n, n_iter, w) for v, w in zip(room, widths)]
+        h = values[0]
+        h[:] = x[some, None, :]
+        if errors is not None:
+            h += normals(seeds[some], n_iter, NOISE, x.shape[1]) * errors[some, None, :]
+        for i, (layer, made) in enumerate(zip(stack, factors)):
+            if made is not None:
+                h *= made(seeds[some])
+            np.matmul(h.reshape(n * n_iter, widths[i]), layer[0], out=values[i + 1].reshape(n * n_iter, widths[i + 1]))
+            h = values[i + 1]
+            h += layer[1]
+            if i < len(stack) - 1:
+                np.maximum(h, 0, out=h)
+        loc, sigma, _ = split_head(h, cfg)
+        out[some] = loc if sigma is None else loc + sigma * normals(seeds[some], n_iter, HEAD, loc.shape[2])
+    return out
 
 
 def block_rows(params, n_iter: int) -> int:

@@ -778,3 +778,22 @@ def test_long_draws_move_as_one_row_an_object(spark):
     packed = long.groupBy("k", "n").agg(both.alias("d")).select("k", "n", F.col("d.r1").alias("r1_draws"), F.col("d.r2").alias("r2_draws"))
     pd.testing.assert_frame_equal(a, mixture.fit_gmm(packed, ["k", "n"], 3, 0.0).orderBy("k", "n").toPandas())
     assert "Aggregate" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["dropout", "gaussian", "deterministic"])
+def test_draws_of_many_objects_take_little_room(kind):
+    """Beside the draws, what a block needs depends on the few objects that go through the layers together."""
+    import tracemalloc
+
+    from posteria.models import network
+
+    cfg = network.NetConfig(kind=kind, hidden=(24, 12), dropout=(0.1, 0.1), input_dropout=0.05)
+    rng = np.random.default_rng(5)
+    params, x, seeds = network.init_params(7, 3, cfg), rng.normal(size=(8000, 7)), rng.integers(-(2**62), 2**62, 8000)
+    tracemalloc.start()
+    found = network.block_draws(params, x, cfg, 20, seeds, np.abs(x) / 10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < found.nbytes + 30e6
+    alone = np.concatenate([network.block_draws(params, x[i : i + 1], cfg, 20, seeds[i : i + 1], np.abs(x[i : i + 1]) / 10) for i in (0, 624, 625, 7999)])
+    np.testing.assert_allclose(found[[0, 624, 625, 7999]], alone, rtol=1e-12, atol=1e-12)
