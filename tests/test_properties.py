@@ -733,6 +733,30 @@ def test_quick_distances_rule_out_no_neighbour(p):
         assert (found.reshape(-1, 6) == want).all() and np.array_equal(dist.reshape(-1, 6), far)
 
 
+@pytest.mark.parametrize("far,kind", [(1, np.float32), (1e-30, np.float32), (1e6, np.float64)])
+def test_single_precision_rules_out_no_neighbour(far, kind):
+    """Few pairs are measured one by one, whatever the size of the rows, and rows far apart fall back on double precision."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 16)) * min(far, 1)
+    if far > 1:
+        x[::2, 0] += far  # two heaps, rows of one much nearer than their size
+    x[5] = 1e4 * far  # one row far out spoils nothing
+    x[1000:1400] = x[2000:2400] * (1 + 1e-9)
+    y, keys = x[:300], np.arange(6000)
+    tiles = neighbors._Tiles(x, y, 2)
+    assert tiles.table.dtype == kind
+    measured, pairs = [], neighbors._pairs
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(neighbors, "_pairs", lambda y, x, near, far, p: (measured.append(len(near)), pairs(y, x, near, far, p))[1])
+        rows, found, dist = neighbors.nearest_rows(x, keys, y, keys[:300], np.ones(300, bool), 4, 2)
+    gap = np.abs(y[:, None] - x[None])
+    d = np.sqrt(np.einsum("qtd,qtd->qt", gap, gap))
+    d[keys[:300], keys[:300]] = np.inf
+    want = np.lexsort((np.broadcast_to(keys, d.shape), d), axis=1)[:, :4]
+    assert (found.reshape(-1, 4) == want).all() and np.array_equal(dist.reshape(-1, 4), np.take_along_axis(d, want, 1))
+    assert sum(measured) < 0.02 * d.size
+
+
 def test_queries_that_no_bound_settles_do_not_go_to_every_cell(spark, monkeypatch):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(1500, 40))
