@@ -821,3 +821,42 @@ def test_draws_of_many_objects_take_little_room(kind):
     assert most < found.nbytes + 30e6
     alone = np.concatenate([network.block_draws(params, x[i : i + 1], cfg, 20, seeds[i : i + 1], np.abs(x[i : i + 1]) / 10) for i in (0, 624, 625, 7999)])
     np.testing.assert_allclose(found[[0, 624, 625, 7999]], alone, rtol=1e-12, atol=1e-12)
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_all_rows_are_compared_without_copies_in_a_shuffle(spark, monkeypatch, single):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(90, 6)).astype(np.float32).astype(float) + (0.0 if single else 1e-12)
+    groups = ["a"] * 60 + ["b"] * 26 + ["c"] * 4
+    rows = spark.createDataFrame([(g, i, row.tolist(), [float(-i)]) for i, (g, row) in enumerate(zip(groups, x))], "_group string, _key long, _x array<double>, _y array<double>")
+    rows = neighbors._widened(neighbors._narrowed(rows)) if not single else neighbors._narrowed(rows).drop("_wide")
+    asks = rows.select("_group", F.col("_key").alias("_qkey"), F.col("_key").alias("_skip"), "_x")
+    monkeypatch.setattr(neighbors, "BLOCK", 8)
+    found = neighbors._best(neighbors._scan(rows, asks, 3, 2.0, True, block=80), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan
+    got = {(r["_qkey"], r["rank"]): (r["_key"], r["_y"]) for r in found.collect()}
+    want = {}
+    for i in range(90):
+        near = sorted((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), j) for j in range(90) if j != i and groups[j] == groups[i])[:3]
+        want |= {(i, r): (j, [float(-j)]) for r, (_, j) in enumerate(near, 1)}
+    assert got == want
+
+
+def test_vectors_are_narrowed_only_where_nothing_is_lost(spark):
+    rows = spark.createDataFrame([(0, [0.5, -2.0]), (1, [0.1, 1.0]), (2, [1e300, 0.0]), (3, [None, 0.5]), (4, None)], "k long, _x array<double>")
+    held = {r["k"]: (r["_x"], r["_wide"]) for r in neighbors._narrowed(rows).collect()}
+    assert held == {0: ([0.5, -2.0], None), 1: (None, [0.1, 1.0]), 2: (None, [1e300, 0.0]), 3: ([None, 0.5], None), 4: (None, None)}
+    assert {r["k"]: r["_x"] for r in neighbors._widened(neighbors._narrowed(rows)).collect()} == {r["k"]: r["_x"] for r in rows.collect()}
+
+
+def test_smote_carries_places_not_rows(spark, monkeypatch):
+    from posteria.operators import balance
+
+    seen = []
+    monkeypatch.setattr(balance, "knn", lambda *a, **how: seen.append(how["payload"]) or neighbors.knn(*a, **how))
+    df = spark.createDataFrame([(i, "a" if i < 12 else "b", float(i % 5), float(i), None if i == 13 else 2.0 * i) for i in range(18)], "k long, g string, x double, z double, w double")
+    made = balance.smote(df, "k", "g", ["x", "z"], ["w"], k=2).filter("synthetic > 0").collect()
+    assert len(made) == 6 and seen == [["_place"]]
+    for r in made:
+        assert 12 <= r["z"] <= 17 and (r["w"] is None or abs(r["w"] - 2 * r["z"]) < 1e-9)
