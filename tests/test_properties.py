@@ -860,3 +860,27 @@ def test_smote_carries_places_not_rows(spark, monkeypatch):
     assert len(made) == 6 and seen == [["_place"]]
     for r in made:
         assert 12 <= r["z"] <= 17 and (r["w"] is None or abs(r["w"] - 2 * r["z"]) < 1e-9)
+
+
+def test_many_folders_are_those_that_partition_by_writes(spark, tmp_path):
+    from posteria.sources import folders
+
+    rows = [(v, i, float(i)) for i, v in enumerate(["a", "b/c", None, "", "é %=", "a", "x y"] * 40)]
+    df = spark.createDataFrame(rows, "t string, n long, v double")
+    df.write.partitionBy("t").parquet(str(tmp_path / "want"))
+    folders.write_folders(df.limit(3), str(tmp_path / "got"), "t")
+    folders.write_folders(df.hint("rebalance", "t"), str(tmp_path / "got"), "t")  # replaces what is there
+    named = lambda p: sorted(f.name for f in p.iterdir() if f.is_dir())
+    assert named(tmp_path / "got") == named(tmp_path / "want")
+    got, want = (spark.read.parquet(str(tmp_path / p)).select("t", "n", "v").collect() for p in ("got", "want"))
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 280
+    left = [f.name for f in (tmp_path / "got").rglob("*") if f.is_file()]
+    assert "_SUCCESS" in left and not [f for f in left if f.startswith(".")]  # no file of an attempt, none for which Hadoop starts a process
+
+
+def test_folders_hold_no_rows_for_an_empty_table(spark, tmp_path):
+    from posteria.sources import folders
+
+    df = spark.createDataFrame([], "t long, n long")
+    folders.write_folders(df, str(tmp_path / "none"), "t")
+    assert spark.read.schema(df.schema).parquet(str(tmp_path / "none")).count() == 0
