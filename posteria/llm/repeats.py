@@ -272,7 +272,7 @@ def _sort_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
 
 def _windows_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """One row for each window of a run, under its 128-bit fingerprint with the gram's."""
-    for batch in slices(batches, "bytes", 1 << 20):
+    for batch in slices(batches, "bytes", PIECE):  # a fingerprint reaches no further; a run is shorter
         counts = batch.column("windows").to_numpy().astype(np.int64)
         data = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8)
         base = np.concatenate(([0], np.cumsum(counts + width - 1)[:-1]))

@@ -86,3 +86,17 @@ def test_very_long_text_and_text_output(spark):
     assert repeats.remove_repeats(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
         repeats.remove_repeats(df, width=8)
+
+
+def test_more_crowded_runs_than_a_piece_holds(spark):
+    rnd = random.Random(6)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    line, whole = noise(190), noise(260)  # part of every window near it, and repeated itself
+    texts = [noise(60) + line + noise(60) + (whole + noise(40) if i % 50 == 0 else "") for i in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = repeats.remove_repeats(df, width=200, runs=1).collect()
+    want = brute(texts, 200)
+    assert sum(len(s) for _, s, _ in want) == 30
+    for r in out:
+        size, spans, kept = want[r["doc_id"]]
+        assert (r["n_bytes"], [tuple(x) for x in r["removed"]], bytes(r["kept"])) == (size, spans, kept)
