@@ -1,3 +1,4 @@
+import random
 import struct
 
 import corpus_pipeline
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from posteria.llm import decontaminate, queries
+from posteria.llm import decontaminate, queries, repeats
 from posteria.session import stage
 from tests.conftest import SF_DIR
 from tests.llm.test_minhash import brute_components, brute_sets
@@ -56,6 +57,18 @@ def test_repeats_are_cut(stages):
             assert not spans or after[r["doc_id"]]["n_chars"] == len(text)
 
 
+def test_repeats_beside_a_crowded_gram(spark):
+    rnd = random.Random(7)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    line, whole = noise(190), noise(260)  # part of every window near it, in more contexts than a task sorts; repeated itself
+    texts = [noise(60) + line + noise(60) + (whole if i % 500 == 0 else "") for i in range(repeats.RUNS + 300)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r for r in corpus_pipeline.no_repeats(spark, docs.coalesce(1), SF_DIR).collect()}
+    want = [kept.decode() for _, _, kept in brute(texts, 200)]
+    assert sum(a != b for a, b in zip(texts, want)) == 5
+    assert [(out[i]["text"], out[i]["n_chars"]) for i in range(len(texts))] == [(t, len(t)) for t in want]
+
+
 def test_benchmark_items_are_gone(spark, stages):
     items = [r["text"] for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     items = [(w, decontaminate.budget_of(len(w), decontaminate.SHARE)) for w in map(decontaminate.words_of, items)]
